@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlines.llm import common, language_id, token_counts
+from chartlines.llm import common, language_id, line_dedup, mixing, token_counts
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +20,44 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~common.learn_row(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op10_language_id)}
-ORACLES: dict[str, str] = {}
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(common.table(spark, sf_dir, "documents"))
+    rows = mix.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (
+  SELECT doc_id, i - 1 AS pos, ls[i] AS line,
+         len(list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+s AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS c
+  FROM l WHERE n > 0),
+w AS (
+  SELECT a.doc_id, a.k AS k0, min(b.k) AS k1 FROM s a
+  JOIN s b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 7 AND b.c - a.c + a.n >= 8 GROUP BY a.doc_id, a.k
+  UNION
+  SELECT b.doc_id, max(a.k) AS k0, b.k AS k1 FROM s a
+  JOIN s b ON a.doc_id = b.doc_id AND a.k BETWEEN b.k - 7 AND b.k AND b.c - a.c + a.n >= 8 GROUP BY b.doc_id, b.k),
+t AS (
+  SELECT w.doc_id, k0, k1, string_agg(line, chr(10) ORDER BY s.k) AS body, min(pos) AS start, max(pos) AS stop
+  FROM w JOIN s ON w.doc_id = s.doc_id AND s.k BETWEEN k0 AND k1 GROUP BY w.doc_id, k0, k1),
+f AS (SELECT *, min((doc_id, start)) OVER (PARTITION BY body) AS first FROM t),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS pos FROM f WHERE (doc_id, start) > first)
+SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines, coalesce(x.n_removed, 0) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(x.body, '')) END AS text_md5
+FROM d LEFT JOIN (
+  SELECT l.doc_id, count(*) FILTER (WHERE n > 0) AS n_lines, count(*) FILTER (WHERE n > 0 AND g.pos IS NOT NULL) AS n_removed,
+         string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS body
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id) x ON d.doc_id = x.doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op7_mix_sources, op9_line_dedup, op10_language_id)}
+ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
