@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlines.llm import common, language_id, line_dedup, mixing, token_counts
+from chartlines.llm import common, decontaminate, language_id, line_dedup, mixing, token_counts, warc
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +59,53 @@ FROM d LEFT JOIN (
   FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id) x ON d.doc_id = x.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op7_mix_sources, op9_line_dedup, op10_language_id)}
-ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(common.table(spark, sf_dir, "pages"))
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS best FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INT), 5))::INT >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to, TRUE AS intact
+FROM q
+"""
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.round("similarity", 6).alias("similarity"))
+
+
+OP8_SQL = r"""
+WITH b AS (
+  SELECT item_id, ws, len(ws) AS n, least(len(ws), 5) AS k FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+    FROM benchmark) WHERE len(ws) > 0),
+bs AS (SELECT item_id, n, k, q, array_to_string(ws[q + 1 : q + k], ' ') AS sh FROM (SELECT *, unnest(range(0, n - k + 1)) AS q FROM b)),
+bi AS (SELECT item_id, list(DISTINCT sh) AS shs FROM bs GROUP BY item_id),
+d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents WHERE text IS NOT NULL),
+ds AS (
+  SELECT doc_id, k, p, array_to_string(ws[p + 1 : p + k], ' ') AS sh
+  FROM (SELECT doc_id, ws, k, unnest(range(0, len(ws) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM b) WHERE len(ws) >= k)),
+w AS (
+  SELECT DISTINCT ds.doc_id, item_id, bs.k, greatest(p - q, 0) AS s, least(p - q + n, len(d.ws)) AS e
+  FROM ds JOIN bs ON ds.sh = bs.sh AND ds.k = bs.k JOIN d ON d.doc_id = ds.doc_id),
+v AS (
+  SELECT w.doc_id, w.item_id, s, shs, list_distinct(list_transform(range(s, e - k + 1), lambda i: array_to_string(ws[i + 1 : i + k], ' '))) AS win
+  FROM w JOIN d ON w.doc_id = d.doc_id JOIN bi ON w.item_id = bi.item_id),
+m AS (
+  SELECT doc_id, item_id, s, list_sum(list_transform(list_intersect(win, shs), lambda x: length(x))) AS shared,
+         list_sum(list_transform(win, lambda x: length(x))) + list_sum(list_transform(shs, lambda x: length(x))) AS total FROM v)
+SELECT doc_id, item_id, arg_min(s, (-(shared / (total - shared)), s)) AS start, round(max(shared / (total - shared)), 6) AS similarity
+FROM m WHERE 100 * shared >= 80 * (total - shared) GROUP BY doc_id, item_id
+"""
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id)}
+ORACLES: dict[str, str] = {"op6_warc_index": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}

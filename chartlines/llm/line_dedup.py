@@ -57,7 +57,8 @@ def windows(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             F.unhex(F.md5(F.array_join(F.transform(places, lambda j: F.get("line", j)), "\n"))).alias("key"),
         )
 
-    found = arrays.select("doc_id", "rid", F.explode(F.transform(spans, window)).alias("w"))
+    # outer: for an inner explode the optimizer adds a filter on the array's size, which works all of it out twice
+    found = arrays.select("doc_id", "rid", F.explode_outer(F.transform(spans, window)).alias("w")).where(F.col("w").isNotNull())
     return found.select("doc_id", "rid", "w.start", "w.stop", F.col("w.least.h").alias("fp"), F.col("w.least.at").alias("at"), "w.key")
 
 
@@ -65,10 +66,11 @@ def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     """Windows that stand earlier, in order of doc_id, text hash and line: doc_id, rid, start, stop."""
     found = keep(windows(documents, min_words), "windows")
     place = F.struct("doc_id", "rid", "at")
-    shared = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") < F.col("hi")).select("fp")
+    # kept, so that both sides of the joins are plain exchanges whose hot keys can be split
+    shared = keep(found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") < F.col("hi")).select("fp"), "fingerprints")
     near = found.join(shared, "fp", "left_semi").select("doc_id", "rid", "start", "stop", "key")
     here = F.struct("doc_id", "rid", "start")
-    first = near.groupBy("key").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where(F.col("lo") < F.col("hi")).select("key", "lo")
+    first = keep(near.groupBy("key").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where(F.col("lo") < F.col("hi")).select("key", "lo"), "first")
     return near.join(first, "key").where(here > F.col("lo")).select("doc_id", "rid", "start", "stop")
 
 

@@ -131,7 +131,7 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sh
     blocks, depth = -(-(most_units or 0) // block), 0
     while blocks:
         dealt = left.groupBy("source", "base", "blocks", F.pmod(F.xxhash64("x.h", F.lit(depth)), F.col("blocks")).alias("b")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-        folded = keep(dealt.select("source", "base", "blocks", F.explode(_fold(F.col("xs"), seed + depth)).alias("x")), f"level{depth}")
+        folded = keep(dealt.select("source", "base", "blocks", F.explode_outer(_fold(F.col("xs"), seed + depth)).alias("x")), f"level{depth}")
         final = F.col("blocks") == 1
         up = F.when(_open(F.col("x")), (_uniform(F.col("x.h"), F.lit(seed + 1)) < F.col("x.p")).cast("int")).otherwise(F.col("x.p").cast("int"))
         settled.append(folded.where(final | ~_open(F.col("x"))).select("x.doc_id", "source", "x.size", (F.col("base") + up).cast("int").alias("copies")))
