@@ -22,6 +22,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def seed(i: int) -> np.uint64:
+    return np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -99,7 +103,7 @@ def shingle_hashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.n
     n = len(hashes)
     out = np.zeros(n, np.uint64)
     for i in range(k):
-        step = mix(hashes + np.uint64(i + 1) * np.uint64(0xD6E8FEB86659FD93))
+        step = mix(hashes + seed(i + 1))
         out[: n - i] += step[i:] if i else step
     within = np.arange(n) - starts[text_of]
     full = within + k <= counts[text_of]
@@ -109,7 +113,7 @@ def shingle_hashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.n
         value = np.zeros(len(at), np.uint64)
         for i in range(k - 1):
             has = counts[short] > i
-            value[has] += mix(hashes[at[has] + i] + np.uint64(i + 1) * np.uint64(0xD6E8FEB86659FD93))
+            value[has] += mix(hashes[at[has] + i] + seed(i + 1))
         out[at] = value + counts[short].astype(np.uint64)
         full[at] = True
     return mix(out[full]), text_of[full]

@@ -5,7 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlines.llm import common, decontaminate, language_id, line_dedup, mixing, token_counts, warc
+from chartlines.llm import common, decontaminate, language_id, line_dedup, minhash, mixing, token_counts, warc
+
+
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(common.table(spark, sf_dir, "documents"), k=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                 ELSE list_transform(range(0, len(ws) - 3), lambda i: array_to_string(ws[i + 1 : i + 4], ' ')) END) AS shs FROM d),
+e AS MATERIALIZED (SELECT doc_id, len(shs) AS n, unnest(shs) AS sh FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+      FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * c >= 80 * (nx + ny - c)),
+r AS (SELECT doc_id, doc_id AS reached FROM s UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.reached = l.x)
+SELECT s.doc_id, len(shs) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c ON s.doc_id = c.doc_id
+"""
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,5 +129,5 @@ SELECT doc_id, item_id, arg_min(s, (-(shared / (total - shared)), s)) AS start,
 FROM m WHERE 100 * shared >= 80 * (total - shared) GROUP BY doc_id, item_id
 """
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id)}
-ORACLES: dict[str, str] = {"op6_warc_index": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_token_counts, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id)}
+ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op6_warc_index": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
