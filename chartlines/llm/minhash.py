@@ -74,7 +74,7 @@ def _set_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     full = counts > 0
     if full.any():
         for j, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
-            out[full, j] = mix(np.add.reduceat(mix(values ^ np.uint64(seed)), starts[:-1][full]) + counts[full].astype(np.uint64))
+            out[full, j] = mix(np.add.reduceat(mix(values ^ np.uint64(salt)), starts[:-1][full]) + counts[full].astype(np.uint64))
     return out
 
 
