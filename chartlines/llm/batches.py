@@ -75,27 +75,48 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words, A-Z lowered, of all texts in a row, and each text's first word (one more entry for the end)."""
-    raw, starts = joined(column)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    letters, space, _ = _tables()
-    inside = ~space[raw]
+def _runs(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of bytes between separators; a text's end ends a run."""
+    inside = ~separators[raw]
     first = np.zeros(len(raw), bool)
     first[starts[:-1][starts[:-1] < len(raw)]] = True
-    begin = inside.copy()
+    begin, last = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1] | first[1:]
-    last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
-    begins, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
+    return np.flatnonzero(begin), np.flatnonzero(last) + 1
+
+
+def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    letters, _, _ = _tables()
     power, inverse = _power(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(letters[raw] * power[: len(raw)], out=sums[1:])
+    return sums, inverse
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, A-Z lowered, of all texts in a row, and each text's first word (one more entry for the end)."""
+    raw, starts = joined(column)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+    begins, ends = _runs(raw, starts, _tables()[1])
+    sums, inverse = _sums(raw)
     hashes = mix((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
     return hashes, np.searchsorted(begins, starts)
 
 
+def prefix_hashes(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray, lengths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the runs between separators and of their first bytes, for each of the lengths, and the text of each run."""
+    if not len(raw):
+        return [np.zeros(0, np.uint64)] * (1 + len(lengths)), np.zeros(0, np.int64)
+    begins, ends = _runs(raw, starts, separators)
+    sums, inverse = _sums(raw)
+    out = []
+    for stop in (ends, *(np.minimum(begins + n, ends) for n in lengths)):
+        out.append(mix((sums[stop] - sums[begins]) * inverse[begins] + (stop - begins).astype(np.uint64)))
+    return out, np.searchsorted(starts, begins, "right") - 1
+
+
 def shingle_hashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k-word shingles and the text of each; a text with fewer words, but one, is a single shingle."""
     counts = np.diff(starts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlines.llm import common, decontaminate, language_id, line_dedup, minhash, mixing, token_counts, warc
+from chartlines.llm import common, decontaminate, language_id, line_dedup, minhash, mixing, quality, token_counts, toxicity, warc
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,20 @@ FROM d LEFT JOIN (
   FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id) x ON d.doc_id = x.doc_id
 """
 
+def _scored(scores: DataFrame) -> DataFrame:
+    return scores.select("doc_id", (~common.learn_row(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    return _scored(toxicity.score(documents, toxicity.train(documents, labels)))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    return _scored(quality.score(documents, quality.train(documents, labels)))
+
+
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(common.table(spark, sf_dir, "pages"))
     return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
@@ -129,5 +143,5 @@ SELECT doc_id, item_id, arg_min(s, (-(shared / (total - shared)), s)) AS start,
 FROM m WHERE 100 * shared >= 80 * (total - shared) GROUP BY doc_id, item_id
 """
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_token_counts, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_quality, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id)}
 ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op6_warc_index": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
