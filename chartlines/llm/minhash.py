@@ -7,19 +7,22 @@ sends all shingles to coordinate b, so every coordinate is filled for certain.
 Two sets agree in a coordinate with probability of their Jaccard similarity.
 
 Documents with equal shingle sets are one class. Classes that agree in a whole
-band of coordinates share a bucket. In rounds, each bucket that still holds
-several components gets a pivot, and members outside the pivot's component are
-compared with it; what no pivot has settled is compared in pairs, but only across
-components. Every comparison is on full sets.
+band of coordinates share a bucket. Twice, each bucket that still holds several
+components gets a pivot, and members outside the pivot's component are compared
+with it; the second time the pivot is the member with the fewest shingles of its
+own, such as the text that the others were copied from. What no pivot has settled
+is compared in pairs, but only across components and where the shingles that two
+sets can share at all suffice. Every comparison is on full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartlines.llm.batches import mix, seed, shingle_hashes, slices, word_hashes
@@ -30,7 +33,6 @@ SHINGLE_WORDS = 5
 MIN_SIMILARITY = 80  # per cent
 #: 32 bands of 4 coordinates: a pair of similarity 0.8 shares no bucket with probability 5e-8.
 SKETCH, BAND_ROWS = 128, 4
-PIVOT_ROUNDS = 3
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -120,11 +122,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
 
+def _reachable(n: str, most: str, pn: str, pmost: str, percent: int) -> Column:
+    """Whether two sets of n and pn shingles, of which at most `most` and `pmost` can be shared, can be similar enough."""
+    both = F.least(most, pmost, n, pn)
+    return F.lit(100) * both >= percent * (F.col(n) + F.col(pn) - both)
+
+
+def _open_members(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (bucket, cls, n, comp) of the buckets that hold several components, with most: how many shingles they can share.
+
+    Shingles that no other class in these buckets has can't be shared, so a set of n
+    of which `most` can be shared is only similar to sets of a size between
+    percent * n and most / percent - n + most. Members whose bucket has no such size
+    are left out, and then buckets of one component: in a large group of copies of
+    one text, those with too many changes of their own go without being compared
+    with the rest. Sizes are kept in bins of two per cent, some hundreds at most.
+    """
+    size_bin = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / math.log(1.02)).cast("int")
+
+    def several(rows: DataFrame) -> DataFrame:
+        split = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_set(size_bin(F.col("n").cast("double"))).alias("sizes")).where(F.col("lo") < F.col("hi")).select("bucket", "sizes")
+        return rows.join(keep(split, "split"), "bucket")
+
+    still = keep(several(marked), "open")
+    universe = still.select("cls").distinct()
+    shingles = sets.join(universe, "cls", "left_semi").select("cls", F.explode_outer("shingles").alias("sh"))
+    own = shingles.groupBy("sh").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).where(F.col("c") == 1).groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
+    bounded = still.join(keep(own, "own"), "cls", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    least, largest = F.col("n") * (percent / 100), F.col("most") * (100 / percent) - F.col("n") + F.col("most")
+    bins = bounded.withColumn("least", size_bin(least)).withColumn("largest", size_bin(largest)).withColumn("ok", largest >= least)
+    fits = F.col("ok") & F.exists("sizes", lambda b: (b >= F.col("least")) & (b <= F.col("largest")))
+    hopeful = keep(bins.where(fits).drop("least", "largest", "ok", "sizes"), "hopeful")
+    return keep(several(hopeful).drop("sizes"), "open")
+
+
 def _ordered(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = MIN_SIMILARITY, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = MIN_SIMILARITY) -> DataFrame:
     """doc_id, rid, n_shingles, component_id, kept for each row of documents.
 
     Words are those of [^\\x20\\x09-\\x0D]+ with A-Z lowered; a document's set holds
@@ -145,23 +181,24 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
     members = keep(band_rows.join(shared, "bucket"), "members")
     sets = keep(_sets(documents, classes.join(members.select("cls").distinct(), "cls", "left_semi").select("rid", "cls"), k), "sets")
 
-    near = F.lit(100) * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     links, labels, tested = None, None, None
-    for turn in range(pivot_rounds + 1):
+    for turn in ("random pivots", "central pivots", "all pairs"):
         marked = members if labels is None else members.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         marked = marked.withColumn("comp", F.col("cls") if labels is None else F.coalesce("comp", "cls"))
-        if turn:  # only buckets that still hold several components
-            split = marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
-            marked = keep(marked.join(split, "bucket", "left_semi"), "open")
+        if turn == "random pivots":
+            marked = marked.withColumn("most", F.col("n"))
+        else:
+            marked = _open_members(marked, sets, percent)
             if marked.isEmpty():
                 break
-        if turn < pivot_rounds:
-            order = F.struct(F.xxhash64("cls", F.lit(turn)), F.struct("cls", "n", "comp"))
-            pivots = keep(marked.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.col2.cls").alias("pivot"), F.col("p.col2.n").alias("pn"), F.col("p.col2.comp").alias("pcomp")), "pivots")
-            found = marked.join(pivots, "bucket").where((F.col("comp") != F.col("pcomp")) & near)
+        if turn == "all pairs":
+            other = marked.select("bucket", F.col("cls").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"), F.col("most").alias("pmost"))
+            found = marked.join(other, "bucket").where((F.col("comp") < F.col("pcomp")) & _reachable("n", "most", "pn", "pmost", percent))
         else:
-            other = marked.select("bucket", F.col("cls").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-            found = marked.join(other, "bucket").where((F.col("comp") < F.col("pcomp")) & near)
+            rank = F.col("most") / F.col("n") * -1 if turn == "central pivots" else F.lit(0.0)
+            order = F.struct(rank.alias("rank"), F.xxhash64("cls").alias("draw"), "cls", "n", "comp", "most")
+            pivots = keep(marked.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"), F.col("p.most").alias("pmost")), "pivots")
+            found = marked.join(pivots, "bucket").where((F.col("comp") != F.col("pcomp")) & _reachable("n", "most", "pn", "pmost", percent))
         pairs = found.select(*_ordered("cls", "pivot")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
