@@ -11,6 +11,7 @@ The best of all blocks are measured exactly on the original vectors.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,6 +147,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE
     book = fit(np.array(sample["v"].to_list(), float).reshape(len(sample), dims or 1), dims or 1)
     kind = base.schema["vec_id"].dataType.simpleString()
     blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_queries))
+    # rows are dealt to blocks by hash, so the best `rerank` of all are spread evenly but for chance; k of each block at least
+    even = rerank / blocks
+    of_block = rerank if blocks == 1 else min(rerank, math.ceil(even + 4 * math.sqrt(even)) + k)
 
     def code(batches):
         for batch in batches:
@@ -174,7 +178,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE
                 for j, c in enumerate(columns):
                     scores = scores + table[j][c]
                 scores[ids == query_id] = -np.inf
-                at = _best(scores, ids, rerank)
+                at = _best(scores, ids, of_block)
                 found.append((np.full(len(at), query_id), ids[at], scores[at]))
         parts = [np.concatenate(x) for x in zip(*found)] if found else [query_ids[:0], ids[:0], np.zeros(0)]
         return pa.table({"query_id": parts[0], "vec_id": parts[1], "near": parts[2]})
