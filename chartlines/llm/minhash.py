@@ -192,13 +192,20 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
             if marked.isEmpty():
                 break
         if turn == "all pairs":
-            other = marked.select("bucket", F.col("cls").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"), F.col("most").alias("pmost"))
-            found = marked.join(other, "bucket").where((F.col("comp") < F.col("pcomp")) & _reachable("n", "most", "pn", "pmost", percent))
-        else:
-            rank = F.col("most") / F.col("n") * -1 if turn == "central pivots" else F.lit(0.0)
-            order = F.struct(rank.alias("rank"), F.xxhash64("cls").alias("draw"), "cls", "n", "comp", "most")
-            pivots = keep(marked.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"), F.col("p.most").alias("pmost")), "pivots")
-            found = marked.join(pivots, "bucket").where((F.col("comp") != F.col("pcomp")) & _reachable("n", "most", "pn", "pmost", percent))
+            # compared within the join, in the first of the buckets they share: only links come out of it
+            whole = marked.join(classes.select("cls", bands.alias("bands")), "cls").join(sets, "cls")
+            other = whole.select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("cls", "n", "comp", "most", "bands", "shingles")))
+            first = F.element_at(F.array_intersect("bands", "p_bands"), 1) == F.col("bucket")
+            shared = F.size(F.array_intersect("shingles", "p_shingles")).cast("long")
+            similar = F.lit(100) * shared >= percent * (F.col("n") + F.col("p_n") - shared)
+            linked = whole.join(other, "bucket").where((F.col("comp") < F.col("p_comp")) & _reachable("n", "most", "p_n", "p_most", percent) & first & similar)
+            links = links.union(keep(linked.select(*_ordered("cls", "p_cls")), "links"))
+            labels = keep(connected_components(links), "components")
+            break
+        rank = F.col("most") / F.col("n") * -1 if turn == "central pivots" else F.lit(0.0)
+        order = F.struct(rank.alias("rank"), F.xxhash64("cls").alias("draw"), "cls", "n", "comp", "most")
+        pivots = keep(marked.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"), F.col("p.most").alias("pmost")), "pivots")
+        found = marked.join(pivots, "bucket").where((F.col("comp") != F.col("pcomp")) & _reachable("n", "most", "pn", "pmost", percent))
         pairs = found.select(*_ordered("cls", "pivot")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
