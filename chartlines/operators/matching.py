@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chartlines.functions.geometry import COORDS, angle, angle_difference, overlap, pair_cost, seg, symmetric_distance
 from chartlines.operators import _numpy as N
+from chartlines.operators.units import each_unit
 
 Matcher = Callable[[np.ndarray, np.ndarray, float], tuple[np.ndarray, np.ndarray]]
 
@@ -43,26 +44,30 @@ def sampled_cost(a: dict, b: dict, samples: int = 12) -> Column:
     return F.sqrt(F.least(*gaps))
 
 
-def _matched(candidates: DataFrame, choose) -> DataFrame:
-    """unit, p, g, cost of the pairs that choose(frame of one unit) returns."""
-    return candidates.groupBy("unit").applyInPandas(lambda rows: choose(rows)[["unit", "p", "g", "cost"]], "unit long, p long, g long, cost double")
+def _matched(candidates: DataFrame, choose, order: list) -> DataFrame:
+    """unit, p, g, cost of the pairs at the places that choose(arrays of one unit) returns; rows come in the given order."""
+    return each_unit(candidates, order, choose).select("unit", "p", "g", "cost")
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
+def _greedy(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Rows in order whose p and g are both still free."""
     used_p: set[int] = set()
     used_g: set[int] = set()
     kept = []
-    for i, p, g in rows.sort_values(["cost", "p", "g"])[["p", "g"]].itertuples():
+    for i, (p, g) in enumerate(zip(rows["p"].tolist(), rows["g"].tolist(), strict=True)):
         if p not in used_p and g not in used_g:
             used_p.add(p)
             used_g.add(g)
             kept.append(i)
-    return rows.loc[kept]
+    return np.array(kept, np.int64)
+
+
+CHEAPEST = ["cost", "p", "g"]
 
 
 def greedy_match(pred: DataFrame, gt: DataFrame, tau: float, kind: str = "mean_ends") -> DataFrame:
     """One-to-one pairs of each unit, cheapest first, up to tau."""
-    return _matched(pairs(pred, gt, lambda a, b: pair_cost(kind, a, b), tau), _greedy)
+    return _matched(pairs(pred, gt, lambda a, b: pair_cost(kind, a, b), tau), _greedy, CHEAPEST)
 
 
 def oriented_match(pred: DataFrame, gt: DataFrame, dist: float = 5.0, degrees: float = 10.0, min_overlap: float = 0.5) -> DataFrame:
@@ -71,56 +76,51 @@ def oriented_match(pred: DataFrame, gt: DataFrame, dist: float = 5.0, degrees: f
     g = gt.select("unit", F.col("line_id").alias("g"), *(F.col(c).alias(f"g_{c}") for c in COORDS))
     a, b = seg("p_"), seg("g_")
     met = p.join(g, "unit").where((angle_difference(angle(a), angle(b)) <= degrees) & (overlap(a, b) >= min_overlap)).withColumn("cost", symmetric_distance(a, b)).where(F.col("cost") <= dist)
-    return _matched(met, _greedy)
+    return _matched(met.select("unit", "p", "g", "cost"), _greedy, CHEAPEST)
 
 
 def sequential_match(pred: DataFrame, gt: DataFrame, tau: float, kind: str = "ends_mae") -> DataFrame:
     """Predictions by score take the cheapest truth still free, up to tau."""
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        kept = []
-        for _, mine in rows.sort_values(["score", "p"], ascending=[False, True]).groupby("p", sort=False):
-            free = mine[~mine["g"].isin(used)].sort_values(["cost", "g"])
-            if len(free):
-                used.add(free["g"].iloc[0])
-                kept.append(free.index[0])
-        return rows.loc[kept]
-
-    return _matched(pairs(pred, gt, lambda a, b: pair_cost(kind, a, b), tau), choose)
+    # best score first and then cheapest: the first free row of a prediction is its choice
+    return _matched(pairs(pred, gt, lambda a, b: pair_cost(kind, a, b), tau), _greedy, [F.desc("score"), "p", "cost", "g"])
 
 
 def optimal_match(pred: DataFrame, gt: DataFrame, limit: float | None = None, kind: str = "l2", gate_first: bool = False) -> DataFrame:
     """Pairs of each unit with the least total cost; those above limit are dropped afterwards, or kept out beforehand with gate_first."""
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        grid = rows.pivot(index="p", columns="g", values="cost")
-        cost = grid.to_numpy(float)
+    def choose(rows: dict[str, np.ndarray]) -> np.ndarray:
+        (ps, i), (gs, j) = (np.unique(rows[c], return_inverse=True) for c in ("p", "g"))
+        at = np.zeros((len(ps), len(gs)), np.int64)
+        at[i, j] = np.arange(len(i))
+        cost = rows["cost"][at]
         if gate_first and limit is not None:
             cost = np.where(cost > limit, 1e9, cost)
-        found = [(grid.index[i], grid.columns[j]) for i, j in N.optimal_pairs(cost)]
-        out = rows.merge(pd.DataFrame(found, columns=["p", "g"]), on=["p", "g"])
-        return out if limit is None else out[out["cost"] <= limit]
+        found = np.array([at[r, c] for r, c in N.optimal_pairs(cost)], np.int64)
+        return found if limit is None else found[rows["cost"][found] <= limit]
 
-    return _matched(pairs(pred, gt, lambda a, b: pair_cost(kind, a, b)), choose)
+    return _matched(pairs(pred, gt, lambda a, b: pair_cost(kind, a, b)), choose, ["p", "g"])
 
 
 def y_greedy_match(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """Truths by their first y take the free prediction whose two y's are nearest; unit, p, g, start_error, end_error."""
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("line_id"), right.sort_values(["y1", "line_id"])
-        used, out = np.zeros(len(left), bool), []
-        for g, y1, y2 in right[["line_id", "y1", "y2"]].itertuples(index=False):
+    side = lambda df, n: df.select("unit", F.lit(n).alias("side"), "line_id", "y1", "y2")
+
+    def run(rows: dict[str, np.ndarray]) -> pd.DataFrame:
+        p, g = rows["side"] == 0, np.flatnonzero(rows["side"] == 1)
+        ids, first, second = rows["line_id"][p], rows["y1"][p], rows["y2"][p]
+        used, out = np.zeros(len(ids), bool), []
+        for k in g[np.lexsort((rows["line_id"][g], rows["y1"][g]))]:
             if used.all():
                 break
-            e1, e2 = np.abs(left["y1"].to_numpy() - y1), np.abs(left["y2"].to_numpy() - y2)
+            e1, e2 = np.abs(first - rows["y1"][k]), np.abs(second - rows["y2"][k])
             i = int(np.argmin(np.where(used, np.inf, e1 + e2)))
             used[i] = True
-            out.append((key[0], int(left["line_id"].iloc[i]), int(g), float(e1[i]), float(e2[i])))
+            out.append((int(rows["unit"][k]), int(ids[i]), int(rows["line_id"][k]), float(e1[i]), float(e2[i])))
         return pd.DataFrame(out, columns=["unit", "p", "g", "start_error", "end_error"])
 
-    return pred.groupBy("unit").cogroup(gt.groupBy("unit")).applyInPandas(run, "unit long, p long, g long, start_error double, end_error double")
+    return each_unit(side(pred, 0).unionByName(side(gt, 1)), ["side", "line_id"], run, "unit long, p long, g long, start_error double, end_error double")
 
 
 def covered(pred: DataFrame, gt: DataFrame, limit: float, kind: str = "l2_swap") -> DataFrame:
@@ -139,12 +139,14 @@ def index_pairs(pred: DataFrame, gt: DataFrame) -> DataFrame:
 
 def run_matcher(pred: DataFrame, gt: DataFrame, matcher: Matcher, tau: float) -> DataFrame:
     """pred with tp from a user's matcher(pred lines, gt lines, tau) -> (tp, fp), called once for each unit; predictions come by score."""
-    columns = [*pred.columns, "tp"]
+    columns = pred.columns
+    both = pred.withColumn("_side", F.lit(0)).unionByName(gt.withColumn("_side", F.lit(1)), allowMissingColumns=True)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["score", "line_id"], ascending=[False, True])
-        tp, _ = matcher(left[list(COORDS)].to_numpy(float), right.sort_values("line_id")[list(COORDS)].to_numpy(float), tau)
-        return left.assign(tp=np.asarray(tp, int))[columns]
+    def run(rows: dict[str, np.ndarray]) -> pd.DataFrame:
+        lines = np.stack([rows[c] for c in COORDS], 1).astype(float)
+        p = rows["_side"] == 0
+        tp, _ = matcher(lines[p], lines[~p], tau) if p.any() else (np.zeros(0), None)
+        return pd.DataFrame({c: rows[c][p] for c in columns}).assign(tp=np.asarray(tp, int))
 
-    schema = ", ".join(f"{n} {t}" for n, t in pred.dtypes) + ", tp int"
-    return pred.groupBy("unit").cogroup(gt.groupBy("unit")).applyInPandas(run, schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in pred.dtypes) + ", tp int"
+    return each_unit(both, ["_side", F.desc("score"), "line_id"], run, schema)

@@ -1 +1,275 @@
-"""Queries to come."""
+"""Queries on matching, precision and other scores."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from chartlines.functions import geometry as G
+from chartlines.operators import matching as M
+from chartlines.operators import metrics, precision
+from chartlines.operators._numpy import end_costs
+from chartlines.plans.canonical import GT, MASK, PRED, ctes, derived
+from chartlines.queries import query
+
+_O = "CASE WHEN x1 > x2 OR (x1 = x2 AND y1 > y2) THEN {a} ELSE {b} END AS {b}"
+_P = "p AS (SELECT unit, line_id, image_id, score, " + ", ".join(_O.format(a=a, b=b) for a, b in (("x2", "x1"), ("y2", "y1"), ("x1", "x2"), ("y1", "y2"))) + " FROM pred)"
+_SQ = "least((p.x1-g.x1)*(p.x1-g.x1)+(p.y1-g.y1)*(p.y1-g.y1)+(p.x2-g.x2)*(p.x2-g.x2)+(p.y2-g.y2)*(p.y2-g.y2), (p.x1-g.x2)*(p.x1-g.x2)+(p.y1-g.y2)*(p.y1-g.y2)+(p.x2-g.x1)*(p.x2-g.x1)+(p.y2-g.y1)*(p.y2-g.y1))"
+_MID = "sqrt(((p.x1+p.x2)/2-(g.x1+g.x2)/2)*((p.x1+p.x2)/2-(g.x1+g.x2)/2)+((p.y1+p.y2)/2-(g.y1+g.y2)/2)*((p.y1+p.y2)/2-(g.y1+g.y2)/2))"
+
+
+def _tables(spark, sf):
+    return G.orient(derived(spark, sf, PRED)), derived(spark, sf, GT)
+
+
+def _hits(cost: str, tau: str) -> str:
+    """SQL tables c (costs), n (nearest truth) and m (predictions with tp) for a table t of thresholds."""
+    return f""", {_P}, t AS (SELECT unnest([{tau}]) AS tau),
+c AS (SELECT p.unit, p.line_id, p.score, g.line_id AS g, {cost} AS cost FROM p JOIN gt g ON p.unit = g.unit),
+n AS (SELECT unit, line_id, arg_min(g, (cost, g)) AS g, min(cost) AS cost FROM c GROUP BY unit, line_id),
+m AS (SELECT tau, p.unit, p.line_id, p.score, CASE WHEN n.g IS NOT NULL AND row_number() OVER (PARTITION BY tau, p.unit, n.g ORDER BY p.score DESC, p.line_id) = 1 THEN 1 ELSE 0 END AS tp
+      FROM p CROSS JOIN t LEFT JOIN n ON n.unit = p.unit AND n.line_id = p.line_id AND n.cost < tau)
+"""
+
+
+@query(ctes(gt=GT, pred=PRED) + _hits(_SQ, "60.0::DOUBLE") + "SELECT unit, line_id, tp FROM m")
+def m1_nearest_first_hit(spark, sf):
+    return M.nearest_first_hit(*_tables(spark, sf), 60.0).select("unit", "line_id", "tp")
+
+
+@query(ctes(gt=GT, pred=PRED) + _hits(_MID, "6.0::DOUBLE") + "SELECT unit, line_id, tp FROM m")
+def m2_midpoint_first_hit(spark, sf):
+    return M.nearest_first_hit(*_tables(spark, sf), 6.0, "midpoint").select("unit", "line_id", "tp")
+
+
+@query(ctes(gt=GT, pred=PRED) + f", {_P}" + """
+, i AS (SELECT CAST(unnest(range(12)) AS DOUBLE) AS i)
+SELECT p.unit, p.line_id AS p, g.line_id AS g, round(sqrt(min(((p.x1+(p.x2-p.x1)*(i/11))-(g.x1+(g.x2-g.x1)*(i/11)))*((p.x1+(p.x2-p.x1)*(i/11))-(g.x1+(g.x2-g.x1)*(i/11))) + ((p.y1+(p.y2-p.y1)*(i/11))-(g.y1+(g.y2-g.y1)*(i/11)))*((p.y1+(p.y2-p.y1)*(i/11))-(g.y1+(g.y2-g.y1)*(i/11))))), 5) AS cost
+FROM p JOIN gt g ON p.unit = g.unit CROSS JOIN i GROUP BY ALL
+""")
+def m2_sampled_cost(spark, sf):
+    return M.pairs(*_tables(spark, sf), M.sampled_cost).select("unit", "p", "g", F.round("cost", 5).alias("cost"))
+
+
+@query()
+def m3_greedy(spark, sf):
+    return M.greedy_match(*_tables(spark, sf), 10.0).withColumn("cost", F.round("cost", 6))
+
+
+@query()
+def m4_oriented(spark, sf):
+    return M.oriented_match(*_tables(spark, sf), 6.0, 10.0, 0.5).withColumn("cost", F.round("cost", 6))
+
+
+@query()
+def m5_sequential(spark, sf):
+    return M.sequential_match(*_tables(spark, sf), 6.0).withColumn("cost", F.round("cost", 6))
+
+
+@query()
+def m6_global_greedy(spark, sf):
+    return M.greedy_match(*_tables(spark, sf), 6.0, "ends_mae").withColumn("cost", F.round("cost", 6))
+
+
+@query()
+def m6_global_optimal(spark, sf):
+    return M.optimal_match(*_tables(spark, sf), 6.0, "ends_mae").withColumn("cost", F.round("cost", 6))
+
+
+@query()
+def m7_y_greedy(spark, sf):
+    return M.y_greedy_match(*_tables(spark, sf))
+
+
+@query()
+def m8_optimal(spark, sf):
+    return M.optimal_match(*_tables(spark, sf), 30.0).withColumn("cost", F.round("cost", 6))
+
+
+@query(ctes(gt=GT, pred=PRED) + f""", {_P}
+SELECT DISTINCT g.unit, g.line_id FROM gt g JOIN p ON p.unit = g.unit
+WHERE least(sqrt((p.x1-g.x1)*(p.x1-g.x1)+(p.y1-g.y1)*(p.y1-g.y1))+sqrt((p.x2-g.x2)*(p.x2-g.x2)+(p.y2-g.y2)*(p.y2-g.y2)), sqrt((p.x1-g.x2)*(p.x1-g.x2)+(p.y1-g.y2)*(p.y1-g.y2))+sqrt((p.x2-g.x1)*(p.x2-g.x1)+(p.y2-g.y1)*(p.y2-g.y1))) <= 8
+""")
+def m9_covered(spark, sf):
+    return M.covered(*_tables(spark, sf), 8.0).select("unit", "line_id")
+
+
+@query(ctes(gt=GT, pred=PRED) + f""", {_P}
+SELECT unit, round(sum(abs(coalesce(g.x1,0)-coalesce(p.x1,0))+abs(coalesce(g.y1,0)-coalesce(p.y1,0))+abs(coalesce(g.x2,0)-coalesce(p.x2,0))+abs(coalesce(g.y2,0)-coalesce(p.y2,0))) / (4 * greatest(count(g.line_id), count(p.line_id))), 6) AS mae
+FROM (SELECT unit, line_id, x1, y1, x2, y2 FROM gt) g FULL JOIN p USING (unit, line_id) GROUP BY unit
+""")
+def m10_index_pairs(spark, sf):
+    return M.index_pairs(*_tables(spark, sf)).select("unit", F.round("mae", 6).alias("mae"))
+
+
+_AP = """, k AS (SELECT *, sum(tp) OVER w AS h, count(*) OVER w AS n FROM m WINDOW w AS (PARTITION BY tau ORDER BY score DESC, unit, line_id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, max(h / n) OVER (PARTITION BY tau ORDER BY score DESC, unit, line_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM k),
+s AS (SELECT count(*) AS n_gt FROM gt)
+SELECT tau, round(sum(tp * env) / any_value(n_gt), 6) AS ap, sum(tp) AS tp, count(*) - sum(tp) AS fp, any_value(n_gt) - sum(tp) AS fn, round(sum(tp) / count(*), 6) AS precision,
+  round(sum(tp) / any_value(n_gt), 6) AS recall, round(2 * sum(tp) / (count(*) + any_value(n_gt)), 6) AS f1
+FROM e, s GROUP BY tau"""
+
+
+@query(ctes(gt=GT, pred=PRED) + _hits(_SQ, "25.0::DOUBLE, 50.0, 75.0") + _AP)
+def w1_evaluate(spark, sf):
+    pred, gt = derived(spark, sf, PRED), derived(spark, sf, GT)
+    found = precision.evaluate(pred, gt, (25.0, 50.0, 75.0))
+    return found.select("tau", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("ap", "precision", "recall", "f1")))
+
+
+@query(ctes(gt=GT, pred=PRED) + _hits(_SQ, "50.0::DOUBLE") + """
+, k AS (SELECT *, sum(tp) OVER w / count(*) OVER w AS pr FROM m WINDOW w AS (PARTITION BY unit ORDER BY score DESC, line_id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, max(pr) OVER (PARTITION BY unit ORDER BY score DESC, line_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM k)
+SELECT g.unit, round(CASE WHEN e.area IS NULL THEN 0 ELSE e.area / n END, 6) AS ap FROM (SELECT unit, count(*) AS n FROM gt GROUP BY unit) g LEFT JOIN (SELECT unit, sum(tp * env) AS area FROM e GROUP BY unit) e ON g.unit = e.unit
+""")
+def a27_ap_by_unit(spark, sf):
+    pred, gt = _tables(spark, sf)
+    totals = gt.groupBy("unit").agg(F.count(F.lit(1)).alias("n_gt"))
+    return precision.average_precision_by_unit(M.nearest_first_hit(pred, gt, 50.0), totals).select("unit", F.round("ap", 6).alias("ap"))
+
+
+def _cost_matcher(pred, gt, tau):
+    """Predictions in order, each takes its cheapest free truth."""
+    tp, used = np.zeros(len(pred), int), np.zeros(len(gt), bool)
+    cost = end_costs(pred, gt, "mean_ends")
+    for i in range(len(pred)):
+        free = np.where(used, np.inf, cost[i]) if len(gt) else np.array([np.inf])
+        j = int(np.argmin(free))
+        if free[j] <= tau:
+            tp[i], used[j] = 1, True
+    return tp, 1 - tp
+
+
+@query()
+def x1_user_matcher(spark, sf):
+    return M.run_matcher(*_tables(spark, sf), _cost_matcher, 10.0).select("unit", "line_id", "tp")
+
+
+_M10 = """, x AS (SELECT g.unit, g.image_id, count(*) AS n FROM gt g GROUP BY ALL)"""
+
+
+@query(ctes(gt=GT, pred=PRED) + f""", {_P},
+j AS (SELECT p.unit, abs(p.x1-g.x1) AS a, abs(p.y1-g.y1) AS b, abs(p.x2-g.x2) AS c, abs(p.y2-g.y2) AS d FROM p JOIN gt g ON p.unit = g.unit AND p.line_id = g.line_id),
+u AS (SELECT g.unit, g.image_id, g.n AS gt_lines, coalesce(q.n, 0) AS pred_lines, coalesce(e.m, 0) AS matched, coalesce(a,0) AS a, coalesce(b,0) AS b, coalesce(c,0) AS c, coalesce(d,0) AS d
+  FROM (SELECT unit, image_id, count(*) AS n FROM gt GROUP BY ALL) g LEFT JOIN (SELECT unit, count(*) AS n FROM p GROUP BY unit) q ON g.unit = q.unit
+  LEFT JOIN (SELECT unit, count(*) AS m, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM j GROUP BY unit) e ON g.unit = e.unit)
+SELECT image_id, grouping(image_id) AS is_total, sum(gt_lines) AS gt_lines, sum(pred_lines) AS pred_lines, sum(matched) AS matched, sum(gt_lines)-sum(matched) AS unmatched_gt, sum(pred_lines)-sum(matched) AS unmatched_pred,
+  round(CASE WHEN sum(matched) = 0 THEN NULL ELSE (sum(a)+sum(b))/(2*sum(matched)) END, 6) AS mae_start, round(CASE WHEN sum(matched) = 0 THEN NULL ELSE (sum(c)+sum(d))/(2*sum(matched)) END, 6) AS mae_end,
+  round(CASE WHEN sum(matched) = 0 THEN NULL ELSE (sum(a)+sum(b)+sum(c)+sum(d))/(4*sum(matched)) END, 6) AS mae_all, round(CASE WHEN sum(matched) = 0 THEN NULL ELSE (sum(b)+sum(d))/(2*sum(matched)) END, 6) AS mae_y
+FROM u GROUP BY ROLLUP (image_id)
+""")
+def a7_mae_report(spark, sf):
+    pred, gt = _tables(spark, sf)
+    same = pred.select("unit", F.col("line_id").alias("p")).join(gt.select("unit", F.col("line_id").alias("g")), (F.col("p") == F.col("g")) & (pred["unit"] == gt["unit"])).select(pred["unit"], "p", "g")
+    report = metrics.mae_report(metrics.pair_errors(same, pred, gt), pred, gt, gt, "image_id")
+    return report.select("image_id", "is_total", "gt_lines", "pred_lines", "matched", "unmatched_gt", "unmatched_pred", *(F.round(c, 6).alias(c) for c in ("mae_start", "mae_end", "mae_all", "mae_y")))
+
+
+_DIMS = "SELECT DISTINCT image_id, crop_id, unit, 60 AS h, 40 AS w FROM gt"
+_PMASK = "SELECT DISTINCT unit, CAST(floor(y1 / 7) AS BIGINT) AS y, CAST(floor(x1 / 7) AS BIGINT) AS x FROM ({pred}) UNION SELECT unit, CAST(floor(y2 / 7) AS BIGINT), CAST(floor(x2 / 7) AS BIGINT) FROM ({pred})"
+_COUNTS = ", pm AS (" + _PMASK.format(pred="SELECT * FROM pred") + "), dims AS (" + _DIMS + """),
+b AS (SELECT unit, count(*) FILTER (WHERE p = 1 AND g = 1) AS tp, count(*) FILTER (WHERE p = 1 AND g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL AND g = 1) AS fn
+  FROM (SELECT unit, y, x, 1 AS p FROM pm) FULL JOIN (SELECT unit, y, x, 1 AS g FROM mask) USING (unit, y, x) GROUP BY unit),
+k AS (SELECT image_id, crop_id, d.unit, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, h * w - coalesce(tp, 0) - coalesce(fp, 0) - coalesce(fn, 0) AS tn FROM dims d LEFT JOIN b ON d.unit = b.unit)
+"""
+
+
+def _mask_counts(spark, sf):
+    gt = derived(spark, sf, GT)
+    dims = gt.select("image_id", "crop_id", "unit", F.lit(60).alias("h"), F.lit(40).alias("w")).distinct()
+    counted = metrics.mask_counts(derived(spark, sf, _PMASK.format(pred=PRED)), derived(spark, sf, MASK), dims.drop("image_id", "crop_id"), ["unit"])
+    return dims.select("image_id", "crop_id", "unit").join(counted, "unit")
+
+
+@query(ctes(gt=GT, pred=PRED, mask=MASK) + _COUNTS + """
+SELECT unit, tp, fp, fn, tn, round(CASE WHEN tp + fp = 0 THEN NULL ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN NULL ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN 2*tp+fp+fn = 0 THEN NULL ELSE 2*tp/(2*tp+fp+fn) END, 6) AS f1, round(CASE WHEN tp+fp+fn = 0 THEN NULL ELSE tp/(tp+fp+fn) END, 6) AS iou, round((tp+tn)/(tp+fp+fn+tn), 6) AS accuracy FROM k
+""")
+def a5_mask_scores(spark, sf):
+    scores = {k: F.round(v, 6) for k, v in metrics.mask_scores().items()}
+    return _mask_counts(spark, sf).withColumns(scores).drop("image_id", "crop_id")
+
+
+@query(ctes(gt=GT, pred=PRED, mask=MASK) + _COUNTS + """
+, s AS (SELECT *, CASE WHEN tp + fp = 0 THEN NULL ELSE tp / (tp + fp) END AS pr, CASE WHEN tp+fp+fn = 0 THEN NULL ELSE tp/(tp+fp+fn) END AS io FROM k)
+SELECT image_id, crop_id, CAST(grouping(image_id) + grouping(crop_id) AS INT) AS level, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn, round(avg(pr), 6) AS macro_precision, round(avg(io), 6) AS macro_iou,
+  round(CASE WHEN sum(tp)+sum(fp) = 0 THEN NULL ELSE sum(tp)/(sum(tp)+sum(fp)) END, 6) AS micro_precision, round(CASE WHEN sum(tp)+sum(fp)+sum(fn) = 0 THEN NULL ELSE sum(tp)/(sum(tp)+sum(fp)+sum(fn)) END, 6) AS micro_iou
+FROM s GROUP BY ROLLUP (image_id, crop_id)
+""")
+def a6_micro_macro(spark, sf):
+    rolled = metrics.micro_macro(_mask_counts(spark, sf), "image_id", "crop_id")
+    return rolled.select("image_id", "crop_id", "level", "tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("macro_precision", "macro_iou", "micro_precision", "micro_iou")))
+
+
+@query(ctes(gt=GT, pred=PRED) + f""", {_P}, c AS (SELECT DISTINCT g.unit, g.line_id FROM gt g JOIN p ON p.unit = g.unit AND {_SQ} < 50)
+SELECT round(((SELECT count(*) FROM gt) - (SELECT count(*) FROM c)) / (SELECT count(*) FROM gt), 8) AS missed
+""")
+def a13_missed_share(spark, sf):
+    pred, gt = _tables(spark, sf)
+    found = M.pairs(pred, gt, lambda a, b: G.pair_cost("squared", a, b)).where(F.col("cost") < 50).select("unit", "g").distinct()
+    return metrics.missed_share(found, gt).select(F.round("missed", 8).alias("missed"))
+
+
+@query(ctes(gt=GT, pred=PRED) + """
+SELECT image_id, coalesce(a, 0) AS n_pred, coalesce(b, 0) AS n_gt, coalesce(a, 0) - coalesce(b, 0) AS delta, CASE WHEN coalesce(a, 0) < coalesce(b, 0) THEN 'less' WHEN coalesce(a, 0) > coalesce(b, 0) THEN 'greater' ELSE 'equal' END AS verdict
+FROM (SELECT image_id, count(DISTINCT category) AS a FROM pred GROUP BY image_id) FULL JOIN (SELECT image_id, count(DISTINCT category) AS b FROM gt GROUP BY image_id) USING (image_id)
+""")
+def a14_category_counts(spark, sf):
+    return metrics.category_counts(derived(spark, sf, PRED), derived(spark, sf, GT), "image_id")
+
+
+_S = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in G.COORDS)
+
+
+@query(ctes(gt=GT, pred=PRED) + f""", {_P}, a AS (SELECT unit, {_S} FROM p GROUP BY unit), b AS (SELECT unit, {_S} FROM gt GROUP BY unit)
+SELECT a.unit, """ + ", ".join("round((sqrt(" + "+".join(f"((a.m_{c}+({k})*a.s_{c})-(b.m_{c}+({k})*b.s_{c}))*((a.m_{c}+({k})*a.s_{c})-(b.m_{c}+({k})*b.s_{c}))" for c in ("x1", "y1")) + ") + sqrt(" + "+".join(f"((a.m_{c}+({k})*a.s_{c})-(b.m_{c}+({k})*b.s_{c}))*((a.m_{c}+({k})*a.s_{c})-(b.m_{c}+({k})*b.s_{c}))" for c in ("x2", "y2")) + f")) / 2, 5) AS {n}" for k, n in ((0, "mean"), (-1, "lower"), (1, "upper"))) + " FROM a JOIN b ON a.unit = b.unit")
+def a19_offset_errors(spark, sf):
+    return metrics.offset_errors(*_tables(spark, sf)).select("unit", *(F.round(c, 5).alias(c) for c in ("mean", "lower", "upper")))
+
+
+_J = "SELECT unit, x1 AS x, y1 AS y FROM ({gt}) UNION SELECT unit, x2, y2 FROM ({gt})"
+
+
+@query(ctes(gt=GT, pred=PRED) + ", j AS (" + _J.format(gt="SELECT * FROM gt") + """), e AS (SELECT DISTINCT unit, x1 AS px, y1 AS py FROM pred UNION SELECT unit, x2, y2 FROM pred),
+d AS (SELECT j.unit, x, y, min(sqrt((x-px)*(x-px)+(y-py)*(y-py))) AS d FROM j LEFT JOIN e ON j.unit = e.unit GROUP BY ALL)
+SELECT unit, round(avg(least(coalesce(d, 30), 30)), 6) AS mean, round(stddev_pop(least(coalesce(d, 30), 30)), 6) AS std FROM d GROUP BY unit
+""")
+def a20_junction_offsets(spark, sf):
+    found = metrics.junction_offsets(derived(spark, sf, PRED), derived(spark, sf, _J.format(gt=GT)))
+    return found.select("unit", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(ctes(gt=GT, pred=PRED) + f""", {_P},
+a AS (SELECT unit, avg(y1) AS c, stddev_pop(y1) AS s FROM p GROUP BY unit), b AS (SELECT unit, avg(y1) AS c, stddev_pop(y1) AS s FROM gt GROUP BY unit),
+am AS (SELECT p.unit, any_value(m) AS c, quantile_cont(abs(y1 - m), 0.5) AS s FROM p JOIN (SELECT unit, quantile_cont(y1, 0.5) AS m FROM p GROUP BY unit) q ON p.unit = q.unit GROUP BY p.unit),
+bm AS (SELECT g.unit, any_value(m) AS c, quantile_cont(abs(y1 - m), 0.5) AS s FROM gt g JOIN (SELECT unit, quantile_cont(y1, 0.5) AS m FROM gt GROUP BY unit) q ON g.unit = q.unit GROUP BY g.unit)
+SELECT a.unit, round((abs(a.c-b.c)+abs(a.s-b.s))/2, 5) AS gap, round((abs(am.c-bm.c)+abs(am.s-bm.s))/2, 5) AS robust_gap FROM a JOIN b ON a.unit=b.unit JOIN am ON a.unit=am.unit JOIN bm ON a.unit=bm.unit
+""")
+def a21_distribution_gap(spark, sf):
+    pred, gt = _tables(spark, sf)
+    robust = metrics.distribution_gap(pred, gt, "y1", robust=True).withColumnRenamed("gap", "robust_gap")
+    return metrics.distribution_gap(pred, gt, "y1").join(robust, "unit").select("unit", F.round("gap", 5).alias("gap"), F.round("robust_gap", 5).alias("robust_gap"))
+
+
+def _points(df):
+    return df.select("unit", F.col("line_id").alias("id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+
+
+@query()
+def a22_a23_transport(spark, sf):
+    pred, gt = _tables(spark, sf)
+    found = metrics.transport_distances(_points(pred), _points(gt), 30)
+    return found.select("unit", *(F.round(c, 6).alias(c) for c in ("w1_x", "w1_y", "sliced", "emd")))
+
+
+@query(ctes(gt=GT, pred=PRED) + f""", {_P}, d AS (SELECT p.unit, p.line_id AS i, g.line_id AS j, sqrt((p.x1-g.x1)*(p.x1-g.x1)+(p.y1-g.y1)*(p.y1-g.y1)) AS d FROM p JOIN gt g ON p.unit = g.unit)
+SELECT a.unit, round(a.d + b.d, 6) AS chamfer FROM (SELECT unit, avg(d) AS d FROM (SELECT unit, i, min(d) AS d FROM d GROUP BY unit, i) GROUP BY unit) a JOIN (SELECT unit, avg(d) AS d FROM (SELECT unit, j, min(d) AS d FROM d GROUP BY unit, j) GROUP BY unit) b ON a.unit = b.unit
+""")
+def a24_chamfer(spark, sf):
+    pred, gt = _tables(spark, sf)
+    return metrics.chamfer(_points(pred), _points(gt)).select("unit", F.round("chamfer", 6).alias("chamfer"))
+
+
+@query()
+def a25_line_alignment(spark, sf):
+    return metrics.line_alignment(derived(spark, sf, GT), derived(spark, sf, MASK), 7.0).select("unit", F.round("alignment", 6).alias("alignment"))
