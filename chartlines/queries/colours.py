@@ -1 +1,101 @@
-"""Queries to come."""
+"""Queries on colours, hue clusters and votes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chartlines.functions import colour as C
+from chartlines.operators import clusters as K
+from chartlines.plans.canonical import PIXELS, ctes, derived
+from chartlines.queries import query
+
+KEYS = ["image_id", "crop_id"]
+_H = "h AS (SELECT image_id, crop_id, h AS bin, count(*) AS n FROM px GROUP BY ALL)"
+
+
+@query(ctes(px=PIXELS) + "SELECT image_id, crop_id, CAST(floor(h * 72 / 180) AS INT) AS bin, sum(s) AS n FROM px GROUP BY ALL")
+def a15_hue_histogram(spark, sf):
+    return K.hue_histogram(derived(spark, sf, PIXELS), KEYS, 72, "s")
+
+
+_RANGES = _H + """, a AS (SELECT *, sum(n) OVER (PARTITION BY image_id, crop_id ORDER BY bin RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS r FROM h),
+f AS (SELECT image_id, crop_id, bin, CASE WHEN bin - lag(bin) OVER (PARTITION BY image_id, crop_id ORDER BY bin) > 2 THEN 1 ELSE 0 END AS f FROM a WHERE r >= 120),
+c AS (SELECT image_id, crop_id, bin AS core, sum(f) OVER (PARTITION BY image_id, crop_id ORDER BY bin) AS cluster FROM f),
+o AS (SELECT h.image_id, h.crop_id, bin, n, arg_min(cluster, (abs(bin - core), core)) AS cluster FROM h JOIN c ON h.image_id = c.image_id AND h.crop_id = c.crop_id AND abs(bin - core) <= 2 GROUP BY ALL),
+ranges AS (SELECT image_id, crop_id, cluster, min(bin) AS lo, max(bin) AS hi, round(sum(bin * n) / sum(n), 6) AS centre, sum(n) AS n FROM o GROUP BY ALL)
+"""
+
+
+def _ranges(spark, sf):
+    return K.hue_ranges(K.hue_histogram(derived(spark, sf, PIXELS), KEYS), KEYS, 2, 120)
+
+
+@query(ctes(px=PIXELS) + ", " + _RANGES + "SELECT * FROM ranges")
+def c1_hue_ranges(spark, sf):
+    return _ranges(spark, sf).withColumn("centre", F.round("centre", 6))
+
+
+@query(ctes(px=PIXELS) + ", " + _RANGES + "SELECT * FROM (SELECT image_id, crop_id, count(*) AS clusters FROM ranges GROUP BY image_id, crop_id) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY clusters DESC, crop_id) = 1")
+def a17_best_crop(spark, sf):
+    return K.best_crop(_ranges(spark, sf))
+
+
+@query(ctes(px=PIXELS) + ", " + _RANGES + "SELECT image_id, crop_id, cluster, row_number() OVER (PARTITION BY image_id, crop_id ORDER BY centre) AS category_no FROM ranges")
+def w14_numbered_by_hue(spark, sf):
+    return K.numbered_by_hue(_ranges(spark, sf)).select(*KEYS, "cluster", "category_no")
+
+
+@query(ctes(px=PIXELS) + ", " + _RANGES + "SELECT image_id, crop_id, cluster, count(*) AS pixels FROM (SELECT p.image_id, p.crop_id, p.y, p.x, p.h, min(cluster) AS cluster FROM (SELECT DISTINCT image_id, crop_id, y, x, h FROM px WHERE s >= 50 AND v >= 50) p JOIN ranges r ON p.image_id = r.image_id AND p.crop_id = r.crop_id AND p.h BETWEEN lo - 1 AND hi + 1 GROUP BY ALL) GROUP BY ALL")
+def c8_assign_ranges(spark, sf):
+    pixels = C.foreground(derived(spark, sf, PIXELS), "sv").select(*KEYS, "y", "x", "h").distinct()
+    return K.assign_ranges(pixels, _ranges(spark, sf), KEYS, 1).groupBy(*KEYS, "cluster").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query()
+def w6_hue_peaks(spark, sf):
+    return K.hue_peaks(K.hue_histogram(derived(spark, sf, PIXELS), KEYS), KEYS, 0.3, 10)
+
+
+@query(ctes(px=PIXELS) + """, h AS (SELECT image_id, v AS bin, count(*) AS n FROM px GROUP BY ALL), w AS (SELECT *, sum(n) OVER u AS w0, sum(bin * n) OVER u AS s0, sum(n) OVER (PARTITION BY image_id) AS w, sum(bin * n) OVER (PARTITION BY image_id) AS s FROM h WINDOW u AS (PARTITION BY image_id ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT image_id, bin, round(CASE WHEN w = w0 THEN 0 ELSE CAST(w0 AS DOUBLE) * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) END, 3) AS v FROM w) SELECT image_id, arg_min(bin, (-v, bin)) AS threshold FROM v GROUP BY image_id""")
+def c9_otsu(spark, sf):
+    hist = derived(spark, sf, PIXELS).groupBy("image_id", F.col("v").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return K.otsu(hist, ["image_id"])
+
+
+@query(ctes(px=PIXELS) + "SELECT image_id, theta, rho, votes FROM (SELECT image_id, theta, CAST(round_even(x * cos(radians(theta)) + y * sin(radians(theta)), 0) AS INT) AS rho, count(*) AS votes FROM (SELECT * FROM px WHERE v > 200) CROSS JOIN (SELECT unnest(range(0, 180, 3)) AS theta) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, theta, rho) <= 5")
+def c11_hough_votes(spark, sf):
+    return K.hough_votes(C.foreground(derived(spark, sf, PIXELS), "v", 200), ["image_id"])
+
+
+@query(ctes(px=PIXELS) + "SELECT * FROM (SELECT image_id, r, g, b, count(*) AS n FROM px GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) = 1")
+def a16_background(spark, sf):
+    return K.background(derived(spark, sf, PIXELS), ["image_id"])
+
+
+@query(ctes(px=PIXELS) + "SELECT image_id, bool_or(s > 0.117) AS black FROM (SELECT image_id, crop_id, avg(CASE WHEN v < 30 THEN 1 ELSE 0 END) AS s FROM px GROUP BY ALL) GROUP BY image_id")
+def a18_has_black(spark, sf):
+    return K.has_black(derived(spark, sf, PIXELS), 0.117)
+
+
+@query(ctes(px=PIXELS) + """, m AS (SELECT *, (r + g + b) / 3.0::DOUBLE AS m FROM px), k AS (SELECT *, m < 120 AND sqrt(((r-m)*(r-m)+(g-m)*(g-m)+(b-m)*(b-m))/3) < 60 AS k FROM m)
+SELECT image_id, sum(CASE WHEN k THEN 255 ELSE r END) AS r, sum(CASE WHEN k THEN 255 ELSE g END) AS g, sum(CASE WHEN k THEN 255 ELSE b END) AS b, count(*) FILTER (WHERE CASE WHEN k THEN 765 ELSE r + g + b END < 750) AS foreground FROM k GROUP BY image_id""")
+def p25_p26_background_and_foreground(spark, sf):
+    white = C.whiten_background(derived(spark, sf, PIXELS), 120, 60)
+    fore = C.foreground(white).groupBy("image_id").agg(F.count(F.lit(1)).alias("foreground"))
+    return white.groupBy("image_id").agg(*(F.sum(c).alias(c) for c in "rgb")).join(fore, "image_id")
+
+
+@query(ctes(px=PIXELS) + """, d AS (SELECT image_id, crop_id, min(h) AS a, max(h) AS b, min((h + 90) % 180) AS c, max((h + 90) % 180) AS d FROM px WHERE h NOT BETWEEN 40 AND 150 GROUP BY ALL)
+SELECT image_id, crop_id, CASE WHEN d - c < b - a THEN (c + 90) % 180 ELSE a END AS lo, CASE WHEN d - c < b - a THEN (d + 90) % 180 ELSE b END AS hi, d - c < b - a AS wraps FROM d""")
+def p24_hue_range(spark, sf):
+    return C.hue_range(derived(spark, sf, PIXELS).where(~F.col("h").between(40, 150)), *KEYS)
+
+
+@query(ctes(px=PIXELS) + """, q AS (SELECT DISTINCT r, g, b, greatest(r, g, b) / 255.0::DOUBLE AS v, (greatest(r, g, b) - least(r, g, b)) / 255.0::DOUBLE AS d FROM px)
+SELECT r, g, b, round(v, 4) AS v, round(CASE WHEN v = 0 THEN 0 ELSE d / v END + 0.0000001, 4) AS s, greatest(r, g, b) - least(r, g, b) < 15 OR least(r, g, b) > 240 AS grey FROM q""")
+def p21_colours(spark, sf):
+    r, g, b = (F.col(c) for c in "rgb")
+    rows = derived(spark, sf, PIXELS).select("r", "g", "b").distinct()
+    hsv = C.rgb_to_hsv(r, g, b)
+    return rows.select("r", "g", "b", F.round(hsv["v"], 4).alias("v"), F.round(hsv["s"] + 0.0000001, 4).alias("s"), C.is_grey_or_white(r, g, b).alias("grey"))
