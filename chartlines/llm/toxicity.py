@@ -26,6 +26,8 @@ BUCKET_BITS = 22
 #: Buckets that the machine has weights for, factors of each, and labelled rows it is fitted on at most.
 TERMS, FACTORS, SAMPLE_ROWS = 3_000, 4, 12_000
 STEPS = 120
+#: Terms whose frequencies differ by fewer deviations than this between the labels are left out.
+LEAST_DEVIATION = 3.0
 PREFIXES = (4, 5)
 
 
@@ -113,7 +115,7 @@ def train(documents: DataFrame, labels: DataFrame, learn_from=learn_row, terms:
 
     Document frequencies of terms come from all such rows; the `terms` buckets of the
     largest difference in frequency between the labels are kept, weighed by its
-    deviation. sample_rows rows at most, drawn by hash, are brought to the driver
+    deviation, of which LEAST_DEVIATION at least. sample_rows rows at most, drawn by hash, are brought to the driver
     with these terms alone. Null labels and null texts teach nothing; without
     labelled rows the machine gives 0.5 to every text.
     """
@@ -125,7 +127,7 @@ def train(documents: DataFrame, labels: DataFrame, learn_from=learn_row, terms:
     counts = found.select("label", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("label").alias("c1"), F.count(F.lit(1)).alias("c"))
     gap = F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0
     spread = F.sqrt((F.col("c") + 2) / F.lit(n_rows + 4) * (1.0 / n1 + 1.0 / n0))
-    best = counts.where(F.col("c") >= 4).orderBy(F.abs(gap / spread).desc(), "term").limit(terms)
+    best = counts.where((F.col("c") >= 4) & (F.abs(gap / spread) > LEAST_DEVIATION)).orderBy(F.abs(gap / spread).desc(), "term").limit(terms)
     buckets = np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64))  # `terms` numbers at most
     if not n_rows or not len(buckets):
         return FactorizationMachine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), 0.0)
