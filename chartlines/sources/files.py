@@ -25,10 +25,11 @@ def read_plot_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """filename, crop, category, line_id, x1 .. y2 of plot metadata; the older shape without categories gives null ones."""
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.try_parse_json("value").alias("j"))
     get = lambda path, kind: F.try_variant_get("j", path, kind)
-    new = F.transform(F.map_entries(get("$.lines", f"map<string,map<string,{SEGMENT}>>")), lambda e: F.struct(e["key"].alias("crop"), F.map_entries(e["value"]).alias("cats")))
-    old = F.transform(F.map_entries(get("$.lines", f"map<string,{SEGMENT}>")), lambda e: F.struct(e["key"].alias("crop"), F.array(F.struct(F.lit(None).cast("string").alias("key"), e["value"].alias("value"))).alias("cats")))
-    crops = rows.select(get("$.filename", "string").alias("filename"), F.explode(F.coalesce(new, old)).alias("c"))
-    cats = crops.select("filename", "c.crop", F.explode("c.cats").alias("k"))
+    crops = rows.select(get("$.filename", "string").alias("filename"), F.explode(get("$.lines", "map<string,variant>")).alias("crop", "v"))
+    of = lambda kind: F.try_variant_get("v", "$", kind)
+    old = F.when(of(SEGMENT).isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("key"), of(SEGMENT).alias("value"))))
+    crops = crops.select("filename", "crop", F.coalesce(old, F.map_entries(of(f"map<string,{SEGMENT}>"))).alias("cats"))
+    cats = crops.select("filename", "crop", F.explode("cats").alias("k"))
     return _flat(cats.select("filename", "crop", F.col("k.key").alias("category"), F.posexplode("k.value").alias("line_id", "l")))
 
 
