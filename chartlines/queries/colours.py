@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chartlines.functions import colour as C
 from chartlines.operators import clusters as K
+from chartlines.operators import palettes as P
 from chartlines.plans.canonical import PIXELS, ctes, derived
 from chartlines.queries import query
 
@@ -99,3 +100,27 @@ def p21_colours(spark, sf):
     rows = derived(spark, sf, PIXELS).select("r", "g", "b").distinct()
     hsv = C.rgb_to_hsv(r, g, b)
     return rows.select("r", "g", "b", F.round(hsv["v"], 4).alias("v"), F.round(hsv["s"] + 0.0000001, 4).alias("s"), C.is_grey_or_white(r, g, b).alias("grey"))
+
+
+@query()
+def w7_w9_prominent_hues(spark, sf):
+    hist = K.hue_histogram(derived(spark, sf, PIXELS), ["image_id"], 72, "s")
+    return P.distinct_hues(P.prominent_hues(hist, ["image_id"]), ["image_id"])
+
+
+@query()
+def c3_hue_mixture(spark, sf):
+    return P.hue_mixture(K.hue_histogram(derived(spark, sf, PIXELS), KEYS), KEYS)
+
+
+@query()
+def c4_c5_colour_centres(spark, sf):
+    colours = derived(spark, sf, PIXELS).groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+    centres = P.colour_centres(colours, ["image_id"], 4)
+    return P.assign_centres(colours, centres, ["image_id"]).groupBy("image_id", "centre_no").agg(F.sum("n").alias("pixels"))
+
+
+@query()
+def c10_vertical_axes(spark, sf):
+    dark = derived(spark, sf, PIXELS).where("v < 60")
+    return P.vertical_axes(dark, 0.4, 20, 256)

@@ -208,3 +208,22 @@ def test_dense_histogram_has_every_bin(spark, bins):
     pixels = spark.createDataFrame([(1, 0), (1, 179)], "image_id long, h int")
     rows = clusters.hue_histogram(pixels, ["image_id"], bins, dense=True).collect()
     assert len(rows) == bins and sum(r["n"] for r in rows) == 2
+
+
+def test_hues_mixtures_and_centres(spark):
+    from chartlines.operators import palettes
+
+    rng = np.random.default_rng(6)
+    hues = np.concatenate([rng.normal(30, 2, 500), rng.normal(120, 3, 300)]).astype(int)
+    hist = clusters.hue_histogram(spark.createDataFrame([(1, int(h)) for h in hues], "image_id long, h int"), ["image_id"])
+    mixed = sorted((r["centre"], r["share"]) for r in palettes.hue_mixture(hist, ["image_id"]).collect())
+    assert len(mixed) >= 2 and abs(mixed[0][0] - 29.5) < 2 and abs(mixed[-1][0] - 119.5) < 3
+    wide = clusters.hue_histogram(spark.createDataFrame([(1, int(h)) for h in hues], "image_id long, h int"), ["image_id"], 72)
+    named = palettes.distinct_hues(palettes.prominent_hues(wide, ["image_id"]), ["image_id"]).collect()
+    assert [r["category"] for r in named] == [f"cat{i + 1}" for i in range(len(named))] and len(named) >= 2
+    colours = spark.createDataFrame([(1, 10 + i % 3, 10, 10, 5) for i in range(3)] + [(1, 200, 200, 200 + i, 2) for i in range(4)], "image_id long, r int, g int, b int, n long")
+    centres = palettes.colour_centres(colours, ["image_id"], 2)
+    assert sorted(r["n"] for r in centres.collect()) == [8.0, 15.0]
+    assert palettes.assign_centres(colours, centres, ["image_id"]).groupBy("centre_no").count().count() == 2
+    axes = spark.createDataFrame([(1, y, x) for x in (0, 50, 100) for y in range(40)] + [(1, 3, x) for x in range(100)], "image_id long, y int, x int")
+    assert [r["x"] for r in palettes.vertical_axes(axes, 0.5, 20).orderBy("x").collect()] == [0, 50, 100]
