@@ -63,5 +63,5 @@ def row_key(*columns: Column) -> Column:
 
 
 def learn_row(doc_id: Column) -> Column:
-    """True for documents whose labels may be learnt from; false for those held out."""
-    return F.crc32(doc_id.cast("string")) % 5 != 0
+    """True for documents whose labels may be learnt from; false for those held out, a null doc_id among them."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
