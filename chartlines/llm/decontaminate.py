@@ -1,8 +1,10 @@
 """Benchmark decontamination: item-sized windows, SimHash fingerprints in a multi-index, exact weighted similarity.
 
-A window is as long as a benchmark item and starts where one of its shingles
-lines up with the same shingle of the item; a window that lines up nowhere shares
-no shingle in place and is never similar enough. Fingerprints of windows meet
+A window is as long as a benchmark item and may start anywhere; it is cut off at
+the ends of the document. Of all starts, those are fingerprinted whose window holds
+matched shingles of enough weight: what is shared weighs no more than the matched
+shingles of the window, and must weigh the least similarity times the item.
+Fingerprints of windows meet
 those of their items in a multi-index: 64 bits in BLOCKS blocks, of which one at
 least differs in no more than radius // BLOCKS bits if all differ in no more than
 radius. What lies within the radius is verified on the shingles themselves, each
@@ -14,7 +16,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartlines.llm.common import keep, let, lower_ascii, row_key, words
@@ -68,16 +70,40 @@ def _weight(shingled: Column) -> Column:
     return F.aggregate(shingled, F.lit(0).cast("long"), lambda a, s: a + F.length(s))
 
 
-def _windows(documents: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """doc_id, key, item, start, ws: windows that line up with an item of shingle size k in one shingle at least."""
-    place = items.select("item", "n_words", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("hs") - k), lambda i: _shingle_hash(F.col("hs"), i, k))).alias("q", "sh"))
+def _windows(documents: DataFrame, items: DataFrame, k: int, min_similarity: int) -> DataFrame:
+    """key, item, n_words, k, starts: for items of shingle size k, runs (first, last) of starts whose window can be similar enough; starts may lie before the text."""
+    each = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("hs") - k), lambda i: F.struct(_shingle_hash(F.col("hs"), i, k).alias("sh"), F.length(F.array_join(F.slice("ws", i + 1, k), " ")).alias("w"))))
+    place = items.select("item", "n_words", "weight", each.alias("q", "s")).select("item", "n_words", "weight", "s.sh", "s.w").distinct()
     hashed = documents.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
     # outer: for an inner explode the optimizer adds a filter on the array's size, which works all of it out twice
     sh = F.when(F.size("hs") >= k, F.transform(F.sequence(F.lit(0), F.size("hs") - k), lambda i: _shingle_hash(F.col("hs"), i, k)))
-    at = hashed.select("doc_id", "key", "ws", sh.alias("shs")).select("doc_id", "key", "ws", F.posexplode_outer("shs").alias("p", "sh"))
+    at = hashed.select("key", sh.alias("shs")).select("key", F.posexplode_outer("shs").alias("p", "sh"))
     met = at.join(F.broadcast(place), "sh")
-    start, stop = F.greatest(F.col("p") - F.col("q"), F.lit(0)), F.least(F.col("p") - F.col("q") + F.col("n_words"), F.size("ws"))
-    return met.select("doc_id", "key", "item", F.lit(k).alias("k"), start.alias("start"), F.slice("ws", start + 1, stop - start).alias("ws")).dropDuplicates(["key", "item", "start", "ws"])
+    # the shingle at p lies in windows that start from p - (n_words - k) to p: its weight comes in at the one and leaves after the other
+    turns = F.array(F.struct((F.col("p") - F.col("n_words") + k).alias("t"), F.col("w").cast("long").alias("w")), F.struct((F.col("p") + 1).alias("t"), (-F.col("w")).cast("long").alias("w")))
+    of = ["key", "item", "n_words", "weight"]
+    step = met.select(*of, F.explode(turns).alias("turn")).groupBy(*of, F.col("turn.t").alias("t")).agg(F.sum("turn.w").alias("w"))
+    along = Window.partitionBy("key", "item").orderBy("t")
+    held = step.withColumn("held", F.sum("w").over(along)).withColumn("next", F.lead("t").over(along))
+    enough = held.where(F.col("next").isNotNull() & (100 * F.col("held") >= min_similarity * F.col("weight")))
+    return enough.groupBy("key", "item", "n_words").agg(F.collect_list(F.struct(F.col("t").alias("first"), (F.col("next") - 1).alias("last"))).alias("starts")).withColumn("k", F.lit(k))
+
+
+def _cut(documents: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, key, item, t, ws, sh: the windows of runs, their words and distinct shingles; t is where the window would start, before the text if negative."""
+    # dealt by key at every size: the runs grow with the documents and fit no broadcast for good
+    held = documents.join(runs.hint("shuffle_hash"), "key").select("doc_id", "key", words(lower_ascii(F.col("text"))).alias("ws"), "item", "n_words", "k", F.explode("starts").alias("run"))
+    at = held.select("*", F.explode(F.sequence("run.first", "run.last")).alias("t"))
+    start, stop = F.greatest(F.col("t"), F.lit(0)), F.least(F.col("t") + F.col("n_words"), F.size("ws"))
+    cut = at.select("doc_id", "key", "item", "k", "t", F.slice("ws", start + 1, stop - start).alias("ws")).dropDuplicates(["key", "item", "t"])
+    return cut.withColumn("sh", shingles(F.col("ws"), F.col("k"))).drop("k")
+
+
+def _lines_up() -> Column:
+    """Whether a window holds a shingle of its item at the item's own place."""
+    off, k = F.greatest(-F.col("t"), F.lit(0)), F.col("item_k")
+    at = F.sequence(off, F.least(F.size("item_ws"), F.size("ws") + off) - k)
+    return F.exists(at, lambda q: F.slice("ws", q - off + 1, k) == F.slice("item_ws", q + 1, k))
 
 
 def _shingle_hash(hs: Column, i: Column, k: int) -> Column:
@@ -89,28 +115,32 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORD
 
     similarity is the weight of shared shingles over that of all shingles of window
     and item, at least min_similarity per cent; start is the window's first word
-    (smallest of the best). key tells documents with one doc_id apart. Null, empty
+    (smallest of the best). Windows that hold a shingle at its place in the item go
+    before others, which are told only where none of those is similar enough. key tells documents with one doc_id apart. Null, empty
     and blank texts hold nothing; items without words are in nothing; rows equal in
     doc_id and text are one document. Empty tables give no rows.
     """
     items = keep(index_items(benchmark, k).withColumn("item", row_key(F.col("item_id"), F.array_join("ws", " "))), "items")
     n, sizes = items.agg(F.sum(F.col("n_words") - F.col("k") + 1), F.collect_set("k")).first()  # sizes: k values at most
     passes = max(1, -(-(n or 0) // broadcast_shingles))
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), words(lower_ascii(F.col("text"))).alias("ws"))
+    keyed = documents.where(F.col("text").isNotNull()).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    texts = keyed.select("key", words(lower_ascii(F.col("text"))).alias("ws"))
     hashed = items.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
     parts = [
-        _windows(texts, hashed.where((F.col("k") == size) & (F.pmod(F.xxhash64("item"), F.lit(passes)) == turn)), size)
+        _windows(texts, hashed.where((F.col("k") == size) & (F.pmod(F.xxhash64("item"), F.lit(passes)) == turn)), size, min_similarity)
         for size in sorted(sizes or [k], reverse=True)
         for turn in range(passes)
     ]
-    item = items.select("item", "item_id", F.col("k").alias("item_k"), F.col("sh").alias("item_sh"), F.col("weight").alias("item_weight"), F.col("fp").alias("item_fp"))
-    prints = keep(reduce(DataFrame.unionByName, parts).withColumn("sh", shingles(F.col("ws"), F.col("k"))).drop("ws", "k").withColumn("fp", simhash(F.col("sh"))), "windows")
+    item = items.select("item", "item_id", F.col("k").alias("item_k"), F.col("ws").alias("item_ws"), F.col("sh").alias("item_sh"), F.col("weight").alias("item_weight"), F.col("fp").alias("item_fp"))
+    runs = keep(reduce(DataFrame.unionByName, parts), "runs")
+    prints = keep(_cut(keyed, runs).withColumn("fp", simhash(F.col("sh"))), "windows")
     near = _multi_index(prints, item, radius, blocks)
     shared = _weight(F.array_intersect("sh", "item_sh"))
     both = _weight(F.col("sh")) + F.col("item_weight") - F.col("shared")
-    checked = near.join(item.select("item", "item_sh", "item_weight", "item_id"), "item").withColumn("shared", shared).withColumn("all", both)
+    checked = near.join(item.select("item", "item_ws", "item_k", "item_sh", "item_weight", "item_id"), "item").withColumn("shared", shared).withColumn("all", both)
     good = checked.where(100 * F.col("shared") >= min_similarity * F.col("all")).withColumn("similarity", F.col("shared") / F.col("all"))
-    best = good.groupBy("doc_id", "key", "item", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "distance")).alias("b"))
+    placed = good.select("doc_id", "key", "item", "item_id", F.struct((~_lines_up()).alias("apart"), (-F.col("similarity")).alias("s"), F.greatest("t", F.lit(0)).alias("start"), "distance").alias("b"))
+    best = placed.groupBy("doc_id", "key", "item", "item_id").agg(F.min("b").alias("b"))
     return best.select("doc_id", "key", "item_id", "b.start", (-F.col("b.s")).alias("similarity"), "b.distance")
 
 
@@ -121,10 +151,11 @@ def _multi_index(prints: DataFrame, items: DataFrame, radius: int, blocks: int)
     flipped = lambda v, width: F.array(*[v.bitwiseXOR(F.lit(m).cast("long")) for m in _masks(width, errors)])
     around = [flipped(v, w) for v, (_, w) in zip(values(F.col("item_fp")), cut, strict=True)]
     probes = items.select("item", "item_fp", F.posexplode(F.array(*around)).alias("block", "vs")).select("item", "item_fp", "block", F.explode("vs").alias("v"))
-    own = prints.select("*", F.posexplode(F.array(*values(F.col("fp")))).alias("block", "v"))
+    window = ["key", "item", "t"]
+    own = prints.select(*window, "fp", F.posexplode(F.array(*values(F.col("fp")))).alias("block", "v"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     met = own.join(probes, ["item", "block", "v"]).withColumn("distance", distance).where(F.col("distance") <= radius)
-    return met.drop("block", "v", "item_fp").dropDuplicates(["key", "item", "start", "sh"])
+    return prints.join(met.select(*window, "distance").distinct(), window)
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

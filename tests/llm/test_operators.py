@@ -336,6 +336,48 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def slid_leaks(rows, items, k=5):
+    """Best window of each document and item, of those from every start; windows that line up with the item first."""
+
+    def cut(w, n):
+        return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    out = {}
+    for item, text in items:
+        iw = words(low(text))
+        n = min(k, len(iw))
+        ish = cut(iw, n)
+        for doc, body in rows:
+            dw = words(low(body))
+            for s in range(n - len(iw), len(dw)) if iw else []:
+                win = cut(dw[max(s, 0) : min(s + len(iw), len(dw))], n)
+                both = sum(map(len, win & ish))
+                whole = sum(map(len, win)) + sum(map(len, ish)) - both
+                if both and 100 * both >= 80 * whole:
+                    apart = not any(s + q >= 0 and dw[s + q : s + q + n] == iw[q : q + n] for q in range(len(iw) - n + 1))
+                    out[doc, item] = min(out.get((doc, item), (True, 0, 0)), (apart, -both / whole, max(s, 0)))
+    return out
+
+
+def test_leaks_from_every_start(spark):
+    rng, vocab = random.Random(80), vocabulary(80)
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([30, 40, 60])))) for i in range(12)] + [(20, "three words only"), (21, "a b a b a b a b a b a b")]
+    rows = []
+    for i in range(72):
+        before, after = ([rng.choice(vocab) for _ in range(rng.choice([0, 3, 30]))] for _ in range(2))
+        leak = words(items[i % 12][1])
+        at = len(leak) // (2 + i % 2)
+        leak = leak[at:] + leak[:at] if i < 48 else leak[:at] + ["put", "in"] + leak[at:]
+        rows.append((i, " ".join(before + leak + after)))
+    rows += [(100, "a b " * 40), (101, "Three words only"), (102, None), (103, " ".join(rng.choice(vocab) for _ in range(90)))]
+    df = docs(spark, [(a, b, None, None, None) for a, b in rows] + [(0, rows[0][1], None, None, None)])
+    found = decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = slid_leaks(rows, items)
+    assert len(set(want) - brute_leaks(rows, items)) > 10
+    assert {(r["doc_id"], r["item_id"]): (round(-r["similarity"], 9), r["start"]) for r in found} == {k: (round(s, 9), t) for k, (_, s, t) in want.items()}
+    assert len(found) == len(want)
+
+
 # --- op 9
 
 
