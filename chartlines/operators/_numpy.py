@@ -167,16 +167,51 @@ def sliced_distance(a: np.ndarray, b: np.ndarray, directions: int = 128, seed: i
     return float(np.abs(shadows(a) - shadows(b)).mean())
 
 
-def earth_movers(a: np.ndarray, b: np.ndarray, most: int = 600) -> float:
-    """Exact 2-D earth mover's distance of uniform point sets, by assignment of copies; NaN beyond `most` copies or if one is empty."""
+def least_transport(cost: np.ndarray) -> float:
+    """Least cost of moving as many units from each row as there are columns, so that each column takes as many as there are rows; by shortest augmenting paths."""
+    n, m = cost.shape
+    flow, left, room = np.zeros((n, m), np.int64), np.full(n, m), np.full(m, n)
+    u, v = np.zeros(n), np.zeros(m)  # cost - u - v is never negative, and zero where units move
+    for i in range(n):
+        while left[i]:
+            dist, source, done = cost[i] - u[i] - v, np.full(m, i), np.zeros(m, bool)
+            reached, via = np.full(n, np.inf), np.full(n, -1)
+            reached[i] = 0
+            while True:
+                j = int(np.argmin(np.where(done, np.inf, dist)))
+                done[j] = True
+                if room[j]:
+                    break
+                for s in np.flatnonzero((flow[:, j] > 0) & np.isinf(reached)):
+                    reached[s], via[s] = dist[j], j
+                    through = dist[j] + cost[s] - u[s] - v
+                    better = ~done & (through < dist)
+                    dist[better], source[better] = through[better], s
+            steps, at = [], j
+            while source[at] != i:
+                steps.append((source[at], at, via[source[at]]))
+                at = via[source[at]]
+            moved = min(left[i], room[j], *(flow[s, back] for s, _, back in steps))
+            flow[i, at] += moved
+            for s, to, back in steps:
+                flow[s, to] += moved
+                flow[s, back] -= moved
+            left[i] -= moved
+            room[j] -= moved
+            seen, end = np.isfinite(reached), dist[j]
+            u[seen] += end - reached[seen]
+            v[done] -= end - dist[done]
+    return float((flow * cost).sum())
+
+
+def earth_movers(a: np.ndarray, b: np.ndarray) -> float:
+    """Exact 2-D earth mover's distance of uniform point sets; NaN if one is empty."""
     if not len(a) or not len(b):
         return float("nan")
-    n = np.lcm(len(a), len(b))
-    if n > most:
-        return float("nan")
-    x, y = np.repeat(a, n // len(a), 0), np.repeat(b, n // len(b), 0)
-    cost = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
-    return float(sum(cost[i, j] for i, j in optimal_pairs(cost)) / n)
+    cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    if len(a) == len(b):
+        return float(sum(cost[i, j] for i, j in optimal_pairs(cost)) / len(a))
+    return least_transport(cost) / cost.size
 
 
 def raster(line: np.ndarray) -> np.ndarray:

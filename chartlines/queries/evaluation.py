@@ -258,7 +258,7 @@ def _points(df):
 @query()
 def a22_a23_transport(spark, sf):
     pred, gt = _tables(spark, sf)
-    found = metrics.transport_distances(_points(pred), _points(gt), 30)
+    found = metrics.transport_distances(_points(pred), _points(gt))
     return found.select("unit", *(F.round(c, 6).alias(c) for c in ("w1_x", "w1_y", "sliced", "emd")))
 
 

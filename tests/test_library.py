@@ -13,7 +13,7 @@ from chartlines.functions import geometry as G
 from chartlines.functions import keys as K
 from chartlines.functions import text as T
 from chartlines.operators import _numpy as N
-from chartlines.operators import clusters, filters, joins, matching, precision, reshaping
+from chartlines.operators import clusters, filters, joins, matching, metrics, precision, reshaping
 from chartlines.sources import files
 
 SEG = "unit long, line_id long, x1 double, y1 double, x2 double, y2 double, score double"
@@ -227,3 +227,15 @@ def test_hues_mixtures_and_centres(spark):
     assert palettes.assign_centres(colours, centres, ["image_id"]).groupBy("centre_no").count().count() == 2
     axes = spark.createDataFrame([(1, y, x) for x in (0, 50, 100) for y in range(40)] + [(1, 3, x) for x in range(100)], "image_id long, y int, x int")
     assert [r["x"] for r in palettes.vertical_axes(axes, 0.5, 20).orderBy("x").collect()] == [0, 50, 100]
+
+
+def test_earth_movers_of_unequal_sets(spark):
+    rng = np.random.default_rng(22)
+    for n, m in [(1, 4), (5, 7), (6, 4), (9, 8), (25, 26)]:
+        a, b = rng.integers(0, 9, (n, 2)).astype(float), rng.uniform(0, 9, (m, 2))
+        x, y = np.repeat(a, m, 0), np.repeat(b, n, 0)
+        cost = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+        assert abs(N.earth_movers(a, b) - sum(cost[i, j] for i, j in N.optimal_pairs(cost)) / (n * m)) < 1e-9
+    points = lambda n: spark.createDataFrame([(1, i, float(i), 0.0) for i in range(n)], "unit long, id long, x double, y double")
+    found = metrics.transport_distances(points(25), points(26)).first()
+    assert abs(found["emd"] - 0.5) < 1e-9
