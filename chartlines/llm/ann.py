@@ -6,12 +6,14 @@ each coded by one of 16 codewords. Codes and codewords minimise an error in whic
 the part parallel to the vector costs more than the part across, as it is the
 parallel part that moves large inner products. Queries meet codes in blocks: a
 table of inner products for each query and codeword is added up over the codes.
-The best of all blocks are measured exactly on the original vectors.
+The best of a block are measured exactly on the original vectors, and the k-th of
+them sets a bound: every other row whose score, raised by the most that its code can
+be wrong, |query - centre| times the length of what the code leaves, reaches the
+bound is measured as well. So the k nearest are the true ones, however dense a group.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,7 @@ SAMPLE_ROWS = 8_192
 CODEWORDS, PAIR, SWEEPS, ROUNDS = 16, 2, 2, 6
 #: Inner products of at least this share of the norms matter: the weight of parallel error follows from it.
 SCORE_SHARE = 0.2
-#: Rows and queries of a block; candidates kept for exact measuring, of a block and of all.
+#: Rows and queries of a block; rows of a block that are measured first, for the bound.
 BLOCK_ROWS, BLOCK_QUERIES, RERANK = 8_192, 512, 300
 
 
@@ -130,8 +132,16 @@ def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:most]]
 
 
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances summed component by component, as Spark sums them, so that ties are the same."""
+    total = np.zeros(len(x))
+    for j in range(len(q)):
+        total += (x[:, j] - q[j]) * (x[:, j] - q[j])
+    return np.sqrt(total)
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE_ROWS, rerank: int = RERANK, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found to each query among all other rows, by Euclidean distance.
+    """query_id, rank, vec_id, score: the k nearest to each query among all other rows, by Euclidean distance.
 
     is_query is a condition on vec_id. Vectors are embedding arrays; which take part
     is told at usable(). A row is no neighbour of a query with its own vec_id; rows
@@ -147,21 +157,20 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE
     book = fit(np.array(sample["v"].to_list(), float).reshape(len(sample), dims or 1), dims or 1)
     kind = base.schema["vec_id"].dataType.simpleString()
     blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_queries))
-    # rows are dealt to blocks by hash, so the best `rerank` of all are spread evenly but for chance; k of each block at least
-    even = rerank / blocks
-    of_block = rerank if blocks == 1 else min(rerank, math.ceil(even + 4 * math.sqrt(even)) + k)
 
     def code(batches):
         for batch in batches:
             x = _matrix(batch.column(1), dims)
-            packed = pack(book.encode(x))
+            codes = book.encode(x)
+            packed = pack(codes)
+            lost = np.sqrt(((book.pad(x) - book.words[np.arange(len(book.words)), codes]) ** 2).sum((1, 2)))
             half = ((x - book.centre) ** 2).sum(1) / 2
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.array(half)], ["vec_id", "code", "half"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, pa.array(half), pa.array(lost)], ["vec_id", "v", "code", "half", "lost"])
 
-    coded = keep(base.select("vec_id", "v").mapInArrow(code, f"vec_id {kind}, code binary, half double"), "codes")
+    coded = keep(base.select("vec_id", "v").mapInArrow(code, f"vec_id {kind}, v array<double>, code binary, half double, lost double"), "codes")
     deal = lambda c, m, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(m)).cast("int")
-    left = coded.select("vec_id", "code", "half", deal("vec_id", blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+    left = coded.select("vec_id", "v", "code", "half", "lost", deal("vec_id", blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
     asked = base.where(is_query).select(F.col("vec_id").alias("query_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), deal("vec_id", query_blocks, 2).alias("qb"))
 
     def scan(codes: pa.Table, queries: pa.Table) -> pa.Table:
@@ -170,22 +179,31 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(ids) and len(query_ids):
             packed = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            half = codes["half"].to_numpy()
+            half, lost = codes["half"].to_numpy(), codes["lost"].to_numpy()
+            x = _matrix(codes["v"].combine_chunks(), dims)
             q = _matrix(queries["v"].combine_chunks(), dims)
             columns = [np.ascontiguousarray(packed[:, j]) for j in range(packed.shape[1])]
-            for query_id, table in zip(query_ids, book.tables(q), strict=True):
+            reach = np.sqrt(((q - book.centre) ** 2).sum(1))
+            for query_id, at_query, far, table in zip(query_ids, q, reach, book.tables(q), strict=True):
                 scores = -half
                 for j, c in enumerate(columns):
                     scores = scores + table[j][c]
                 scores[ids == query_id] = -np.inf
-                at = _best(scores, ids, of_block)
-                found.append((np.full(len(at), query_id), ids[at], scores[at]))
+                at = _best(scores, ids, max(rerank, k + 1))
+                if len(at) < len(ids):
+                    kth = np.partition(_distances(x[at], at_query), k - 1)[k - 1]
+                    slack = 1e-9 * (far**2 + half + 1)  # of rounding
+                    at = np.flatnonzero(scores + far * lost + slack >= (far**2 - kth**2) / 2)
+                at = at[ids[at] != query_id]
+                near = -_distances(x[at], at_query)
+                best = _best(near, ids[at], k)
+                found.append((np.full(len(best), query_id), ids[at][best], near[best]))
         parts = [np.concatenate(x) for x in zip(*found)] if found else [query_ids[:0], ids[:0], np.zeros(0)]
         return pa.table({"query_id": parts[0], "vec_id": parts[1], "near": parts[2]})
 
     scanned = left.groupBy("b", "qb").cogroup(asked.groupBy("b", "qb")).applyInArrow(scan, f"query_id {kind}, vec_id {kind}, near double")
     by_scan = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    chosen = keep(scanned.where(F.col("query_id") != F.col("vec_id")).withColumn("place", F.row_number().over(by_scan)).where(F.col("place") <= rerank).select("query_id", "vec_id"), "candidates")
+    chosen = keep(scanned.where(F.col("query_id") != F.col("vec_id")).withColumn("place", F.row_number().over(by_scan)).where(F.col("place") <= k).select("query_id", "vec_id"), "candidates")
     distance = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     measured = chosen.join(base, "vec_id").join(base.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "vec_id", distance.alias("score"))
     by_distance = Window.partitionBy("query_id").orderBy("score", "vec_id")

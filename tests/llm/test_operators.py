@@ -84,6 +84,22 @@ def test_nearest_of_few_and_none(spark):
     assert ann.nearest(spark.createDataFrame([], schema), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_in_a_dense_group(spark):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(3_000, 16))
+    x[:1_000] = x[0] + rng.normal(scale=0.003, size=(1_000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for block_rows in (8_192, 500):
+        got = {}
+        for r in ann.nearest(df, F.col("vec_id") % 100 == 0, block_rows=block_rows).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        assert len(got) == 30
+        for q, found in got.items():
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            assert [v for _, v in sorted(found)] == np.argsort(d, kind="stable")[:10].tolist()
+
+
 # --- op 2
 
 
