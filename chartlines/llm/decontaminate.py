@@ -1,14 +1,15 @@
-"""Benchmark decontamination: item-sized windows, SimHash fingerprints in a multi-index, exact weighted similarity.
-
-A window is as long as a benchmark item and may start anywhere; it is cut off at
-the ends of the document. Of all starts, those are fingerprinted whose window holds
-matched shingles of enough weight: what is shared weighs no more than the matched
-shingles of the window, and must weigh the least similarity times the item.
-Fingerprints of windows meet
-those of their items in a multi-index: 64 bits in BLOCKS blocks, of which one at
-least differs in no more than radius // BLOCKS bits if all differ in no more than
-radius. What lies within the radius is verified on the shingles themselves, each
-weighing as many characters as it has.
+"""Benchmark decontamination: SimHash of item-sized windows, a multi-index over items, exact weighted similarity.
+
+A window is as long as a benchmark item (in words) and may start anywhere; it is cut
+off at the ends of the document. Windows that can hold no item of their length are
+ruled out first: what a window shares with an item weighs no more than its shingles
+that stand in any item of that length, so these must weigh the least similarity
+times the lightest such item. Every other window gets FINGERPRINTS SimHashes of 64
+bits and looks up, in a multi-index of all items of its length, those within a
+Hamming radius of it in one of them: 64 bits in BLOCKS blocks, of which one at least
+differs in no more than radius // BLOCKS bits if all differ in no more than radius.
+Each pair found is verified on the shingles themselves, each weighing as many
+characters as it has.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from chartlines.llm.common import keep, let, lower_ascii, row_key, words
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 80  # per cent
-#: At a similarity of 0.8 a fingerprint differs in 64 * acos(0.889) / pi = 9.7 bits, with deviation 2.9; 21 lies 4 deviations above.
-RADIUS, BLOCKS = 21, 8
+#: Leaving out one of a few shingles can flip a quarter of the bits, 16 with deviation 3.5 (9.7 with 2.9 for long
+#: items): beyond 23 lies one fingerprint in fifty at worst, and all three of them once in 100,000 pairs. 23 is what
+#: 8 blocks with 2 errors each guarantee.
+FINGERPRINTS, RADIUS, BLOCKS = 3, 23, 8
 #: Shingles of benchmark items that are broadcast at a time; a larger benchmark takes more passes over the documents.
 BROADCAST_SHINGLES = 500_000
 
@@ -45,7 +48,7 @@ def shingles(ws: Column, k: Column) -> Column:
     return F.when(F.size(ws) >= k, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(ws, i + 1, k), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def simhash(shingled: Column) -> Column:
+def simhash(shingled: Column, salt: int = 0) -> Column:
     """64-bit SimHash of an array of shingles, each weighing its number of characters."""
 
     def bits(hs: Column) -> Column:
@@ -55,15 +58,20 @@ def simhash(shingled: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(bit(b)))
 
-    return let(F.transform(shingled, lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).alias("w"))), bits)
+    return let(F.transform(shingled, lambda s: F.struct(F.xxhash64(s, F.lit(salt)).alias("h"), F.length(s).alias("w"))), bits)
+
+
+def fingerprints(shingled: Column, n: int = FINGERPRINTS) -> Column:
+    """n SimHashes, each of hashes of its own."""
+    return F.array(*[simhash(shingled, salt) for salt in range(n)])
 
 
 def index_items(benchmark: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """item_id, n_words, k, ws, sh (distinct shingles), weight, fp of each item with words; an item of fewer words than k is one shingle."""
+    """item_id, n_words, k, ws, sh (distinct shingles), weight, fps of each item with words; an item of fewer words than k is one shingle."""
     split = benchmark.select("item_id", words(lower_ascii(F.col("text"))).alias("ws")).where(F.size("ws") > 0).distinct()
     sized = split.select("item_id", "ws", F.size("ws").alias("n_words"), F.least(F.size("ws"), F.lit(k)).alias("k"))
     cut = sized.withColumn("sh", shingles(F.col("ws"), F.col("k")))
-    return cut.withColumn("weight", _weight(F.col("sh"))).withColumn("fp", simhash(F.col("sh")))
+    return cut.withColumn("weight", _weight(F.col("sh"))).withColumn("fps", fingerprints(F.col("sh")))
 
 
 def _weight(shingled: Column) -> Column:
@@ -71,9 +79,10 @@ def _weight(shingled: Column) -> Column:
 
 
 def _windows(documents: DataFrame, items: DataFrame, k: int, min_similarity: int) -> DataFrame:
-    """key, item, n_words, k, starts: for items of shingle size k, runs (first, last) of starts whose window can be similar enough; starts may lie before the text."""
-    each = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("hs") - k), lambda i: F.struct(_shingle_hash(F.col("hs"), i, k).alias("sh"), F.length(F.array_join(F.slice("ws", i + 1, k), " ")).alias("w"))))
-    place = items.select("item", "n_words", "weight", each.alias("q", "s")).select("item", "n_words", "weight", "s.sh", "s.w").distinct()
+    """key, n_words, k, first, last: runs of starts whose window can hold an item of n_words words; starts may lie before the text."""
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.size("hs") - k), lambda i: F.struct(_shingle_hash(F.col("hs"), i, k).alias("sh"), F.length(F.array_join(F.slice("ws", i + 1, k), " ")).alias("w"))))
+    lightest = items.groupBy("n_words").agg(F.min("weight").alias("weight"))
+    place = items.select("n_words", each.alias("s")).select("n_words", "s.sh", "s.w").distinct().join(lightest, "n_words")
     hashed = documents.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
     # outer: for an inner explode the optimizer adds a filter on the array's size, which works all of it out twice
     sh = F.when(F.size("hs") >= k, F.transform(F.sequence(F.lit(0), F.size("hs") - k), lambda i: _shingle_hash(F.col("hs"), i, k)))
@@ -81,29 +90,22 @@ def _windows(documents: DataFrame, items: DataFrame, k: int, min_similarity: int
     met = at.join(F.broadcast(place), "sh")
     # the shingle at p lies in windows that start from p - (n_words - k) to p: its weight comes in at the one and leaves after the other
     turns = F.array(F.struct((F.col("p") - F.col("n_words") + k).alias("t"), F.col("w").cast("long").alias("w")), F.struct((F.col("p") + 1).alias("t"), (-F.col("w")).cast("long").alias("w")))
-    of = ["key", "item", "n_words", "weight"]
+    of = ["key", "n_words", "weight"]
     step = met.select(*of, F.explode(turns).alias("turn")).groupBy(*of, F.col("turn.t").alias("t")).agg(F.sum("turn.w").alias("w"))
-    along = Window.partitionBy("key", "item").orderBy("t")
+    along = Window.partitionBy("key", "n_words").orderBy("t")
     held = step.withColumn("held", F.sum("w").over(along)).withColumn("next", F.lead("t").over(along))
     enough = held.where(F.col("next").isNotNull() & (100 * F.col("held") >= min_similarity * F.col("weight")))
-    return enough.groupBy("key", "item", "n_words").agg(F.collect_list(F.struct(F.col("t").alias("first"), (F.col("next") - 1).alias("last"))).alias("starts")).withColumn("k", F.lit(k))
+    return enough.select("key", "n_words", F.lit(k).alias("k"), F.col("t").alias("first"), (F.col("next") - 1).alias("last"))
 
 
 def _cut(documents: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc_id, key, item, t, ws, sh: the windows of runs, their words and distinct shingles; t is where the window would start, before the text if negative."""
+    """doc_id, key, n_words, t, sh: the windows of runs with their distinct shingles; t is where the window would start, before the text if negative."""
+    starts = runs.groupBy("key", "n_words", "k").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("starts"))
     # dealt by key at every size: the runs grow with the documents and fit no broadcast for good
-    held = documents.join(runs.hint("shuffle_hash"), "key").select("doc_id", "key", words(lower_ascii(F.col("text"))).alias("ws"), "item", "n_words", "k", F.explode("starts").alias("run"))
-    at = held.select("*", F.explode(F.sequence("run.first", "run.last")).alias("t"))
+    held = documents.join(starts.hint("shuffle_hash"), "key").select("doc_id", "key", words(lower_ascii(F.col("text"))).alias("ws"), "n_words", "k", "starts")
+    once = held.dropDuplicates(["key", "n_words"]).withColumn("t", F.explode("starts"))
     start, stop = F.greatest(F.col("t"), F.lit(0)), F.least(F.col("t") + F.col("n_words"), F.size("ws"))
-    cut = at.select("doc_id", "key", "item", "k", "t", F.slice("ws", start + 1, stop - start).alias("ws")).dropDuplicates(["key", "item", "t"])
-    return cut.withColumn("sh", shingles(F.col("ws"), F.col("k"))).drop("k")
-
-
-def _lines_up() -> Column:
-    """Whether a window holds a shingle of its item at the item's own place."""
-    off, k = F.greatest(-F.col("t"), F.lit(0)), F.col("item_k")
-    at = F.sequence(off, F.least(F.size("item_ws"), F.size("ws") + off) - k)
-    return F.exists(at, lambda q: F.slice("ws", q - off + 1, k) == F.slice("item_ws", q + 1, k))
+    return once.select("doc_id", "key", "n_words", "t", shingles(F.slice("ws", start + 1, stop - start), F.col("k")).alias("sh"))
 
 
 def _shingle_hash(hs: Column, i: Column, k: int) -> Column:
@@ -115,10 +117,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORD
 
     similarity is the weight of shared shingles over that of all shingles of window
     and item, at least min_similarity per cent; start is the window's first word
-    (smallest of the best). Windows that hold a shingle at its place in the item go
-    before others, which are told only where none of those is similar enough. key tells documents with one doc_id apart. Null, empty
-    and blank texts hold nothing; items without words are in nothing; rows equal in
-    doc_id and text are one document. Empty tables give no rows.
+    (smallest of the best), distance that of the first fingerprint within the
+    radius. Windows start everywhere. key tells documents with one doc_id apart.
+    Null, empty and blank texts hold nothing; items without words are in nothing;
+    rows equal in doc_id and text are one document. Empty tables give no rows.
     """
     items = keep(index_items(benchmark, k).withColumn("item", row_key(F.col("item_id"), F.array_join("ws", " "))), "items")
     n, sizes = items.agg(F.sum(F.col("n_words") - F.col("k") + 1), F.collect_set("k")).first()  # sizes: k values at most
@@ -131,31 +133,40 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORD
         for size in sorted(sizes or [k], reverse=True)
         for turn in range(passes)
     ]
-    item = items.select("item", "item_id", F.col("k").alias("item_k"), F.col("ws").alias("item_ws"), F.col("sh").alias("item_sh"), F.col("weight").alias("item_weight"), F.col("fp").alias("item_fp"))
     runs = keep(reduce(DataFrame.unionByName, parts), "runs")
-    prints = keep(_cut(keyed, runs).withColumn("fp", simhash(F.col("sh"))), "windows")
-    near = _multi_index(prints, item, radius, blocks)
+    prints = keep(_cut(keyed, runs).withColumn("fps", fingerprints(F.col("sh"))), "windows")
+    near = keep(_multi_index(prints, items, radius, blocks), "candidates")
+    item = items.select("item", "item_id", F.col("sh").alias("item_sh"), F.col("weight").alias("item_weight"))
     shared = _weight(F.array_intersect("sh", "item_sh"))
     both = _weight(F.col("sh")) + F.col("item_weight") - F.col("shared")
-    checked = near.join(item.select("item", "item_ws", "item_k", "item_sh", "item_weight", "item_id"), "item").withColumn("shared", shared).withColumn("all", both)
+    checked = near.join(prints.drop("fps"), ["key", "n_words", "t"]).join(item, "item").withColumn("shared", shared).withColumn("all", both)
     good = checked.where(100 * F.col("shared") >= min_similarity * F.col("all")).withColumn("similarity", F.col("shared") / F.col("all"))
-    placed = good.select("doc_id", "key", "item", "item_id", F.struct((~_lines_up()).alias("apart"), (-F.col("similarity")).alias("s"), F.greatest("t", F.lit(0)).alias("start"), "distance").alias("b"))
+    placed = good.select("doc_id", "key", "item", "item_id", F.struct((-F.col("similarity")).alias("s"), F.greatest("t", F.lit(0)).alias("start"), "distance").alias("b"))
     best = placed.groupBy("doc_id", "key", "item", "item_id").agg(F.min("b").alias("b"))
     return best.select("doc_id", "key", "item_id", "b.start", (-F.col("b.s")).alias("similarity"), "b.distance")
 
 
 def _multi_index(prints: DataFrame, items: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """The windows whose fingerprint lies within radius of their item's, with distance."""
+    """key, n_words, t, item, distance: the items of a window's length within radius of it in one of their fingerprints, each once.
+
+    Items stand in the index under every value of a block that differs from theirs in
+    no more than radius // blocks bits; windows ask for their own values.
+    """
     errors, cut = radius // blocks, _block_bits(blocks)
-    values = lambda fp: [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for a, w in cut]
+    value = lambda fp, a, w: F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1).cast("long"))
     flipped = lambda v, width: F.array(*[v.bitwiseXOR(F.lit(m).cast("long")) for m in _masks(width, errors)])
-    around = [flipped(v, w) for v, (_, w) in zip(values(F.col("item_fp")), cut, strict=True)]
-    probes = items.select("item", "item_fp", F.posexplode(F.array(*around)).alias("block", "vs")).select("item", "item_fp", "block", F.explode("vs").alias("v"))
-    window = ["key", "item", "t"]
-    own = prints.select(*window, "fp", F.posexplode(F.array(*values(F.col("fp")))).alias("block", "v"))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    met = own.join(probes, ["item", "block", "v"]).withColumn("distance", distance).where(F.col("distance") <= radius)
-    return prints.join(met.select(*window, "distance").distinct(), window)
+    around = F.transform("item_fps", lambda fp: F.array(*[flipped(value(fp, a, w), w) for a, w in cut]))
+    listed = items.select("item", "n_words", F.col("fps").alias("item_fps"))
+    index = keep(listed.select("item", "n_words", "item_fps", F.posexplode(around).alias("f", "bs")).select("item", "n_words", "item_fps", "f", F.posexplode("bs").alias("block", "vs")).select("item", "n_words", "item_fps", "f", "block", F.explode("vs").alias("v")), "index")
+    asked = F.transform("fps", lambda fp: F.array(*[value(fp, a, w) for a, w in cut]))
+    window = ["key", "n_words", "t"]
+    own = prints.select(*window, "fps", F.posexplode(asked).alias("f", "vs")).select(*window, "fps", "f", F.posexplode("vs").alias("block", "v"))
+    met = own.join(index, ["n_words", "f", "block", "v"]).withColumn("apart", F.zip_with("fps", "item_fps", lambda a, b: a.bitwiseXOR(b)))
+    mine = F.get("apart", F.col("f"))
+    # of all ways in which a pair meets only the first is kept: first fingerprint within the radius, first block within the errors
+    earlier = F.exists(F.slice("apart", 1, F.col("f")), lambda x: F.bit_count(x) <= radius)
+    first = reduce(lambda rest, i: F.when(F.bit_count(value(mine, *cut[i])) <= errors, i).otherwise(rest), reversed(range(blocks)), F.lit(blocks))
+    return met.where((F.bit_count(mine) <= radius) & (F.col("block") == first) & ~earlier).select(*window, "item", F.bit_count(mine).alias("distance"))
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

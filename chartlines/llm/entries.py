@@ -146,9 +146,10 @@ d AS (
 ds AS (
   SELECT doc_id, k, p, array_to_string(ws[p + 1 : p + k], ' ') AS sh
   FROM (SELECT doc_id, ws, k, unnest(range(0, len(ws) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM b) WHERE len(ws) >= k)),
-w AS (
-  SELECT DISTINCT ds.doc_id, item_id, bs.k, greatest(p - q, 0) AS s, least(p - q + n, len(d.ws)) AS e
-  FROM ds JOIN bs ON ds.sh = bs.sh AND ds.k = bs.k JOIN d ON d.doc_id = ds.doc_id),
+o AS (
+  SELECT DISTINCT ds.doc_id, item_id, bs.n, bs.k, unnest(range(p - bs.n + bs.k, p + 1)) AS t
+  FROM ds JOIN bs ON ds.sh = bs.sh AND ds.k = bs.k),
+w AS (SELECT o.doc_id, item_id, k, greatest(t, 0) AS s, least(t + n, len(d.ws)) AS e FROM o JOIN d ON d.doc_id = o.doc_id),
 v AS (
   SELECT w.doc_id, w.item_id, s, shs, list_distinct(list_transform(range(s, e - k + 1), lambda i: array_to_string(ws[i + 1 : i + k], ' '))) AS win
   FROM w JOIN d ON w.doc_id = d.doc_id JOIN bi ON w.item_id = bi.item_id),
