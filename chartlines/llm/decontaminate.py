@@ -139,7 +139,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORD
     item = items.select("item", "item_id", F.col("sh").alias("item_sh"), F.col("weight").alias("item_weight"))
     shared = _weight(F.array_intersect("sh", "item_sh"))
     both = _weight(F.col("sh")) + F.col("item_weight") - F.col("shared")
-    checked = near.join(prints.drop("fps"), ["key", "n_words", "t"]).join(item, "item").withColumn("shared", shared).withColumn("all", both)
+    checked = near.join(prints.drop("fps"), ["key", "n_words", "t"]).join(F.broadcast(item) if passes == 1 else item, "item").withColumn("shared", shared).withColumn("all", both)
     good = checked.where(100 * F.col("shared") >= min_similarity * F.col("all")).withColumn("similarity", F.col("shared") / F.col("all"))
     placed = good.select("doc_id", "key", "item", "item_id", F.struct((-F.col("similarity")).alias("s"), F.greatest("t", F.lit(0)).alias("start"), "distance").alias("b"))
     best = placed.groupBy("doc_id", "key", "item", "item_id").agg(F.min("b").alias("b"))

@@ -59,9 +59,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mix_sources(common.table(spark, sf_dir, "documents"))
-    rows = mix.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
+    mix = mixing.each_row(mixing.mix_sources(common.table(spark, sf_dir, "documents")))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

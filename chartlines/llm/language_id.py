@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chartlines.llm.common import learn_row
+from chartlines.llm.common import keep, learn_row
 
-#: Bytes of sample text in each language's dictionary, documents sampled for it at most, and characters of each at most.
-DICTIONARY_BYTES = 48_000
-SAMPLE_DOCUMENTS = 32
-SAMPLE_CHARACTERS = 1_500
+#: Documents sampled for a language at most, and bytes of the piece taken from anywhere in each: every language's dictionary
+#: has the same budget of bytes, whatever its script.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 32, 1_500
+#: Languages told apart at most: a text is compressed once for each. More raise an error; none is dropped.
+MOST_LANGUAGES = 1_000
 #: A text is compressed in pieces of so many bytes, so that its own past does not stand in for the dictionary.
 PIECE_BYTES = 2_048
 #: Below this share saved against the second-best language a prediction is rejected.
@@ -23,24 +25,28 @@ MIN_MARGIN = 0.005
 LEVEL, MIN_MATCH = 6, 3
 
 
-def learn_dictionaries(documents: DataFrame, learn_from=learn_row, dictionary_bytes: int = DICTIONARY_BYTES, sample_documents: int = SAMPLE_DOCUMENTS) -> dict[str, bytes]:
+def learn_dictionaries(documents: DataFrame, learn_from=learn_row, sample_documents: int = SAMPLE_DOCUMENTS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Raw-content dictionary of each non-null lang, from its sample_documents learnable documents that come first by hash.
 
-    The sample is bounded (documents of a language times SAMPLE_CHARACTERS); it is
-    drawn by a hash of doc_id and text, so reruns agree. Null and blank texts are not sampled.
+    Of each of them a piece of sample_bytes bytes is taken, from a place drawn by hash
+    within the whole text; rows equal in doc_id and text count once. Reruns agree.
+    Null texts and texts without a letter are not sampled; without any, there is no dictionary.
     """
-    from pyspark.sql import Window
-
     known = documents.where(F.col("lang").isNotNull() & learn_from(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    drawn = known.select("lang", F.xxhash64("doc_id", F.substring("text", 1, 64)).alias("draw"), F.lower(F.substring("text", 1, SAMPLE_CHARACTERS)).alias("sample"))
-    # two steps: the best of each salted part first, then the best of those few
+    draw = F.xxhash64("doc_id", "text")
+    begin = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(1)), F.greatest(F.length("text") - sample_bytes, F.lit(0)) + 1)
+    drawn = known.select("lang", draw.alias("draw"), F.lower(F.substring("text", (begin + 1).cast("int"), F.lit(sample_bytes))).alias("sample"))
+    # two steps: the best of each salted part first, then the best of those few; equal rows share a draw
     for keys in (["lang", F.pmod("draw", F.lit(64))], ["lang"]):
         order = Window.partitionBy(*keys).orderBy("draw", "sample")
-        drawn = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_documents).drop("place")
-    samples: dict[str, list[str]] = {}
-    for row in drawn.orderBy("lang", "draw", "sample").collect():  # bounded: languages times sample_documents
-        samples.setdefault(row["lang"], []).append(row["sample"])
-    return {lang: "\n".join(texts).encode()[:dictionary_bytes] for lang, texts in sorted(samples.items())}
+        drawn = drawn.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= sample_documents).drop("place").dropDuplicates(["lang", "draw"])
+    kept = keep(drawn, "samples")
+    if kept.select("lang").distinct().count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to tell apart")
+    samples: dict[str, list[bytes]] = {}
+    for row in kept.orderBy("lang", "draw", "sample").collect():  # MOST_LANGUAGES times sample_documents at most
+        samples.setdefault(row["lang"], []).append(row["sample"].encode()[:sample_bytes])
+    return {lang: b"\n".join(pieces) for lang, pieces in sorted(samples.items())}
 
 
 class CompressionClassifier:
@@ -48,7 +54,7 @@ class CompressionClassifier:
         import zstandard
 
         self.langs = sorted(dictionaries)
-        params = zstandard.ZstdCompressionParameters.from_level(level, source_size=PIECE_BYTES, dict_size=DICTIONARY_BYTES, min_match=min_match, write_content_size=False, write_checksum=False, write_dict_id=False)
+        params = zstandard.ZstdCompressionParameters.from_level(level, source_size=PIECE_BYTES, dict_size=max(map(len, dictionaries.values()), default=1), min_match=min_match, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.coders = []
         for lang in self.langs:
             raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -93,8 +99,6 @@ def identify_languages(documents: DataFrame, dictionaries: dict[str, bytes], min
             more.append(pa.array([g == "und" or m < min_margin for g, m in zip(lang, margin, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *out])
 
-    from pyspark.sql import types as T
-
     kinds = [T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
     schema = T.StructType([*source.schema.fields, *(T.StructField(n, k) for n, k in zip(out, kinds, strict=True))])
     return source.mapInArrow(run, schema)

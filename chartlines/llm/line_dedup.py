@@ -1,11 +1,14 @@
 """Line dedup by winnowing: delete runs of whole lines that stand earlier in the corpus.
 
 A window is a shortest stretch of non-blank lines that holds at least min_words
-words. The smallest line hash of a window is its fingerprint, so two equal runs
-that are long enough share a fingerprint at the same place, whatever stands
-around them. Fingerprints found at one place only rule out their windows; the
-windows around the others are the ways to extend a fingerprint to the left and
-right by whole lines, and those whose full text stands earlier are deleted.
+words. Of each window the line with the smallest hash is chosen; windows that overlap
+mostly choose the same line, so few of many short lines are. Only chosen lines are
+written down, as fingerprints. Equal runs that are long enough choose the same lines,
+whatever stands around them, so a fingerprint that stands at one place only settles
+all windows that chose it. Where a fingerprint stands at several places, it is
+extended to the left and right, line by line, to the windows that chose it, and the
+extended runs are compared; those that stand earlier are deleted. Runs longer than
+a window are deleted as the windows that they are made of.
 """
 
 from __future__ import annotations
@@ -27,51 +30,60 @@ def _reach(ns: Column, first: Column, step: int, min_words: int) -> Column:
         held = F.coalesce(F.get(ns, first + step * j), F.lit(0))
         return F.when(a["sum"] >= min_words, a).otherwise(F.struct((a["sum"] + held).alias("sum"), (j + 1).alias("k")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(min_words - 1)), start, more, lambda a: F.when(a["sum"] >= min_words, a["k"]).otherwise(0))
+    # a line that is long enough is its own window, both ways
+    far = F.aggregate(F.sequence(F.lit(1), F.lit(min_words - 1)), F.struct(F.get(ns, first).alias("sum"), F.lit(1).alias("k")), more, lambda a: F.when(a["sum"] >= min_words, a["k"]).otherwise(0))
+    return F.when(F.get(ns, first) >= min_words, 1).otherwise(far)
 
 
-def windows(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Windows of each document, from every line forwards and backwards: doc_id, rid, start, stop (line numbers), fp, at (the fingerprint's line), key.
+def fingerprints(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The chosen lines of each document: doc_id, rid, at, fp, and windows, the windows that chose it: start, stop (line numbers), left, right (keys of the lines before and after it).
 
     Arrays are read by index only: a slice in a lambda would copy the whole array for each line.
     """
     counted = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), F.least(F.size(words(x)), F.lit(min_words)).alias("n"), x.alias("line")))
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("rid"), F.filter(counted, lambda s: s["n"] > 0).alias("s"))
-    arrays = rows.select("doc_id", "rid", F.col("s.at").alias("at"), F.col("s.n").alias("n"), F.col("s.line").alias("line"), F.transform("s.line", lambda x: F.xxhash64(x)).alias("h"))
-    ns = F.col("n")
+    hashed = rows.select("doc_id", "rid", F.col("s.at").alias("at"), F.col("s.n").alias("n"), F.transform("s.line", lambda x: F.xxhash64(x)).alias("h"), F.transform("s.line", lambda x: F.xxhash64(x, F.lit(1))).alias("g"))
+    along = F.sequence(F.lit(0), F.size("n") - 1)
+
+    def span(first: Column, last: Column) -> Column:
+        least = F.array_min(F.transform(F.sequence(first, last), lambda j: F.struct(F.get("h", j).alias("h"), j.alias("j"))))
+        return F.struct(first.alias("first"), last.alias("last"), least["j"].alias("chosen"))
 
     def both(n: Column, i: Column) -> Column:
-        span = lambda first, k: F.struct(first.alias("first"), k.alias("k"))
-        back = let(_reach(ns, i, -1, min_words), lambda k: span(i - k + 1, k))
-        # a line that is long enough is its own window, both ways
-        return F.when(n >= min_words, F.array(span(i, F.lit(1)))).otherwise(F.array(span(i, _reach(ns, i, 1, min_words)), back))
+        ahead = let(_reach(F.col("n"), i, 1, min_words), lambda k: F.when(k > 0, span(i, i + k - 1)))
+        back = let(_reach(F.col("n"), i, -1, min_words), lambda k: F.when(k > 1, span(i - k + 1, i)))
+        return F.when(n >= min_words, F.array(F.struct(i.alias("first"), i.alias("last"), i.alias("chosen")))).otherwise(F.array(ahead, back))
 
-    spans = F.array_distinct(F.filter(F.flatten(F.transform("n", both)), lambda w: w["k"] > 0))
+    spanned = hashed.select("*", F.transform("n", both).alias("spans")).select("*", along.alias("along"))
 
-    def window(w: Column) -> Column:
-        places = F.sequence(w["first"], w["first"] + w["k"] - 1)
-        return F.struct(
-            F.get("at", w["first"]).alias("start"),
-            F.get("at", w["first"] + w["k"] - 1).alias("stop"),
-            F.array_min(F.transform(places, lambda j: F.struct(F.get("h", j).alias("h"), F.get("at", j).alias("at")))).alias("least"),
-            F.unhex(F.md5(F.array_join(F.transform(places, lambda j: F.get("line", j)), "\n"))).alias("key"),
-        )
+    def keys(first: Column, last: Column) -> Column:
+        """Key of a stretch of lines, empty if last < first."""
+        near = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+        return F.aggregate(near, start, lambda x, j: F.struct(F.xxhash64(x["a"], F.get("h", j)).alias("a"), F.xxhash64(x["b"], F.get("g", j)).alias("b")))
+
+    def chosen(i: Column) -> Column:
+        # windows that may have chosen line i begin or end within min_words - 1 lines of it
+        near = F.sequence(F.greatest(i - (min_words - 1), F.lit(0)), F.least(i + (min_words - 1), F.size("n") - 1))
+        mine = F.array_distinct(F.filter(F.flatten(F.transform(near, lambda j: F.get("spans", j))), lambda w: w["chosen"] == i))
+        window = lambda w: F.struct(F.get("at", w["first"]).alias("start"), F.get("at", w["last"]).alias("stop"), keys(w["first"], i - 1).alias("left"), keys(i + 1, w["last"]).alias("right"))
+        return F.struct(F.get("at", i).alias("at"), F.struct(F.get("h", i).alias("h"), F.get("g", i).alias("g")).alias("fp"), F.transform(mine, window).alias("windows"))
 
     # outer: for an inner explode the optimizer adds a filter on the array's size, which works all of it out twice
-    found = arrays.select("doc_id", "rid", F.explode_outer(F.transform(spans, window)).alias("w")).where(F.col("w").isNotNull())
-    return found.select("doc_id", "rid", "w.start", "w.stop", F.col("w.least.h").alias("fp"), F.col("w.least.at").alias("at"), "w.key")
+    found = spanned.select("doc_id", "rid", F.explode_outer(F.filter(F.when(F.size("n") > 0, F.transform("along", chosen)), lambda c: F.size(c["windows"]) > 0)).alias("c")).where(F.col("c").isNotNull())
+    return found.select("doc_id", "rid", "c.at", "c.fp", "c.windows")
 
 
 def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Windows that stand earlier, in order of doc_id, text hash and line: doc_id, rid, start, stop."""
-    found = keep(windows(documents, min_words), "windows")
+    """Runs that stand earlier, in order of doc_id, text hash and line: doc_id, rid, start, stop."""
+    found = keep(fingerprints(documents, min_words), "fingerprints")
     place = F.struct("doc_id", "rid", "at")
     # kept, so that both sides of the joins are plain exchanges whose hot keys can be split
-    shared = keep(found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") < F.col("hi")).select("fp"), "fingerprints")
-    near = found.join(shared, "fp", "left_semi").select("doc_id", "rid", "start", "stop", "key")
-    here = F.struct("doc_id", "rid", "start")
-    first = keep(near.groupBy("key").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where(F.col("lo") < F.col("hi")).select("key", "lo"), "first")
-    return near.join(first, "key").where(here > F.col("lo")).select("doc_id", "rid", "start", "stop")
+    shared = keep(found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") < F.col("hi")).select("fp"), "shared")
+    extended = keep(found.join(shared, "fp", "left_semi").select("doc_id", "rid", "fp", F.explode("windows").alias("w")).select("doc_id", "rid", "fp", "w.*"), "extended")
+    here, run = F.struct("doc_id", "rid", "start"), ["fp", "left", "right"]
+    first = keep(extended.groupBy(*run).agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where(F.col("lo") < F.col("hi")).select(*run, "lo"), "first")
+    return extended.join(first, run).where(here > F.col("lo")).select("doc_id", "rid", "start", "stop")
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -1,11 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A term is a word (letters and digits, A-Z lowered) or its first four or five
-bytes, hashed to a bucket; a text has a term or not. The buckets that tell the
-labels apart best are chosen by counts over all labelled rows; the machine is
-fitted on a bounded sample of them. Its score is linear weights plus all pairwise
-products of the terms' factors, so that two terms together can weigh more (or
-less) than both alone.
+bytes, hashed to a bucket; a text has a term or not. The score is a sum of linear
+weights plus all pairwise products of the terms' factors, so that two terms together
+can weigh more (or less) than both alone. No term is left out beforehand: in rounds,
+terms whose weight, or pairs whose factors, would lower the loss by more than chance
+does get weights and factors, and the machine is fitted anew. Pairs are looked for
+among all terms at once, whatever each does alone, as the leading directions of the
+residuals' second moments between terms.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from chartlines.llm.batches import joined, mix, prefix_hashes, seed, slices
 from chartlines.llm.common import keep, learn_row
 
 BUCKET_BITS = 22
-#: Buckets that the machine has weights for, factors of each, and labelled rows it is fitted on at most.
-TERMS, FACTORS, SAMPLE_ROWS = 3_000, 4, 12_000
-STEPS = 120
-#: Terms whose frequencies differ by fewer deviations than this between the labels are left out.
-LEAST_DEVIATION = 3.0
+#: Factors of a term; labelled rows of either label, and terms of all of them together, that the machine is fitted on at most.
+FACTORS, SAMPLE_ROWS, SAMPLE_TERMS = 4, 6_000, 8_000_000
+STEPS, ROUNDS = 120, 3
+#: Deviations beyond chance at which a term gets a weight; directions of pairs must lie so far above those of shuffled residuals.
+DEVIATIONS, ABOVE_NOISE = 3.0, 1.1
+#: Terms of fewer texts are in no pair; a pair's direction is led by the terms that hold this much of it.
+PAIR_TEXTS, LEAD = 8, 0.1
 PREFIXES = (4, 5)
 
 
@@ -50,6 +54,13 @@ def _distinct(buckets: np.ndarray, text_of: np.ndarray, bits: int) -> tuple[np.n
     return keys & ((1 << bits) - 1), keys >> bits
 
 
+def _by_text(values: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values (rows of them, or numbers) for each of n texts."""
+    if values.ndim == 1:
+        return np.bincount(text_of, values, n)
+    return np.stack([np.bincount(text_of, values[:, j], n) for j in range(values.shape[1])], 1)
+
+
 @dataclass
 class FactorizationMachine:
     buckets: np.ndarray
@@ -58,46 +69,115 @@ class FactorizationMachine:
     bias: float
 
     def slots(self, bits: int = BUCKET_BITS) -> np.ndarray:
-        """Place of each bucket among the chosen ones; -1 for the others."""
+        """Place of each bucket among those with weights; -1 for the others."""
         out = np.full(1 << bits, -1, np.int32)
         out[self.buckets] = np.arange(len(self.buckets))
         return out
 
     def raw(self, term: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
-        """Scores before the logistic of n texts with distinct terms in order of text."""
-        linear = np.bincount(text_of, self.weights[term], n)
-        sums = np.stack([np.bincount(text_of, self.factors[term, j], n) for j in range(self.factors.shape[1])], 1)
-        squares = np.bincount(text_of, (self.factors[term] ** 2).sum(1), n)
-        return self.bias + linear + 0.5 * ((sums**2).sum(1) - squares)
+        """Scores before the logistic of n texts with distinct terms (places among buckets)."""
+        own = self.factors[term]
+        sums = _by_text(own, text_of, n)
+        return self.bias + _by_text(self.weights[term], text_of, n) + 0.5 * ((sums**2).sum(1) - _by_text((own**2).sum(1), text_of, n))
+
+    def slopes(self, term: np.ndarray, text_of: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Slopes of the mean logistic loss in weights, factors and bias."""
+        n, k = len(labels), len(self.weights)
+        own = self.factors[term]
+        sums = _by_text(own, text_of, n)
+        slope = (_logistic(self.raw(term, text_of, n)) - labels) / n
+        each = slope[text_of]
+        return np.bincount(term, each, k), _by_text(each[:, None] * (sums[text_of] - own), term, k), float(slope.sum())
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_machine(term: np.ndarray, row_of: np.ndarray, labels: np.ndarray, buckets: np.ndarray, factors: int = FACTORS, steps: int = STEPS, l2: float = 2e-4) -> FactorizationMachine:
-    """Fit by full-batch Adam on logistic loss. term: places in buckets, distinct in each row, in order of row."""
-    rng, k, n = np.random.default_rng(5), len(buckets), len(labels)
-    params = [np.zeros(k), rng.normal(0, 0.02, (k, factors)), np.zeros(1)]
+class PairMoments:
+    """Second moments of residuals between centred and scaled terms, diagonal left out, as products with vectors; texts of many terms weigh less."""
+
+    def __init__(self, term: np.ndarray, text_of: np.ndarray, n: int, k: int, shrink: float = 20.0):
+        counts = np.bincount(term, minlength=k)
+        self.ids = np.flatnonzero(counts >= PAIR_TEXTS)
+        place = np.full(k, -1)
+        place[self.ids] = np.arange(len(self.ids))
+        hit = place[term] >= 0
+        self.term, self.text_of, self.n, self.share = place[term[hit]], text_of[hit], n, counts[self.ids] / n
+        self.scale = 1 / np.sqrt(self.share * (1 - self.share) + shrink / n)
+        square = self.scale**2
+        length = (square * self.share**2).sum() + np.bincount(self.text_of, (square * (1 - 2 * self.share))[self.term], n)
+        self.weight = 1 / np.maximum(1, length / max(np.median(length), 1e-12))
+
+    def times(self, residual: np.ndarray, q: np.ndarray) -> np.ndarray:
+        r = residual * self.weight
+        diagonal = (np.bincount(self.term, r[self.text_of], len(self.ids)) * (1 - 2 * self.share) + self.share**2 * r.sum()) * self.scale**2
+        scaled = q * self.scale[:, None]
+        along = r[:, None] * (_by_text(scaled[self.term], self.text_of, self.n) - self.share @ scaled)
+        back = _by_text(along[self.text_of], self.term, len(self.ids)) - self.share[:, None] * along.sum(0)
+        return (back * self.scale[:, None] - diagonal[:, None] * q) / self.n
+
+    def leading(self, residual: np.ndarray, rng, most: int, turns: int = 12) -> tuple[np.ndarray, np.ndarray]:
+        """The `most` largest values and their directions."""
+        q = np.linalg.qr(rng.normal(size=(len(self.ids), min(2 * most, len(self.ids)))))[0]
+        for _ in range(turns):
+            q = np.linalg.qr(self.times(residual, q))[0]
+        small = q.T @ self.times(residual, q)
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        return values[::-1][:most], (q @ turn)[:, ::-1][:, :most]
+
+
+def descend(model: FactorizationMachine, term: np.ndarray, text_of: np.ndarray, labels: np.ndarray, steps: int = STEPS, l2: float = 2e-4) -> FactorizationMachine:
+    """The machine after full-batch Adam on logistic loss with l2."""
+    params = [model.weights.copy(), model.factors.copy(), np.array([model.bias])]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    base = float(labels.mean()) if n else 0.0
-    params[2][0] = np.log(max(base, 1e-4) / max(1 - base, 1e-4))
-    for step in range(1, steps + 1 if n and k else 1):
-        model = FactorizationMachine(buckets, params[0], params[1], params[2][0])
-        sums = np.stack([np.bincount(row_of, params[1][term, j], n) for j in range(factors)], 1)
-        slope = (_logistic(model.raw(term, row_of, n)) - labels) / n
-        each = slope[row_of]
-        grad_w = np.bincount(term, each, k) + l2 * params[0]
-        grad_v = np.stack([np.bincount(term, each * (sums[row_of, j] - params[1][term, j]), k) for j in range(factors)], 1) + l2 * params[1]
-        for p, g, (m, v), rate in zip(params, (grad_w, grad_v, np.array([slope.sum()])), moments, (0.15, 0.02, 0.15), strict=True):
+    for step in range(1, steps + 1):
+        slopes = FactorizationMachine(model.buckets, params[0], params[1], params[2][0]).slopes(term, text_of, labels)
+        for p, g, (m, v), rate, shrink in zip(params, slopes, moments, (0.1, 0.02, 0.1), (l2, l2, 0.0), strict=True):
+            g = g + shrink * p
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return FactorizationMachine(buckets, params[0], params[1], float(params[2][0]))
+    return FactorizationMachine(model.buckets, params[0], params[1], float(params[2][0]))
+
+
+def fit_machine(bucket: np.ndarray, text_of: np.ndarray, labels: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS) -> FactorizationMachine:
+    """Machine for the buckets of each text (distinct in a text, in order of text)."""
+    rng, n = np.random.default_rng(5), len(labels)
+    seen, term = np.unique(bucket, return_inverse=True)
+    base = float(np.clip(labels.mean(), 1e-4, 1 - 1e-4)) if n else 0.5
+    model = FactorizationMachine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), float(np.log(base / (1 - base))))
+    if not len(seen) or base in (1e-4, 1 - 1e-4):
+        return model
+    k = len(seen)
+    scale = 1 / np.sqrt((np.bincount(term, minlength=k) + 4) / n)
+    limit = DEVIATIONS * np.sqrt(base * (1 - base) / n)
+    pairs, raw = PairMoments(term, text_of, n, k), np.full(n, model.bias)
+    weights, vectors, active = np.zeros(k), np.zeros((k, factors)), np.zeros(k, bool)
+    for _ in range(rounds):
+        residual = labels - _logistic(raw)
+        fresh = np.abs(np.bincount(term, residual[text_of], k) * scale / n) > limit
+        if len(pairs.ids) > 2 * factors:
+            values, directions = pairs.leading(residual, rng, factors)
+            chance = max(pairs.leading(rng.permutation(residual), rng, factors)[0][0] for _ in range(2))
+            lead = np.where((values > ABOVE_NOISE * chance) & (np.abs(directions) >= LEAD), directions, 0) * np.sqrt(np.maximum(values, 0))
+            new = ~active[pairs.ids] & (lead != 0).any(1)
+            vectors[pairs.ids[new]] = lead[new]
+            fresh[pairs.ids[new]] = True
+        if not (fresh & ~active).any():
+            break
+        active |= fresh
+        place = np.cumsum(active) - 1
+        hit = active[term]
+        start = FactorizationMachine(seen[active], weights[active], vectors[active] + rng.normal(0, 0.01, (int(active.sum()), factors)), model.bias)
+        model = descend(start, place[term[hit]], text_of[hit], labels)
+        weights[active], vectors[active] = model.weights, model.factors
+        raw = model.raw(place[term[hit]], text_of[hit], n)
+    return model
 
 
 def _terms_of(labelled: DataFrame) -> DataFrame:
-    """label, draw, terms (distinct buckets) of rows with text, label and draw."""
+    """label, draw, n, terms (distinct buckets, n of them) of rows with text, label and draw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,49 +185,41 @@ def _terms_of(labelled: DataFrame) -> DataFrame:
                 found, text_of = _distinct(*term_buckets(batch.column(0).slice(a, b - a)), BUCKET_BITS)
                 starts = np.searchsorted(text_of, np.arange(b - a + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(found.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), lists], ["label", "draw", "terms"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(starts)), lists], ["label", "draw", "n", "terms"])
 
-    return labelled.select("text", "label", "draw").mapInArrow(run, "label int, draw long, terms array<int>")
+    return labelled.select("text", "label", "draw").mapInArrow(run, "label int, draw long, n int, terms array<int>")
 
 
-def train(documents: DataFrame, labels: DataFrame, learn_from=learn_row, terms: int = TERMS, sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
+def train(documents: DataFrame, labels: DataFrame, learn_from=learn_row, sample_rows: int = SAMPLE_ROWS, sample_terms: int = SAMPLE_TERMS) -> FactorizationMachine:
     """Machine fitted on labels (doc_id, toxic) of the documents learn_from allows.
 
-    Document frequencies of terms come from all such rows; the `terms` buckets of the
-    largest difference in frequency between the labels are kept, weighed by its
-    deviation, of which LEAST_DEVIATION at least. sample_rows rows at most, drawn by hash, are brought to the driver
-    with these terms alone. Null labels and null texts teach nothing; without
-    labelled rows the machine gives 0.5 to every text.
+    Ids are drawn by hash before any text is looked at: sample_rows of either label at
+    most, the rarer label so far more often; the bias is set right for that. Of them,
+    in order of hash, those come to the driver, as whole sets of buckets, whose terms
+    together stay within sample_terms. Null labels and null texts teach nothing; of
+    texts with one doc_id the smallest is taken; without rows of both labels every
+    text gets the share of label 1, or 0.5 without labelled rows.
     """
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    rows = documents.where(learn_from(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id")
-    found = keep(_terms_of(rows.withColumn("draw", F.xxhash64("doc_id"))), "terms")
-    n_rows, n_toxic = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    n1, n0 = max(n_toxic, 1), max(n_rows - n_toxic, 1)
-    counts = found.select("label", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("label").alias("c1"), F.count(F.lit(1)).alias("c"))
-    gap = F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0
-    spread = F.sqrt((F.col("c") + 2) / F.lit(n_rows + 4) * (1.0 / n1 + 1.0 / n0))
-    best = counts.where((F.col("c") >= 4) & (F.abs(gap / spread) > LEAST_DEVIATION)).orderBy(F.abs(gap / spread).desc(), "term").limit(terms)
-    buckets = np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64))  # `terms` numbers at most
-    if not n_rows or not len(buckets):
+    known = keep(labels.where(F.col("toxic").isNotNull() & learn_from(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).withColumn("draw", F.xxhash64("doc_id")), "labels")
+    total = {int(r["label"] > 0): r["n"] for r in known.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [known.where((F.col("label") > 0) == bool(g)).where(F.pmod("draw", F.lit(1 << 20)) < int(min(1.0, 0.95 * sample_rows / n) * (1 << 20))).orderBy("draw", "doc_id").limit(sample_rows) for g, n in sorted(total.items())]
+    if not parts:
         return FactorizationMachine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), 0.0)
-    share = min(1.0, 0.98 * sample_rows / n_rows)
-    drawn = found.where(F.pmod("draw", F.lit(1 << 20)) < int(share * (1 << 20)))
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            values = lists.flatten().to_numpy()
-            at = np.searchsorted(buckets, values)
-            hit = (at < len(buckets)) & (buckets[np.minimum(at, len(buckets) - 1)] == values)
-            row_of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            starts = np.searchsorted(row_of[hit], np.arange(len(lists) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts), pa.array(at[hit].astype(np.int32)))], ["label", "terms"])
-
-    sample: pd.DataFrame = drawn.select("label", "terms").mapInArrow(chosen, "label int, terms array<int>").orderBy("label", "terms").limit(sample_rows).toPandas()
+    ids = keep(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "drawn")
+    # 2 * sample_rows ids at most
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "draw").agg(F.min("text").alias("text"))
+    found = keep(_terms_of(rows), "terms")
+    sizes: pd.DataFrame = found.select("draw", "n").toPandas().sort_values("draw")
+    within = sizes[sizes["n"].cumsum() <= sample_terms]
+    sample: pd.DataFrame = found.where(F.col("draw") <= int(within["draw"].iloc[-1])).select("label", "draw", "terms").toPandas() if len(within) else found.limit(0).toPandas()
+    sample = sample.sort_values("draw", kind="stable", ignore_index=True)
     lengths = sample["terms"].map(len).to_numpy(np.int64)
-    term = np.concatenate(sample["terms"].to_list()).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
-    return fit_machine(term, np.repeat(np.arange(len(sample)), lengths), sample["label"].to_numpy(float), buckets)
+    bucket = np.concatenate(sample["terms"].to_list()).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
+    marks = (sample["label"].to_numpy() > 0).astype(float)
+    model = fit_machine(bucket, np.repeat(np.arange(len(sample)), lengths), marks)
+    if 0 < marks.sum() < len(marks):
+        model.bias += float(np.log(total[1] / total[0]) - np.log(marks.sum() / (len(marks) - marks.sum())))
+    return model
 
 
 def score(documents: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:

@@ -279,27 +279,59 @@ def brute_targets(sizes):
     return out
 
 
-def test_mix_meets_its_targets(spark):
-    rng = random.Random(7)
-    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), None, rng.choice(["a", "a", "a", "a", "b", "Z", "é", None]), None) for i in range(900)]
-    rows += [(5000, "one two", None, "a", None)] * 3 + [(None, "one two three", None, "b", None), (5001, None, None, "b", None)]
+def check_mix(spark, rows, block=16):
     df = docs(spark, rows).withColumn("p", F.lit("clash")).withColumn("size", F.lit("clash"))
-    got = mixing.mix_sources(df, block=16).collect()
-    sizes = {}
+    got = mixing.mix_sources(df, block=block).collect()
+    sizes, largest = {}, {}
     for r in rows:
-        sizes[r[3]] = sizes.get(r[3], 0) + len(words(r[1]))
+        n = len(words(r[1]))
+        sizes[r[3]] = sizes.get(r[3], 0) + n
+        largest[r[3]] = max(largest.get(r[3], 0), n)
     want = brute_targets(sizes)
     assert sum(r["n_rows"] for r in got) == len(rows)
     for s in sizes:
         mine = [r for r in got if r["source"] == s]
-        assert all(abs(r["target"] - want[s]) < 1e-6 and r["source_size"] == sizes[s] and 0 <= r["copies"] <= 2 for r in mine)
-        largest = max(r["size"] * r["n_rows"] for r in mine)
-        assert abs(sum(r["copies"] * r["size"] * r["n_rows"] for r in mine) - want[s]) <= largest + 1e-6
-    again = mixing.mix_sources(df.repartition(7), block=16).collect()
+        assert all(abs(r["target"] - want[s]) < 1e-6 and r["source_size"] == sizes[s] and 0 <= r["copies"] + (r["extra"] > 0) <= 2 for r in mine)
+        assert all(0 <= r["extra"] <= r["n_rows"] for r in mine)
+        assert abs(sum((r["copies"] * r["n_rows"] + r["extra"]) * r["size"] for r in mine) - want[s]) <= largest[s] + 1e-6
+    again = mixing.mix_sources(df.repartition(7), block=block).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    mixed = mixing.mixed_documents(df, block=16)
-    assert mixed.where(F.col("doc_id").isNotNull()).count() == sum(r["copies"] * r["n_rows"] for r in got if r["doc_id"] is not None)
-    assert mixing.mix_sources(docs(spark, [])).count() == 0
+    each = mixing.each_row(mixing.mix_sources(df, block=block), repeats=7).collect()
+    assert len(each) == len(rows)
+    for s in sizes:
+        assert sum(r["taken"] for r in each if r["source"] == s) == sum((r["copies"] * r["n_rows"] + r["extra"]) * r["size"] for r in got if r["source"] == s)
+    mixed = mixing.mixed_documents(df.repartition(5), block=block)
+    counts = {(r["doc_id"], r["source"]): r["n"] for r in mixed.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    planned = {}
+    for r in got:
+        n = r["copies"] * r["n_rows"] + r["extra"]
+        if n:
+            planned[r["doc_id"], r["source"]] = planned.get((r["doc_id"], r["source"]), 0) + n
+    assert counts == planned and mixed.columns == [*df.columns, "copy_no"]
+
+
+def test_mix_meets_its_targets(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), None, rng.choice(["a", "a", "a", "a", "b", "Z", "é", None]), None) for i in range(900)]
+    rows += [(5000, "one two", None, "a", None)] * 3 + [(None, "one two three", None, "b", None), (5001, None, None, "b", None)]
+    check_mix(spark, rows)
+    assert mixing.mix_sources(docs(spark, [])).count() == 0 and mixing.mixed_documents(docs(spark, [])).count() == 0
+
+
+def test_mix_of_hot_repeats(spark):
+    fifty = " ".join(["w"] * 50)
+    rows = [(i, fifty, None, "a", None) for i in range(100)] + [(1_000, fifty, None, "a", None)] * 300 + [(2_000 + i, fifty, None, "b", None) for i in range(200)]
+    check_mix(spark, rows)
+    check_mix(spark, [(1, " ".join(["w"] * 9), None, None, None)] * 41)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(17)
+    sizes = {f"s{i:03}": rng.choice([0, 1, 5, 50, 4000]) * rng.randint(1, 9) for i in range(211)}
+    df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n_units long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+    want = brute_targets(sizes)
+    assert all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in sizes)
 
 
 # --- op 8
