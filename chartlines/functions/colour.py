@@ -76,8 +76,8 @@ def default_palette(categories: DataFrame, *keys: str) -> DataFrame:
 
 
 def cycled_palette(categories: DataFrame, palette: DataFrame, *keys: str) -> DataFrame:
-    """Colours of palette (place from 0, colour) given in turn to categories sorted by name; palette is a short list."""
+    """Colours of palette (place from 0, colour) given in turn to categories sorted by name."""
     size = palette.agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("category")) - 1
     numbered = categories.withColumn("i", place).join(F.broadcast(size), how="left").withColumn("place", F.pmod("i", "n"))
-    return numbered.join(F.broadcast(palette.limit(10_000)), "place", "left").drop("i", "n", "place")
+    return numbered.join(palette, "place", "left").drop("i", "n", "place")

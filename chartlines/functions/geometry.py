@@ -156,6 +156,7 @@ def flips(df: DataFrame, width: float, height: float) -> DataFrame:
 
 
 def random_swap(df: DataFrame, *keys: str, seed: int = 0) -> DataFrame:
-    """Ends swapped for about half of the segments, chosen by a hash of the keys."""
-    swap = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(2)) == 1
+    """Ends swapped for about half of the segments, chosen by a hash of the keys that any engine can repeat: the first 12 hex digits of md5(keys:seed)."""
+    digits = F.substring(F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys), F.lit(str(seed)))), 1, 12)
+    swap = F.conv(digits, 16, 10).cast("long") < (1 << 47)
     return df.withColumns({a: F.when(swap, F.col(b)).otherwise(F.col(a)) for a, b in zip(COORDS, ("x2", "y2", "x1", "y1"), strict=True)})

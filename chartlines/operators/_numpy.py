@@ -70,6 +70,25 @@ def end_costs(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     raise ValueError(f"no such cost: {kind}")
 
 
+def least_sampled_gaps(rows: np.ndarray, step: float, least: int, most: int) -> np.ndarray:
+    """Smallest distance between the sample points of two segments, for each row of eight coordinates.
+
+    The points of the second stand on a line, so the one nearest to a point of the first
+    is the one nearest to its foot: one look for each point of the first.
+    """
+    start, d = rows[:, [0, 1, 4, 5]].reshape(-1, 2, 2), (rows[:, [2, 3, 6, 7]] - rows[:, [0, 1, 4, 5]]).reshape(-1, 2, 2)
+    size = np.hypot(d[:, :, 0], d[:, :, 1])
+    points = np.where(size < 1e-9, 1, np.clip(np.ceil(size / step), least, most)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(points[:, 0])[:-1]])
+    of = np.repeat(np.arange(len(rows)), points[:, 0])
+    t = (np.arange(len(of)) - first[of]) / np.maximum(points[of, 0] - 1, 1)
+    rel = start[of, 0] + d[of, 0] * t[:, None] - start[of, 1]
+    last = np.maximum(points[of, 1] - 1, 1)
+    foot = (rel * d[of, 1]).sum(1) / np.maximum(size[of, 1] ** 2, 1e-18)
+    u = np.clip(np.rint(foot * last), 0, points[of, 1] - 1) / last
+    return np.sqrt(np.minimum.reduceat(((rel - d[of, 1] * u[:, None]) ** 2).sum(1), first))
+
+
 def suppress(lines: np.ndarray, scores: np.ndarray, limit: float, kind: str = "mean_ends") -> np.ndarray:
     """Places of the lines kept: best score first, those nearer than limit to a kept one are dropped."""
     order, kept = np.lexsort((np.arange(len(scores)), -scores)), []
@@ -101,43 +120,47 @@ def collinear_suppress(lines: np.ndarray, scores: np.ndarray, angle: float, gap:
     return np.sort(np.array(kept, np.int64))
 
 
-def clip_collinear(lines: np.ndarray, scores: np.ndarray, tol: float, do_clip: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def _off_axis(line: np.ndarray, points: np.ndarray) -> float:
+    """Largest squared distance of points from the straight line through both ends of line."""
+    d = line[1] - line[0]
+    rel = points - line[0]
+    return float(((rel[:, 0] * d[1] - rel[:, 1] * d[0]) ** 2).max() / max(float(d @ d), 1e-9)) if d.any() else float((rel**2).sum(1).max())
+
+
+def clip_collinear(lines: np.ndarray, scores: np.ndarray, near: float, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Kept lines, best first, trimmed where they run along an earlier one; places of the kept lines and their coordinates.
 
-    A line whose ends lie within tol of a kept line's axis is dropped if its shadow is
-    covered by the kept line or covers it, and trimmed to the free part if they overlap in part.
+    Two lines run together if the ends of one of them lie within `near` of the other's
+    axis. The earlier one's shadow on a new line, widened by slack (a share of the new
+    line's length) at both ends, takes away what it covers: all of it (the line is
+    dropped), or one end (it is trimmed). A shadow inside the new line leaves it whole.
     """
     out, places = [], []
     for i in np.lexsort((np.arange(len(scores)), -scores)):
-        p = lines[i].reshape(2, 2).astype(float)
-        size, drop = max(float(np.hypot(*(p[1] - p[0]))), 1e-9), False
+        line = lines[i].reshape(2, 2).astype(float)
+        d = line[1] - line[0]
+        free = [0.0, 1.0]
         for kept in out:
-            a, b = kept
-            length = max(float(np.hypot(*(b - a))), 1e-9)
-            unit = (b - a) / length
-            rel = p - a
-            if np.abs(rel[:, 0] * unit[1] - rel[:, 1] * unit[0]).max() > tol:
+            if min(_off_axis(line, kept), _off_axis(kept, line)) > near**2:
                 continue
-            t = rel @ unit
-            lo, hi = t.min(), t.max()
-            if hi <= 0 or lo >= length:
+            shadow = np.sort((kept - line[0]) @ d / max(float(d @ d), 1e-9)) + [-slack, slack]
+            if (free[0] < shadow[0] and shadow[1] < free[1]) or shadow[1] < free[0] or shadow[0] > free[1]:
                 continue
-            if (lo >= -tol and hi <= length + tol) or (lo <= 0 and hi >= length) or not do_clip:
-                drop = True
+            covers_start, covers_end = shadow[0] <= free[0], free[1] <= shadow[1]
+            free = [shadow[1] if covers_start else free[0], shadow[0] if covers_end else free[1]]
+            if free[0] >= free[1]:
                 break
-            inner = int(np.argmax(t)) if lo < 0 else int(np.argmin(t))
-            p[inner] = a if lo < 0 else b
-        if not drop and np.hypot(*(p[1] - p[0])) > min(tol, size):
-            out.append(p)
+        if free[0] < free[1]:
+            out.append(line[0] + d * np.array(free)[:, None])
             places.append(i)
     return np.array(places, np.int64), np.array(out).reshape(-1, 4)
 
 
 def near_copies(lines: np.ndarray, eps: float) -> np.ndarray:
-    """Places kept when each line equal to an earlier kept one within eps in all coordinates is dropped."""
+    """Places kept when each line within eps of an earlier kept one, by the norm of all four differences, is dropped."""
     kept: list[int] = []
     for i in range(len(lines)):
-        if not kept or not (np.abs(lines[kept] - lines[i]).max(1) < eps).any():
+        if not kept or (((lines[kept] - lines[i]) ** 2).sum(1) > eps**2).all():
             kept.append(i)
     return np.array(kept, np.int64)
 

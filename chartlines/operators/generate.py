@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartlines.operators.reshaping import style_draw
+
 
 def synthetic_sets(ids: DataFrame, seed: int = 0, n_rows: str = "n_rows", n_columns: str = "n_columns", n_categories: str = "n_categories") -> DataFrame:
     """dataset_id, row_id, column_name, value, category for each row of ids (dataset_id, n_rows, n_columns, n_categories).
@@ -34,10 +36,6 @@ def synthetic_sets(ids: DataFrame, seed: int = 0, n_rows: str = "n_rows", n_colu
 
 
 def drawn_sizes(ids: DataFrame, shares: DataFrame, name: str, seed: int = 0) -> DataFrame:
-    """ids with a column drawn from shares (value, share; a short list) by a hash of dataset_id."""
-    from pyspark.sql import Window
-
-    upto = shares.limit(10_000).select("value", F.sum("share").over(Window.orderBy("value")).alias("hi"), "share").withColumn("lo", F.col("hi") - F.col("share"))
-    u = F.pmod(F.xxhash64("dataset_id", F.lit(name), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    met = ids.withColumn("_u", u).join(F.broadcast(upto), (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")), "left")
-    return met.withColumn(name, F.col("value")).drop("_u", "value", "lo", "hi", "share")
+    """ids with a column drawn from shares (value, share: one row for each size) by a hash of dataset_id and name."""
+    drawn = style_draw(ids.withColumn("_key", F.concat_ws("/", "dataset_id", F.lit(name))), "_key", shares.select("value", F.col("share").alias("weight")), seed)
+    return ids.withColumn("_key", F.concat_ws("/", "dataset_id", F.lit(name))).join(drawn.distinct().withColumnRenamed("value", name), "_key", "left").drop("_key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chartlines.functions.colour import circular_distance
 from chartlines.functions.geometry import distance
+from chartlines.functions.keys import base_key, image_id
 from chartlines.operators.units import each_unit
 
 
@@ -28,12 +31,28 @@ def hsv_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.sqrt(circular_distance(a["h"], b["h"]) ** 2 + (a["s"] - b["s"]) ** 2 + (a["v"] - b["v"]) ** 2)
 
 
+#: Rows of a small side that are broadcast at a time; a larger one takes more passes over the other side.
+BROADCAST_ROWS = 10_000
+
+
+def in_blocks(small: DataFrame, most: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """small in parts of about `most` rows, each fit for a broadcast."""
+    parts = max(1, -(-small.count() // most))
+    of = F.pmod(F.xxhash64(*[small[c] for c in small.columns]), F.lit(parts))
+    return [small] if parts == 1 else [small.where(of == i) for i in range(parts)]
+
+
 def nearest_colour(rows: DataFrame, colours: DataFrame, keys: list[str], row_id: list[str], tolerance: float = 0.1) -> DataFrame:
     """rows with category, colour_distance and within_tol of the nearest colour (category, h, s, v) with the same keys; ties by name."""
     c = colours.select(*keys, "category", *(F.col(x).alias(f"c_{x}") for x in "hsv"))
     gap = hsv_distance({x: F.col(x) for x in "hsv"}, {x: F.col(f"c_{x}") for x in "hsv"})
-    met = rows.drop("category").join(c, keys) if keys else rows.drop("category").join(F.broadcast(c.limit(10_000)), how="left")
-    found = best_row(met.withColumn("colour_distance", gap), row_id, F.asc("colour_distance"), F.asc("category"))
+    best = lambda met: best_row(met.withColumn("colour_distance", gap), row_id, F.asc("colour_distance"), F.asc("category"))
+    bare = rows.drop("category")
+    if keys:
+        found = best(bare.join(c, keys))
+    else:
+        parts = [best(bare.join(F.broadcast(block), how="left")) for block in in_blocks(c)]
+        found = parts[0] if len(parts) == 1 else best_row(reduce(DataFrame.unionByName, parts), row_id, F.asc_nulls_last("colour_distance"), F.asc("category"))
     return found.withColumn("within_tol", F.col("colour_distance") <= tolerance).drop("c_h", "c_s", "c_v")
 
 
@@ -64,28 +83,95 @@ def segment_colour(segments: DataFrame, pixels: DataFrame) -> DataFrame:
     return seen.groupBy("unit", "line_id").agg(*(F.avg(F.coalesce(c, F.lit(0))).alias(c) for c in "rgb"))
 
 
+def nearest_value(rows: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, v, row) with near, the point (keys, v, point) of the nearest v with their keys, and gap, the distance; on ties the smaller point. Null both where there is none.
+
+    Both sides are sorted together by v: the nearest point is the last one up to a row
+    or the first one from it on, so no pairs are formed.
+    """
+    once = points.where(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.min("point").alias("point"))
+    both = rows.withColumn("p", F.lit(None).cast(_struct_of(once))).unionByName(once.select(*keys, "v", F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.struct("v", "point").alias("p")))
+    upto = Window.partitionBy(*keys).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("below", F.last("p", ignorenulls=True).over(upto.orderBy("v"))).withColumn("above", F.last("p", ignorenulls=True).over(upto.orderBy(F.desc("v"))))
+    of = lambda c: F.when(F.col(c).isNotNull() & F.col("v").isNotNull(), F.struct(F.abs(F.col(f"{c}.v") - F.col("v")).alias("gap"), F.col(f"{c}.point").alias("point")))
+    best = seen.where(F.col("row").isNotNull()).withColumn("_b", F.least(of("below"), of("above")))
+    return best.select(*keys, "v", "row", F.col("_b.point").alias("near"), F.col("_b.gap").alias("gap"))
+
+
+def _struct_of(points: DataFrame):
+    return points.select(F.struct("v", "point").alias("p")).schema["p"].dataType
+
+
 def stitch(segments: DataFrame, crops: int, threshold: float = 5.0, keep_all: bool = False, carry: bool = False) -> DataFrame:
-    """Long paths image_id, category, path_id, crop_id, y1, y2, match_dist from crop 0 on.
+    """Long paths image_id, category, unit, path_id, crop_id, y1, y2, match_dist from crop 0 on.
 
     Each path goes on with the segment of the next crop whose start is nearest to its
-    end (ties to the smaller line_id), within threshold; segments may serve many
+    end (ties to the smaller unit and line_id), within threshold; segments may serve many
     paths. A path without one ends and is dropped, or with keep_all goes on with
     null, or with carry from its last value.
     """
     keys = ["image_id", "category"]
     first = segments.where(F.col("crop_id") == 0)
-    paths = first.select(*keys, F.struct("unit", "line_id").alias("path_id"), F.col("y2").alias("end"), F.array(F.struct(F.lit(0).alias("crop_id"), "y1", "y2", F.lit(0.0).alias("match_dist"))).alias("parts"))
+    begun = F.array(F.struct(F.lit(0).alias("crop_id"), "y1", "y2", F.lit(0.0).alias("match_dist")))
+    paths = first.select(*keys, F.col("y2").alias("v"), F.struct("unit", F.col("line_id").alias("path_id"), begun.alias("parts")).alias("row"))
     for crop in range(1, crops):
-        ahead = segments.where(F.col("crop_id") == crop).select(*keys, F.col("line_id").alias("_l"), F.col("unit").alias("_u"), F.col("y1").alias("_y1"), F.col("y2").alias("_y2"))
-        met = paths.join(ahead, keys, "left").withColumn("_d", F.abs(F.col("_y1") - F.col("end")))
-        near = F.min(F.when(F.col("_d") <= threshold, F.struct("_d", "_u", "_l", "_y1", "_y2"))).alias("n")
-        step = met.groupBy(*keys, "path_id").agg(near, F.first("end").alias("end"), F.first("parts").alias("parts"))
+        ahead = segments.where(F.col("crop_id") == crop).select(*keys, F.col("y1").alias("v"), F.struct("unit", "line_id", "y1", "y2").alias("point"))
+        met = nearest_value(paths, ahead, keys).withColumn("ok", F.coalesce(F.col("gap") <= threshold, F.lit(False)))
         if not keep_all:
-            step = step.where(F.col("n").isNotNull())
-        flat = F.when(F.lit(carry), F.col("end"))
-        part = F.struct(F.lit(crop).alias("crop_id"), F.coalesce("n._y1", flat).alias("y1"), F.coalesce("n._y2", flat).alias("y2"), F.col("n._d").alias("match_dist"))
-        paths = step.select(*keys, "path_id", F.coalesce("n._y2", flat).alias("end"), F.concat("parts", F.array(part)).alias("parts"))
-    return paths.select(*keys, "path_id", F.explode("parts").alias("p")).select(*keys, F.col("path_id.unit").alias("unit"), F.col("path_id.line_id").alias("path_id"), "p.*")
+            met = met.where("ok")
+        flat = F.when(F.lit(carry), F.col("v"))
+        end, start = F.when(F.col("ok"), F.col("near.y2")).otherwise(flat), F.when(F.col("ok"), F.col("near.y1")).otherwise(flat)
+        part = F.struct(F.lit(crop).alias("crop_id"), start.alias("y1"), end.alias("y2"), F.when(F.col("ok"), F.col("gap")).alias("match_dist"))
+        paths = met.select(*keys, end.alias("v"), F.struct("row.unit", "row.path_id", F.concat("row.parts", F.array(part)).alias("parts")).alias("row"))
+    return paths.select(*keys, "row.unit", "row.path_id", F.explode("row.parts").alias("p")).select(*keys, "unit", "path_id", "p.*")
+
+
+def stitch_branching(segments: DataFrame, crops: int, threshold: float = 5.0, births: bool = True) -> DataFrame:
+    """Long paths image_id, category, unit, path_id, crop_id, y1, y2: one for each segment of the last crop, named after it.
+
+    Each segment of a crop goes on from the path of the crop before whose end is nearest
+    to its start (ties to the smaller unit and line_id), within threshold; paths may branch. One without
+    such a path begins a new one, null in the crops before, or is dropped without births.
+    """
+    keys = ["image_id", "category"]
+    named = lambda crop: segments.where(F.col("crop_id") == crop)
+    begun = lambda crop: F.struct(F.lit(crop).alias("crop_id"), "y1", "y2")
+    paths = named(0).select(*keys, F.col("y2").alias("v"), F.struct("unit", "line_id", F.array(begun(0)).alias("parts")).alias("point"))
+    for crop in range(1, crops):
+        here = named(crop).select(*keys, F.col("y1").alias("v"), F.struct("unit", "line_id", begun(crop).alias("part")).alias("row"))
+        met = nearest_value(here, paths, keys).withColumn("ok", F.coalesce(F.col("gap") <= threshold, F.lit(False)))
+        if not births:
+            met = met.where("ok")
+        none = F.array(*[F.struct(F.lit(k).alias("crop_id"), F.lit(None).cast("double").alias("y1"), F.lit(None).cast("double").alias("y2")) for k in range(crop)])
+        parts = F.concat(F.when(F.col("ok"), F.col("near.parts")).otherwise(none), F.array("row.part"))
+        paths = met.select(*keys, F.col("row.part.y2").alias("v"), F.struct("row.unit", "row.line_id", parts.alias("parts")).alias("point"))
+    return paths.select(*keys, "point.unit", F.col("point.line_id").alias("path_id"), F.explode("point.parts").alias("p")).select(*keys, "unit", "path_id", "p.*")
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame, name: Column) -> DataFrame:
+    """rows with the columns of metadata (base and others) of the base key of their name; null where there is none."""
+    return rows.withColumn("_base", base_key(name)).join(metadata.withColumnRenamed("base", "_base"), "_base", "left").drop("_base")
+
+
+def by_image_entry(rows: DataFrame, entries: DataFrame, name: Column, order: str) -> DataFrame:
+    """rows with the first entry (name, order and others), by order, of the image in their name; rows without one are dropped."""
+    first = best_row(entries.withColumn("_image", image_id(F.col("name"))).where(F.col("_image").isNotNull()), ["_image"], F.asc(order))
+    return rows.withColumn("_image", image_id(name)).join(first.drop("name"), "_image").drop("_image")
+
+
+def category_of_stroke(rows: DataFrame, colours: DataFrame, missing: str = "unknown") -> DataFrame:
+    """rows (r, g, b) with the category of the first colour (place, category, r, g, b) equal to theirs, else `missing`."""
+    first = colours.groupBy("r", "g", "b").agg(F.min_by("category", "place").alias("category"))
+    return rows.drop("category").join(first, ["r", "g", "b"], "left").withColumn("category", F.coalesce("category", F.lit(missing)))
+
+
+def category_of_midpoint(segments: DataFrame, pixels: DataFrame, ranges: DataFrame, keys: list[str], margin: int = 5) -> DataFrame:
+    """segments with cluster of the first range (keys, cluster, lo, hi) that holds the hue of the pixel under their midpoint; those without one are dropped. A pixel given several times counts for its first range."""
+    mid = lambda a, b: ((F.col(a).cast("long") + F.col(b).cast("long")) / 2).cast("long")
+    spot = segments.withColumn("_y", mid("y1", "y2")).withColumn("_x", mid("x1", "x2"))
+    seen = pixels.select(*keys, F.col("y").cast("long").alias("_y"), F.col("x").cast("long").alias("_x"), "h").distinct()
+    met = spot.join(seen, [*keys, "_y", "_x"]).join(ranges.select(*keys, "cluster", "lo", "hi"), keys).where(F.col("h").between(F.col("lo") - margin, F.col("hi") + margin))
+    return met.groupBy(*segments.columns).agg(F.min("cluster").alias("cluster"))
 
 
 def stitch_with_limit(segments: DataFrame, threshold: float = 5.0, max_reuse: int = 1) -> DataFrame:

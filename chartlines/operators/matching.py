@@ -24,24 +24,51 @@ def pairs(pred: DataFrame, gt: DataFrame, cost: Callable[[dict, dict], Column],
     return (met if limit is None else met.where(F.col("cost") <= limit)).select(*keys, "p", "score", "g", "cost")
 
 
-def nearest_first_hit(pred: DataFrame, gt: DataFrame, tau: float, kind: str = "squared") -> DataFrame:
+def nearest_truth(pred: DataFrame, gt: DataFrame, kind: str | Callable[[dict, dict], Column] = "squared") -> DataFrame:
+    """pred with g, cost (the nearest truth of its unit, ties to the smaller line_id) and rival: the least cost at which a better scored prediction has the same nearest truth.
+
+    One shuffle of each side by unit serves the join, the choice and the ranking. A
+    unit without truth has null g and cost. Segments with a null coordinate have no truth.
+    """
+    cost = kind if callable(kind) else lambda a, b: pair_cost(kind, a, b)
+    others = [c for c in pred.columns if c not in ("unit", "line_id", "score")]
+    p = pred.select("unit", "line_id", "score", F.struct(*others).alias("_row"), *(F.col(c).alias(f"p_{c}") for c in COORDS))
+    g = gt.select("unit", F.col("line_id").alias("g"), *(F.col(c).alias(f"g_{c}") for c in COORDS))
+    met = p.join(g, "unit", "left").withColumn("cost", cost(seg("p_"), seg("g_")))
+    best = met.groupBy("unit", "line_id", "score").agg(F.first("_row").alias("_row"), F.min(F.when(F.col("cost").isNotNull(), F.struct("cost", "g"))).alias("_b"))
+    above = Window.partitionBy("unit", "_b.g").orderBy(F.desc("score"), "line_id").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = best.withColumn("rival", F.min("_b.cost").over(above))
+    return ranked.select(*(f"_row.{c}" if c in others else c for c in pred.columns), F.col("_b.g").alias("g"), F.col("_b.cost").alias("cost"), "rival")
+
+
+def hit(tau: Column | float) -> Column:
+    """Of rows of nearest_truth: whether the truth lies under tau and no better scored prediction hit it."""
+    return (F.col("cost") < tau) & (F.col("rival").isNull() | (F.col("rival") >= tau))
+
+
+def nearest_first_hit(pred: DataFrame, gt: DataFrame, tau: float, kind: str | Callable[[dict, dict], Column] = "squared") -> DataFrame:
     """pred with tp: its nearest truth (ties to the smaller line_id) lies under tau and no better scored prediction hit it.
 
     A prediction whose nearest truth is taken is false even if another one is in
     reach. A unit without truth has only false predictions.
     """
-    best = pairs(pred, gt, lambda a, b: pair_cost(kind, a, b)).groupBy("unit", "p").agg(F.min_by("g", F.struct("cost", "g")).alias("g"), F.min("cost").alias("cost"))
-    near = best.where(F.col("cost") < tau).select("unit", F.col("p").alias("line_id"), "g")
-    marked = pred.join(near, ["unit", "line_id"], "left")
-    turn = F.row_number().over(Window.partitionBy("unit", "g").orderBy(F.desc("score"), "line_id"))
-    return marked.withColumn("tp", (F.col("g").isNotNull() & (turn == 1)).cast("int")).drop("g")
-
-
-def sampled_cost(a: dict, b: dict, samples: int = 12) -> Column:
-    """Smallest distance between points sampled along both segments in equal steps."""
-    at = lambda s, i, c: s[f"{c}1"] + (s[f"{c}2"] - s[f"{c}1"]) * (i / (samples - 1))
-    gaps = [(at(a, i, "x") - at(b, i, "x")) ** 2 + (at(a, i, "y") - at(b, i, "y")) ** 2 for i in range(samples)]
-    return F.sqrt(F.least(*gaps))
+    near = nearest_truth(pred, gt, kind)
+    return near.select(*pred.columns, F.coalesce(hit(tau), F.lit(False)).cast("int").alias("tp"))
+
+
+def sampled_cost(a: dict, b: dict, step: float = 3.0, least: int = 5, most: int = 200) -> Column:
+    """Smallest distance between any two of the points sampled along both segments, about `step` apart, `least` to `most` of each; null if a coordinate is."""
+
+    @F.pandas_udf("double")
+    def cost(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series, u1: pd.Series, v1: pd.Series, u2: pd.Series, v2: pd.Series) -> pd.Series:
+        rows = np.stack([c.to_numpy(float) for c in (x1, y1, x2, y2, u1, v1, u2, v2)], 1)
+        out = np.full(len(rows), np.nan)
+        good = ~np.isnan(rows).any(1)
+        if good.any():
+            out[good] = N.least_sampled_gaps(rows[good], step, least, most)
+        return pd.Series(out).where(good, None)
+
+    return cost(*(s[c] for s in (a, b) for c in COORDS))
 
 
 def _matched(candidates: DataFrame, choose, order: list) -> DataFrame:

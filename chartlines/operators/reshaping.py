@@ -124,9 +124,19 @@ def spaced_values(rows: DataFrame, key: str, value: str, gap: float) -> DataFram
 
 
 def style_draw(plots: DataFrame, key: str, choices: DataFrame, seed: int = 0) -> DataFrame:
-    """key, value drawn by the weights of choices (value, weight; a short list) from a hash of key."""
-    w = Window.orderBy("value")
-    total = F.sum("weight").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    upto = choices.limit(10_000).select("value", ((F.sum("weight").over(w) - F.col("weight")) / total).alias("lo"), (F.sum("weight").over(w) / total).alias("hi"))
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    return plots.select(key, u.alias("_u")).join(F.broadcast(upto), (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))).select(key, "value")
+    """key, value drawn by the weights of choices (value, weight: the options of a style, one row each) from a hash of key that any engine can repeat: the first 12 digits of md5(key:seed)."""
+    options = choices.agg(F.array_sort(F.collect_list(F.struct("value", F.col("weight").cast("double").alias("weight")))).alias("_o"))
+    total = F.aggregate("_o", F.lit(0.0), lambda a, o: a + o["weight"])
+    pick = F.aggregate(
+        "_o",
+        F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast(choices.schema["value"].dataType).alias("value"), F.lit(False).alias("done")),
+        lambda a, o: F.when(a["done"], a).otherwise(F.struct((a["sum"] + o["weight"]).alias("sum"), o["value"].alias("value"), (F.col("_u") * F.col("_t") < a["sum"] + o["weight"]).alias("done"))),
+        lambda a: a["value"],
+    )
+    u = md5_share(F.col(key), seed)
+    return plots.select(key, u.alias("_u")).join(F.broadcast(options.withColumn("_t", total)), how="left").select(key, pick.alias("value"))
+
+
+def md5_share(key: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) from the first 12 hex digits of md5(key:seed)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))

@@ -70,3 +70,13 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def ctes(**tables: str) -> str:
     """WITH clause that names the given derivations, for DuckDB."""
     return "WITH " + ", ".join(f"{n} AS ({s.replace('{lineitem}', 'lineitem')})" for n, s in tables.items()) + "\n"
+
+
+def kept_sql(rows: str, near: str, order: str) -> str:
+    """SQL tables nl and kept (unit, line_id) for WITH RECURSIVE: lines of `rows` taken one after another in order, each taking out those for which near (of a and b) holds."""
+    return f"""ko AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY {order}) AS o FROM {rows}),
+nl AS MATERIALIZED (SELECT a.unit, a.line_id, a.o, list(b.line_id) AS near FROM ko a JOIN ko b ON a.unit = b.unit AND ({near}) GROUP BY ALL),
+kr AS (SELECT DISTINCT unit, []::BIGINT[] AS ids, []::BIGINT[] AS dead FROM nl UNION ALL
+  SELECT kr.unit, list_append(any_value(ids), arg_min(nl.line_id, nl.o)), list_concat(any_value(dead), arg_min(nl.near, nl.o)) FROM kr JOIN nl ON nl.unit = kr.unit WHERE NOT list_contains(dead, nl.line_id) GROUP BY kr.unit),
+kept AS (SELECT DISTINCT unit, unnest(ids) AS line_id FROM kr)
+"""

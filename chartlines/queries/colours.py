@@ -123,4 +123,4 @@ def c4_c5_colour_centres(spark, sf):
 @query()
 def c10_vertical_axes(spark, sf):
     dark = derived(spark, sf, PIXELS).where("v < 60")
-    return P.vertical_axes(dark, 0.4, 20, 256)
+    return P.vertical_axes(dark, 0.4, 20)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from chartlines.functions import geometry as G
 from chartlines.operators import matching as M
-from chartlines.operators import metrics, precision
+from chartlines.operators import chains, metrics, precision
 from chartlines.operators._numpy import end_costs
-from chartlines.plans.canonical import GT, MASK, PRED, ctes, derived
+from chartlines.plans.canonical import GT, MASK, PRED, ctes, derived, kept_sql
 from chartlines.queries import query
 
 _O = "CASE WHEN x1 > x2 OR (x1 = x2 AND y1 > y2) THEN {a} ELSE {b} END AS {b}"
@@ -42,16 +42,50 @@ def m2_midpoint_first_hit(spark, sf):
     return M.nearest_first_hit(*_tables(spark, sf), 6.0, "midpoint").select("unit", "line_id", "tp")
 
 
-@query(ctes(gt=GT, pred=PRED) + f", {_P}" + """
-, i AS (SELECT CAST(unnest(range(12)) AS DOUBLE) AS i)
-SELECT p.unit, p.line_id AS p, g.line_id AS g, round(sqrt(min(((p.x1+(p.x2-p.x1)*(i/11))-(g.x1+(g.x2-g.x1)*(i/11)))*((p.x1+(p.x2-p.x1)*(i/11))-(g.x1+(g.x2-g.x1)*(i/11))) + ((p.y1+(p.y2-p.y1)*(i/11))-(g.y1+(g.y2-g.y1)*(i/11)))*((p.y1+(p.y2-p.y1)*(i/11))-(g.y1+(g.y2-g.y1)*(i/11))))), 5) AS cost
-FROM p JOIN gt g ON p.unit = g.unit CROSS JOIN i GROUP BY ALL
-""")
+_N = "CASE WHEN {l} < 1e-9 THEN 1 ELSE greatest(5, least(200, CAST(ceil({l} / 3) AS INT))) END"
+_SAMPLED = f""", {_P}, k AS (SELECT p.unit, p.line_id AS p, p.score, g.line_id AS g, p.x1 AS ax, p.y1 AS ay, p.x2 - p.x1 AS adx, p.y2 - p.y1 AS ady, g.x1 AS bx, g.y1 AS by_, g.x2 - g.x1 AS bdx, g.y2 - g.y1 AS bdy FROM p JOIN gt g ON p.unit = g.unit),
+kn AS (SELECT *, {_N.format(l='sqrt(adx*adx+ady*ady)')} AS n, {_N.format(l='sqrt(bdx*bdx+bdy*bdy)')} AS m FROM k),
+s AS (SELECT *, unnest(list_transform(range(n), lambda i: ax + adx * (CASE WHEN n > 1 THEN i / (n - 1.0::DOUBLE) ELSE 0 END))) AS x, unnest(list_transform(range(n), lambda i: ay + ady * (CASE WHEN n > 1 THEN i / (n - 1.0::DOUBLE) ELSE 0 END))) AS y FROM kn),
+f AS (SELECT *, CASE WHEN m > 1 THEN least(greatest(floor(((x-bx)*bdx+(y-by_)*bdy)/(bdx*bdx+bdy*bdy)*(m-1)), 0), m-1)/(m-1) ELSE 0 END AS t0, CASE WHEN m > 1 THEN least(greatest(ceil(((x-bx)*bdx+(y-by_)*bdy)/(bdx*bdx+bdy*bdy)*(m-1)), 0), m-1)/(m-1) ELSE 0 END AS t1 FROM s),
+c AS (SELECT unit, p AS line_id, score, g, sqrt(min(least((x-bx-bdx*t0)*(x-bx-bdx*t0)+(y-by_-bdy*t0)*(y-by_-bdy*t0), (x-bx-bdx*t1)*(x-bx-bdx*t1)+(y-by_-bdy*t1)*(y-by_-bdy*t1)))) AS cost FROM f GROUP BY ALL)
+"""
+
+
+@query(ctes(gt=GT, pred=PRED) + _SAMPLED + "SELECT unit, line_id AS p, g, round(cost, 5) AS cost FROM c")
 def m2_sampled_cost(spark, sf):
     return M.pairs(*_tables(spark, sf), M.sampled_cost).select("unit", "p", "g", F.round("cost", 5).alias("cost"))
 
 
-@query()
+@query(ctes(gt=GT, pred=PRED) + _SAMPLED + """, r AS (SELECT unit, line_id, g, round(cost, 9) AS cost FROM c), n AS (SELECT unit, line_id, arg_min(g, (cost, g)) AS g, min(cost) AS cost FROM r GROUP BY unit, line_id)
+SELECT p.unit, p.line_id, CASE WHEN n.g IS NOT NULL AND row_number() OVER (PARTITION BY p.unit, n.g ORDER BY p.score DESC, p.line_id) = 1 THEN 1 ELSE 0 END AS tp FROM p LEFT JOIN n ON n.unit = p.unit AND n.line_id = p.line_id AND n.cost < 3""")
+def m2_sampled_first_hit(spark, sf):
+    cost = lambda a, b: F.round(M.sampled_cost(a, b), 9)
+    return M.nearest_first_hit(*_tables(spark, sf), 3.0, cost).select("unit", "line_id", "tp")
+
+
+_D = {f"{i}{j}": f"sqrt((p.x{i}-g.x{j})*(p.x{i}-g.x{j})+(p.y{i}-g.y{j})*(p.y{i}-g.y{j}))" for i in (1, 2) for j in (1, 2)}
+_MEAN_ENDS = f"least({_D['11']}+{_D['22']}, {_D['12']}+{_D['21']}) / 2"
+_L1 = {f"{i}{j}": f"abs(p.x{i}-g.x{j})+abs(p.y{i}-g.y{j})" for i in (1, 2) for j in (1, 2)}
+_ENDS_MAE = f"least({_L1['11']}+{_L1['22']}, {_L1['12']}+{_L1['21']}) / 4"
+
+
+def _chosen(pairs: str, order: str) -> str:
+    """SQL table z (unit, p, g, cost and the rest of pairs): pairs of a unit taken one after another in order, if both sides are still free."""
+    return "WITH RECURSIVE " + ctes(gt=GT, pred=PRED)[5:] + f""", {_P}, c AS ({pairs}), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY {order}) AS o FROM c),
+r AS (SELECT DISTINCT unit, []::BIGINT[] AS ps, []::BIGINT[] AS gs, []::BIGINT[] AS os FROM o UNION ALL
+  SELECT r.unit, list_append(any_value(ps), arg_min(o.p, o.o)), list_append(any_value(gs), arg_min(o.g, o.o)), list_append(any_value(os), min(o.o)) FROM r JOIN o ON o.unit = r.unit WHERE NOT list_contains(ps, o.p) AND NOT list_contains(gs, o.g) GROUP BY r.unit),
+z AS (SELECT o.* FROM o SEMI JOIN (SELECT unit, unnest(os) AS o FROM r) t ON t.unit = o.unit AND t.o = o.o)
+"""
+
+
+def _costs(cost: str, tau: float) -> str:
+    return f"SELECT * FROM (SELECT p.unit, p.line_id AS p, g.line_id AS g, p.score, {cost} AS cost FROM p JOIN gt g ON p.unit = g.unit) WHERE cost <= {tau}"
+
+
+_PAIR = "SELECT unit, p, g, round(cost, 6) AS cost FROM z"
+
+
+@query(_chosen(_costs(_MEAN_ENDS, 10), "cost, p, g") + _PAIR)
 def m3_greedy(spark, sf):
     return M.greedy_match(*_tables(spark, sf), 10.0).withColumn("cost", F.round("cost", 6))
 
@@ -61,12 +95,12 @@ def m4_oriented(spark, sf):
     return M.oriented_match(*_tables(spark, sf), 6.0, 10.0, 0.5).withColumn("cost", F.round("cost", 6))
 
 
-@query()
+@query(_chosen(_costs(_ENDS_MAE, 6), "score DESC, p, cost, g") + _PAIR)
 def m5_sequential(spark, sf):
     return M.sequential_match(*_tables(spark, sf), 6.0).withColumn("cost", F.round("cost", 6))
 
 
-@query()
+@query(_chosen(_costs(_ENDS_MAE, 6), "cost, p, g") + _PAIR)
 def m6_global_greedy(spark, sf):
     return M.greedy_match(*_tables(spark, sf), 6.0, "ends_mae").withColumn("cost", F.round("cost", 6))
 
@@ -76,7 +110,7 @@ def m6_global_optimal(spark, sf):
     return M.optimal_match(*_tables(spark, sf), 6.0, "ends_mae").withColumn("cost", F.round("cost", 6))
 
 
-@query()
+@query(_chosen("SELECT p.unit, p.line_id AS p, g.line_id AS g, abs(p.y1-g.y1) AS a, abs(p.y2-g.y2) AS b, g.y1 AS gy FROM p JOIN gt g ON p.unit = g.unit", "gy, g, a + b, p") + "SELECT unit, p, g, a AS start_error, b AS end_error FROM z")
 def m7_y_greedy(spark, sf):
     return M.y_greedy_match(*_tables(spark, sf))
 
@@ -140,7 +174,7 @@ def _cost_matcher(pred, gt, tau):
     return tp, 1 - tp
 
 
-@query()
+@query(_chosen(_costs(_MEAN_ENDS, 10), "score DESC, p, cost, g") + "SELECT p.unit, p.line_id, CASE WHEN z.p IS NULL THEN 0 ELSE 1 END AS tp FROM p LEFT JOIN z ON z.unit = p.unit AND z.p = p.line_id")
 def x1_user_matcher(spark, sf):
     return M.run_matcher(*_tables(spark, sf), _cost_matcher, 10.0).select("unit", "line_id", "tp")
 
@@ -165,6 +199,41 @@ def a7_mae_report(spark, sf):
     return report.select("image_id", "is_total", "gt_lines", "pred_lines", "matched", "unmatched_gt", "unmatched_pred", *(F.round(c, 6).alias(c) for c in ("mae_start", "mae_end", "mae_all", "mae_y")))
 
 
+@query(ctes(gt=GT, pred=PRED) + f""", {_P}, m AS (SELECT unit, sum(abs(coalesce(g.x1,0)-coalesce(p.x1,0))+abs(coalesce(g.y1,0)-coalesce(p.y1,0))+abs(coalesce(g.x2,0)-coalesce(p.x2,0))+abs(coalesce(g.y2,0)-coalesce(p.y2,0))) AS a, greatest(count(g.line_id), count(p.line_id)) AS n
+FROM (SELECT unit, line_id, x1, y1, x2, y2 FROM gt) g FULL JOIN p USING (unit, line_id) GROUP BY unit)
+SELECT round(sum(a) / (4 * sum(n)), 6) AS mae, sum(n) AS lines FROM m""")
+def a10_simple_mae_total(spark, sf):
+    return metrics.simple_mae_total(*_tables(spark, sf)).withColumn("mae", F.round("mae", 6))
+
+
+@query()
+def a9_strict_and_global(spark, sf):
+    found = metrics.strict_and_global(*_tables(spark, sf), ["image_id", "crop_id", "category"], "image_id", 60.0)
+    return found.select("scope", "image_id", "gt_lines", "pred_lines", "matched", *(F.round(c, 6).alias(c) for c in ("mae_x1", "mae_y1", "mae_x2", "mae_y2", "mae_xy", "mae_y")))
+
+
+@query()
+def a12_merged_crops(spark, sf):
+    pred, gt = (df.withColumn("crop_key", F.concat_ws("_", "image_id", (F.col("crop_id") % 2).cast("string"))) for df in _tables(spark, sf))
+    return chains.merged_crops(pred, gt, "crop_key", 10.0, 1.0, 2.0).select("tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "ap")))
+
+
+_LTR = "SELECT unit, line_id, CASE WHEN x1 > x2 THEN x2 ELSE x1 END AS x1, CASE WHEN x1 > x2 THEN y2 ELSE y1 END AS y1, CASE WHEN x1 > x2 THEN x1 ELSE x2 END AS x2, CASE WHEN x1 > x2 THEN y1 ELSE y2 END AS y2 FROM "
+
+
+@query("WITH RECURSIVE " + ctes(gt0=GT, pred=PRED, mask=MASK)[5:] + f", gt AS ({_LTR} gt0), q AS ({_LTR} pred), w AS (SELECT * FROM q WHERE EXISTS (SELECT 1 FROM mask m WHERE m.unit = q.unit AND m.y = floor(q.y1 / 7) AND m.x = floor(q.x1 / 7)) AND EXISTS (SELECT 1 FROM mask m WHERE m.unit = q.unit AND m.y = floor(q.y2 / 7) AND m.x = floor(q.x2 / 7))), "
+ + kept_sql("w", "(a.x1-b.x1)*(a.x1-b.x1)+(a.y1-b.y1)*(a.y1-b.y1)+(a.x2-b.x2)*(a.x2-b.x2)+(a.y2-b.y2)*(a.y2-b.y2) <= 1", "line_id")
+ + ", p AS (SELECT w.*, 0 AS score FROM w SEMI JOIN kept ON kept.unit = w.unit AND kept.line_id = w.line_id)" + _SAMPLED.replace(f", {_P}", "", 1) + """
+, b AS (SELECT unit, line_id, arg_min(g, (cost, g)) AS g, min(cost) AS cost FROM c GROUP BY unit, line_id),
+h AS (SELECT p.unit, p.line_id, CASE WHEN b.g IS NOT NULL AND row_number() OVER (PARTITION BY p.unit, b.g ORDER BY p.line_id) = 1 THEN 1 ELSE 0 END AS tp FROM p LEFT JOIN b ON b.unit = p.unit AND b.line_id = p.line_id AND b.cost < 10),
+pr AS (SELECT *, sum(tp) OVER v / count(*) OVER v AS pr FROM h WINDOW v AS (PARTITION BY unit ORDER BY line_id ROWS UNBOUNDED PRECEDING)),
+ev AS (SELECT *, max(pr) OVER (PARTITION BY unit ORDER BY line_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM pr),
+ar AS (SELECT unit, sum(tp * env) AS area FROM ev GROUP BY unit), un AS (SELECT unit FROM gt UNION SELECT unit FROM pred), ng AS (SELECT unit, count(*) AS n FROM gt GROUP BY unit)
+SELECT un.unit, round(coalesce(100 * area / n, 0), 4) AS ap FROM un LEFT JOIN ar ON ar.unit = un.unit LEFT JOIN ng ON ng.unit = un.unit""")
+def f8_evaluation_chain(spark, sf):
+    return chains.evaluation_chain(derived(spark, sf, PRED), derived(spark, sf, GT), derived(spark, sf, MASK), 7.0, 10.0, 1.0).select("unit", F.round("ap", 4).alias("ap"))
+
+
 _DIMS = "SELECT DISTINCT image_id, crop_id, unit, 60 AS h, 40 AS w FROM gt"
 _PMASK = "SELECT DISTINCT unit, CAST(floor(y1 / 7) AS BIGINT) AS y, CAST(floor(x1 / 7) AS BIGINT) AS x FROM ({pred}) UNION SELECT unit, CAST(floor(y2 / 7) AS BIGINT), CAST(floor(x2 / 7) AS BIGINT) FROM ({pred})"
 _COUNTS = ", pm AS (" + _PMASK.format(pred="SELECT * FROM pred") + "), dims AS (" + _DIMS + """),

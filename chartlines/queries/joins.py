@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from chartlines.operators import joins as J
 from chartlines.operators import reshaping as R
-from chartlines.plans.canonical import GT, PIXELS, PRED, ctes, derived
-from chartlines.queries import query
+from chartlines.plans.canonical import GT, NAMES, PIXELS, PRED, ctes, derived, source
+from chartlines.queries import colours, query
 
 _COLOURS = "SELECT DISTINCT l_suppkey % 10 AS image_id, concat('c', CAST(l_suppkey % 5 AS VARCHAR(9))) AS category, CAST(l_suppkey % 5 AS DOUBLE) / 5 AS h, 0.6 + CAST(0 AS DOUBLE) AS s, 0.7 + CAST(0 AS DOUBLE) AS v FROM {lineitem}"
 
@@ -85,11 +85,54 @@ def j13_stitch(spark, sf):
     return J.stitch(derived(spark, sf, GT), 3, 30.0)
 
 
-@query()
+_ALL = "SELECT *, coalesce(y2, last) AS e FROM (SELECT n.image_id, n.category, n.unit, n.path_id, n.e AS last, arg_min(s.y1, (abs(s.y1 - n.e), s.unit, s.line_id)) AS y1, arg_min(s.y2, (abs(s.y1 - n.e), s.unit, s.line_id)) AS y2, min(abs(s.y1 - n.e)) AS match_dist FROM {a} n LEFT JOIN gt s ON n.image_id = s.image_id AND n.category = s.category AND s.crop_id = {k} AND abs(s.y1 - n.e) <= 30 GROUP BY ALL)"
+
+
+@query(ctes(gt=GT) + ", a0 AS (SELECT image_id, category, unit, line_id AS path_id, y1, y2, 0.0::DOUBLE AS match_dist, y2 AS e FROM gt WHERE crop_id = 0), a1 AS (" + _ALL.format(a="a0", k=1) + "), a2 AS (" + _ALL.format(a="a1", k=2) + """)
+SELECT image_id, category, unit, path_id, 0 AS crop_id, y1, y2, match_dist FROM a0 UNION ALL SELECT image_id, category, unit, path_id, 1, coalesce(y1, last), e, match_dist FROM a1 UNION ALL SELECT image_id, category, unit, path_id, 2, coalesce(y1, last), e, match_dist FROM a2""")
 def j14_stitch_keep_all(spark, sf):
     return J.stitch(derived(spark, sf, GT), 3, 30.0, keep_all=True, carry=True)
 
 
+_BEFORE = "SELECT s.image_id, s.category, s.unit, s.line_id, s.y1, s.y2, arg_min(n.unit, (abs(s.y1 - n.y2), n.unit, n.line_id)) AS bu, arg_min(n.line_id, (abs(s.y1 - n.y2), n.unit, n.line_id)) AS bl FROM gt s LEFT JOIN gt n ON n.image_id = s.image_id AND n.category = s.category AND n.crop_id = {k} - 1 AND abs(s.y1 - n.y2) <= 10 WHERE s.crop_id = {k} GROUP BY ALL"
+
+
+@query(ctes(gt=GT) + ", s1 AS (" + _BEFORE.format(k=1) + "), s2 AS (" + _BEFORE.format(k=2) + """)
+SELECT s2.image_id, s2.category, s2.unit, s2.line_id AS path_id, 2 AS crop_id, s2.y1, s2.y2 FROM s2 UNION ALL
+SELECT s2.image_id, s2.category, s2.unit, s2.line_id, 1, s1.y1, s1.y2 FROM s2 LEFT JOIN s1 ON s1.unit = s2.bu AND s1.line_id = s2.bl UNION ALL
+SELECT s2.image_id, s2.category, s2.unit, s2.line_id, 0, g.y1, g.y2 FROM s2 LEFT JOIN s1 ON s1.unit = s2.bu AND s1.line_id = s2.bl LEFT JOIN gt g ON g.unit = s1.bu AND g.line_id = s1.bl""")
+def j15_stitch_branching(spark, sf):
+    return J.stitch_branching(derived(spark, sf, GT), 3, 10.0)
+
+
+@query(ctes(n=NAMES) + r""", m AS (SELECT 'image_' || o_orderkey || '_r' AS base, max(o_totalprice) AS price FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL)
+SELECT id, n, name, price FROM n LEFT JOIN m ON m.base = regexp_replace(lower(name), '_?crop_?\d+', '', 'g')""")
+def j4_with_metadata(spark, sf):
+    metadata = source(spark, sf, "orders").where(F.col("o_orderkey") % 2 == 0).groupBy(F.concat(F.lit("image_"), "o_orderkey", F.lit("_r")).alias("base")).agg(F.max("o_totalprice").alias("price"))
+    return J.with_metadata(derived(spark, sf, NAMES).select("id", "n", "name"), metadata, F.col("name"))
+
+
+@query(ctes(n=NAMES) + r""", e AS (SELECT o_orderkey AS id, o_totalprice AS price, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_totalprice) AS k FROM orders) SELECT n.id, n, name, price FROM n JOIN e ON e.id = n.id AND k = 1""")
+def j19_entry_of_image(spark, sf):
+    entries = source(spark, sf, "orders").select(F.concat(F.lit("image_"), "o_orderkey", F.lit("_all")).alias("name"), F.col("o_totalprice").alias("price"))
+    return J.by_image_entry(derived(spark, sf, NAMES).select("id", "n", "name"), entries, F.col("name"), "price")
+
+
+@query(ctes(px=PIXELS) + ", c AS (SELECT r, g, b, arg_min('cat' || v, v) AS category FROM px WHERE v % 2 = 0 AND s > 100 GROUP BY ALL) SELECT r, g, b, coalesce(category, 'unknown') AS category, count(*) AS n FROM px LEFT JOIN c USING (r, g, b) GROUP BY ALL")
+def j10_category_of_stroke(spark, sf):
+    px = derived(spark, sf, PIXELS)
+    colours = px.where("v % 2 = 0 AND s > 100").select("r", "g", "b", F.col("v").alias("place"), F.concat(F.lit("cat"), "v").alias("category"))
+    return J.category_of_stroke(px, colours).groupBy("r", "g", "b", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(ctes(gt=GT, px=PIXELS) + ", " + colours._RANGES + ", s AS (" + _SPOT.format(gt="SELECT * FROM gt") + """), p AS (SELECT DISTINCT image_id, crop_id, y, x, h FROM px)
+SELECT unit, line_id, min(cluster) AS cluster FROM s JOIN p ON s.image_id = p.image_id AND s.crop_id = p.crop_id AND p.y = CAST(floor((y1 + y2) / 2) AS BIGINT) AND p.x = CAST(floor((x1 + x2) / 2) AS BIGINT)
+JOIN ranges r ON r.image_id = s.image_id AND r.crop_id = s.crop_id AND h BETWEEN lo - 1 AND hi + 1 GROUP BY ALL""")
+def j9_category_of_midpoint(spark, sf):
+    found = J.category_of_midpoint(derived(spark, sf, _SPOT.format(gt=GT)), derived(spark, sf, PIXELS), colours._ranges(spark, sf), ["image_id", "crop_id"], 1)
+    return found.select("unit", "line_id", "cluster")
+
+
 @query()
 def j16_stitch_with_limit(spark, sf):
     return J.stitch_with_limit(derived(spark, sf, GT), 30.0, 1)

@@ -117,7 +117,8 @@ def w12_split_by_group(spark, sf):
     return R.split_by_group(derived(spark, sf, GT), "image_id").groupBy("part").agg(F.countDistinct("image_id").alias("images"))
 
 
-@query()
+@query(ctes(gt=GT) + """, c AS (SELECT r_name AS value, r_regionkey + 1 AS weight FROM region), w AS (SELECT value, sum(weight) OVER (ORDER BY value) AS hi, sum(weight) OVER () AS total FROM c),
+u AS (SELECT image_id, ('0x' || substr(md5(image_id || ':0'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM (SELECT DISTINCT image_id FROM gt)) SELECT image_id, arg_min(value, hi) AS value FROM u JOIN w ON u * total < hi GROUP BY image_id""")
 def g4_style_draw(spark, sf):
     plots = derived(spark, sf, GT).select("image_id").distinct()
     choices = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_name").alias("value"), (F.col("r_regionkey") + 1).alias("weight"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chartlines.functions import geometry as G
 from chartlines.functions import keys as K
 from chartlines.operators import filters
-from chartlines.plans.canonical import GT, MASK, NAMES, PRED, ctes, derived
+from chartlines.plans.canonical import GT, MASK, NAMES, PRED, ctes, derived, kept_sql
 from chartlines.queries import query
 
 _R = "round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2"
@@ -132,11 +132,17 @@ def p22_flips(spark, sf):
     return G.flips(derived(spark, sf, GT), 224.0, 224.0).select("unit", "line_id", "flip", *G.COORDS)
 
 
-@query()
+@query(ctes(gt=GT) + "SELECT unit, line_id, CASE WHEN s THEN x2 ELSE x1 END AS x1, CASE WHEN s THEN y2 ELSE y1 END AS y1, CASE WHEN s THEN x1 ELSE x2 END AS x2, CASE WHEN s THEN y1 ELSE y2 END AS y2 FROM (SELECT *, ('0x' || substr(md5(unit || ':' || line_id || ':0'), 1, 12))::BIGINT < 140737488355328 AS s FROM gt)")
 def p23_random_swap(spark, sf):
     return G.random_swap(derived(spark, sf, GT), "unit", "line_id").select("unit", "line_id", *G.COORDS)
 
 
+@query(ctes(gt=GT) + "SELECT unit, line_id, y1 AS a, x1 AS b, y2 AS c, x2 AS d, floor(y1 / 8 + 0.5) AS rounded FROM gt")
+def p9_p17_yx_and_rounding(spark, sf):
+    rows = G.to_yx(derived(spark, sf, GT))
+    return rows.select("unit", "line_id", *(F.col("line")[i][j].alias(n) for n, i, j in (("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("d", 1, 1))), G.round_half_up(F.col("y1") / 8).cast("double").alias("rounded"))
+
+
 @query(ctes(pred=PRED) + "SELECT unit, line_id, score FROM pred WHERE score >= 0.4")
 def f1_by_score(spark, sf):
     return filters.by_score(derived(spark, sf, PRED), 0.4).select("unit", "line_id", "score")
@@ -198,7 +204,10 @@ def d2_dedupe_unordered(spark, sf):
     return filters.dedupe_quantised(derived(spark, sf, PRED), 30.0, unordered=True).select("unit", "line_id")
 
 
-@query()
+_AB = {f"{i}{j}": f"sqrt((a.x{i}-b.x{j})*(a.x{i}-b.x{j})+(a.y{i}-b.y{j})*(a.y{i}-b.y{j}))" for i in (1, 2) for j in (1, 2)}
+
+
+@query("WITH RECURSIVE " + ctes(pred=PRED)[5:] + ", " + kept_sql("pred", f"least({_AB['11']}+{_AB['22']}, {_AB['12']}+{_AB['21']}) / 2 < 12", "score DESC, line_id") + "SELECT p.unit, p.line_id, score FROM pred p SEMI JOIN kept k ON k.unit = p.unit AND k.line_id = p.line_id")
 def d3_suppress(spark, sf):
     return filters.suppress(derived(spark, sf, PRED), 12.0).select("unit", "line_id", "score")
 
@@ -213,7 +222,7 @@ def d4_clip_overlaps(spark, sf):
     return _coords(filters.clip_overlaps(derived(spark, sf, PRED), 0.0, 6.0), "unit", "line_id")
 
 
-@query()
+@query("WITH RECURSIVE " + ctes(pred=PRED)[5:] + ", " + kept_sql("pred", "(a.x1-b.x1)*(a.x1-b.x1)+(a.y1-b.y1)*(a.y1-b.y1)+(a.x2-b.x2)*(a.x2-b.x2)+(a.y2-b.y2)*(a.y2-b.y2) <= 144", "line_id") + "SELECT unit, line_id FROM kept")
 def d5_drop_near_copies(spark, sf):
     return filters.drop_near_copies(derived(spark, sf, PRED), 12.0).select("unit", "line_id")
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/chartlines-{spark.sparkContext.applicationId}"
-    return known.rstrip("/")
+    """spark.checkpoint.dir; a folder of our own only where it is unset and driver and tasks are one process."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (known or f"file:///tmp/chartlines-{spark.sparkContext.applicationId}").rstrip("/")
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
