@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ from chartlines.llm.common import keep, learn_row
 
 BUCKET_BITS = 22
 #: Factors of a term; labelled rows of either label, and terms of all of them together, that the machine is fitted on at most.
-FACTORS, SAMPLE_ROWS, SAMPLE_TERMS = 4, 6_000, 8_000_000
+FACTORS, SAMPLE_ROWS, SAMPLE_TERMS = 4, 6_000, 3_000_000
 STEPS, ROUNDS = 120, 3
 #: Deviations beyond chance at which a term gets a weight; directions of pairs must lie so far above those of shuffled residuals.
 DEVIATIONS, ABOVE_NOISE = 3.0, 1.1
@@ -54,11 +53,11 @@ def _distinct(buckets: np.ndarray, text_of: np.ndarray, bits: int) -> tuple[np.n
     return keys & ((1 << bits) - 1), keys >> bits
 
 
-def _by_text(values: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values (rows of them, or numbers) for each of n texts."""
+def _sums(values: np.ndarray, at: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values[at] (numbers, or rows of them, a column at a time to spare memory) for each of n groups."""
     if values.ndim == 1:
-        return np.bincount(text_of, values, n)
-    return np.stack([np.bincount(text_of, values[:, j], n) for j in range(values.shape[1])], 1)
+        return np.bincount(group, values[at], n)
+    return np.stack([np.bincount(group, values[at, j], n) for j in range(values.shape[1])], 1)
 
 
 @dataclass
@@ -76,18 +75,16 @@ class FactorizationMachine:
 
     def raw(self, term: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
         """Scores before the logistic of n texts with distinct terms (places among buckets)."""
-        own = self.factors[term]
-        sums = _by_text(own, text_of, n)
-        return self.bias + _by_text(self.weights[term], text_of, n) + 0.5 * ((sums**2).sum(1) - _by_text((own**2).sum(1), text_of, n))
+        sums = _sums(self.factors, term, text_of, n)
+        return self.bias + _sums(self.weights - 0.5 * (self.factors**2).sum(1), term, text_of, n) + 0.5 * (sums**2).sum(1)
 
     def slopes(self, term: np.ndarray, text_of: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Slopes of the mean logistic loss in weights, factors and bias."""
         n, k = len(labels), len(self.weights)
-        own = self.factors[term]
-        sums = _by_text(own, text_of, n)
+        sums = _sums(self.factors, term, text_of, n)
         slope = (_logistic(self.raw(term, text_of, n)) - labels) / n
-        each = slope[text_of]
-        return np.bincount(term, each, k), _by_text(each[:, None] * (sums[text_of] - own), term, k), float(slope.sum())
+        alone = np.bincount(term, slope[text_of], k)
+        return alone, _sums(slope[:, None] * sums, text_of, term, k) - alone[:, None] * self.factors, float(slope.sum())
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -113,8 +110,8 @@ class PairMoments:
         r = residual * self.weight
         diagonal = (np.bincount(self.term, r[self.text_of], len(self.ids)) * (1 - 2 * self.share) + self.share**2 * r.sum()) * self.scale**2
         scaled = q * self.scale[:, None]
-        along = r[:, None] * (_by_text(scaled[self.term], self.text_of, self.n) - self.share @ scaled)
-        back = _by_text(along[self.text_of], self.term, len(self.ids)) - self.share[:, None] * along.sum(0)
+        along = r[:, None] * (_sums(scaled, self.term, self.text_of, self.n) - self.share @ scaled)
+        back = _sums(along, self.text_of, self.term, len(self.ids)) - self.share[:, None] * along.sum(0)
         return (back * self.scale[:, None] - diagonal[:, None] * q) / self.n
 
     def leading(self, residual: np.ndarray, rng, most: int, turns: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +141,10 @@ def descend(model: FactorizationMachine, term: np.ndarray, text_of: np.ndarray,
 def fit_machine(bucket: np.ndarray, text_of: np.ndarray, labels: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS) -> FactorizationMachine:
     """Machine for the buckets of each text (distinct in a text, in order of text)."""
     rng, n = np.random.default_rng(5), len(labels)
-    seen, term = np.unique(bucket, return_inverse=True)
+    seen = np.flatnonzero(np.bincount(bucket, minlength=1))
+    place = np.zeros(int(seen[-1]) + 1 if len(seen) else 1, np.int64)
+    place[seen] = np.arange(len(seen))
+    term = place[bucket]
     base = float(np.clip(labels.mean(), 1e-4, 1 - 1e-4)) if n else 0.5
     model = FactorizationMachine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), float(np.log(base / (1 - base))))
     if not len(seen) or base in (1e-4, 1 - 1e-4):
@@ -209,14 +209,14 @@ def train(documents: DataFrame, labels: DataFrame, learn_from=learn_row, sample_
     # 2 * sample_rows ids at most
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "draw").agg(F.min("text").alias("text"))
     found = keep(_terms_of(rows), "terms")
-    sizes: pd.DataFrame = found.select("draw", "n").toPandas().sort_values("draw")
-    within = sizes[sizes["n"].cumsum() <= sample_terms]
-    sample: pd.DataFrame = found.where(F.col("draw") <= int(within["draw"].iloc[-1])).select("label", "draw", "terms").toPandas() if len(within) else found.limit(0).toPandas()
-    sample = sample.sort_values("draw", kind="stable", ignore_index=True)
-    lengths = sample["terms"].map(len).to_numpy(np.int64)
-    bucket = np.concatenate(sample["terms"].to_list()).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
+    sizes = found.select("draw", "n").toArrow().sort_by("draw")
+    within = np.cumsum(sizes["n"].to_numpy().astype(np.int64)) <= sample_terms
+    last = int(sizes["draw"].to_numpy()[within][-1]) if within.any() else -(1 << 63)
+    sample = found.where(F.col("draw") <= last).select("label", "draw", "terms").toArrow().sort_by("draw") if within.any() else found.limit(0).toArrow()
+    terms = sample["terms"].combine_chunks()
+    bucket, lengths = terms.flatten().to_numpy().astype(np.int64), np.diff(terms.offsets.to_numpy())
     marks = (sample["label"].to_numpy() > 0).astype(float)
-    model = fit_machine(bucket, np.repeat(np.arange(len(sample)), lengths), marks)
+    model = fit_machine(bucket, np.repeat(np.arange(len(marks)), lengths), marks)
     if 0 < marks.sum() < len(marks):
         model.bias += float(np.log(total[1] / total[0]) - np.log(marks.sum() / (len(marks) - marks.sum())))
     return model

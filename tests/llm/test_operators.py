@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -206,13 +207,54 @@ def test_toxicity_learns_words_and_pairs(spark):
     model = toxicity.train(df, lab)
     got = {r["doc_id"]: r for r in toxicity.score(df.withColumn("score", F.lit("clash")), model).collect()}
     truth = {i: t for i, _, t in labels}
-    import zlib
-
     held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i]["predicted"] == truth[i] for i in held]) > 0.9  # needs both words together
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_toxicity_finds_pairs_without_a_trace_of_their_own(spark):
+    rng, vocab = random.Random(55), vocabulary(55)
+    rows, labels = [], []
+    for i in range(3000):
+        text = [rng.choice(vocab) for _ in range(30)]
+        both, one = rng.random() < 0.5, rng.random() < 0.5
+        if both == one:
+            text[3] = "zulu"
+        if one:
+            text[20] = "xray"
+        rows.append((i, " ".join(text), None, None, None))
+        labels.append((i, 1, int(both)))  # both words or neither: each alone tells nothing
+    df = docs(spark, rows)
+    labels = [(i, 1, int(("zulu" in r[1].split()) == ("xray" in r[1].split()))) for i, r in enumerate(rows)]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, toxicity.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()}
+    held = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i] == labels[i][2] for i in held]) > 0.9
+
+
+def test_machine_scores_and_slopes_match_brute_force():
+    rng = np.random.default_rng(4)
+    has = rng.random((9, 6)) < 0.5
+    text_of, term = np.nonzero(has)
+    labels = rng.integers(0, 2, 9).astype(float)
+    m = toxicity.FactorizationMachine(np.arange(6), rng.normal(size=6), rng.normal(size=(6, 3)), 0.3)
+
+    def raw(m):
+        return [m.bias + sum(m.weights[i] for i in np.flatnonzero(r)) + sum(m.factors[i] @ m.factors[j] for i, j in itertools.combinations(np.flatnonzero(r), 2)) for r in has]
+
+    assert np.allclose(m.raw(term, text_of, 9), raw(m))
+    loss = lambda m: float(np.mean(np.logaddexp(0, raw(m)) - labels * np.array(raw(m))))
+    gw, gv, gb = m.slopes(term, text_of, labels)
+    nudge = lambda w, v, b: toxicity.FactorizationMachine(m.buckets, m.weights + w, m.factors + v, m.bias + b)
+    for j in range(6):
+        e = 1e-6 * np.eye(6)[j]
+        assert abs((loss(nudge(e, 0, 0)) - loss(nudge(-e, 0, 0))) / 2e-6 - gw[j]) < 1e-6
+        for f in range(3):
+            d = np.zeros((6, 3))
+            d[j, f] = 1e-6
+            assert abs((loss(nudge(0, d, 0)) - loss(nudge(0, -d, 0))) / 2e-6 - gv[j, f]) < 1e-6
+    assert abs((loss(nudge(0, 0, 1e-6)) - loss(nudge(0, 0, -1e-6))) / 2e-6 - gb) < 1e-6
+
+
 def test_classifiers_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs(spark, ODD)
