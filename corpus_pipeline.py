@@ -13,8 +13,11 @@ from chartlines.llm import common, decontaminate, language_id, line_dedup, minha
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not rejected; a null lang becomes the predicted one."""
-    found = language_id.identify_languages(docs, language_id.learn_dictionaries(docs)).where(~F.col("rejected"))
+    """Documents whose language is not rejected; a null lang becomes the predicted one. If no document tells a language, none can be rejected and all stay."""
+    learnt = language_id.learn_dictionaries(docs)
+    if not learnt:
+        return docs
+    found = language_id.identify_languages(docs, learnt).where(~F.col("rejected"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
