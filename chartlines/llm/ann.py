@@ -4,17 +4,19 @@ The nearest vector to q in Euclidean distance has the largest q . x - |x|^2 / 2,
 the search is one for inner products. A vector is cut into pairs of components,
 each coded by one of 16 codewords. Codes and codewords minimise an error in which
 the part parallel to the vector costs more than the part across, as it is the
-parallel part that moves large inner products. Queries meet codes in blocks: a
-table of inner products for each query and codeword is added up over the codes.
-The best of a block are measured exactly on the original vectors, and the k-th of
-them sets a bound: every other row whose score, raised by the most that its code can
-be wrong, |query - centre| times the length of what the code leaves, reaches the
-bound is measured as well. So the k nearest are the true ones, however dense a group.
+parallel part that moves large inner products. Codes stay where they are: queries
+are sent to all tasks in bounded blocks, a block a pass. A task adds up, for each
+query, a table of inner products with all codewords over its codes, and measures on
+the original vectors those rows that may still be among the query's k nearest: rows
+whose score, raised by DEVIATIONS times the error to expect of their code, reaches
+the k-th distance measured so far. How many that are follows from the data; no number
+of candidates is fixed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,11 @@ SAMPLE_ROWS = 8_192
 CODEWORDS, PAIR, SWEEPS, ROUNDS = 16, 2, 2, 6
 #: Inner products of at least this share of the norms matter: the weight of parallel error follows from it.
 SCORE_SHARE = 0.2
-#: Rows and queries of a block; rows of a block that are measured first, for the bound.
-BLOCK_ROWS, BLOCK_QUERIES, RERANK = 8_192, 512, 300
+#: Rows scored at a time, queries sent at a time, and rows of the first block that are measured to begin with.
+BLOCK_ROWS, BLOCK_QUERIES, RERANK = 8_192, 4_096, 300
+#: A code's error in an inner product is, for a direction that has nothing to do with it, |q| * |what the code leaves| /
+#: sqrt(dims) on average; rows up to so many times that are measured. From sqrt(dims) on no row can be missed: the exact setting.
+DEVIATIONS = 4.0
 
 
 @dataclass
@@ -140,14 +145,58 @@ def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE_ROWS, rerank: int = RERANK, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+class Scan:
+    """The k nearest rows of each of a block of queries, over the rows shown so far."""
+
+    def __init__(self, book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int, deviations: float):
+        self.book, self.query_ids, self.queries, self.k, self.rerank = book, query_ids, queries, k, max(rerank, k + 1)
+        self.far = np.sqrt(((queries - book.centre) ** 2).sum(1))
+        self.slack = min(1.0, deviations / np.sqrt(max(queries.shape[1], 1)))
+        self.near = np.full((len(queries), k), np.inf)
+        self.ids = np.zeros((len(queries), k), query_ids.dtype)
+        self.measured = 0
+
+    def show(self, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, half: np.ndarray, lost: np.ndarray) -> None:
+        columns = [np.ascontiguousarray(packed[:, j]) for j in range(packed.shape[1])]
+        for begin in range(0, len(self.queries), 256):
+            for i, table in enumerate(self.book.tables(self.queries[begin : begin + 256]), begin):
+                scores = -half
+                for j, c in enumerate(columns):
+                    scores = scores + table[j][c]
+                self._look(i, scores, ids, x, half, lost)
+
+    def _look(self, i: int, scores: np.ndarray, ids: np.ndarray, x: np.ndarray, half: np.ndarray, lost: np.ndarray) -> None:
+        far, own = self.far[i], ids == self.query_ids[i]
+        first = np.zeros(0, np.int64)
+        if not np.isfinite(self.near[i, -1]):
+            first = _best(np.where(own, -np.inf, scores), ids, self.rerank)
+            self._take(i, first[~own[first]], ids, x)
+        slack = 1e-9 * (far**2 + half + 1)  # of rounding
+        may = (scores + self.slack * far * lost + slack >= (far**2 - self.near[i, -1] ** 2) / 2) & ~own
+        may[first] = False
+        self._take(i, np.flatnonzero(may), ids, x)
+
+    def _take(self, i: int, at: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        self.measured += len(at)
+        near = np.concatenate([self.near[i], _distances(x[at], self.queries[i])])
+        all_ids = np.concatenate([self.ids[i], ids[at]])
+        best = np.lexsort((all_ids, near))[: self.k]
+        self.near[i], self.ids[i] = near[best], all_ids[best]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        full = np.isfinite(self.near)
+        return np.repeat(self.query_ids, full.sum(1)), self.ids[full], self.near[full]
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE_ROWS, rerank: int = RERANK, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, deviations: float = DEVIATIONS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest to each query among all other rows, by Euclidean distance.
 
     is_query is a condition on vec_id. Vectors are embedding arrays; which take part
     is told at usable(). A row is no neighbour of a query with its own vec_id; rows
     repeating a vec_id count once, with the vector that comes first. Ties go to the
     smaller vec_id. With fewer candidates than k all are returned; an empty table
-    gives no rows. The distance is exact, in double precision.
+    gives no rows. The distance is exact, in double precision. Every query is held
+    against every code; deviations says which rows are measured (see DEVIATIONS).
     """
     base = keep(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     n, dims = base.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
@@ -156,7 +205,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE
     sample = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("vec_id").limit(sample_rows).toPandas()
     book = fit(np.array(sample["v"].to_list(), float).reshape(len(sample), dims or 1), dims or 1)
     kind = base.schema["vec_id"].dataType.simpleString()
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_queries))
+    passes = max(1, -(-n_queries // block_queries))
 
     def code(batches):
         for batch in batches:
@@ -169,41 +218,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, pa.array(half), pa.array(lost)], ["vec_id", "v", "code", "half", "lost"])
 
     coded = keep(base.select("vec_id", "v").mapInArrow(code, f"vec_id {kind}, v array<double>, code binary, half double, lost double"), "codes")
-    deal = lambda c, m, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(m)).cast("int")
-    left = coded.select("vec_id", "v", "code", "half", "lost", deal("vec_id", blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    asked = base.where(is_query).select(F.col("vec_id").alias("query_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), deal("vec_id", query_blocks, 2).alias("qb"))
-
-    def scan(codes: pa.Table, queries: pa.Table) -> pa.Table:
-        ids = codes["vec_id"].to_numpy()
-        query_ids = queries["query_id"].to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(ids) and len(query_ids):
-            packed = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            half, lost = codes["half"].to_numpy(), codes["lost"].to_numpy()
-            x = _matrix(codes["v"].combine_chunks(), dims)
-            q = _matrix(queries["v"].combine_chunks(), dims)
-            columns = [np.ascontiguousarray(packed[:, j]) for j in range(packed.shape[1])]
-            reach = np.sqrt(((q - book.centre) ** 2).sum(1))
-            for query_id, at_query, far, table in zip(query_ids, q, reach, book.tables(q), strict=True):
-                scores = -half
-                for j, c in enumerate(columns):
-                    scores = scores + table[j][c]
-                scores[ids == query_id] = -np.inf
-                at = _best(scores, ids, max(rerank, k + 1))
-                if len(at) < len(ids):
-                    kth = np.partition(_distances(x[at], at_query), k - 1)[k - 1]
-                    slack = 1e-9 * (far**2 + half + 1)  # of rounding
-                    at = np.flatnonzero(scores + far * lost + slack >= (far**2 - kth**2) / 2)
-                at = at[ids[at] != query_id]
-                near = -_distances(x[at], at_query)
-                best = _best(near, ids[at], k)
-                found.append((np.full(len(best), query_id), ids[at][best], near[best]))
-        parts = [np.concatenate(x) for x in zip(*found)] if found else [query_ids[:0], ids[:0], np.zeros(0)]
-        return pa.table({"query_id": parts[0], "vec_id": parts[1], "near": parts[2]})
-
-    scanned = left.groupBy("b", "qb").cogroup(asked.groupBy("b", "qb")).applyInArrow(scan, f"query_id {kind}, vec_id {kind}, near double")
-    by_scan = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    chosen = keep(scanned.where(F.col("query_id") != F.col("vec_id")).withColumn("place", F.row_number().over(by_scan)).where(F.col("place") <= k).select("query_id", "vec_id"), "candidates")
+    context = base.sparkSession.sparkContext
+
+    def scanned(turn: int) -> DataFrame:
+        # block_queries rows, but for chance: dealt by hash
+        block = base.where(is_query).where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(passes)) == turn).toArrow()
+        sent = context.broadcast((book, block["vec_id"].to_numpy(), _matrix(block["v"].combine_chunks(), dims or 1)))
+
+        def scan(batches):
+            scanner = Scan(sent.value[0], sent.value[1], sent.value[2], k, rerank, deviations)
+            for batch in batches:
+                for a in range(0, batch.num_rows, block_rows):
+                    part = batch.slice(a, block_rows)
+                    packed = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                    scanner.show(part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), dims), packed, *(part.column(c).to_numpy() for c in (3, 4)))
+            query_id, vec_id, near = scanner.found()
+            yield pa.RecordBatch.from_arrays([pa.array(query_id), pa.array(vec_id), pa.array(near)], ["query_id", "vec_id", "near"])
+
+        met = coded.mapInArrow(scan, f"query_id {kind}, vec_id {kind}, near double")
+        by_near = Window.partitionBy("query_id").orderBy("near", "vec_id")
+        return keep(met.withColumn("place", F.row_number().over(by_near)).where(F.col("place") <= k).select("query_id", "vec_id"), "candidates")
+
+    chosen = reduce(DataFrame.unionByName, [scanned(turn) for turn in range(passes)])
     distance = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     measured = chosen.join(base, "vec_id").join(base.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "vec_id", distance.alias("score"))
     by_distance = Window.partitionBy("query_id").orderBy("score", "vec_id")

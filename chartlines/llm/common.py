@@ -19,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset and driver and tasks are one process."""
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = f"file:///tmp/chartlines-{spark.sparkContext.applicationId}"
-    return known.rstrip("/")
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (known or f"file:///tmp/chartlines-{spark.sparkContext.applicationId}").rstrip("/")
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:

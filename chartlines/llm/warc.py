@@ -1,9 +1,9 @@
 """WARC archives of pages, index first: what stands where is a table, and records are read by coalesced byte ranges.
 
 Archives are files of gzip members, one for each record, written by the tasks
-through pyarrow's file systems straight into a shared folder. A task yields index
-rows only for files it has closed; a lost or repeated task leaves a file that no
-index row names, so the index alone says what is archived.
+through pyarrow's file systems straight into a shared folder. Index rows leave a task
+while its files are open, but count only once it has ended, with all of them closed: a lost or
+repeated task leaves files that no index row names, so the index alone says what is archived.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def build_record(page_id, url: str | None, payload: bytes, digest: str, revisits
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     head += [f"X-Page-Id: {page_id}"] if page_id is not None else []
     if revisits:
-        head += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page-Id: {refers_to}", "WARC-Truncated: length"]
+        head += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page-Id: {refers_to}"]
     else:
         block += payload
     head.append(f"Content-Length: {len(block)}")

@@ -64,7 +64,7 @@ def test_nearest_matches_brute_force_and_skips_unusable(spark):
     bad = [(900, None, 0), (901, [0.0] * 7, 0), (1000, [float("nan")] * 7, 0), (903, [1.0, None] + [0.0] * 5, 0), (904, [float("inf")] * 7, 0), (905, [1.0], 0), (None, [1.0] * 7, 0)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").withColumn("score", F.lit("clash"))
     got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 10 == 0, block_rows=100, block_queries=16).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 10 == 0, rerank=12, block_rows=100, block_queries=16).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert sorted(got) == list(range(0, 400, 10))
     hits = 0
@@ -101,6 +101,44 @@ def test_nearest_in_a_dense_group(spark):
             assert [v for _, v in sorted(found)] == np.argsort(d, kind="stable")[:10].tolist()
 
 
+def test_scan_measures_few_rows_and_codes_are_least_errors():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6_000, 32))
+    book = ann.fit(x[:2_000], 32)
+    codes = book.encode(x)
+    parts, words = book.pad(x), book.words
+    unit = (parts.reshape(len(x), -1) / np.linalg.norm(parts.reshape(len(x), -1), axis=1, keepdims=True)).reshape(parts.shape)
+
+    def cost(i, c):  # the anisotropic error of row i coded by c
+        rest = parts[i] - words[np.arange(len(words)), c]
+        return (rest**2).sum() + (book.parallel - 1) * (rest * unit[i]).sum() ** 2
+
+    better = 0
+    for i in range(40):
+        for j in range(len(words)):
+            mine = cost(i, codes[i])
+            for w in range(ann.CODEWORDS):
+                other = codes[i].copy()
+                other[j] = w
+                better += cost(i, other) < mine - 1e-9
+    assert better <= 40 * len(words) * ann.CODEWORDS * 0.01  # two sweeps come near a minimum by single changes
+    lost = np.sqrt(((parts - words[np.arange(len(words)), codes]) ** 2).sum((1, 2)))
+    half = ((x - book.centre) ** 2).sum(1) / 2
+    hits, shares = {}, {}
+    for deviations in (4.0, 100.0):
+        scan = ann.Scan(book, np.arange(0, 6_000, 200), x[::200], 10, 50, deviations)
+        for a in range(0, 6_000, 1_000):
+            at = slice(a, a + 1_000)
+            scan.show(np.arange(6_000)[at], x[at], ann.pack(codes)[at], half[at], lost[at])
+        hits[deviations] = 0
+        for i, q in enumerate(range(0, 6_000, 200)):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            hits[deviations] += len(set(np.argsort(d, kind="stable")[:10]) & set(scan.ids[i].tolist()))
+        shares[deviations] = scan.measured / (30 * 6_000)
+    assert hits[100.0] == 300 and hits[4.0] >= 290 and shares[4.0] < 0.35
+
+
 # --- op 2
 
 
