@@ -81,3 +81,19 @@ def cycled_palette(categories: DataFrame, palette: DataFrame, *keys: str) -> Dat
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("category")) - 1
     numbered = categories.withColumn("i", place).join(F.broadcast(size), how="left").withColumn("place", F.pmod("i", "n"))
     return numbered.join(palette, "place", "left").drop("i", "n", "place")
+
+
+#: Linear sRGB to XYZ of D65, the white point, and the constants of CIE Lab.
+_XYZ = {"x": (0.412453, 0.357580, 0.180423), "y": (0.212671, 0.715160, 0.072169), "z": (0.019334, 0.119193, 0.950227)}
+_WHITE = {"x": 0.950456, "y": 1.0, "z": 1.088754}
+_CUT, _SLOPE, _OFFSET, _DARK = 0.008856, 7.787, 16 / 116, 903.3
+
+
+def rgb_to_lab(r: Column, g: Column, b: Column) -> dict[str, Column]:
+    """l (0-100), a, b of sRGB in 0-255."""
+    flat = lambda c: F.when(c / 255.0 > 0.04045, F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 255.0 / 12.92)
+    channels = [flat(c) for c in (r, g, b)]
+    t = {k: sum((w * c for w, c in zip(ws, channels)), F.lit(0.0)) / _WHITE[k] for k, ws in _XYZ.items()}
+    f = {k: F.when(v > _CUT, F.pow(v, F.lit(1 / 3))).otherwise(_SLOPE * v + _OFFSET) for k, v in t.items()}
+    light = F.when(t["y"] > _CUT, 116 * f["y"] - 16).otherwise(_DARK * t["y"])
+    return {"l": light, "a": 500 * (f["x"] - f["y"]), "b": 200 * (f["y"] - f["z"])}

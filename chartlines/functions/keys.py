@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartlines.sources.shared import keep
+from chartlines.sources.shared import numbered
 
 
 def _number(name: Column, pattern: str) -> Column:
@@ -61,10 +61,5 @@ def with_category_ids(rows: DataFrame, known: DataFrame, label: str = "label") -
     """rows with cat_id from known (label, cat_id); new labels are numbered on, in order of label."""
     fresh = rows.select(label).where(F.col(label).isNotNull()).distinct().join(known.select(label), label, "left_anti")
     last = known.agg(F.coalesce(F.max("cat_id"), F.lit(-1)).alias("last"))
-    # numbered within ranges of labels; what stands before a range comes from a table with one row a range
-    parts = keep(fresh.repartitionByRange(label).withColumn("_part", F.spark_partition_id()), "labels")
-    heads = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = heads.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(label))
-    numbered = parts.join(F.broadcast(starts), "_part").join(F.broadcast(last), how="left").select(label, (F.col("last") + place).alias("cat_id"))
-    return rows.join(known.select(label, "cat_id").unionByName(numbered), label, "left")
+    numbered_on = numbered(fresh, "_place", F.col(label)).join(F.broadcast(last), how="left").select(label, (F.col("last") + F.col("_place")).alias("cat_id"))
+    return rows.join(known.select(label, "cat_id").unionByName(numbered_on), label, "left")

@@ -264,3 +264,65 @@ def peaks(hist: np.ndarray, height: float, distance: int) -> np.ndarray:
                 if q != p and abs(q - p) < distance:
                     keep[q] = False
     return np.array([p for p in found if keep[p]], np.int64)
+
+
+def prominence(hist: np.ndarray, p: int) -> float:
+    """How far a maximum stands above the higher of the two lowest points between it and something higher, or the border."""
+    higher = np.flatnonzero(hist > hist[p])
+    left = int(higher[higher < p][-1]) if (higher < p).any() else 0
+    right = int(higher[higher > p][0]) if (higher > p).any() else len(hist) - 1
+    return float(hist[p] - max(hist[left : p + 1].min(), hist[p : right + 1].min()))
+
+
+def silhouette(x: np.ndarray, n: np.ndarray, of: np.ndarray, sample: int) -> float:
+    """Mean silhouette, weighted by n, of the first `sample` points among themselves; NaN with fewer than two clusters."""
+    x, n, of = x[:sample], n[:sample], of[:sample]
+    ids = np.unique(of)
+    if len(ids) < 2:
+        return float("nan")
+    gap = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
+    mass = np.stack([n[of == c].sum() for c in ids])
+    total = np.stack([gap[:, of == c] @ n[of == c] for c in ids], 1)
+    own = np.searchsorted(ids, of)
+    at = np.arange(len(x))
+    inside = total[at, own] / np.maximum(mass[own] - 1, 1e-12)
+    outside = total / mass
+    outside[at, own] = np.inf
+    best = outside.min(1)
+    value = np.where(mass[own] > 1, (best - inside) / np.maximum(np.maximum(best, inside), 1e-12), 0.0)
+    return float((value * n).sum() / n.sum())
+
+
+def density_clusters(x: np.ndarray, n: np.ndarray, eps: float, least: float) -> np.ndarray:
+    """Cluster of each point (rows of x, standing for n each), -1 for none; points are compared only with those of neighbouring cells of side eps."""
+    cells: dict[tuple, list[int]] = {}
+    for i, c in enumerate(map(tuple, np.floor(x / eps).astype(np.int64).tolist())):
+        cells.setdefault(c, []).append(i)
+    steps = np.stack(np.meshgrid(*[(-1, 0, 1)] * x.shape[1], indexing="ij"), -1).reshape(-1, x.shape[1]).tolist() if len(x) else []
+
+    def around(c: tuple) -> np.ndarray:
+        return np.array([i for s in steps for i in cells.get(tuple(a + b for a, b in zip(c, s)), ())], np.int64)
+
+    near: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(x)
+    for c, members in cells.items():
+        others = around(c)
+        gap = ((x[members][:, None] - x[others][None]) ** 2).sum(2)
+        for i, row in zip(members, gap):
+            hit = row <= eps**2
+            near[i] = others[hit], row[hit]
+    core = np.array([n[at].sum() >= least for at, _ in near], bool)
+    of, clusters = np.full(len(x), -1, np.int64), 0
+    for i in np.flatnonzero(core):
+        if of[i] < 0:
+            of[i], todo = clusters, [i]
+            while todo:
+                at = near[todo.pop()][0]
+                fresh = at[core[at] & (of[at] < 0)]
+                of[fresh] = clusters
+                todo += fresh.tolist()
+            clusters += 1
+    for i in np.flatnonzero(~core):
+        at, gap = near[i]
+        if core[at].any():
+            of[i] = of[at[core[at]][np.lexsort((at[core[at]], gap[core[at]]))[0]]]
+    return of

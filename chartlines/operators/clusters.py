@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartlines.operators import _numpy as N
+from chartlines.operators.units import each_group
 
 HUES = 180
 
@@ -40,14 +41,51 @@ def hue_ranges(histogram: DataFrame, keys: list[str], eps: int = 5, least: int =
 def hue_peaks(histogram: DataFrame, keys: list[str], share: float = 0.1, distance: int = 10, bins: int = HUES) -> DataFrame:
     """keys, bin, n of local maxima of at least share of the highest bin, at least distance apart, from a histogram of at most `bins` rows a group."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def find(rows: dict[str, np.ndarray]) -> pd.DataFrame:
         hist = np.zeros(bins)
         hist[rows["bin"]] = rows["n"]
         at = N.peaks(hist, share * hist.max(), distance)
-        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "bin": at, "n": hist[at]}, columns=[*keys, "bin", "n"])
+        return pd.DataFrame({"bin": at, "n": hist[at]})
 
-    kinds = ", ".join(f"{k} {histogram.schema[k].dataType.simpleString()}" for k in keys)
-    return histogram.groupBy(*keys).applyInPandas(run, f"{kinds}, bin int, n double")
+    return each_group(histogram, keys, ["bin"], find, "bin int, n double")
+
+
+def near_peaks(histogram: DataFrame, peaks: DataFrame, keys: list[str], tol: int = 10) -> DataFrame:
+    """The bins of a histogram within tol of a peak (keys, bin)."""
+    at = peaks.select(*keys, F.col("bin").alias("_peak"))
+    met = histogram.join(at, keys).where(F.abs(F.col("bin") - F.col("_peak")) <= tol)
+    return met.select(histogram.columns).distinct()
+
+
+def top_bins(histogram: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """keys, bin, n of the k highest bins of each group; the higher bin on ties."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), F.desc("bin"))
+    return histogram.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def settled_peaks(peaks: DataFrame, keys: list[str], red: int = 10, near: int = 15, bins: int = HUES) -> DataFrame:
+    """keys, bin: peaks with a red one (0) added where none lies within red of either end, and close ones merged.
+
+    In order, a peak goes if it lies within near of the last one kept, or if both lie
+    near opposite ends. If 0 stands first, peaks near the upper end go; else, if the
+    last bin stands last, those near 0.
+    """
+    last = bins - 1
+    found = F.array_sort(F.collect_set("bin"))
+    reds = lambda p: (p <= red) | (p >= bins - red)
+    with_red = F.when(F.exists("ps", reds), F.col("ps")).otherwise(F.array_sort(F.array_append("ps", F.lit(0))))
+
+    def merge(kept, p):
+        before = F.element_at(kept, -1)
+        close = (p - before <= near) | ((p < near) & (before > last - near)) | ((before < near) & (p > last - near))
+        return F.when(F.size(kept) == 0, F.array(p)).when(close, kept).otherwise(F.array_append(kept, p))
+
+    merged = F.aggregate("ps", F.array().cast("array<int>"), merge)
+    zero, end = F.element_at("ps", 1) == 0, F.element_at("ps", -1) == last
+    # the first peak left is 0 or the last is the end: the other end's peaks are the same red
+    rest = F.when(zero & F.exists("ps", lambda p: (p >= bins - near) & (p != 0)), F.filter("ps", lambda p: p < bins - near)).when(end & F.exists("ps", lambda p: (p <= near) & (p != last)), F.filter("ps", lambda p: p > near)).otherwise(F.col("ps"))
+    rows = peaks.groupBy(*keys).agg(found.cast("array<int>").alias("ps")).withColumn("ps", with_red).withColumn("ps", merged)
+    return rows.select(*keys, F.explode(rest).alias("bin"))
 
 
 def assign_ranges(pixels: DataFrame, ranges: DataFrame, keys: list[str], margin: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartlines.sources.shared import numbered
+
 
 def column_stats(cells: DataFrame) -> DataFrame:
     """dataset_id, column_name, min, max, mean, sequential: the last is the running half mean over categories in order of name."""
@@ -140,3 +142,22 @@ def style_draw(plots: DataFrame, key: str, choices: DataFrame, seed: int = 0) ->
 def md5_share(key: Column, seed: int = 0) -> Column:
     """A number in [0, 1) from the first 12 hex digits of md5(key:seed)."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+
+
+def distinct_frames(frames: DataFrame, key: str, gap: float = 0.5) -> DataFrame:
+    """key, x, y of frames in order of x and y, each dropped that lies within gap of the last kept one both ways."""
+
+    def fold(kept: Column, f: Column) -> Column:
+        last = F.element_at(kept, -1)
+        far = (F.abs(f["x"] - last["x"]) > gap) | (F.abs(f["y"] - last["y"]) > gap)
+        return F.when((F.size(kept) == 0), F.array(f)).when(far, F.array_append(kept, f)).otherwise(kept)
+
+    rows = frames.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("fs"))
+    return rows.select(key, F.explode(F.aggregate("fs", F.array().cast("array<struct<x:double,y:double>>"), fold)).alias("f")).select(key, "f.x", "f.y")
+
+
+def first_share(rows: DataFrame, key: str, share: float = 1.0) -> DataFrame:
+    """rows of the first share of distinct keys, in order of key; the number is rounded down."""
+    names = numbered(rows.select(key).where(F.col(key).isNotNull()).distinct(), "_place", F.col(key))
+    n = names.count()
+    return rows.join(names.where(F.col("_place") <= int(n * share)).select(key), key, "left_semi")

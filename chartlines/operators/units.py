@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Arrays = dict[str, np.ndarray]
 
@@ -47,3 +48,17 @@ def each_unit(df: DataFrame, order: list, run: Callable[[Arrays], pd.DataFrame |
             yield pd.concat([f for _, f in found], ignore_index=True)
 
     return sorted_rows.mapInPandas(stream, schema or df.schema)
+
+
+def each_group(df: DataFrame, keys: list[str], order: list, run: Callable[[Arrays], pd.DataFrame], columns: str) -> DataFrame:
+    """keys and the columns that run gives for the rows of each group of keys, in order; as each_unit, for several keys or keys of any type."""
+    named = df.withColumn("_group", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+
+    def work(rows: Arrays) -> pd.DataFrame:
+        out = run(rows)
+        for i, k in enumerate(keys):
+            out.insert(i, k, [rows[k][0]] * len(out))
+        return out
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return each_unit(named, order, work, f"{kinds}, {columns}", key="_group")

@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from chartlines.queries import colours, evaluation, joins, labels, reshaping, segments, streams  # noqa: F401
+    from chartlines.queries import colours, evaluation, files, joins, labels, reshaping, segments, streams  # noqa: F401
 
     return QUERIES, ORACLES

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chartlines.functions import colour as C
 from chartlines.operators import clusters as K
 from chartlines.operators import palettes as P
-from chartlines.plans.canonical import PIXELS, ctes, derived
+from chartlines.plans.canonical import PIXELS, ctes, derived, kept_sql
 from chartlines.queries import query
 
 KEYS = ["image_id", "crop_id"]
@@ -52,11 +52,41 @@ def c8_assign_ranges(spark, sf):
     return K.assign_ranges(pixels, _ranges(spark, sf), KEYS, 1).groupBy(*KEYS, "cluster").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@query()
+def _peaks(share: float, distance: int) -> str:
+    """SQL tables for WITH RECURSIVE up to pk (image_id, crop_id, bin, n): middles of plateaus above both sides, the higher first claiming distance bins."""
+    return f"""{_H}, dn AS (SELECT g.image_id, g.crop_id, b.bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT image_id, crop_id FROM h) g CROSS JOIN (SELECT unnest(range(180)) AS bin) b LEFT JOIN h ON h.image_id = g.image_id AND h.crop_id = g.crop_id AND h.bin = b.bin),
+fl AS (SELECT *, CASE WHEN n <> lag(n) OVER (PARTITION BY image_id, crop_id ORDER BY bin) THEN 1 ELSE 0 END AS f FROM dn), ru AS (SELECT *, sum(f) OVER (PARTITION BY image_id, crop_id ORDER BY bin) AS r FROM fl),
+pl AS (SELECT image_id, crop_id, r, min(bin) AS i, max(bin) AS j, any_value(n) AS n FROM ru GROUP BY ALL), nb AS (SELECT *, lag(n) OVER w AS a, lead(n) OVER w AS b, max(n) OVER (PARTITION BY image_id, crop_id) AS top FROM pl WINDOW w AS (PARTITION BY image_id, crop_id ORDER BY r)),
+tp AS (SELECT image_id * 10 + crop_id AS unit, (i + j) // 2 AS line_id, n FROM nb WHERE n > a AND n > b AND n >= {share} * top), {kept_sql("tp", f"abs(a.line_id - b.line_id) < {distance}", "n DESC, line_id DESC")},
+pk AS (SELECT CAST(floor(tp.unit / 10) AS BIGINT) AS image_id, tp.unit % 10 AS crop_id, tp.line_id AS bin, n FROM tp SEMI JOIN kept ON kept.unit = tp.unit AND kept.line_id = tp.line_id)
+"""
+
+
+@query("WITH RECURSIVE " + ctes(px=PIXELS)[5:] + ", " + _peaks(0.3, 10) + "SELECT * FROM pk")
 def w6_hue_peaks(spark, sf):
     return K.hue_peaks(K.hue_histogram(derived(spark, sf, PIXELS), KEYS), KEYS, 0.3, 10)
 
 
+@query("WITH RECURSIVE " + ctes(px=PIXELS)[5:] + ", " + _peaks(0.05, 5) + ", near AS (SELECT DISTINCT h.* FROM h JOIN pk ON h.image_id = pk.image_id AND h.crop_id = pk.crop_id AND abs(h.bin - pk.bin) <= 1), " + _RANGES.replace(_H + ", ", "").replace("FROM h)", "FROM near)").replace("FROM h JOIN", "FROM near h JOIN") + "SELECT * FROM ranges")
+def c2_ranges_near_peaks(spark, sf):
+    hist = K.hue_histogram(derived(spark, sf, PIXELS), KEYS)
+    near = K.near_peaks(hist, K.hue_peaks(hist, KEYS, 0.05, 5), KEYS, 1)
+    return K.hue_ranges(near, KEYS, 2, 120).withColumn("centre", F.round("centre", 6))
+
+
+_SETTLED = """, tb AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY image_id, crop_id ORDER BY n DESC, bin DESC) <= 12),
+rd AS (SELECT image_id, crop_id, bin FROM tb UNION SELECT image_id, crop_id, 0 FROM tb GROUP BY ALL HAVING count(*) FILTER (WHERE bin <= 10 OR bin >= 170) = 0),
+mk AS (SELECT image_id, crop_id, min(bin) AS bin FROM rd GROUP BY ALL UNION ALL
+  SELECT mk.image_id, mk.crop_id, (SELECT min(rd.bin) FROM rd WHERE rd.image_id = mk.image_id AND rd.crop_id = mk.crop_id AND rd.bin - mk.bin > 15 AND NOT (mk.bin < 15 AND rd.bin > 164)) FROM mk WHERE mk.bin IS NOT NULL),
+st AS (SELECT *, min(bin) OVER w AS lo, max(bin) OVER w AS hi FROM mk WHERE bin IS NOT NULL WINDOW w AS (PARTITION BY image_id, crop_id))
+SELECT image_id, crop_id, bin FROM st WHERE CASE WHEN lo = 0 AND hi >= 165 THEN bin < 165 WHEN hi = 179 AND lo <= 15 THEN bin > 15 ELSE true END"""
+
+
+@query("WITH RECURSIVE " + ctes(px=PIXELS)[5:] + ", " + _H + _SETTLED)
+def w8_settled_peaks(spark, sf):
+    return K.settled_peaks(K.top_bins(K.hue_histogram(derived(spark, sf, PIXELS), KEYS), KEYS, 12), KEYS)
+
+
 @query(ctes(px=PIXELS) + """, h AS (SELECT image_id, v AS bin, count(*) AS n FROM px GROUP BY ALL), w AS (SELECT *, sum(n) OVER u AS w0, sum(bin * n) OVER u AS s0, sum(n) OVER (PARTITION BY image_id) AS w, sum(bin * n) OVER (PARTITION BY image_id) AS s FROM h WINDOW u AS (PARTITION BY image_id ORDER BY bin ROWS UNBOUNDED PRECEDING)),
 v AS (SELECT image_id, bin, round(CASE WHEN w = w0 THEN 0 ELSE CAST(w0 AS DOUBLE) * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) END, 3) AS v FROM w) SELECT image_id, arg_min(bin, (-v, bin)) AS threshold FROM v GROUP BY image_id""")
 def c9_otsu(spark, sf):
@@ -94,12 +124,13 @@ def p24_hue_range(spark, sf):
 
 
 @query(ctes(px=PIXELS) + """, q AS (SELECT DISTINCT r, g, b, greatest(r, g, b) / 255.0::DOUBLE AS v, (greatest(r, g, b) - least(r, g, b)) / 255.0::DOUBLE AS d FROM px)
-SELECT r, g, b, round(v, 4) AS v, round(CASE WHEN v = 0 THEN 0 ELSE d / v END + 0.0000001, 4) AS s, greatest(r, g, b) - least(r, g, b) < 15 OR least(r, g, b) > 240 AS grey FROM q""")
+SELECT r, g, b, round(v, 4) AS v, round(CASE WHEN v = 0 THEN 0 ELSE d / v END + 0.0000001, 4) AS s, greatest(r, g, b) - least(r, g, b) < 15 OR least(r, g, b) > 240 AS grey,
+  round(CASE WHEN d = 0 THEN 0 WHEN r >= greatest(g, b) THEN (6 + (g - b) / (255.0::DOUBLE * d)) / 6 - floor((6 + (g - b) / (255.0::DOUBLE * d)) / 6) WHEN g >= b THEN (2 + (b - r) / (255.0::DOUBLE * d)) / 6 ELSE (4 + (r - g) / (255.0::DOUBLE * d)) / 6 END + 0.0000001, 4) AS h FROM q""")
 def p21_colours(spark, sf):
     r, g, b = (F.col(c) for c in "rgb")
     rows = derived(spark, sf, PIXELS).select("r", "g", "b").distinct()
     hsv = C.rgb_to_hsv(r, g, b)
-    return rows.select("r", "g", "b", F.round(hsv["v"], 4).alias("v"), F.round(hsv["s"] + 0.0000001, 4).alias("s"), C.is_grey_or_white(r, g, b).alias("grey"))
+    return rows.select("r", "g", "b", F.round(hsv["v"], 4).alias("v"), F.round(hsv["s"] + 0.0000001, 4).alias("s"), F.round(hsv["h"] + 0.0000001, 4).alias("h"), C.is_grey_or_white(r, g, b).alias("grey"))
 
 
 @query()
@@ -123,4 +154,41 @@ def c4_c5_colour_centres(spark, sf):
 @query()
 def c10_vertical_axes(spark, sf):
     dark = derived(spark, sf, PIXELS).where("v < 60")
-    return P.vertical_axes(dark, 0.4, 20)
+    return P.vertical_axes(dark, 0.1, 20)
+
+
+_LIN = "CASE WHEN {c} / 255.0::DOUBLE > 0.04045 THEN pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE {c} / 255.0::DOUBLE / 12.92 END AS l{c}"
+
+
+@query(ctes(px=PIXELS) + ", q AS (SELECT DISTINCT r, g, b, " + ", ".join(_LIN.format(c=c) for c in "rgb") + """ FROM px), t AS (SELECT r, g, b, (0.412453*lr+0.357580*lg+0.180423*lb)/0.950456 AS x, 0.212671*lr+0.715160*lg+0.072169*lb AS y, (0.019334*lr+0.119193*lg+0.950227*lb)/1.088754 AS z FROM q),
+f AS (SELECT *, """ + ", ".join(f"CASE WHEN {k} > 0.008856 THEN pow({k}, 1/3.0::DOUBLE) ELSE 7.787*{k}+16/116.0::DOUBLE END AS f{k}" for k in "xyz") + """ FROM t) SELECT r, g, b, round(CASE WHEN y > 0.008856 THEN 116*fy-16 ELSE 903.3*y END, 4) AS l, round(500*(fx-fy), 4) AS aa, round(200*(fy-fz), 4) AS bb FROM f""")
+def c6_lab_values(spark, sf):
+    lab = C.rgb_to_lab(*(F.col(c) for c in "rgb"))
+    return derived(spark, sf, PIXELS).select("r", "g", "b").distinct().select("r", "g", "b", F.round(lab["l"], 4).alias("l"), F.round(lab["a"], 4).alias("aa"), F.round(lab["b"], 4).alias("bb"))
+
+
+@query()
+def c6_lab_clusters(spark, sf):
+    lab = C.rgb_to_lab(*(F.col(c) for c in "rgb"))
+    fore = C.foreground(derived(spark, sf, PIXELS), "sv")
+    colours = fore.groupBy("image_id", F.round(lab["l"] * 2.55).alias("l"), F.round(lab["a"] + 128).alias("a"), F.round(lab["b"] + 128).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return P.colour_clusters(colours, ["image_id"], ("l", "a", "b"), 9.0, 60)
+
+
+@query()
+def c7_dominant_hues(spark, sf):
+    return P.dominant_hues(derived(spark, sf, PIXELS), ["image_id"], 24.0, 20, 1)
+
+
+@query()
+def a28_space_scores(spark, sf):
+    colours = derived(spark, sf, PIXELS).groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+    scores = P.colour_centres(colours, ["image_id"], 4).select("image_id", "inertia", "silhouette").distinct()
+    return scores.agg(F.count(F.lit(1)).alias("images"), F.avg("inertia").alias("inertia"), F.avg(F.nanvl("silhouette", F.lit(None))).alias("silhouette"))
+
+
+@query(ctes(px=PIXELS) + ", c AS (SELECT DISTINCT image_id, 'c' || (h // 20) AS category FROM px), n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY category) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM c) SELECT image_id, category, round(i / n, 8) AS hue, CASE i % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'blue' END AS colour FROM n")
+def p27_palettes(spark, sf):
+    cats = derived(spark, sf, PIXELS).select("image_id", F.concat(F.lit("c"), F.floor(F.col("h") / 20)).alias("category")).distinct()
+    palette = spark.createDataFrame([(0, "red"), (1, "green"), (2, "blue")], "place long, colour string")
+    return C.cycled_palette(C.default_palette(cats, "image_id"), palette, "image_id").select("image_id", "category", F.round("hue", 8).alias("hue"), "colour")

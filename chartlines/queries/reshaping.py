@@ -140,3 +140,17 @@ def u1_u5_stacked(spark, sf):
 @query(ctes(gt=GT) + "SELECT image_id, count(*) AS lines, count(DISTINCT crop_id) AS crops, min(y1) AS lo, max(y2) AS hi FROM gt GROUP BY image_id")
 def a26_a29_counts_and_range(spark, sf):
     return derived(spark, sf, GT).groupBy("image_id").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("crop_id").alias("crops"), F.min("y1").alias("lo"), F.max("y2").alias("hi"))
+
+
+_FRAMES = "SELECT DISTINCT l_suppkey % 40 AS image_id, CAST(l_partkey % 90 AS DOUBLE) / 4 AS x, CAST(l_linenumber AS DOUBLE) / 4 AS y FROM {lineitem}"
+
+
+@query("WITH RECURSIVE " + ctes(f=_FRAMES)[5:] + """, k AS (SELECT image_id, min((x, y)) AS p FROM f GROUP BY image_id UNION ALL
+SELECT k.image_id, (SELECT min((f.x, f.y)) FROM f WHERE f.image_id = k.image_id AND (f.x, f.y) > k.p AND (abs(f.x - k.p[1]) > 0.5 OR abs(f.y - k.p[2]) > 0.5)) FROM k WHERE k.p IS NOT NULL) SELECT image_id, p[1] AS x, p[2] AS y FROM k WHERE p IS NOT NULL""")
+def n3_distinct_frames(spark, sf):
+    return R.distinct_frames(derived(spark, sf, _FRAMES), "image_id")
+
+
+@query(ctes(gt=GT) + ", n AS (SELECT image_id, row_number() OVER (ORDER BY image_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT image_id FROM gt)) SELECT unit, line_id FROM gt SEMI JOIN (SELECT image_id FROM n WHERE k <= floor(n * 0.1)) USING (image_id)")
+def w15_first_share(spark, sf):
+    return R.first_share(derived(spark, sf, GT), "image_id", 0.1).select("unit", "line_id")

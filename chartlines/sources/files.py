@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -10,8 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chartlines.functions.keys import crop_id, image_id
+from chartlines.sources.shared import keep
 
 SEGMENT = "array<array<double>>"
 
@@ -114,7 +117,7 @@ def _path_points(d: str) -> list[tuple[float, float]]:
 
 
 def read_svg_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """file, line_id, stroke, x1 .. y2 of the straight pieces of paths, lines and polylines in SVG files; translate() of groups is applied."""
+    """file, line_id, stroke, x1 .. y2 of the straight pieces of paths, lines and polylines in SVG files; translate() of groups is applied. A file that can't be read gives a row with error."""
 
     def shift(node) -> tuple[float, float]:
         found = re.search(r"translate\(\s*([-\d.e]+)[ ,]*([-\d.e]+)?", node.get("transform") or "")
@@ -141,12 +144,14 @@ def read_svg_segments(spark: SparkSession, folder: str) -> DataFrame:
                 out: list[tuple] = []
                 try:
                     walk(ElementTree.fromstring(text), 0.0, 0.0, None, out)
-                except ElementTree.ParseError:
+                except ElementTree.ParseError as e:
+                    yield pd.DataFrame([[path, *[None] * 6, str(e)[:200]]], columns=names)
                     continue
-                yield pd.DataFrame([(path, i, *row) for i, row in enumerate(out)], columns=["file", "line_id", "stroke", "x1", "y1", "x2", "y2"])
+                yield pd.DataFrame([(path, i, *row, None) for i, row in enumerate(out)], columns=names)
 
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.svg", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return files.mapInPandas(parse, "file string, line_id long, stroke string, x1 double, y1 double, x2 double, y2 double")
+    names = ["file", "line_id", "stroke", "x1", "y1", "x2", "y2", "error"]
+    return files.mapInPandas(parse, "file string, line_id long, stroke string, x1 double, y1 double, x2 double, y2 double, error string")
 
 
 def write_combined_json(segments: DataFrame, folder: str, name: Column) -> None:
@@ -155,16 +160,51 @@ def write_combined_json(segments: DataFrame, folder: str, name: Column) -> None:
     lines.orderBy("filename").write.json(folder)
 
 
-def predict(images: DataFrame, factory, schema: str) -> DataFrame:
-    """Rows that a user's predictor gives for each row of images; factory() is called once for each task. A failure becomes a row with error."""
+def read_distribution_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """A measured distribution sheet (CSV with a header): names stripped of blanks, in lower case and with _ for what stands between words; all values as text, for the forgiving casts of functions.text."""
+    sheet = spark.read.csv(folder, header=True)
+    return sheet.toDF(*[re.sub(r"\W+", "_", c.strip().lower()).strip("_") for c in sheet.columns])
+
+
+def write_reports(counts: DataFrame, folder: str, base: str, crop: str) -> None:
+    """per_crop and per_base as CSV and a summary as JSON, of tp, fp, fn, tn by crop: sums and mean scores at each level."""
+    from chartlines.operators.metrics import micro_macro
+
+    rolled = keep(micro_macro(counts, base, crop), "report")
+    for level, name in ((0, "per_crop"), (1, "per_base")):
+        rolled.where(F.col("level") == level).write.mode("overwrite").csv(f"{folder}/{name}", header=True)
+    rolled.where(F.col("level") == 2).drop(base, crop).write.mode("overwrite").json(f"{folder}/summary")
+
+
+def write_by(rows: DataFrame, folder: str, *keys: str) -> None:
+    """One table for each value of keys (an image, a category), as Parquet under folder/key=value; rows of one value come from one task."""
+    rows.repartition(*keys).write.partitionBy(*keys).mode("overwrite").parquet(folder)
+
+
+def predict(images: DataFrame, factory, schema: str, attempts: int = 1, wait: float = 2.0, transient=lambda e: False) -> DataFrame:
+    """Rows that a user's predictor, or feature extractor, gives for each row of images; factory() is called once for each task.
+
+    A failure that transient(error) calls passing is tried again, attempts times in
+    all, after wait, 2 * wait, 4 * wait ... seconds. Other failures, and the last one,
+    become a row with error.
+    """
+
+    names = StructType.fromDDL(schema).names
+
+    def tried(predictor, row: dict) -> pd.DataFrame:
+        for turn in range(attempts):
+            try:
+                return predictor(row).assign(error=None)
+            except Exception as e:  # noqa: BLE001  the predictor is the user's
+                if turn + 1 == attempts or not transient(e):
+                    return pd.DataFrame([{n: str(e)[:500] if n == "error" else row.get(n) for n in names}])
+                time.sleep(wait * 2**turn)
+        raise ValueError("attempts must be at least 1")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = factory()
         for batch in batches:
             for row in batch.to_dict("records"):
-                try:
-                    yield predictor(row).assign(error=None)
-                except Exception as e:  # noqa: BLE001  the predictor is the user's
-                    yield pd.DataFrame([{**row, "error": str(e)[:500]}])
+                yield tried(predictor, row)
 
     return images.mapInPandas(run, schema)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +21,12 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/chartlines/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """rows with their place (from 1) in an order over all of them: numbered within ranges, what stands before a range coming from a table with one row a range."""
+    parts = keep(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    heads = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = heads.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_part", "_before")
