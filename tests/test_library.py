@@ -225,8 +225,10 @@ def test_hues_mixtures_and_centres(spark):
     centres = palettes.colour_centres(colours, ["image_id"], 2)
     assert sorted(r["n"] for r in centres.collect()) == [8.0, 15.0]
     assert palettes.assign_centres(colours, centres, ["image_id"]).groupBy("centre_no").count().count() == 2
-    axes = spark.createDataFrame([(1, y, x) for x in (0, 50, 100) for y in range(40)] + [(1, 3, x) for x in range(100)], "image_id long, y int, x int")
-    assert [r["x"] for r in palettes.vertical_axes(axes, 0.5, 20).orderBy("x").collect()] == [0, 50, 100]
+    axes = spark.createDataFrame([(1, y, x) for x in (20, 100, 900, 912, 1500, 1890, 1990) for y in range(40)] + [(1, 3, x) for x in range(2000)], "image_id long, y int, x int")
+    # the first and the last stand at the borders, 912 too near to 900
+    found = [r["x"] for r in palettes.vertical_axes(axes).orderBy("x").collect()]
+    assert len(found) == 4 and all(abs(a - b) <= 6 for a, b in zip(found, (100, 906, 1500, 1890)))
 
 
 def test_earth_movers_of_unequal_sets(spark):
@@ -239,3 +241,146 @@ def test_earth_movers_of_unequal_sets(spark):
     points = lambda n: spark.createDataFrame([(1, i, float(i), 0.0) for i in range(n)], "unit long, id long, x double, y double")
     found = metrics.transport_distances(points(25), points(26)).first()
     assert abs(found["emd"] - 0.5) < 1e-9
+
+
+def sample_points(s, step=3.0, least=5, most=200):
+    d = s[2:] - s[:2]
+    size = np.hypot(*d)
+    n = 1 if size < 1e-9 else int(np.clip(np.ceil(size / step), least, most))
+    return s[:2] + (np.linspace(0, 1, n)[:, None] if n > 1 else np.zeros((1, 1))) * d
+
+
+def test_sampled_cost_is_the_least_of_all_point_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, 0, 0, 0, 60, 60, 1), (0, 1, 5, 5, 5, 5, 1), (0, 2, 0, 0, 900, 1, 1), *[(0, 3 + i, *rng.uniform(0, 90, 4).round(2), 1) for i in range(9)]]
+    gts = [(0, 0, 0, 60, 60, 0, 1), (0, 1, 30, 0.6, 90, 0.6, 1), (0, 2, 7, 7, 7, 7, 1), *[(0, 3 + i, *rng.uniform(0, 90, 4).round(2), 1) for i in range(9)]]
+    got = matching.pairs(seg(spark, rows), seg(spark, gts), matching.sampled_cost).collect()
+    lines = lambda rs: {r[1]: np.array(r[2:6], float) for r in rs}
+    a, b = lines(rows), lines(gts)
+    assert len(got) == len(rows) * len(gts)
+    for r in got:
+        p, q = sample_points(a[r["p"]]), sample_points(b[r["g"]])
+        assert abs(np.sqrt(((p[:, None] - q[None]) ** 2).sum(2)).min() - r["cost"]) < 1e-9
+    nulls = matching.pairs(seg(spark, rows[:1]), seg(spark, gts[:1]).withColumn("x1", F.lit(None).cast("double")), matching.sampled_cost).first()
+    assert nulls["cost"] is None
+
+
+def test_equal_neighbours_are_both_damped(spark):
+    from chartlines.operators import labels
+
+    cells = spark.createDataFrame([(1, 0, 0, 0.4), (1, 0, 1, 0.4), (1, 5, 5, 0.1), (2, 0, 0, 0.5), (2, 1, 1, 0.2)], "unit long, y long, x long, score double")
+    tops = lambda df: {(r["unit"], r["y"], r["x"]) for r in df.where("top").collect()}
+    assert tops(labels.damp(cells)) == {(1, 5, 5), (2, 0, 0)}
+    assert tops(labels.damp(cells, ties_stay=True)) == {(1, 5, 5), (2, 0, 0), (1, 0, 0), (1, 0, 1)}
+
+
+def test_clipping_leaves_a_covering_line_and_trims_ends():
+    lines = np.array([[10, 0, 20, 0], [0, 0, 100, 0], [15, 0, 40, 0], [0, 50, 9, 50], [2, 50, 5, 50], [0, 50, 9, 50]], float)
+    at, kept = N.clip_collinear(lines, np.array([9, 8, 7, 6, 5, 4.0]), 1.0)
+    # the second holds the first inside and stays whole; the third then lies under it, the fifth under the fourth
+    assert at.tolist() == [0, 1, 3] and kept.tolist() == lines[[0, 1, 3]].tolist()
+    at, kept = N.clip_collinear(np.array([[0, 0, 10, 0], [6, 0.5, 20, 0.5]], float), np.array([2, 1.0]), 1.0)
+    assert at.tolist() == [0, 1] and kept[1].tolist() == [10, 0.5, 20, 0.5]
+
+
+def test_density_clusters_match_brute_force():
+    rng = np.random.default_rng(8)
+    x = np.unique(np.concatenate([rng.normal(c, 4, (60, 3)) for c in (0, 40, 47)]).round(), axis=0)
+    n = rng.integers(1, 9, len(x)).astype(float)
+    of = N.density_clusters(x, n, 5.0, 25)
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= 25
+    core = near @ n >= 25
+    group = np.arange(len(x))
+    for _ in range(len(x)):
+        group = np.array([min(group[near[i] & core]) if core[i] else group[i] for i in range(len(x))])
+    assert all((of[i] == of[j]) == (group[i] == group[j]) for i, j in itertools.combinations(np.flatnonzero(core), 2))
+    for i in np.flatnonzero(~core):
+        owners = near[i] & core
+        assert (of[i] == -1) == (not owners.any()) and (of[i] == -1 or of[i] in of[owners])
+    assert N.density_clusters(np.zeros((0, 3)), np.zeros(0), 5.0, 1).tolist() == []
+
+
+def test_dominant_hues_leave_out_background_and_greys(spark):
+    from chartlines.operators import palettes
+
+    rows = [(1, y, x, *((255, 255, 255) if y < 20 else (200, 10, 10) if y < 24 else (10, 10, 200) if y < 27 else (90, 92, 91))) for y in range(30) for x in range(30)]
+    found = palettes.dominant_hues(spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int"), ["image_id"], 8.0, 20, 1).collect()
+    assert [(r["category"], round(r["hue"], 3)) for r in sorted(found, key=lambda r: r["hue"])] == [("cat1", 0.0), ("cat2", 0.667)]
+
+
+def test_strict_and_global_pairs_are_the_cheapest(spark):
+    rng = np.random.default_rng(21)
+    make = lambda n: [(u, i, "ab"[i % 2], *rng.uniform(0, 50, 4).round(1)) for u in range(4) for i in range(n)]
+    schema = "unit long, line_id long, category string, x1 double, y1 double, x2 double, y2 double"
+    gts, preds = make(4), make(3)
+    table = lambda rows: spark.createDataFrame([(r[0], r[1], r[2], *map(float, r[3:])) for r in rows], schema).withColumn("image_id", F.col("unit") % 2)
+    found = {(r["scope"], r["image_id"]): r for r in metrics.strict_and_global(table(preds).withColumn("score", F.lit(1.0)), table(gts), ["image_id", "unit", "category"], "image_id").collect()}
+
+    def least(key):
+        total, n = 0.0, 0
+        for k in {key(r) for r in gts}:
+            a, b = ([np.array(r[3:], float) for r in rows if key(r) == k] for rows in (preds, gts))
+            if len(a) <= len(b):
+                total += min(sum(np.abs(p - b[j]).sum() for p, j in zip(a, order)) for order in itertools.permutations(range(len(b)), len(a)))
+            n += min(len(a), len(b))
+        return total, n
+
+    strict = [least(lambda r, i=i: (r[0] % 2 == i) and (r[0], r[2])) for i in (0, 1)]
+    for i in (0, 1):
+        r = found["strict", i]
+        assert (r["gt_lines"], r["pred_lines"], r["matched"]) == (8, 6, 6)
+    sums = [found["strict", i]["mae_xy"] * 4 * 6 for i in (0, 1)]
+    whole = least(lambda r: (r[0], r[2]))
+    assert whole[1] == 12 and abs(sum(sums) - whole[0]) < 1e-6 and strict
+    assert found["global", 0]["matched"] == 6 and found["global", 0]["mae_xy"] * 24 <= sums[0] + 1e-9
+
+
+def test_merged_crops_and_chain_on_empty_sides(spark):
+    from chartlines.operators import chains
+
+    gt = seg(spark, [(1, 0, 0, 0, 10, 10, 1), (2, 0, 0, 0, 10, 10, 1), (2, 1, 0, 30, 10, 30, 1)]).withColumn("crop", F.lit("c"))
+    pred = seg(spark, [(1, 0, 0, 0, 10, 10, 0.9), (2, 0, 0, 1, 10, 11, 0.8), (2, 1, 0, 90, 10, 90, 0.5)]).withColumn("crop", F.lit("c"))
+    r = chains.merged_crops(pred, gt, "crop", 10.0).first()
+    assert (r["tp"], r["fp"], r["fn"]) == (1, 1, 1) and r["ap"] == 0.5  # both truths at 0 are one, as are both predictions
+    mask = spark.createDataFrame([(1, 0, 0), (1, 10, 10)], "unit long, y long, x long")
+    got = {r["unit"]: r["ap"] for r in chains.evaluation_chain(pred.drop("crop"), gt.drop("crop"), mask).collect()}
+    assert got == {1: 100.0, 2: 0.0}
+    assert chains.merged_crops(pred.limit(0), gt.limit(0), "crop").collect()[0]["tp"] == 0
+
+
+def test_nearest_colour_in_blocks_and_branching(spark):
+    colours = spark.createDataFrame([(f"c{i:02}", i / 40, 0.5, 0.5) for i in range(37)], "category string, h double, s double, v double")
+    rows = spark.createDataFrame([(i, (i * 7 % 100) / 100, 0.5, 0.4) for i in range(50)], "id long, h double, s double, v double")
+    whole = joins.nearest_colour(rows, colours, [], ["id"])
+    assert len(joins.in_blocks(colours, 10)) == 4
+    most, joins.BROADCAST_ROWS = joins.BROADCAST_ROWS, 10
+    try:
+        joins.in_blocks.__defaults__ = (10,)
+        parts = joins.nearest_colour(rows, colours, [], ["id"])
+        pick = lambda df: {r["id"]: (r["category"], round(r["colour_distance"], 9)) for r in df.collect()}
+        assert pick(whole) == pick(parts)
+    finally:
+        joins.BROADCAST_ROWS = most
+        joins.in_blocks.__defaults__ = (most,)
+    segments = spark.createDataFrame([(1, 1, "a", 0, 0, 0.0, 10.0), (2, 1, "a", 1, 0, 11.0, 20.0), (2, 1, "a", 1, 1, 9.0, 70.0), (2, 1, "a", 1, 2, 50.0, 60.0)], "unit long, image_id long, category string, crop_id int, line_id long, y1 double, y2 double")
+    got = {(r["path_id"], r["crop_id"]): (r["y1"], r["y2"]) for r in joins.stitch_branching(segments, 2, 5.0).collect()}
+    assert got == {(0, 0): (0.0, 10.0), (0, 1): (11.0, 20.0), (1, 0): (0.0, 10.0), (1, 1): (9.0, 70.0), (2, 0): (None, None), (2, 1): (50.0, 60.0)}
+    assert {r["path_id"] for r in joins.stitch_branching(segments, 2, 5.0, births=False).collect()} == {0, 1}
+
+
+def test_predictors_are_tried_again(spark):
+    class Flaky:
+        def __init__(self):
+            self.calls = 0
+
+        def __call__(self, row):
+            self.calls += 1
+            if row["id"] == 1 and self.calls % 2 or row["id"] == 2:
+                raise ValueError("503")
+            import pandas as pd
+
+            return pd.DataFrame({"id": [row["id"]], "n": [1]})
+
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "id long").coalesce(1)
+    got = {r["id"]: (r["n"], r["error"]) for r in files.predict(rows, Flaky, "id long, n long, error string", attempts=3, wait=0.0, transient=lambda e: "503" in str(e)).collect()}
+    assert got[1] == (1, None) and got[2] == (None, "503") and got[3] == (1, None)
