@@ -320,6 +320,55 @@ def test_quality_tells_junk_from_prose(spark):
     assert 0.5 < model.prior < 0.95
 
 
+def test_quality_learns_words_and_takes_odd_rows(spark):
+    rng, good_words, bad_words = random.Random(66), vocabulary(66), vocabulary(67)
+    rows, labels = [], []
+    for i in range(1500):
+        good = i % 3 != 0
+        rows.append((i, " ".join(rng.choice(good_words if good else bad_words) for _ in range(40)), None, None, None))
+        if good and i % 2:
+            labels.append((i, 1, 0))
+    df = docs(spark, rows + ODD + [(7, None, None, None, None)] * 3).withColumn("kind", F.lit("clash")).withColumn("score", F.lit("clash"))
+    model = quality.train(df, spark.createDataFrame(labels + [(None, None, None), (4, None, 1)], "doc_id long, quality int, toxic int"))
+    got = quality.score(df, model).collect()
+    assert len(got) == len(rows) + len(ODD) + 3 and all(0 <= r["score"] <= 1 for r in got)
+    seen = {r["doc_id"]: r["score"] for r in got}
+    held = [i for i in range(10, 1500) if zlib.crc32(str(i).encode()) % 5 == 0]
+    # the numbers of both kinds are alike: only the words tell them apart
+    assert np.mean([(seen[i] >= 0.5) == (i % 3 != 0) for i in held]) > 0.9
+
+
+def test_risk_and_its_slopes_match_brute_force():
+    rng = np.random.default_rng(9)
+
+    def texts(n):
+        has = rng.random((n, 4)) < 0.6
+        text_of, bucket = np.nonzero(has)
+        return quality.Texts(rng.normal(size=(n, len(quality.FEATURES))).astype(np.float32), bucket, text_of), has
+
+    (pos, has_p), (unl, has_u) = texts(7), texts(11)
+    edges = np.stack([np.linspace(-1, 1, 3)] * len(quality.FEATURES))
+    model = quality.BinnedModel(edges, np.zeros(edges.shape[0] * 4), np.zeros(4), 0.0, 0.5)
+    risk = quality.Risk(model, pos, unl, words=True)
+    for prior, scale in ((0.4, 0.3), (0.95, 3.0)):
+        w = rng.normal(size=risk.size) * scale
+
+        def margin(t, has):
+            return [w[-1] + sum(w[j * 4 + int((edges[j] < t.x[i, j]).sum())] for j in range(len(edges))) + sum(w[-5:-1][has[i]]) / np.sqrt(max(has[i].sum(), 1)) for i in range(len(t.x))]
+
+        log1 = lambda v: float(np.mean(np.log1p(np.exp(v))))
+        up, down = prior * log1(-np.array(margin(pos, has_p))), log1(np.array(margin(unl, has_u))) - prior * log1(np.array(margin(pos, has_p)))
+        assert np.allclose(risk.value(w, prior), (up, down))
+
+        def goal(v):
+            u, d = risk.value(v, prior)
+            return u + d if down >= 0 else -d
+
+        for j in rng.choice(risk.size, 20, replace=False):
+            e = 1e-6 * (np.arange(risk.size) == j)
+            assert abs((goal(w + e) - goal(w - e)) / 2e-6 - risk.slopes(w, prior)[j]) < 1e-6
+
+
 # --- op 6
 
 
