@@ -27,7 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/chartlines/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/chartlines/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear_kept(spark: SparkSession) -> None:
+    """Delete what this application has kept so far; results not yet collected or written can't be worked out any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/chartlines/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:

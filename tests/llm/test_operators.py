@@ -629,3 +629,38 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
         assert kept.count() >= 0.6 * seen.count(), name
         assert kept.select("doc_id").subtract(seen.select("doc_id")).count() == 0
         seen = kept
+
+
+def test_pipeline_of_odd_and_of_no_documents(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(77)
+    vocab = {g: vocabulary(70 + i, 150) for i, g in enumerate(("aa", "bb"))}
+    rows = []
+    for i in range(60):
+        g = "ab"[i % 2] * 2
+        rows.append((100 + i, "\n".join(" ".join(rng.choice(vocab[g]) for _ in range(12)) for _ in range(6)), g if i % 5 else None, rng.choice(["x", "y", None]), 7))
+    rows += [rows[3], rows[3], (300, rows[5][1], "bb", "x", 7)]  # repeated rows, and a copy under another id
+    df = docs(spark, rows + ODD).withColumn("kept", F.lit("clash")).withColumn("copy_no", F.lit(9)).withColumn("score", F.lit("clash"))
+    seen, sizes = df, []
+    for name, stage in corpus_pipeline.STAGES:
+        seen = stage(spark, seen, sf)
+        found = seen.collect()
+        sizes.append(len(found))
+        if name != "mixing sources":
+            assert seen.columns == df.columns, name
+            assert {r["doc_id"] for r in found} >= {r[0] for r in rows[:60]} - {105}, name  # clean documents stay
+    left = {r["doc_id"] for r in found}
+    assert None not in left and not left & {1, 2, 3} and 300 not in left  # no text, and the copy
+    words_in = sum(len(words(r["text"])) for r in found)
+    once = {(r["doc_id"], r["text"]): len(words(r["text"])) for r in stage_input(corpus_pipeline, spark, df, sf)}
+    assert sum(once.values()) <= words_in <= 2 * sum(once.values()) * 3 and set(seen.columns) == set(df.columns)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), sf).count() == 0
+
+
+def stage_input(pipeline, spark, docs_in, sf):
+    for name, stage in pipeline.STAGES[:-1]:
+        docs_in = stage(spark, docs_in, sf)
+    return docs_in.collect()
