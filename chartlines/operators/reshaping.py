@@ -139,6 +139,13 @@ def style_draw(plots: DataFrame, key: str, choices: DataFrame, seed: int = 0) ->
     return plots.select(key, u.alias("_u")).join(F.broadcast(options.withColumn("_t", total)), how="left").select(key, pick.alias("value"))
 
 
+def distinct_draw(plots: DataFrame, key: str, n: Column, pool: int = 30, seed: int = 0) -> DataFrame:
+    """key, place, hue: n hues drawn without replacement from i / pool, in the order of md5(key:seed:i)."""
+    named = lambda i: F.struct(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), i.cast("string"))).alias("m"), i.alias("i"))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(pool - 1)), named))
+    return plots.select(key, F.posexplode(F.slice(order, F.lit(1), n)).alias("place", "d")).select(key, "place", (F.col("d.i") / F.lit(float(pool))).alias("hue"))
+
+
 def md5_share(key: Column, seed: int = 0) -> Column:
     """A number in [0, 1) from the first 12 hex digits of md5(key:seed)."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))

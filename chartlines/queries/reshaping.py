@@ -112,9 +112,15 @@ def w11_top_n(spark, sf):
     return R.top_n(derived(spark, sf, PRED), 2, ["unit"], F.desc("score"), F.asc("line_id")).select("unit", "line_id", "score")
 
 
-@query(ctes(gt=GT) + ", n AS (SELECT count(DISTINCT image_id) AS n FROM gt) SELECT 'train' AS part, CAST(floor(n * 0.8) AS BIGINT) AS images FROM n UNION ALL SELECT 'valid', n - CAST(floor(n * 0.8) AS BIGINT) FROM n")
+@query(ctes(gt=GT) + ", n AS (SELECT count(DISTINCT image_id) AS n FROM gt) SELECT 'train' AS part, CAST(floor(n * 0.8) AS BIGINT) AS images, CAST(floor(n * 0.8) AS BIGINT) AS whole, (SELECT count(*) FROM gt) AS rows FROM n UNION ALL SELECT 'valid', n - CAST(floor(n * 0.8) AS BIGINT), n - CAST(floor(n * 0.8) AS BIGINT), (SELECT count(*) FROM gt) FROM n")
 def w12_split_by_group(spark, sf):
-    return R.split_by_group(derived(spark, sf, GT), "image_id").groupBy("part").agg(F.countDistinct("image_id").alias("images"))
+    gt = derived(spark, sf, GT)
+    split = R.split_by_group(gt, "image_id")
+    # whole: images all of whose lines are in the part
+    sizes = gt.groupBy("image_id").agg(F.count(F.lit(1)).alias("all"))
+    held = split.groupBy("part", "image_id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "image_id")
+    total = held.agg(F.sum("n").alias("rows"))
+    return held.groupBy("part").agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("n") == F.col("all")).alias("whole")).join(F.broadcast(total), how="left")
 
 
 @query(ctes(gt=GT) + """, c AS (SELECT r_name AS value, r_regionkey + 1 AS weight FROM region), w AS (SELECT value, sum(weight) OVER (ORDER BY value) AS hi, sum(weight) OVER () AS total FROM c),
@@ -125,6 +131,13 @@ def g4_style_draw(spark, sf):
     return R.style_draw(plots, "image_id", choices)
 
 
+@query(ctes(gt=GT) + """, p AS (SELECT image_id, count(DISTINCT category) AS n FROM gt GROUP BY image_id) SELECT image_id, k - 1 AS place, i / 30.0::DOUBLE AS hue
+FROM (SELECT image_id, n, i, row_number() OVER (PARTITION BY image_id ORDER BY md5(image_id || ':0:' || i)) AS k FROM p CROSS JOIN (SELECT unnest(range(30)) AS i)) WHERE k <= n""")
+def g4_distinct_draw(spark, sf):
+    plots = derived(spark, sf, GT).groupBy("image_id").agg(F.countDistinct("category").cast("int").alias("n"))
+    return R.distinct_draw(plots, "image_id", F.col("n"))
+
+
 @query(ctes(gt=GT, pred=PRED) + "SELECT unit, 'gt' AS source FROM gt INTERSECT SELECT unit, 'gt' FROM pred UNION ALL (SELECT unit, 'missing' FROM gt EXCEPT SELECT unit, 'missing' FROM pred)")
 def u2_u4_key_sets(spark, sf):
     a, b = (derived(spark, sf, t).select("unit") for t in (GT, PRED))
