@@ -45,7 +45,7 @@ def each_unit(df: DataFrame, order: list, run: Callable[[Arrays], pd.DataFrame |
         if schema is None:
             yield rows.iloc[np.concatenate([a + at for a, at in found]).astype(np.int64)]
         else:
-            yield pd.concat([f for _, f in found], ignore_index=True)
+            yield pd.concat([f for _, f in found if len(f)] or [found[0][1]], ignore_index=True)
 
     return sorted_rows.mapInPandas(stream, schema or df.schema)
 

@@ -172,7 +172,7 @@ def c6_lab_clusters(spark, sf):
     lab = C.rgb_to_lab(*(F.col(c) for c in "rgb"))
     fore = C.foreground(derived(spark, sf, PIXELS), "sv")
     colours = fore.groupBy("image_id", F.round(lab["l"] * 2.55).alias("l"), F.round(lab["a"] + 128).alias("a"), F.round(lab["b"] + 128).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return P.colour_clusters(colours, ["image_id"], ("l", "a", "b"), 9.0, 60)
+    return P.colour_clusters(colours, ["image_id"], ("l", "a", "b"), 14.0, 12)
 
 
 @query()

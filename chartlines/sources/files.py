@@ -204,7 +204,8 @@ def predict(images: DataFrame, factory, schema: str, attempts: int = 1, wait: fl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = factory()
         for batch in batches:
-            for row in batch.to_dict("records"):
-                yield tried(predictor, row)
+            found = [tried(predictor, row) for row in batch.to_dict("records")]
+            if found:
+                yield pd.concat([f for f in found if len(f)] or found[:1], ignore_index=True)
 
     return images.mapInPandas(run, schema)
