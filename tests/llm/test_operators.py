@@ -78,6 +78,14 @@ def test_nearest_matches_brute_force_and_skips_unusable(spark):
     assert hits >= 0.95 * 10 * len(got)
 
 
+def test_nearest_with_repeated_ids_and_ties(spark):
+    rows = [(i, [1.0, float(i % 3)]) for i in range(1, 90)] + [(5, [9.0, 9.0]), (5, [9.0, 9.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash")).withColumn("rank", F.lit(1))
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") % 100 == 0, rerank=11).collect())
+    # of a repeated id the smaller vector counts; 29 others tie at distance 0
+    assert got == [(n + 1, 3 * (n + 1), 0.0) for n in range(10)]
+
+
 def test_nearest_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>, label int"
     few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0)], schema), F.col("vec_id") % 100 == 0).collect()
@@ -613,6 +621,39 @@ def test_language_by_compression(spark):
     assert {r["lang_pred"] for r in language_id.identify_languages(df.limit(5), {}).collect()} == {"und"}
 
 
+def test_language_sizes_match_a_plain_loop_and_ties_go_by_name(spark):
+    import zstandard
+
+    rng = random.Random(101)
+    vocab = {g: vocabulary(100 + i, 80) for i, g in enumerate(("bb", "aa"))}
+    vocab["cc"] = ["".join(rng.choice("дежзик") for _ in range(6)) for _ in range(80)]
+    long_texts = [(i, "Header the same for all. " * 80 + " ".join(rng.choice(vocab[g]) for _ in range(900)), g, None, None) for i, g in enumerate(list(vocab) * 40)]
+    df = docs(spark, long_texts + long_texts[:3] * 2 + [(5_000, "QXQXQX", "bb", None, None)])
+    learnt = language_id.learn_dictionaries(df)
+    assert learnt == language_id.learn_dictionaries(df.repartition(5))
+    sizes = {g: len(d) for g, d in learnt.items()}
+    assert sizes["cc"] == max(sizes.values()) and min(sizes.values()) > 0.6 * language_id.SAMPLE_DOCUMENTS * language_id.SAMPLE_BYTES
+    assert all(d.count(b"header the same") < 0.6 * len(d) / 25 for d in learnt.values())  # not from the beginnings alone
+    texts = [long_texts[0][1], long_texts[1][1], "Some short one", "xyxyxy", long_texts[2][1][-700:]]
+    got = {r["doc_id"]: r for r in language_id.identify_languages(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)] * 2), learnt).collect()}
+    most = max(map(len, learnt.values()))
+    for i, text in enumerate(texts):
+        raw, found = text.lower().encode(), {}
+        for g in sorted(learnt):
+            params = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, source_size=language_id.PIECE_BYTES, dict_size=most, min_match=language_id.MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(learnt[g], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            found[g] = sum(len(coder.compress(raw[a : a + language_id.PIECE_BYTES])) for a in range(0, len(raw), language_id.PIECE_BYTES))
+        assert got[i]["lang_pred"] == min(found, key=lambda g: (found[g], g))
+    tie = language_id.identify_languages(docs(spark, [(1, "zz", None, None, None)] * 2), {"b": b"aaaa bbbb", "a": b"aaaa bbbb"}).collect()
+    assert [(r["lang_pred"], r["margin"], r["rejected"]) for r in tie] == [("a", 0.0, True)] * 2
+    with pytest.raises(ValueError, match="languages"):
+        most, language_id.MOST_LANGUAGES = language_id.MOST_LANGUAGES, 2
+        try:
+            language_id.learn_dictionaries(df)
+        finally:
+            language_id.MOST_LANGUAGES = most
+
+
 # --- pipeline
 
 
