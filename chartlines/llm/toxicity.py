@@ -114,9 +114,9 @@ class PairMoments:
         back = _sums(along, self.text_of, self.term, len(self.ids)) - self.share[:, None] * along.sum(0)
         return (back * self.scale[:, None] - diagonal[:, None] * q) / self.n
 
-    def leading(self, residual: np.ndarray, rng, most: int, turns: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    def leading(self, residual: np.ndarray, rng, most: int, turns: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """The `most` largest values and their directions."""
-        q = np.linalg.qr(rng.normal(size=(len(self.ids), min(2 * most, len(self.ids)))))[0]
+        q = np.linalg.qr(rng.normal(size=(len(self.ids), min(most + 2, len(self.ids)))))[0]
         for _ in range(turns):
             q = np.linalg.qr(self.times(residual, q))[0]
         small = q.T @ self.times(residual, q)
@@ -154,13 +154,16 @@ def fit_machine(bucket: np.ndarray, text_of: np.ndarray, labels: np.ndarray, fac
     limit = DEVIATIONS * np.sqrt(base * (1 - base) / n)
     pairs, raw = PairMoments(term, text_of, n, k), np.full(n, model.bias)
     weights, vectors, active = np.zeros(k), np.zeros((k, factors)), np.zeros(k, bool)
+    chance = None
     for _ in range(rounds):
         residual = labels - _logistic(raw)
         fresh = np.abs(np.bincount(term, residual[text_of], k) * scale / n) > limit
         if len(pairs.ids) > 2 * factors:
             values, directions = pairs.leading(residual, rng, factors)
-            chance = max(pairs.leading(rng.permutation(residual), rng, factors)[0][0] for _ in range(2))
-            lead = np.where((values > ABOVE_NOISE * chance) & (np.abs(directions) >= LEAD), directions, 0) * np.sqrt(np.maximum(values, 0))
+            size = float(np.sqrt((residual**2).mean()))
+            if chance is None:  # what shuffled residuals give grows with their size
+                chance = max(pairs.leading(rng.permutation(residual), rng, 1)[0][0] for _ in range(2)) / size
+            lead = np.where((values > ABOVE_NOISE * chance * size) & (np.abs(directions) >= LEAD), directions, 0) * np.sqrt(np.maximum(values, 0))
             new = ~active[pairs.ids] & (lead != 0).any(1)
             vectors[pairs.ids[new]] = lead[new]
             fresh[pairs.ids[new]] = True
