@@ -36,6 +36,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters, space, upper
 
 
+@lru_cache(maxsize=1)
+def _exact_letters() -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 _powers: list[np.ndarray] = []
 
 
@@ -86,21 +91,26 @@ def _runs(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray) -> tuple[
     return np.flatnonzero(begin), np.flatnonzero(last) + 1
 
 
-def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    letters, _, _ = _tables()
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64 (more of them may come)."""
+    return _power(n)
+
+
+def _sums(raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    letters = _tables()[0] if lower else _exact_letters()
     power, inverse = _power(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(letters[raw] * power[: len(raw)], out=sums[1:])
     return sums, inverse
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words, A-Z lowered, of all texts in a row, and each text's first word (one more entry for the end)."""
+def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, A-Z lowered unless told otherwise, of all texts in a row, and each text's first word (one more entry for the end)."""
     raw, starts = joined(column)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
     begins, ends = _runs(raw, starts, _tables()[1])
-    sums, inverse = _sums(raw)
+    sums, inverse = _sums(raw, lower)
     hashes = mix((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
     return hashes, np.searchsorted(begins, starts)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlines.llm import ann, common, decontaminate, language_id, line_dedup, minhash, mixing, quality, token_counts, toxicity, warc
+from chartlines.llm import ann, common, decontaminate, language_id, line_dedup, minhash, mixing, periodic, quality, token_counts, toxicity, warc
 
 
 def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,5 +159,72 @@ SELECT doc_id, item_id, arg_min(s, (-(shared / (total - shared)), s)) AS start,
 FROM m WHERE 100 * shared >= 80 * (total - shared) GROUP BY doc_id, item_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_quality, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id)}
-ORACLES: dict[str, str] = {"op1_nearest_vectors": OP1_SQL, "op2_minhash_dedup": OP2_SQL, "op6_warc_index": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
+#: crc32 of short ASCII texts in SQL: `crc(s)` over a table of 256 values that eight shifts make.
+CRC_SQL = """
+crc_of AS MATERIALIZED (SELECT list(list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS t
+                        FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS v))"""
+
+
+def crc_sql(number: str) -> str:
+    """SQL for the unsigned crc32 of a number's decimal text; crc_of must be joined in."""
+    codes = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))"
+
+
+def repeating_tails(documents: DataFrame) -> DataFrame:
+    """doc_id, text: of every tenth document, by h = crc32(doc_id), the words from one on repeat with a period; h tells both."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def tail(ws):
+        n = F.size(ws)
+        a = F.pmod(g, n)
+        period = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        word = lambda i: F.get(ws, F.when(i < a, i).otherwise(a + F.pmod(i - a, period)).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")).otherwise("")
+
+    return documents.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, common.let(common.words(F.col("text")), tail)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(repeating_tails(common.table(spark, sf_dir, "documents")))
+    runs = F.col("runs")
+    longer = lambda a, b: b["length"] * a["period"] > a["length"] * b["period"]
+    best = F.when(F.size(runs) > 0, F.aggregate(F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0))), F.get(runs, 0), lambda a, b: F.when(longer(a, b), b).otherwise(a)))
+    listed = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    lines = F.when(F.size(runs) > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    out = found.withColumn("b", best)
+    return out.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), F.col("b.start").alias("start"), F.col("b.length").alias("length"), F.col("b.period").alias("period"),
+        F.expr("(1000 * b.length) div b.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP13_SQL = rf"""
+WITH {CRC_SQL.strip()},
+d AS (
+  SELECT doc_id, {crc_sql("doc_id")} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents, crc_of),
+g AS (SELECT *, len(ws) AS n, h // 10 AS g FROM d),
+p AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM g),
+w AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE ws END AS ws FROM p),
+e AS MATERIALIZED (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(ws) AS word FROM w),
+s AS (SELECT x.doc_id, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+      FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+r AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM r GROUP BY doc_id, start, length),
+best AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_runs FROM runs a
+  WHERE NOT EXISTS (FROM runs b WHERE a.doc_id = b.doc_id AND (b.length * a.period > a.length * b.period
+    OR (b.length * a.period = a.length * b.period AND (b.start, b.period) < (a.start, a.period))))),
+n AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body FROM e ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(n.lines, '')) AS runs_sha256, sha256(coalesce(kept.body, '')) AS collapsed_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_quality, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id, op13_periodic_runs)}
+ORACLES: dict[str, str] = {"op1_nearest_vectors": OP1_SQL, "op2_minhash_dedup": OP2_SQL, "op6_warc_index": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL, "op13_periodic_runs": OP13_SQL}

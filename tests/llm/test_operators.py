@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chartlines.llm import ann, batches, components, decontaminate, language_id, line_dedup, minhash, mixing, quality, token_counts, toxicity, warc
+from chartlines.llm import ann, batches, components, decontaminate, language_id, line_dedup, minhash, mixing, periodic, quality, token_counts, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -705,3 +705,76 @@ def stage_input(pipeline, spark, docs_in, sf):
     for name, stage in pipeline.STAGES[:-1]:
         docs_in = stage(spark, docs_in, sf)
     return docs_in.collect()
+
+
+# --- op 13
+
+
+def brute_runs(w, least, exponent):
+    """start, length, period of the maximal runs, by every shift."""
+    best = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, exponent * q):
+                best.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in best.items()), key=lambda r: (r[0], r[2]))
+
+
+def test_runs_match_every_shift():
+    rng = random.Random(5)
+    for _ in range(400):
+        n, k = rng.randint(1, 60), rng.choice([1, 2, 2, 3, 5])
+        w = [rng.randint(1, k) for _ in range(n)]
+        if rng.random() < 0.5:
+            a, p = rng.randrange(n), rng.randint(1, 12)
+            w = [w[i if i < a else min(a + (i - a) % p, n - 1)] for i in range(n)]
+        known = {}
+        ids = [known.setdefault(x, len(known) + 1) for x in w]
+        for least, exponent in ((2, 2), (4, 3), (24, 3)):
+            assert [tuple(r) for r in periodic._ordered(periodic.runs_of(ids, least, exponent)).tolist()] == brute_runs(w, least, exponent)
+
+
+def test_ranges_of_minima():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 16, 17, 300):
+        values = rng.integers(0, 50, n).astype(np.int32)
+        a, b = rng.integers(0, n, 400), rng.integers(0, n, 400)
+        want = [values[min(x, y) : max(x, y) + 1].min() for x, y in zip(a, b)]
+        assert periodic.Minima(values).least(a, b).tolist() == want
+
+
+def test_periodic_runs_on_texts_and_odd_rows(spark):
+    rng = random.Random(11)
+    vocab = [*vocabulary(3, 12), "Ab", "ab", "é"]
+    rows = []
+    for i in range(150):
+        ws = [rng.choice(vocab[: rng.choice([2, 3, 15])]) for _ in range(rng.randint(0, 90))]
+        for _ in range(rng.randint(0, 2)):
+            unit = [rng.choice(vocab) for _ in range(rng.randint(1, 14))]
+            at = rng.randint(0, len(ws))
+            ws[at:at] = (unit * 9)[: rng.randint(20, 70)]
+        rows.append((i, rng.choice([" ", "\n", " \t"]).join(ws), None, None, 0))
+    rows += [(500, " ".join(["same"] * 30_000), None, None, 0), (501, " ".join(f"u{i % 700}" for i in range(9_000)), None, None, 0)]
+    found = periodic.find_runs(docs(spark, [*rows, *ODD]).withColumn("runs", F.lit(1)).withColumn("collapsed", F.lit("x"))).collect()
+    texts = {r[0]: r[1] for r in [*rows, *ODD]}
+    assert len(found) == len(rows) + len(ODD)
+    assert sum(len(r["runs"]) > 0 for r in found) > 60
+    for r in found:
+        w = words(texts[r["doc_id"]])
+        assert r["n_words"] == len(w)
+        if len(w) < 2_000:
+            want = brute_runs(w, 24, 3)
+        elif r["doc_id"] == 6:
+            want = [(0, 60_000, 977)]
+        else:
+            want = [(0, 30_000, 1)] if r["doc_id"] == 500 else [(0, 9_000, 700)]
+        got = [(x["start"], x["length"], x["period"]) for x in r["runs"]]
+        assert got == want
+        gone = {i for s, n, q in got for i in range(s + q, s + n)}
+        assert r["collapsed"] == " ".join(x for i, x in enumerate(w) if i not in gone)
+    assert periodic.find_runs(docs(spark, [])).count() == 0
