@@ -758,7 +758,7 @@ def test_periodic_runs_on_texts_and_odd_rows(spark):
             unit = [rng.choice(vocab) for _ in range(rng.randint(1, 14))]
             at = rng.randint(0, len(ws))
             ws[at:at] = (unit * 9)[: rng.randint(20, 70)]
-        rows.append((i, rng.choice([" ", "\n", " \t"]).join(ws), None, None, 0))
+        rows.append((10 + i, rng.choice([" ", "\n", " \t"]).join(ws), None, None, 0))
     rows += [(500, " ".join(["same"] * 30_000), None, None, 0), (501, " ".join(f"u{i % 700}" for i in range(9_000)), None, None, 0)]
     found = periodic.find_runs(docs(spark, [*rows, *ODD]).withColumn("runs", F.lit(1)).withColumn("collapsed", F.lit("x"))).collect()
     texts = {r[0]: r[1] for r in [*rows, *ODD]}
