@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlines.llm import ann, common, decontaminate, language_id, line_dedup, minhash, mixing, periodic, quality, token_counts, toxicity, warc
+from chartlines.llm import ann, common, decontaminate, language_id, line_dedup, minhash, mixing, periodic, prefix_trie, quality, token_counts, toxicity, warc
 
 
 def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +171,53 @@ def crc_sql(number: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))"
 
 
+def shared_beginnings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """turns of rebuilt conversations (conv_id, total, place, x, y, size), and conv_id, total: each begins with the first crc32(conv_id) % 6 turns of conversation conv_id - conv_id % 100 in place of as many of its own."""
+    c, hundred = F.col("conv_id"), F.lit(100)
+    h = F.pmod(F.crc32(c.cast("string")), F.lit(6))
+    heads = turns.where((c % hundred == 0) & (F.col("place") < 5)).groupBy(c.alias("base")).agg(F.sort_array(F.collect_list(F.struct("place", "x", "y", "size"))).alias("head"))
+    counts = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select("*", h.alias("h"), (c - c % hundred).alias("base"))
+    taken = F.when(F.col("head").isNotNull(), F.slice("head", F.lit(1), F.col("h").cast("int")))
+    convs = counts.join(heads, "base", "left").withColumn("taken", taken)
+    borrowed = F.coalesce(F.size("taken"), F.lit(0)).cast("long")
+    convs = convs.withColumn("nb", F.when(F.col("taken").isNull(), 0).otherwise(borrowed)).withColumn("total", F.col("nb") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
+    convs = common.keep(convs.select("conv_id", "h", "nb", "total", "taken"), "conversations")
+    first = convs.select("conv_id", "total", F.explode("taken").alias("t")).select("conv_id", "total", "t.*")
+    own = turns.join(convs.select("conv_id", "h", "nb", "total"), "conv_id").where(F.col("place") >= F.col("h"))
+    rest = own.select("conv_id", "total", (F.col("place") - F.col("h") + F.col("nb")).alias("place"), "x", "y", "size")
+    return first.unionByName(rest), convs.select("conv_id", "total")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.keep(prefix_trie.ordered_turns(common.table(spark, sf_dir, "conversations")), "placed")
+    return prefix_trie.prefix_nodes(*shared_beginnings(turns))
+
+
+OP12_SQL = f"""
+WITH {CRC_SQL.strip()},
+o AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, ts, {crc_sql("conv_id")} % 6 AS h FROM o, crc_of),
+c AS MATERIALIZED (
+  SELECT h.conv_id, list_concat(coalesce(b.ts[1 : h.h], []), h.ts[h.h + 1 :]) AS ts FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS MATERIALIZED (
+  SELECT conv_id, len(ts) AS total, d AS depth, CAST(to_json(ts[1 : d]) AS VARCHAR) AS path, CASE WHEN d > 0 THEN CAST(to_json(ts[1 : d - 1]) AS VARCHAR) END AS up,
+         CASE WHEN d > 0 THEN length(ts[d].text) ELSE 0 END AS size
+  FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM c)),
+n AS MATERIALIZED (
+  SELECT depth, path, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE total = depth), '')) AS ends_sha256
+  FROM p GROUP BY depth, path),
+k AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY depth, up),
+m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON n.depth = k.depth AND n.path = k.path),
+s AS (SELECT p.depth, p.path, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.size) AS saved_tokens
+      FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.depth, p.path)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s ON m.depth = s.depth AND m.path = s.path LEFT JOIN n u ON u.depth = m.depth - 1 AND u.path = m.up
+"""
+
+
 def repeating_tails(documents: DataFrame) -> DataFrame:
     """doc_id, text: of every tenth document, by h = crc32(doc_id), the words from one on repeat with a period; h tells both."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -226,5 +273,5 @@ SELECT w.doc_id, coalesce(n.n_runs, 0) AS n_runs, best.start, best.length, best.
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_quality, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id, op13_periodic_runs)}
-ORACLES: dict[str, str] = {"op1_nearest_vectors": OP1_SQL, "op2_minhash_dedup": OP2_SQL, "op6_warc_index": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL, "op13_periodic_runs": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_quality, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id, op12_prefix_trie, op13_periodic_runs)}
+ORACLES: dict[str, str] = {"op1_nearest_vectors": OP1_SQL, "op2_minhash_dedup": OP2_SQL, "op6_warc_index": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_periodic_runs": OP13_SQL}

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chartlines.llm import ann, batches, components, decontaminate, language_id, line_dedup, minhash, mixing, periodic, quality, token_counts, toxicity, warc
+from chartlines.llm import ann, batches, components, decontaminate, language_id, line_dedup, minhash, mixing, periodic, prefix_trie, quality, token_counts, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -778,3 +778,85 @@ def test_periodic_runs_on_texts_and_odd_rows(spark):
         gone = {i for s, n, q in got for i in range(s + q, s + n)}
         assert r["collapsed"] == " ".join(x for i, x in enumerate(w) if i not in gone)
     assert periodic.find_runs(docs(spark, [])).count() == 0
+
+
+# --- op 12
+
+TALK = "conv_id long, turn long, role string, text string"
+
+
+def brute_trie(rows):
+    """The nodes that a plain trie of the conversations has."""
+    talks = {}
+    for c, t, role, text in rows:
+        if c is not None:
+            talks.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    talks = {c: [(r, x) for _, _, r, x in sorted(ts)] for c, ts in talks.items()}
+    built = {}
+    for c, ts in talks.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = tuple([*talks.get(c - c % 100, [])[:h], *ts[h:]])
+    members = {}
+    for c, ts in built.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(ts[:d], []).append(c)
+    children, leaves, saved = {}, {}, {}
+    for path in members:
+        if path:
+            children[path[:-1]] = children.get(path[:-1], 0) + 1
+    for path, of in members.items():
+        for d in range(len(path) + 1):
+            leaves[path[:d]] = leaves.get(path[:d], 0) + (path not in children)
+            saved[path[:d]] = saved.get(path[:d], 0) + (len(of) - 1) * (len(path[-1][1]) if path else 0)
+    ends = lambda path, of: hashlib.sha256(",".join(str(c) for c in sorted(of) if built[c] == path).encode()).hexdigest()
+    return sorted((min(of), len(path), min(members[path[:-1]]) if path else -1, len(of), children.get(path, 0), leaves[path], saved[path], ends(path, of)) for path, of in members.items())
+
+
+def trie_of(frame):
+    from chartlines.llm import entries
+
+    found = prefix_trie.prefix_nodes(*entries.shared_beginnings(prefix_trie.ordered_turns(frame)))
+    out = [tuple(r) for r in found.collect()]
+    return sorted((c, d, -1 if p is None else p, *rest) for c, d, p, *rest in out)
+
+
+def talk_rows(rng):
+    rows = []
+    for c in [*range(0, 60), *range(100, 130), *range(210, 220)]:
+        for t in range(rng.randint(1, 7)):
+            turn = rng.choice([t, t, t, None, 0])
+            rows.append((c, turn, rng.choice(["user", "system", None]), rng.choice(["a", "b", "é long one", "", None])))
+    rows += [(400, t, "user", f"turn {t}") for t in range(3_000)] + [(401, t, "user", f"turn {t}") for t in range(40)]
+    return [*rows, *rows[:20], (None, 1, "user", "no id"), (None, None, None, None), (-7, 0, "user", "a"), (-107, 0, "user", "a")]
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_prefix_trie_matches_a_plain_trie(spark, monkeypatch, crowded):
+    if crowded:  # nearly all prefixes look shared, and conversations are cut into segments
+        for name, value in (("TILE_BITS", 4), ("LEAST_BITS", 5), ("MOST_BITS", 5), ("SEGMENT", 7)):
+            monkeypatch.setattr(prefix_trie, name, value)
+    rows = talk_rows(random.Random(3))
+    rng = random.Random(4)
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], TALK + ", total long, depth string")
+    assert trie_of(frame) == brute_trie(rows)
+
+
+def test_prefix_trie_of_nothing_and_of_one_turn(spark):
+    assert trie_of(spark.createDataFrame([], TALK)) == []
+    for rows in ([(5, None, None, None)], [(c, 0, "user", "same") for c in range(300, 420)]):
+        assert trie_of(spark.createDataFrame(rows, TALK)) == brute_trie(rows)
+
+
+def test_the_sketch_counts_no_prefix_too_low(spark):
+    rows = [(c, d, 0, 1, hash((c // (1 + d % 3), d)) % (1 << 60), d, 7, 7) for c in range(200) for d in range(1, 5)]
+    frame = spark.createDataFrame(rows, "conv_id long, depth long, size long, total long, a long, b long, pa long, pb long")
+    count = {}
+    for r in rows:
+        count[r[4:6]] = count.get(r[4:6], 0) + 1
+    for n in (1, 100_000):
+        got = prefix_trie.screened(frame, n).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r["state"] == 1:
+                assert count[(r["a"], r["b"])] == 1
