@@ -826,7 +826,7 @@ def talk_rows(rng):
         for t in range(rng.randint(1, 7)):
             turn = rng.choice([t, t, t, None, 0])
             rows.append((c, turn, rng.choice(["user", "system", None]), rng.choice(["a", "b", "é long one", "", None])))
-    rows += [(400, t, "user", f"turn {t}") for t in range(3_000)] + [(401, t, "user", f"turn {t}") for t in range(40)]
+    rows += [(400, t, "user", f"turn {t}") for t in range(90)] + [(401, t, "user", f"turn {t}") for t in range(40)]
     return [*rows, *rows[:20], (None, 1, "user", "no id"), (None, None, None, None), (-7, 0, "user", "a"), (-107, 0, "user", "a")]
 
 
