@@ -795,7 +795,7 @@ def brute_trie(rows):
     built = {}
     for c, ts in talks.items():
         h = zlib.crc32(str(c).encode()) % 6
-        built[c] = tuple([*talks.get(c - c % 100, [])[:h], *ts[h:]])
+        built[c] = tuple([*talks.get(c - int(np.fmod(c, 100)), [])[:h], *ts[h:]])
     members = {}
     for c, ts in built.items():
         for d in range(len(ts) + 1):
