@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlines.llm import ann, common, decontaminate, language_id, line_dedup, minhash, mixing, periodic, prefix_trie, quality, token_counts, toxicity, warc
+from chartlines.llm import ann, common, decontaminate, jaccard_join, language_id, line_dedup, minhash, mixing, periodic, prefix_trie, quality, token_counts, toxicity, warc
 
 
 def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +159,12 @@ SELECT doc_id, item_id, arg_min(s, (-(shared / (total - shared)), s)) AS start,
 FROM m WHERE 100 * shared >= 80 * (total - shared) GROUP BY doc_id, item_id
 """
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_sets(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP11_SQL = OP2_SQL.replace("len(ws) < 4", "len(ws) < 5").replace("len(ws) - 3)", "len(ws) - 4)").replace("i + 4]", "i + 5]").replace(", s.doc_id = c.component_id AS kept", "")
+
 #: crc32 of short ASCII texts in SQL: `crc(s)` over a table of 256 values that eight shifts make.
 CRC_SQL = """
 crc_of AS MATERIALIZED (SELECT list(list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS t
@@ -273,5 +279,5 @@ SELECT w.doc_id, coalesce(n.n_runs, 0) AS n_runs, best.start, best.length, best.
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_quality, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id, op12_prefix_trie, op13_periodic_runs)}
-ORACLES: dict[str, str] = {"op1_nearest_vectors": OP1_SQL, "op2_minhash_dedup": OP2_SQL, "op6_warc_index": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_periodic_runs": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_minhash_dedup, op3_token_counts, op4_toxicity, op5_quality, op6_warc_index, op7_mix_sources, op8_decontaminate, op9_line_dedup, op10_language_id, op11_jaccard_join, op12_prefix_trie, op13_periodic_runs)}
+ORACLES: dict[str, str] = {"op1_nearest_vectors": OP1_SQL, "op2_minhash_dedup": OP2_SQL, "op6_warc_index": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_jaccard_join": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_periodic_runs": OP13_SQL}

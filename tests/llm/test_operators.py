@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chartlines.llm import ann, batches, components, decontaminate, language_id, line_dedup, minhash, mixing, periodic, prefix_trie, quality, token_counts, toxicity, warc
+from chartlines.llm import ann, batches, components, decontaminate, jaccard_join, language_id, line_dedup, minhash, mixing, periodic, prefix_trie, quality, token_counts, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -860,3 +860,70 @@ def test_the_sketch_counts_no_prefix_too_low(spark):
         for r in got:
             if r["state"] == 1:
                 assert count[(r["a"], r["b"])] == 1
+
+
+# --- op 11
+
+
+def brute_groups(rows, k, percent):
+    """n_shingles and smallest reachable id of each row, by every pair."""
+    sets = []
+    for _, text, *_ in rows:
+        w = low(text)
+        w = words(w)
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            root[top(i)] = top(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[top(i)] = min(least.get(top(i), r[0]), r[0])
+    return sorted(((-1 if r[0] is None else r[0]), len(sets[i]), least.get(top(i), -1)) for i, r in enumerate(rows))
+
+
+def grouped_rows():
+    rng, vocab = random.Random(8), vocabulary(8)
+    base = [[rng.choice(vocab) for _ in range(rng.randint(3, 120))] for _ in range(25)]
+    passage = [rng.choice(vocab) for _ in range(40)]
+    rows = []
+    for i in range(260):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        if rng.random() < 0.3:
+            w = passage + [rng.choice(vocab) for _ in range(rng.randint(5, 40))]  # much in common, but not enough
+        if rng.random() < 0.2:
+            w += [rng.choice(vocab) for _ in range(rng.randint(1, 8))]
+        rows.append((10 + i, " ".join(w).title() if rng.random() < 0.2 else " ".join(w), None, None, 0))
+    return [*rows, *rows[:10], *ODD]
+
+
+@pytest.mark.parametrize("crowded,block,percent", [(256, 1024, 80), (2, 3, 80), (8, 5, 60)])
+def test_jaccard_join_matches_every_pair(spark, crowded, block, percent):
+    rows = grouped_rows()
+    got = jaccard_join.similar_sets(docs(spark, rows).withColumn("n", F.lit(1)).withColumn("cls", F.lit("x")), percent=percent, crowded=crowded, block=block).collect()
+    flat = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got)
+    assert flat == brute_groups(rows, 5, percent)
+
+
+def test_bitmaps_never_bound_too_low():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        x, y = rng.integers(0, 2**62, rng.integers(1, 300)), rng.integers(0, 2**62, rng.integers(1, 300))
+        a, b = (np.unique(np.concatenate([v, x[: rng.integers(0, len(x) + 1)]])).astype(np.uint64) for v in (x, y))
+        maps = jaccard_join.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        assert jaccard_join._apart(*maps) <= apart and jaccard_join._apart(maps[0], maps[0]) == 0
+
+
+def test_jaccard_join_of_nothing(spark):
+    assert jaccard_join.similar_sets(docs(spark, [])).count() == 0
