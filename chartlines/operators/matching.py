@@ -11,34 +11,67 @@ from pyspark.sql import functions as F
 
 from chartlines.functions.geometry import COORDS, angle, angle_difference, overlap, pair_cost, seg, symmetric_distance
 from chartlines.operators import _numpy as N
+from chartlines.operators.grid import large_units, middle, near_rows, near_segments, reach
 from chartlines.operators.units import each_unit
 
 Matcher = Callable[[np.ndarray, np.ndarray, float], tuple[np.ndarray, np.ndarray]]
 
 
-def pairs(pred: DataFrame, gt: DataFrame, cost: Callable[[dict, dict], Column], limit: float | None = None, keys: tuple[str, ...] = ("unit",)) -> DataFrame:
-    """All pairs of a unit with their cost, up to limit: keys, p (line_id of the prediction), score, g, cost."""
+def _sides(pred: DataFrame, gt: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     p = pred.select(*keys, F.col("line_id").alias("p"), "score", *(F.col(c).alias(f"p_{c}") for c in COORDS))
-    g = gt.select(*keys, F.col("line_id").alias("g"), *(F.col(c).alias(f"g_{c}") for c in COORDS))
-    met = p.join(g, list(keys)).withColumn("cost", cost(seg("p_"), seg("g_")))
+    return p, gt.select(*keys, F.col("line_id").alias("g"), *(F.col(c).alias(f"g_{c}") for c in COORDS))
+
+
+def pairs(pred: DataFrame, gt: DataFrame, cost: str | Callable[[dict, dict], Column], limit: float | None = None, keys: tuple[str, ...] = ("unit",)) -> DataFrame:
+    """All pairs of a unit with their cost, up to limit: keys, p (line_id of the prediction), score, g, cost.
+
+    A cost named as in geometry.pair_cost and a limit let large units meet on a grid of
+    midpoints; other costs meet all pairs.
+    """
+    p, g = _sides(pred, gt, keys)
+    if isinstance(cost, str) and limit is not None:
+        met = near_rows(p, g, middle("p_"), middle("g_"), reach(cost, limit), list(keys))
+    else:
+        met = p.join(g, list(keys))
+    worth = pair_cost(cost, seg("p_"), seg("g_")) if isinstance(cost, str) else cost(seg("p_"), seg("g_"))
+    met = met.withColumn("cost", worth)
     return (met if limit is None else met.where(F.col("cost") <= limit)).select(*keys, "p", "score", "g", "cost")
 
 
-def nearest_truth(pred: DataFrame, gt: DataFrame, kind: str | Callable[[dict, dict], Column] = "squared") -> DataFrame:
+def nearest_truth(pred: DataFrame, gt: DataFrame, kind: str | Callable[[dict, dict], Column] = "squared", within: float | None = None) -> DataFrame:
     """pred with g, cost (the nearest truth of its unit, ties to the smaller line_id) and rival: the least cost at which a better scored prediction has the same nearest truth.
 
-    One shuffle of each side by unit serves the join, the choice and the ranking. A
-    unit without truth has null g and cost. Segments with a null coordinate have no truth.
+    Rows of pred that repeat count each, in any order among themselves. A unit without
+    truth has null g and cost, and so have segments with a null coordinate. within:
+    truths of a higher cost may be left out, which lets large units meet on a grid.
+    The truths of other units come as one array each, looked through without making
+    pairs.
     """
     cost = kind if callable(kind) else lambda a, b: pair_cost(kind, a, b)
-    others = [c for c in pred.columns if c not in ("unit", "line_id", "score")]
-    p = pred.select("unit", "line_id", "score", F.struct(*others).alias("_row"), *(F.col(c).alias(f"p_{c}") for c in COORDS))
-    g = gt.select("unit", F.col("line_id").alias("g"), *(F.col(c).alias(f"g_{c}") for c in COORDS))
-    met = p.join(g, "unit", "left").withColumn("cost", cost(seg("p_"), seg("g_")))
-    best = met.groupBy("unit", "line_id", "score").agg(F.first("_row").alias("_row"), F.min(F.when(F.col("cost").isNotNull(), F.struct("cost", "g"))).alias("_b"))
+    large = large_units(gt, ["unit"])
+    truth = F.struct(F.col("line_id").alias("g"), *COORDS)
+    lists = gt.join(large, "unit", "left_anti").groupBy("unit").agg(F.collect_list(truth).alias("_ts"))
+    others = [F.col(c) for c in pred.columns if c != "unit"]
+    numbered = pred.join(large, "unit", "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("unit").orderBy(F.col("line_id"), *others)))
+    p = numbered.select("unit", "_row", *(F.col(c).alias(f"p_{c}") for c in COORDS))
+    g = gt.join(large, "unit", "left_semi").select("unit", F.col("line_id").alias("g"), *(F.col(c).alias(f"g_{c}") for c in COORDS))
+    met = p.join(g, "unit") if within is None or callable(kind) else near_rows(p, g, middle("p_"), middle("g_"), reach(kind, within), ["unit"])
+    least = met.withColumn("cost", cost(seg("p_"), seg("g_"))).where(F.col("cost").isNotNull()).groupBy("unit", "_row").agg(F.min(F.struct("cost", "g")).alias("_b"))
+    crowded = numbered.join(least, ["unit", "_row"], "left").select(*pred.columns, "_b")
+    if callable(kind):  # such as one that Python works out: no lambda can
+        few = pred.join(large, "unit", "left_anti").withColumn("_row", F.row_number().over(Window.partitionBy("unit").orderBy(F.col("line_id"), *others)))
+        pair = few.select("unit", "_row", *(F.col(c).alias(f"p_{c}") for c in COORDS)).join(gt.select("unit", F.col("line_id").alias("g"), *(F.col(c).alias(f"g_{c}") for c in COORDS)), "unit")
+        near = pair.withColumn("cost", cost(seg("p_"), seg("g_"))).where(F.col("cost").isNotNull()).groupBy("unit", "_row").agg(F.min(F.struct("cost", "g")).alias("_b"))
+        usual = few.join(near, ["unit", "_row"], "left").select(*pred.columns, "_b")
+    else:
+        # a truth that costs null is no element: array_min passes it by
+        told = lambda t: F.struct(cost(seg(), {c: t[c] for c in COORDS}).alias("cost"), t["g"].alias("g"))
+        looked = F.array_min(F.transform("_ts", lambda t: F.when(told(t)["cost"].isNotNull(), told(t))))
+        usual = pred.join(large, "unit", "left_anti").join(lists, "unit", "left").withColumn("_b", looked).select(*pred.columns, "_b")
+    best = usual.unionByName(crowded)
     above = Window.partitionBy("unit", "_b.g").orderBy(F.desc("score"), "line_id").rowsBetween(Window.unboundedPreceding, -1)
     ranked = best.withColumn("rival", F.min("_b.cost").over(above))
-    return ranked.select(*(f"_row.{c}" if c in others else c for c in pred.columns), F.col("_b.g").alias("g"), F.col("_b.cost").alias("cost"), "rival")
+    return ranked.select(*pred.columns, F.col("_b.g").alias("g"), F.col("_b.cost").alias("cost"), "rival")
 
 
 def hit(tau: Column | float) -> Column:
@@ -52,7 +85,7 @@ def nearest_first_hit(pred: DataFrame, gt: DataFrame, tau: float, kind: str | Ca
     A prediction whose nearest truth is taken is false even if another one is in
     reach. A unit without truth has only false predictions.
     """
-    near = nearest_truth(pred, gt, kind)
+    near = nearest_truth(pred, gt, kind, within=tau)
     return near.select(*pred.columns, F.coalesce(hit(tau), F.lit(False)).cast("int").alias("tp"))
 
 
@@ -94,15 +127,16 @@ CHEAPEST = ["cost", "p", "g"]
 
 def greedy_match(pred: DataFrame, gt: DataFrame, tau: float, kind: str = "mean_ends") -> DataFrame:
     """One-to-one pairs of each unit, cheapest first, up to tau."""
-    return _matched(pairs(pred, gt, lambda a, b: pair_cost(kind, a, b), tau), _greedy, CHEAPEST)
+    return _matched(pairs(pred, gt, kind, tau), _greedy, CHEAPEST)
 
 
 def oriented_match(pred: DataFrame, gt: DataFrame, dist: float = 5.0, degrees: float = 10.0, min_overlap: float = 0.5) -> DataFrame:
     """Greedy one-to-one pairs that pass gates on direction, symmetric distance and overlap."""
-    p = pred.select("unit", F.col("line_id").alias("p"), "score", *(F.col(c).alias(f"p_{c}") for c in COORDS))
-    g = gt.select("unit", F.col("line_id").alias("g"), *(F.col(c).alias(f"g_{c}") for c in COORDS))
+    p, g = _sides(pred, gt, ("unit",))
     a, b = seg("p_"), seg("g_")
-    met = p.join(g, "unit").where((angle_difference(angle(a), angle(b)) <= degrees) & (overlap(a, b) >= min_overlap)).withColumn("cost", symmetric_distance(a, b)).where(F.col("cost") <= dist)
+    # the mean distance of four ends is up to dist, so that of each is up to four times as much
+    met = near_segments(p, g, (F.col("p_y1"), F.col("p_x1")), b, 4 * dist, ["unit"])
+    met = met.where((angle_difference(angle(a), angle(b)) <= degrees) & (overlap(a, b) >= min_overlap)).withColumn("cost", symmetric_distance(a, b)).where(F.col("cost") <= dist)
     return _matched(met.select("unit", "p", "g", "cost"), _greedy, CHEAPEST)
 
 
@@ -110,7 +144,7 @@ def sequential_match(pred: DataFrame, gt: DataFrame, tau: float, kind: str = "en
     """Predictions by score take the cheapest truth still free, up to tau."""
 
     # best score first and then cheapest: the first free row of a prediction is its choice
-    return _matched(pairs(pred, gt, lambda a, b: pair_cost(kind, a, b), tau), _greedy, [F.desc("score"), "p", "cost", "g"])
+    return _matched(pairs(pred, gt, kind, tau), _greedy, [F.desc("score"), "p", "cost", "g"])
 
 
 def optimal_match(pred: DataFrame, gt: DataFrame, limit: float | None = None, kind: str = "l2", gate_first: bool = False) -> DataFrame:
@@ -118,15 +152,14 @@ def optimal_match(pred: DataFrame, gt: DataFrame, limit: float | None = None, ki
 
     def choose(rows: dict[str, np.ndarray]) -> np.ndarray:
         (ps, i), (gs, j) = (np.unique(rows[c], return_inverse=True) for c in ("p", "g"))
-        at = np.zeros((len(ps), len(gs)), np.int64)
+        at = np.full((len(ps), len(gs)), -1)
         at[i, j] = np.arange(len(i))
-        cost = rows["cost"][at]
-        if gate_first and limit is not None:
-            cost = np.where(cost > limit, 1e9, cost)
-        found = np.array([at[r, c] for r, c in N.optimal_pairs(cost)], np.int64)
+        # pairs that were kept out cost more than any matching
+        found = np.array([at[r, c] for r, c in N.optimal_pairs(np.where(at < 0, 1e9, rows["cost"][at]))], np.int64)
+        found = found[found >= 0]
         return found if limit is None else found[rows["cost"][found] <= limit]
 
-    return _matched(pairs(pred, gt, lambda a, b: pair_cost(kind, a, b)), choose, ["p", "g"])
+    return _matched(pairs(pred, gt, kind, limit if gate_first else None), choose, ["p", "g"])
 
 
 def y_greedy_match(pred: DataFrame, gt: DataFrame) -> DataFrame:
@@ -152,7 +185,7 @@ def y_greedy_match(pred: DataFrame, gt: DataFrame) -> DataFrame:
 
 def covered(pred: DataFrame, gt: DataFrame, limit: float, kind: str = "l2_swap") -> DataFrame:
     """Truths with any prediction within limit; predictions may serve many."""
-    return gt.join(pairs(pred, gt, lambda a, b: pair_cost(kind, a, b), limit).select("unit", F.col("g").alias("line_id")).distinct(), ["unit", "line_id"], "left_semi")
+    return gt.join(pairs(pred, gt, kind, limit).select("unit", F.col("g").alias("line_id")).distinct(), ["unit", "line_id"], "left_semi")
 
 
 def index_pairs(pred: DataFrame, gt: DataFrame) -> DataFrame:

@@ -275,7 +275,7 @@ SELECT round(((SELECT count(*) FROM gt) - (SELECT count(*) FROM c)) / (SELECT co
 """)
 def a13_missed_share(spark, sf):
     pred, gt = _tables(spark, sf)
-    found = M.pairs(pred, gt, lambda a, b: G.pair_cost("squared", a, b)).where(F.col("cost") < 50).select("unit", "g").distinct()
+    found = M.pairs(pred, gt, "squared", 50.0).where(F.col("cost") < 50).select("unit", "g").distinct()
     return metrics.missed_share(found, gt).select(F.round("missed", 8).alias("missed"))
 
 
