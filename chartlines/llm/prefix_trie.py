@@ -105,8 +105,8 @@ def _cells(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(a + seed(r + 1) ^ b) >> np.uint64(64 - bits)).astype(np.int64) + (r << bits) for r in range(ROWS)]
 
 
-def sketch(found: DataFrame, bits: int) -> dict[int, bytes]:
-    """Count-min sketch of the digests a, b in found: by tile of 2**TILE_BITS cells, a bit for each that counts two or more; other tiles have none."""
+def sketch(found: DataFrame, bits: int, least: int = 2) -> np.ndarray:
+    """Count-min sketch of the digests a, b in found, a bit for each cell that counts least or more (1 or 2). Tasks count tiles of 2**TILE_BITS cells; the driver lays the tiles' bits out."""
 
     def write(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cells, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -131,8 +131,8 @@ def sketch(found: DataFrame, bits: int) -> dict[int, bytes]:
         tile, counts = None, np.zeros(1 << TILE_BITS, np.int64)
 
         def done() -> Iterator[pa.RecordBatch]:
-            if tile is not None and (counts > 1).any():
-                yield pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())], ["tile", "bits"])
+            if tile is not None and (counts >= least).any():
+                yield pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([np.packbits(counts >= least).tobytes()], pa.binary())], ["tile", "bits"])
 
         for batch in batches:
             for t, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -144,24 +144,33 @@ def sketch(found: DataFrame, bits: int) -> dict[int, bytes]:
 
     counted = found.select("a", "b").mapInArrow(count, "tile long, cells binary")
     tiles = counted.repartition("tile").sortWithinPartitions("tile").mapInArrow(add, "tile long, bits binary").toArrow()
-    return dict(zip(tiles.column("tile").to_pylist(), tiles.column("bits").to_pylist()))
+    flat = np.zeros((ROWS << bits) >> 3, np.uint8)
+    for tile, packed in zip(tiles.column("tile").to_pylist(), tiles.column("bits").to_pylist()):
+        at = tile << (TILE_BITS - 3)
+        flat[at : at + len(packed)] = np.frombuffer(packed, np.uint8)
+    return flat
+
+
+def sketch_bits(n: int) -> int:
+    """Width, as a power of two, of a row of a sketch of n digests."""
+    return min(MOST_BITS, max(LEAST_BITS, int(CELLS_EACH * max(n, 1) - 1).bit_length()))
+
+
+def held(flat: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the cells of each digest are set in all rows of a sketch."""
+    every = np.ones(len(a), bool)
+    for cell in _cells(a, b, bits):
+        every &= (flat[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+    return every
 
 
 def screened(found: DataFrame, n: int) -> DataFrame:
     """found with state: 0 a prefix that may be shared, 1 the first of a conversation proved to be its own, 2 one that follows such a prefix."""
-    bits = min(MOST_BITS, max(LEAST_BITS, int(CELLS_EACH * max(n, 1) - 1).bit_length()))
-    tiles = sketch(found, bits)
-    flat = np.zeros((ROWS << bits) >> 3, np.uint8)
-    for tile, packed in tiles.items():
-        at = tile << (TILE_BITS - 3)
-        flat[at : at + len(packed)] = np.frombuffer(packed, np.uint8)
-    sent = found.sparkSession.sparkContext.broadcast(flat)
+    bits = sketch_bits(n)
+    sent = found.sparkSession.sparkContext.broadcast(sketch(found, bits))
 
     def own(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        once = np.zeros(len(a), bool)
-        for cell in _cells(a, b, bits):
-            once |= (sent.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 0
-        return once
+        return ~held(sent.value, a, b, bits)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, single = None, False
