@@ -326,3 +326,39 @@ def density_clusters(x: np.ndarray, n: np.ndarray, eps: float, least: float) ->
         if core[at].any():
             of[i] = of[at[core[at]][np.lexsort((at[core[at]], gap[core[at]]))[0]]]
     return of
+
+
+def smooth_cells(y1: int, x1: int, y2: int, x2: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """y, x, value of the anti-aliased cells between two cells: those of the box between them whose middle lies less than one cell off the line, and one less that distance."""
+    dy, dx = abs(int(y2) - int(y1)), abs(int(x2) - int(x1))
+    far, near = max(dy, dx), min(dy, dx)
+    k = np.arange(far + 1)[:, None]
+    j = (near * k) // max(far, 1) + np.arange(-1, 3)[None]
+    length = max(np.hypot(far, near), 1.0)
+    off = np.abs(far * j - near * k)
+    inside = (j >= 0) & (j <= near) & (off < length)
+    along, aside = np.broadcast_to(k, j.shape)[inside], j[inside]
+    down, right = (along, aside) if dy > dx else (aside, along)
+    return y1 + np.sign(y2 - y1) * down, x1 + np.sign(x2 - x1) * right, 1 - off[inside] / length
+
+
+_HALVES: dict[int, np.ndarray] = {}
+
+
+def halved(full: np.ndarray) -> np.ndarray:
+    """A square map at half its size by cubic splines through its cells, mirrored at the edges; first and last cells stay first and last."""
+    n = len(full)
+    if n not in _HALVES:
+        mirror = lambda i: np.abs((n - 1) - np.abs((n - 1) - np.abs(i)))
+        through = np.zeros((n, n))
+        for step, weight in ((-1, 1 / 6), (0, 4 / 6), (1, 1 / 6)):
+            np.add.at(through, (np.arange(n), mirror(np.arange(n) + step)), weight)
+        m = n // 2
+        at = np.arange(m) * (n - 1) / max(m - 1, 1)
+        whole = np.minimum(np.floor(at).astype(int), n - 1)
+        t = at - whole
+        basis = np.zeros((m, n))
+        for step, weight in ((-1, (1 - t) ** 3 / 6), (0, (4 - 6 * t**2 + 3 * t**3) / 6), (1, (1 + 3 * t + 3 * t**2 - 3 * t**3) / 6), (2, t**3 / 6)):
+            np.add.at(basis, (np.arange(m), mirror(whole + step)), weight)
+        _HALVES[n] = basis @ np.linalg.inv(through)
+    return _HALVES[n] @ full @ _HALVES[n].T
