@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from chartlines.functions.keys import crop_id, image_id
 from chartlines.sources.shared import keep
+from chartlines.sources.svg import read_svg_segments  # noqa: F401
 
 SEGMENT = "array<array<double>>"
 
@@ -94,66 +94,6 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(pixels, "file string, y int, x int, r int, g int, b int")
 
 
-_NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[MLHVZmlhvz]")
-
-
-def _path_points(d: str) -> list[tuple[float, float]]:
-    points, at, mode, todo = [], (0.0, 0.0), "M", []
-    for token in _NUMBER.findall(d):
-        if token.isalpha():
-            mode, todo = token, []
-            continue
-        todo.append(float(token))
-        rel = at if mode.islower() else (0.0, 0.0)
-        if mode in "hH" or mode in "vV":
-            at = (rel[0] + todo[0], at[1]) if mode in "hH" else (at[0], rel[1] + todo[0])
-        elif len(todo) == 2:
-            at = (rel[0] + todo[0], rel[1] + todo[1])
-        else:
-            continue
-        points.append(at)
-        todo = []
-    return points
-
-
-def read_svg_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """file, line_id, stroke, x1 .. y2 of the straight pieces of paths, lines and polylines in SVG files; translate() of groups is applied. A file that can't be read gives a row with error."""
-
-    def shift(node) -> tuple[float, float]:
-        found = re.search(r"translate\(\s*([-\d.e]+)[ ,]*([-\d.e]+)?", node.get("transform") or "")
-        return (float(found[1]), float(found[2] or 0)) if found else (0.0, 0.0)
-
-    def walk(node, dx, dy, stroke, out):
-        sx, sy = shift(node)
-        dx, dy, stroke = dx + sx, dy + sy, node.get("stroke") or stroke
-        tag = node.tag.rsplit("}", 1)[-1]
-        if tag == "line":
-            points = [(float(node.get(f"x{i}") or 0), float(node.get(f"y{i}") or 0)) for i in (1, 2)]
-        elif tag in ("polyline", "polygon"):
-            values = [float(v) for v in re.findall(r"[-+.\deE]+", node.get("points") or "")]
-            points = list(zip(values[0::2], values[1::2]))
-        else:
-            points = _path_points(node.get("d") or "") if tag == "path" else []
-        out += [(stroke, a[0] + dx, a[1] + dy, b[0] + dx, b[1] + dy) for a, b in zip(points, points[1:])]
-        for child in node:
-            walk(child, dx, dy, stroke, out)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, text in batch.itertuples(index=False):
-                out: list[tuple] = []
-                try:
-                    walk(ElementTree.fromstring(text), 0.0, 0.0, None, out)
-                except ElementTree.ParseError as e:
-                    yield pd.DataFrame([[path, *[None] * 6, str(e)[:200]]], columns=names)
-                    continue
-                yield pd.DataFrame([(path, i, *row, None) for i, row in enumerate(out)], columns=names)
-
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.svg", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    names = ["file", "line_id", "stroke", "x1", "y1", "x2", "y2", "error"]
-    return files.mapInPandas(parse, "file string, line_id long, stroke string, x1 double, y1 double, x2 double, y2 double, error string")
-
-
 def write_combined_json(segments: DataFrame, folder: str, name: Column) -> None:
     """One JSON object {filename, lines} for each name, in order of name."""
     lines = segments.groupBy(name.alias("filename")).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_id", F.array("x1", "y1", "x2", "y2").alias("l")))), lambda s: s["l"]).alias("lines"))
