@@ -274,23 +274,74 @@ def prominence(hist: np.ndarray, p: int) -> float:
     return float(hist[p] - max(hist[left : p + 1].min(), hist[p : right + 1].min()))
 
 
-def silhouette(x: np.ndarray, n: np.ndarray, of: np.ndarray, sample: int) -> float:
-    """Mean silhouette, weighted by n, of the first `sample` points among themselves; NaN with fewer than two clusters."""
-    x, n, of = x[:sample], n[:sample], of[:sample]
-    ids = np.unique(of)
+def silhouette(x: np.ndarray, n: np.ndarray, of: np.ndarray, block: int = 1 << 22) -> float:
+    """Mean silhouette over all points, weighted by n; NaN with fewer than two clusters. Distances are worked out `block` at a time."""
+    ids, own = np.unique(of, return_inverse=True)
     if len(ids) < 2:
         return float("nan")
-    gap = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
-    mass = np.stack([n[of == c].sum() for c in ids])
-    total = np.stack([gap[:, of == c] @ n[of == c] for c in ids], 1)
-    own = np.searchsorted(ids, of)
-    at = np.arange(len(x))
-    inside = total[at, own] / np.maximum(mass[own] - 1, 1e-12)
-    outside = total / mass
-    outside[at, own] = np.inf
-    best = outside.min(1)
-    value = np.where(mass[own] > 1, (best - inside) / np.maximum(np.maximum(best, inside), 1e-12), 0.0)
-    return float((value * n).sum() / n.sum())
+    share = np.zeros((len(x), len(ids)))
+    share[np.arange(len(x)), own] = n
+    mass, total = share.sum(0), 0.0
+    square = (x**2).sum(1)
+    step = max(1, block // len(x))
+    for a in range(0, len(x), step):
+        some = slice(a, a + step)
+        gap = np.sqrt(np.maximum(square[some, None] + square[None] - 2 * x[some] @ x.T, 0))
+        gap[np.arange(len(gap)), np.arange(a, a + len(gap))] = 0
+        sums, mine, at = gap @ share, own[some], np.arange(len(gap))
+        inside = sums[at, mine] / np.maximum(mass[mine] - 1, 1e-12)
+        outside = sums / mass
+        outside[at, mine] = np.inf
+        best = outside.min(1)
+        value = np.where(mass[mine] > 1, (best - inside) / np.maximum(np.maximum(best, inside), 1e-12), 0.0)
+        total += float((value * n[some]).sum())
+    return total / float(n.sum())
+
+
+def spread_seeds(x: np.ndarray, n: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: rows of x drawn one after another with a chance of weight times squared distance to the nearest one drawn so far; fewer if no row is apart."""
+    rng = np.random.default_rng(seed)
+    centres = x[[int(np.searchsorted(np.cumsum(n), rng.random() * n.sum()))]]
+    gap = ((x - centres[0]) ** 2).sum(1)
+    while len(centres) < k and (gap * n).max() > 1e-18:
+        mass = np.cumsum(gap * n)
+        pick = x[min(int(np.searchsorted(mass, rng.random() * mass[-1])), len(x) - 1)]
+        centres = np.vstack([centres, pick])
+        gap = np.minimum(gap, ((x - pick) ** 2).sum(1))
+    return centres
+
+
+def settle(x: np.ndarray, n: np.ndarray, centres: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centres after rounds of weighted k-means, the centre of each row, and the inertia."""
+    square = (x**2).sum(1)
+    for turn in range(rounds + 1):
+        gap = np.maximum(square[:, None] - 2 * x @ centres.T + (centres**2).sum(1), 0)
+        of = gap.argmin(1)
+        if turn == rounds:
+            break
+        mass = np.bincount(of, n, len(centres))
+        moved = np.stack([np.bincount(of, n * x[:, j], len(centres)) for j in range(x.shape[1])], 1)
+        fresh = np.where(mass[:, None] > 0, moved / np.maximum(mass, 1e-300)[:, None], centres)
+        if np.allclose(fresh, centres, atol=1e-12, rtol=0):
+            break
+        centres = fresh
+    return centres, of, float((gap.min(1) * n).sum())
+
+
+def separate(x: np.ndarray, n: np.ndarray, k: int, rounds: int, tries: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
+    """The k-means of least inertia from several seedings; centres in order of their values."""
+    best = min((settle(x, n, spread_seeds(x, n, k, t), rounds) for t in range(tries)), key=lambda f: f[2])
+    order = np.lexsort(np.round(best[0], 9).T[::-1])
+    return best[0][order], np.argsort(order)[best[1]], best[2]
+
+
+def separation(x: np.ndarray, n: np.ndarray, centres: np.ndarray, of: np.ndarray) -> float:
+    """Mean distance between two centres over the mean distance of a point to its own; 0 for one centre."""
+    if len(centres) < 2:
+        return 0.0
+    within = np.average(np.linalg.norm(x - centres[of], axis=1), weights=n) + 1e-6
+    gaps = np.linalg.norm(centres[:, None] - centres[None], axis=2)[np.triu_indices(len(centres), 1)]
+    return float((gaps.mean() + 1e-6) / within)
 
 
 def density_clusters(x: np.ndarray, n: np.ndarray, eps: float, least: float) -> np.ndarray:

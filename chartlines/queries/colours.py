@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlines.functions import colour as C
@@ -183,8 +186,37 @@ def c7_dominant_hues(spark, sf):
 @query()
 def a28_space_scores(spark, sf):
     colours = derived(spark, sf, PIXELS).groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
-    scores = P.colour_centres(colours, ["image_id"], 4).select("image_id", "inertia", "silhouette").distinct()
-    return scores.agg(F.count(F.lit(1)).alias("images"), F.avg("inertia").alias("inertia"), F.avg(F.nanvl("silhouette", F.lit(None))).alias("silhouette"))
+    spaces = reduce(DataFrame.unionByName, [colours.select(F.lit(s).alias("space"), "image_id", P.features(s).alias("v"), "n") for s in P.FEATURE_SPACES])
+    scores = P.feature_centres(spaces, ["space", "image_id"], 4).select("space", "image_id", "inertia", "silhouette").distinct()
+    return scores.groupBy("space").agg(F.count(F.lit(1)).alias("images"), F.avg("inertia").alias("inertia"), F.avg(F.nanvl("silhouette", F.lit(None))).alias("silhouette"))
+
+
+@query(ctes(px=PIXELS) + """, n AS (SELECT image_id, crop_id, count(*) AS n FROM px WHERE s >= 50 AND v >= 50 GROUP BY ALL)
+SELECT image_id, crop_id, n FROM n QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, crop_id) = 1""")
+def a17_reference_crop(spark, sf):
+    return P.reference_crop(C.foreground(derived(spark, sf, PIXELS), "sv"))
+
+
+@query()
+def c5_categories_from_reference(spark, sf):
+    found = P.categories_from_reference(C.foreground(derived(spark, sf, PIXELS), "sv"))
+    return found.groupBy("image_id", "crop_id", "k", "centre_no").agg(F.count(F.lit(1)).alias("colours"), F.sum("n").alias("pixels"))
+
+
+_CENTRES = {"lab": ((30.0, 20.0, -40.0), (60.0, -30.0, 30.0), (75.0, 5.0, 60.0)), "rgb": ((10.0, 200.0, 90.0), (240.0, 30.0, 30.0))}
+
+
+@query(ctes(px=PIXELS) + ", q AS (SELECT DISTINCT r, g, b, " + ", ".join(_LIN.format(c=c) for c in "rgb") + """ FROM px), t AS (SELECT r, g, b, (0.412453*lr+0.357580*lg+0.180423*lb)/0.950456 AS x, 0.212671*lr+0.715160*lg+0.072169*lb AS y, (0.019334*lr+0.119193*lg+0.950227*lb)/1.088754 AS z FROM q),
+f AS (SELECT *, """ + ", ".join(f"CASE WHEN {k} > 0.008856 THEN pow({k}, 1/3.0::DOUBLE) ELSE 7.787*{k}+16/116.0::DOUBLE END AS f{k}" for k in "xyz") + """ FROM t),
+lab AS (SELECT r, g, b, CASE WHEN y > 0.008856 THEN 116*fy-16 ELSE 903.3*y END AS l, 500*(fx-fy) AS aa, 200*(fy-fz) AS bb FROM f),
+d AS (SELECT r, g, b, 'lab' AS space, i, round((l-p)*(l-p)+(aa-q)*(aa-q)+(bb-s)*(bb-s), 9) AS d FROM lab CROSS JOIN (VALUES (0, 30.0::DOUBLE, 20.0::DOUBLE, -40.0::DOUBLE), (1, 60, -30, 30), (2, 75, 5, 60)) AS c(i, p, q, s)
+  UNION ALL SELECT r, g, b, 'rgb', i, round((r-p)*(r-p)+(g-q)*(g-q)+(b-s)*(b-s), 9) FROM q CROSS JOIN (VALUES (0, 10.0::DOUBLE, 200.0::DOUBLE, 90.0::DOUBLE), (1, 240, 30, 30)) AS c(i, p, q, s))
+SELECT space, r, g, b, arg_min(i, (d, i)) AS centre_no FROM d GROUP BY space, r, g, b""")
+def c6_nearest_centres(spark, sf):
+    centres = spark.createDataFrame([(s, i, list(c)) for s, cs in _CENTRES.items() for i, c in enumerate(cs)], "space string, centre_no int, centre array<double>")
+    colours = derived(spark, sf, PIXELS).select("r", "g", "b").distinct()
+    points = reduce(DataFrame.unionByName, [colours.select(F.lit(s).alias("space"), "r", "g", "b", P.features(s).alias("v")) for s in _CENTRES])
+    return P.nearest_centres(points, centres, ["space"]).select("space", "r", "g", "b", "centre_no")
 
 
 @query(ctes(px=PIXELS) + ", c AS (SELECT DISTINCT image_id, 'c' || (h // 20) AS category FROM px), n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY category) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM c) SELECT image_id, category, round(i / n, 8) AS hue, CASE i % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'blue' END AS colour FROM n")
