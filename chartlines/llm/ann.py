@@ -1,8 +1,11 @@
 """Approximate nearest neighbours: score-aware (anisotropic) quantisation, four-bit table scans, exact reranking.
 
 The nearest vector to q in Euclidean distance has the largest q . x - |x|^2 / 2, so
-the search is one for inner products. A vector is cut into pairs of components,
-each coded by one of 16 codewords. Codes and codewords minimise an error in which
+the search is one for inner products. A vector is turned by a fixed random rotation,
+which spreads what it holds over all components, and cut into pairs of components,
+each coded by one of 16 codewords. Without it, vectors whose variance lies in few
+components would be coded badly in a way that queries share, and the error to expect
+would not hold. Codes and codewords minimise an error in which
 the part parallel to the vector costs more than the part across, as it is the
 parallel part that moves large inner products. Codes stay where they are: queries
 are sent to all tasks in bounded blocks, a block a pass. A task adds up, for each
@@ -42,10 +45,11 @@ class Codebook:
     centre: np.ndarray
     words: np.ndarray  # subspace, codeword, component
     parallel: float
+    turn: np.ndarray  # rotation of the components
 
     def pad(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.words.shape[0] * PAIR))
-        out[:, : x.shape[1]] = x - self.centre
+        out[:, : x.shape[1]] = (x - self.centre) @ self.turn
         return out.reshape(len(x), -1, PAIR)
 
     def encode(self, x: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
@@ -102,7 +106,8 @@ def fit(sample: np.ndarray, dims: int, score_share: float = SCORE_SHARE, rounds:
     rng = np.random.default_rng(3)
     subspaces = -(-dims // PAIR)
     parallel = max(1.0, (dims - 1) * score_share**2 / (1 - score_share**2))
-    book = Codebook(sample.mean(0) if len(sample) else np.zeros(dims), np.zeros((subspaces, CODEWORDS, PAIR)), parallel)
+    turn = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
+    book = Codebook(sample.mean(0) if len(sample) else np.zeros(dims), np.zeros((subspaces, CODEWORDS, PAIR)), parallel, turn)
     if len(sample):
         parts = book.pad(sample)
         book.words = parts[rng.choice(len(sample), CODEWORDS, replace=len(sample) < CODEWORDS)].transpose(1, 0, 2).copy()
@@ -237,7 +242,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE
 
         met = coded.mapInArrow(scan, f"query_id {kind}, vec_id {kind}, near double")
         by_near = Window.partitionBy("query_id").orderBy("near", "vec_id")
-        return keep(met.withColumn("place", F.row_number().over(by_near)).where(F.col("place") <= k).select("query_id", "vec_id"), "candidates")
+        found = keep(met.withColumn("place", F.row_number().over(by_near)).where(F.col("place") <= k).select("query_id", "vec_id"), "candidates")
+        sent.destroy()  # what it was needed for is written
+        return found
 
     chosen = reduce(DataFrame.unionByName, [scanned(turn) for turn in range(passes)])
     distance = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))

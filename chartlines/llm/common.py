@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +72,12 @@ def row_key(*columns: Column) -> Column:
 def learn_row(doc_id: Column) -> Column:
     """True for documents whose labels may be learnt from; false for those held out, a null doc_id among them."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
+
+
+def fitting(sizes: np.ndarray, limit: int) -> np.ndarray:
+    """Which rows, in order, are taken if their sizes together may not pass limit: one that doesn't fit is left out and the next ones are tried."""
+    taken, total = np.zeros(len(sizes), bool), 0
+    for i, n in enumerate(sizes.tolist()):
+        if total + n <= limit:
+            taken[i], total = True, total + n
+    return taken

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlines.llm.batches import joined, slices, word_hashes
-from chartlines.llm.common import keep, learn_row
+from chartlines.llm.common import fitting, keep, learn_row
 
 #: Trusted positives, and unlabelled rows, brought to the driver at most, as numbers and buckets; buckets of all of them together.
 SAMPLE_ROWS, SAMPLE_TERMS = 6_000, 2_500_000
@@ -207,7 +207,8 @@ def train(documents: DataFrame, labels: DataFrame, learn_from=learn_row, sample_
 
     Both samples hold sample_rows ids at most, drawn by a hash of doc_id among those
     that learn_from allows, before any text is looked at. In order of hash, those rows
-    come to the driver whose buckets together stay within sample_terms. Of texts with
+    come to the driver whose buckets together stay within sample_terms; one that doesn't
+    fit is left out and the next one tried. Of texts with
     one doc_id the smallest is taken. Rows with quality 0 are used only as far as they
     are web text like any other. Null texts and labels teach nothing; without trusted
     or unlabelled rows every score is 0.5.
@@ -227,9 +228,8 @@ def train(documents: DataFrame, labels: DataFrame, learn_from=learn_row, sample_
     rows = allowed.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "kind", "draw").agg(F.min("text").alias("text"))
     found = keep(_described(rows), "described")
     sizes = found.select("draw", "n").toArrow().sort_by("draw")
-    within = np.cumsum(sizes["n"].to_numpy().astype(np.int64)) <= sample_terms
-    last = int(sizes["draw"].to_numpy()[within][-1]) if within.any() else -(1 << 63)
-    table = found.where(F.col("draw") <= last).toArrow().sort_by([("kind", "ascending"), ("draw", "ascending")])
+    chosen = sizes.filter(pa.array(fitting(sizes["n"].to_numpy(), sample_terms), pa.bool_())).select(["draw"])
+    table = found.join(F.broadcast(documents.sparkSession.createDataFrame(chosen)), "draw", "left_semi").toArrow().sort_by([("kind", "ascending"), ("draw", "ascending")])
     kind = table["kind"].to_numpy()
     return fit(_texts(table.filter(pa.array(kind == 1))), _texts(table.filter(pa.array(kind == 2))))
 

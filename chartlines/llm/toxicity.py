@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlines.llm.batches import joined, mix, prefix_hashes, seed, slices
-from chartlines.llm.common import keep, learn_row
+from chartlines.llm.common import fitting, keep, learn_row
 
 BUCKET_BITS = 22
 #: Factors of a term; labelled rows of either label, and terms of all of them together, that the machine is fitted on at most.
@@ -199,7 +199,7 @@ def train(documents: DataFrame, labels: DataFrame, learn_from=learn_row, sample_
     Ids are drawn by hash before any text is looked at: sample_rows of either label at
     most, the rarer label so far more often; the bias is set right for that. Of them,
     in order of hash, those come to the driver, as whole sets of buckets, whose terms
-    together stay within sample_terms. Null labels and null texts teach nothing; of
+    together stay within sample_terms; a text that doesn't fit is left out and the next one tried. Null labels and null texts teach nothing; of
     texts with one doc_id the smallest is taken; without rows of both labels every
     text gets the share of label 1, or 0.5 without labelled rows.
     """
@@ -213,9 +213,9 @@ def train(documents: DataFrame, labels: DataFrame, learn_from=learn_row, sample_
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "draw").agg(F.min("text").alias("text"))
     found = keep(_terms_of(rows), "terms")
     sizes = found.select("draw", "n").toArrow().sort_by("draw")
-    within = np.cumsum(sizes["n"].to_numpy().astype(np.int64)) <= sample_terms
-    last = int(sizes["draw"].to_numpy()[within][-1]) if within.any() else -(1 << 63)
-    sample = found.where(F.col("draw") <= last).select("label", "draw", "terms").toArrow().sort_by("draw") if within.any() else found.limit(0).toArrow()
+    chosen = sizes.filter(pa.array(fitting(sizes["n"].to_numpy(), sample_terms), pa.bool_())).select(["draw"])
+    # 2 * sample_rows draws at most
+    sample = found.join(F.broadcast(documents.sparkSession.createDataFrame(chosen)), "draw", "left_semi").select("label", "draw", "terms").toArrow().sort_by("draw")
     terms = sample["terms"].combine_chunks()
     bucket, lengths = terms.flatten().to_numpy().astype(np.int64), np.diff(terms.offsets.to_numpy())
     marks = (sample["label"].to_numpy() > 0).astype(float)

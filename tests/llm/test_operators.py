@@ -927,3 +927,56 @@ def test_bitmaps_never_bound_too_low():
 
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.similar_sets(docs(spark, [])).count() == 0
+
+
+# --- op 1, vectors whose variance lies in few components; op 4 and op 5, samples past long texts
+
+
+def _spectra(rng, n, d):
+    z = rng.normal(size=(n, d))
+    few = z * 1e-2
+    few[:, [3, 4]] = z[:, [3, 4]]
+    return {"even": z, "1/i": z / np.arange(1, d + 1), "1/i^1.5": z / np.arange(1, d + 1) ** 1.5, "two of 64": few}
+
+
+@pytest.mark.parametrize("name", ["even", "1/i", "1/i^1.5", "two of 64"])
+def test_recall_at_the_default_by_spectrum(name):
+    rng = np.random.default_rng(21)
+    n, d = 20_000, 64
+    x = _spectra(rng, n, d)[name]
+    book = ann.fit(x[rng.choice(n, ann.SAMPLE_ROWS, replace=False)], d)
+    scan = ann.Scan(book, np.arange(60), x[:60], 10, ann.RERANK, ann.DEVIATIONS)
+    for a in range(0, n, ann.BLOCK_ROWS):
+        y = x[a : a + ann.BLOCK_ROWS]
+        codes = book.encode(y)
+        lost = np.sqrt(((book.pad(y) - book.words[np.arange(len(book.words)), codes]) ** 2).sum((1, 2)))
+        scan.show(np.arange(a, a + len(y)), y, ann.pack(codes), ((y - book.centre) ** 2).sum(1) / 2, lost)
+    query, found, _ = scan.found()
+    hits = 0
+    for i in range(60):
+        gap = ((x - x[i]) ** 2).sum(1)
+        gap[i] = np.inf
+        hits += len(set(np.argsort(gap)[:10]) & set(found[query == i]))
+    assert hits >= 0.95 * 600 and scan.measured < 0.15 * 60 * n
+
+
+def test_a_text_beyond_the_bound_is_left_out_and_the_rest_learnt(spark):
+    from chartlines.llm import common
+
+    assert common.fitting(np.array([5, 100, 4, 2]), 10).tolist() == [True, False, True, False]
+    rng, vocab = random.Random(4), vocabulary(4)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 2
+        w = [rng.choice(vocab) for _ in range(20)] + (["zzfoul", "zzfoul2"] if bad else ["zzkind"])
+        rows.append((i, " ".join(w), "en", "a", 0))
+        labels.append((i, bad, 1 - bad))
+    rows += [(1000 + i, " ".join(f"long{i}x{j}" for j in range(40_000)), "en", "a", 0) for i in range(3)]
+    labels += [(1000 + i, 1, 1) for i in range(3)]
+    tagged = spark.createDataFrame([(d, t, q) for d, t, q in labels], "doc_id long, toxic int, quality int")
+    model = toxicity.train(docs(spark, rows), tagged, sample_terms=20_000)
+    told = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, rows[:400]), model).collect()}
+    assert np.mean([told[i] for i in range(1, 400, 2)]) > np.mean([told[i] for i in range(0, 400, 2)]) + 0.3
+    model = quality.train(docs(spark, rows), tagged, sample_terms=20_000)
+    told = {r["doc_id"]: r["score"] for r in quality.score(docs(spark, rows[:400]), model).collect()}
+    assert np.mean([told[i] for i in range(0, 400, 2)]) > np.mean([told[i] for i in range(1, 400, 2)]) + 0.2
