@@ -17,10 +17,14 @@ def greedy_pairs(cost: np.ndarray, limit: float = np.inf) -> list[tuple[int, int
     return out
 
 
-def optimal_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
-    """One-to-one pairs of least total cost, all of the smaller side matched (shortest augmenting paths with potentials)."""
+def optimal_with_potentials(cost: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """One-to-one pairs of least total cost, all of the smaller side matched, and a potential for each row and column (shortest augmenting paths).
+
+    No pair costs less than its two potentials together, potentials of the larger side
+    are at most 0 and 0 where unmatched: so their sum bounds every matching from below.
+    """
     if 0 in cost.shape:
-        return []
+        return [], np.zeros(cost.shape[0]), np.zeros(cost.shape[1])
     flip = cost.shape[0] > cost.shape[1]
     c = cost.T if flip else cost
     n, m = c.shape
@@ -45,7 +49,23 @@ def optimal_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
             owner[at] = owner[back] if back >= 0 else row
             at = back
     pairs = [(int(r), j) for j, r in enumerate(owner) if r >= 0]
-    return sorted((j, r) for r, j in pairs) if flip else sorted(pairs)
+    return (sorted((j, r) for r, j in pairs), v, u) if flip else (sorted(pairs), u, v)
+
+
+def optimal_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
+    """One-to-one pairs of least total cost, all of the smaller side matched."""
+    return optimal_with_potentials(cost)[0]
+
+
+def spread_ties(values: np.ndarray, eps: float) -> np.ndarray:
+    """values of which equal ones are moved apart, in order, by 0, eps, -eps, 2 eps, -2 eps, ..."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    head = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
+    place = np.arange(len(ranked)) - np.maximum.accumulate(np.where(head, np.arange(len(ranked)), 0))
+    out = values.astype(float)
+    out[order] = ranked + (place + 1) // 2 * np.where(place % 2, eps, -eps)
+    return out
 
 
 def end_costs(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:

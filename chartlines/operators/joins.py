@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chartlines.functions.colour import circular_distance
 from chartlines.functions.geometry import distance
 from chartlines.functions.keys import base_key, image_id
+from chartlines.operators import _numpy as N
 from chartlines.operators.units import each_unit
 
 
@@ -174,10 +175,19 @@ def category_of_midpoint(segments: DataFrame, pixels: DataFrame, ranges: DataFra
     return met.groupBy(*segments.columns).agg(F.min("cluster").alias("cluster"))
 
 
-def stitch_with_limit(segments: DataFrame, threshold: float = 5.0, max_reuse: int = 1) -> DataFrame:
+def spread_ties(rows: DataFrame, keys: list[str], value: str, order: list[str], eps: float = 0.1) -> DataFrame:
+    """rows with `value` moved apart where rows of the same keys have the same one: in order, by 0, eps, -eps, 2 eps, -2 eps, ...; nulls stay."""
+    place = F.row_number().over(Window.partitionBy(*keys, value).orderBy(*order)) - 1
+    step = F.floor((place + 1) / 2) * F.when(place % 2 == 1, F.lit(eps)).otherwise(F.lit(-eps))
+    return rows.withColumn(value, F.col(value) + step)
+
+
+def stitch_with_limit(segments: DataFrame, threshold: float = 5.0, max_reuse: int = 1, eps: float = 0.1) -> DataFrame:
     """Paths that always take the nearest next segment still allowed (used fewer than max_reuse times), with match_ok and match_dist.
 
-    If all are used up the nearest one is taken all the same, match_ok false. Paths
+    If all are used up the nearest one is taken all the same, match_ok false. Ends that
+    are equal are spread by multiples of eps (see spread_ties), for the choice and
+    match_dist only. Paths
     choose in order of their first segment's y1 and line_id. Crops keep their own
     numbers; a gap stays a gap.
     """
@@ -191,9 +201,9 @@ def stitch_with_limit(segments: DataFrame, threshold: float = 5.0, max_reuse: in
         out = [(p, int(crops[0]), c["y1"][i], c["y2"][i], True, 0.0) for p, i in enumerate(at)]
         for crop in crops[1:]:
             here = np.flatnonzero(c["crop_id"] == crop)
-            used = np.zeros(len(here), int)
+            used, apart = np.zeros(len(here), int), N.spread_ties(ends, eps)
             for p in range(len(ends)):
-                gap = np.abs(c["y1"][here] - ends[p])
+                gap = np.abs(c["y1"][here] - apart[p])
                 free = np.where(used < max_reuse, gap, np.inf)
                 j = int(np.argmin(free)) if np.isfinite(free).any() else int(np.argmin(gap))
                 ok = bool(used[j] < max_reuse and gap[j] <= threshold)

@@ -162,6 +162,45 @@ def optimal_match(pred: DataFrame, gt: DataFrame, limit: float | None = None, ki
     return _matched(pairs(pred, gt, kind, limit if gate_first else None), choose, ["p", "g"])
 
 
+def optimal_potentials(pred: DataFrame, gt: DataFrame, kind: str = "l2") -> DataFrame:
+    """unit, side (0 predictions, 1 truths), id, mate, potential: an optimal matching of each unit with both sides, and potentials that prove it (see certified)."""
+
+    def run(rows: dict[str, np.ndarray]) -> pd.DataFrame:
+        (ps, i), (gs, j) = (np.unique(rows[c], return_inverse=True) for c in ("p", "g"))
+        cost = np.zeros((len(ps), len(gs)))
+        cost[i, j] = rows["cost"]
+        pairs, u, v = N.optimal_with_potentials(cost)
+        mate = [{a: gs[b] for a, b in pairs}, {b: ps[a] for a, b in pairs}]
+        sides = [(side, int(ids[k]), mate[side].get(k), float(worth[k])) for side, ids, worth in ((0, ps, u), (1, gs, v)) for k in range(len(ids))]
+        return pd.DataFrame(sides, columns=["side", "id", "mate", "potential"]).astype({"mate": "Int64"}).assign(unit=rows["unit"][0])[["unit", "side", "id", "mate", "potential"]]
+
+    return each_unit(pairs(pred, gt, kind), ["p", "g"], run, "unit long, side int, id long, mate long, potential double")
+
+
+def certified(pred: DataFrame, gt: DataFrame, potentials: DataFrame, kind: str = "l2", slack: float = 1e-6) -> DataFrame:
+    """unit, n_pairs, one_to_one, feasible, tight: whether potentials prove a unit's matching to be of least cost.
+
+    feasible: no pair of the unit costs less than its two potentials, and those of the
+    side with more rows are at most 0. Then no matching of all rows of the other side
+    costs less than all potentials together; tight: this one costs just that.
+    """
+    p = potentials.where("side = 0").select("unit", F.col("id").alias("p"), F.col("mate").alias("pm"), F.col("potential").alias("pu"))
+    g = potentials.where("side = 1").select("unit", F.col("id").alias("g"), F.col("mate").alias("gm"), F.col("potential").alias("gu"))
+    met = pairs(pred, gt, kind).join(p, ["unit", "p"]).join(g, ["unit", "g"])
+    mine = (F.col("pm") == F.col("g")) & (F.col("gm") == F.col("p"))
+    over = F.max(F.col("pu") + F.col("gu") - F.col("cost"))
+    sums = met.groupBy("unit").agg(over.alias("over"), F.sum(F.when(mine, F.col("cost")).otherwise(0.0)).alias("spent"), F.count_if(mine).alias("n_pairs"))
+    side = lambda n: [F.count_if(F.col("side") == n).alias(f"n{n}"), F.count_if((F.col("side") == n) & F.col("mate").isNotNull()).alias(f"m{n}"), F.coalesce(F.max(F.when(F.col("side") == n, F.col("potential"))), F.lit(0.0)).alias(f"top{n}")]
+    own = potentials.groupBy("unit").agg(*side(0), *side(1), F.sum("potential").alias("bound"))
+    both = sums.join(own, "unit")
+    few = F.least("n0", "n1")
+    signs = ((F.col("n0") <= F.col("n1")) | (F.col("top0") <= slack)) & ((F.col("n1") <= F.col("n0")) | (F.col("top1") <= slack))
+    return both.select(
+        "unit", "n_pairs", ((F.col("n_pairs") == few) & (F.col("m0") == few) & (F.col("m1") == few)).alias("one_to_one"),
+        ((F.col("over") <= slack) & signs).alias("feasible"), (F.abs(F.col("spent") - F.col("bound")) <= slack * (1 + F.abs("bound"))).alias("tight"),
+    )
+
+
 def y_greedy_match(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """Truths by their first y take the free prediction whose two y's are nearest; unit, p, g, start_error, end_error."""
 

@@ -11,6 +11,7 @@ from chartlines.operators import chains, metrics, precision
 from chartlines.operators._numpy import end_costs
 from chartlines.plans.canonical import GT, MASK, PRED, ctes, derived, kept_sql
 from chartlines.queries import query
+from chartlines.sources.shared import keep
 
 _O = "CASE WHEN x1 > x2 OR (x1 = x2 AND y1 > y2) THEN {a} ELSE {b} END AS {b}"
 _P = "p AS (SELECT unit, line_id, image_id, score, " + ", ".join(_O.format(a=a, b=b) for a, b in (("x2", "x1"), ("y2", "y1"), ("x1", "x2"), ("y1", "y2"))) + " FROM pred)"
@@ -120,6 +121,28 @@ def m8_optimal(spark, sf):
     return M.optimal_match(*_tables(spark, sf), 30.0).withColumn("cost", F.round("cost", 6))
 
 
+def _certificate(kind):
+    def run(spark, sf):
+        tables = _tables(spark, sf)
+        return M.certified(*tables, keep(M.optimal_potentials(*tables, kind), "potentials"), kind)
+
+    return run
+
+
+_PROVED = ctes(gt=GT, pred=PRED) + """, a AS (SELECT unit, count(*) AS n FROM gt GROUP BY unit), b AS (SELECT unit, count(*) AS n FROM pred GROUP BY unit)
+SELECT unit, least(a.n, b.n) AS n_pairs, true AS one_to_one, true AS feasible, true AS tight FROM a JOIN b USING (unit)"""
+
+
+@query(_PROVED)
+def m8_certificate(spark, sf):
+    return _certificate("l2")(spark, sf)
+
+
+@query(_PROVED)
+def m6_certificate(spark, sf):
+    return _certificate("ends_mae")(spark, sf)
+
+
 @query(ctes(gt=GT, pred=PRED) + f""", {_P}
 SELECT DISTINCT g.unit, g.line_id FROM gt g JOIN p ON p.unit = g.unit
 WHERE least(sqrt((p.x1-g.x1)*(p.x1-g.x1)+(p.y1-g.y1)*(p.y1-g.y1))+sqrt((p.x2-g.x2)*(p.x2-g.x2)+(p.y2-g.y2)*(p.y2-g.y2)), sqrt((p.x1-g.x2)*(p.x1-g.x2)+(p.y1-g.y2)*(p.y1-g.y2))+sqrt((p.x2-g.x1)*(p.x2-g.x1)+(p.y2-g.y1)*(p.y2-g.y1))) <= 8

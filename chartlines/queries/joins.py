@@ -138,6 +138,12 @@ def j16_stitch_with_limit(spark, sf):
     return J.stitch_with_limit(derived(spark, sf, GT), 30.0, 1)
 
 
+@query(ctes(gt=GT) + ", n AS (SELECT *, row_number() OVER (PARTITION BY image_id, category, y2 ORDER BY unit, line_id) - 1 AS k FROM gt) SELECT unit, line_id, round(y2 + CASE WHEN k % 2 = 1 THEN (k + 1) // 2 * 0.1 ELSE -(k // 2) * 0.1 END, 6) AS y2 FROM n")
+def j16_spread_ties(spark, sf):
+    spread = J.spread_ties(derived(spark, sf, GT), ["image_id", "category"], "y2", ["unit", "line_id"])
+    return spread.select("unit", "line_id", F.round("y2", 6).alias("y2"))
+
+
 @query()
 def j17_stitch_global(spark, sf):
     from chartlines.functions.geometry import crop_offset

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import time
 from collections.abc import Iterator
@@ -24,6 +25,50 @@ def read_csv_sets(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.csv(folder, header=True, inferSchema=True).withColumn("dataset_id", F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).try_cast("long"))
 
 
+def csv_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """path, header of all CSV files under a folder; only the first line of each is read. An empty file has an empty header."""
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            heads = []
+            for path in batch["path"]:
+                system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                with system.open_input_stream(name) as f:
+                    held = b""
+                    while b"\n" not in held and (more := f.read(4096)):
+                        held += more
+                heads.append(held.split(b"\n", 1)[0].decode("utf-8-sig", "replace").rstrip("\r"))
+            yield pd.DataFrame({"path": batch["path"], "header": heads})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(folder).select("path")
+    return files.mapInPandas(first, "path string, header string")
+
+
+def read_csv_cells(spark: SparkSession, folder: str, dataset: str = r"(\d+)\.csv$") -> DataFrame:
+    """dataset_id, row_id, column, value, number, category of all CSV data sets under a folder, whose headers may differ.
+
+    Files are grouped by header; each group is read once, by a schema of its header, and
+    brought into long form. category is the column of that name in any case, number the
+    value as a double or null, dataset_id what `dataset` finds in the path, row_id unique.
+    Empty files and those that hold a header only give no rows.
+    """
+    groups = csv_headers(spark, folder).where(F.trim("header") != "").groupBy("header").agg(F.collect_list("path").alias("paths")).collect()  # paths, as Spark's own listing has them
+    kind = "dataset_id long, row_id long, column string, value string, number double, category string"
+    out = spark.createDataFrame([], kind)
+    for i, group in enumerate(sorted(groups, key=lambda g: g["header"])):
+        names = next(csv.reader([group["header"]]))
+        label = [k for k, n in enumerate(names) if n.strip().lower() == "category"][:1]
+        read = spark.read.schema(", ".join(f"c{k} string" for k in range(len(names)))).csv(group["paths"], header=True, enforceSchema=True)
+        cells = F.explode(F.array(*[F.struct(F.lit(n.strip()).alias("column"), F.col(f"c{k}").alias("value")) for k, n in enumerate(names) if k not in label])).alias("c")
+        category = F.col(f"c{label[0]}") if label else F.lit(None).cast("string")
+        numbered = read.withColumn("row_id", F.monotonically_increasing_id() + F.lit(i) * F.lit(1 << 53)).withColumn("dataset_id", F.regexp_extract(F.col("_metadata.file_path"), dataset, 1).try_cast("long"))
+        if len(names) > len(label):
+            out = out.unionByName(numbered.select("dataset_id", "row_id", cells, category.alias("category")).select("dataset_id", "row_id", "c.column", "c.value", F.col("c.value").try_cast("double").alias("number"), "category"))
+    return out
+
+
 def read_plot_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """filename, crop, category, line_id, x1 .. y2 of plot metadata; the older shape without categories gives null ones."""
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.try_parse_json("value").alias("j"))
