@@ -431,5 +431,16 @@ def halved(full: np.ndarray) -> np.ndarray:
         basis = np.zeros((m, n))
         for step, weight in ((-1, (1 - t) ** 3 / 6), (0, (4 - 6 * t**2 + 3 * t**3) / 6), (1, (1 + 3 * t + 3 * t**2 - 3 * t**3) / 6), (2, t**3 / 6)):
             np.add.at(basis, (np.arange(m), mirror(whole + step)), weight)
-        _HALVES[n] = basis @ np.linalg.inv(through)
-    return _HALVES[n] @ full @ _HALVES[n].T
+        # each row depends on its two neighbours only: elimination downwards, then upwards
+        inverse = np.eye(n)
+        for i in range(1, n):
+            share = through[i, i - 1] / through[i - 1, i - 1]
+            through[i] -= share * through[i - 1]
+            inverse[i] -= share * inverse[i - 1]
+        for i in range(n - 1, -1, -1):
+            if i + 1 < n:
+                inverse[i] -= through[i, i + 1] * inverse[i + 1]
+            inverse[i] /= through[i, i]
+        _HALVES[n] = np.einsum("mn,nk->mk", basis, inverse)
+    # einsum: small products in tasks that share cores gain nothing from BLAS threads
+    return np.einsum("il,jl->ij", np.einsum("ik,kl->il", _HALVES[n], full), _HALVES[n])

@@ -26,7 +26,7 @@ def read_csv_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """path, header of all CSV files under a folder; only the first line of each is read. An empty file has an empty header."""
+    """path, header of all CSV files under a folder; only the first line of each is read. Files without a byte have no row."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
