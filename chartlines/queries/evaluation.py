@@ -91,7 +91,35 @@ def m3_greedy(spark, sf):
     return M.greedy_match(*_tables(spark, sf), 10.0).withColumn("cost", F.round("cost", 6))
 
 
-@query()
+def _off(a: str, i: int, b: str) -> str:
+    """SQL for the distance of end i of a to segment b."""
+    dx, dy, x, y = f"({b}.x2-{b}.x1)", f"({b}.y2-{b}.y1)", f"({a}.x{i}-{b}.x1)", f"({a}.y{i}-{b}.y1)"
+    t = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(({x}*{dx}+{y}*{dy})/nullif({dx}*{dx}+{dy}*{dy}, 0), 0)))"
+    return f"sqrt(({x}-{t}*{dx})*({x}-{t}*{dx})+({y}-{t}*{dy})*({y}-{t}*{dy}))"
+
+
+def _shadow(a: str, i: int, b: str) -> str:
+    """SQL for the place of end i of a along b, from its first end."""
+    return f"((({a}.x{i}-{b}.x1)*({b}.x2-{b}.x1)+({a}.y{i}-{b}.y1)*({b}.y2-{b}.y1))/nullif(l{b}, 0))"
+
+
+def _common(a: str, b: str) -> str:
+    """SQL for the share of a, the shorter one, that lies along b."""
+    p, q = _shadow(a, 1, b), _shadow(a, 2, b)
+    return f"coalesce(greatest(0.0::DOUBLE, least(greatest({p}, {q}), l{b}) - greatest(least({p}, {q}), 0.0::DOUBLE)) / nullif(l{a}, 0), 0)"
+
+
+def _long(a: str) -> str:
+    return f"sqrt(({a}.x2-{a}.x1)*({a}.x2-{a}.x1)+({a}.y2-{a}.y1)*({a}.y2-{a}.y1))"
+
+
+_TURN = "abs((degrees(atan2(p.y2-p.y1, p.x2-p.x1)) + 180) % 180 - (degrees(atan2(g.y2-g.y1, g.x2-g.x1)) + 180) % 180)"
+_ORIENTED = f"""SELECT unit, p, g, cost FROM (
+  SELECT p.unit, p.line_id AS p, g.line_id AS g, {_long("p")} AS lp, {_long("g")} AS lg, least({_TURN}, 180 - {_TURN}) AS turn, ({_off("p", 1, "g")} + {_off("p", 2, "g")} + {_off("g", 1, "p")} + {_off("g", 2, "p")}) / 4 AS cost,
+    CASE WHEN lp >= lg THEN {_common("g", "p")} ELSE {_common("p", "g")} END AS share FROM p JOIN gt g ON p.unit = g.unit) WHERE turn <= 10 AND share >= 0.5 AND cost <= 6"""
+
+
+@query(_chosen(_ORIENTED, "cost, p, g") + _PAIR)
 def m4_oriented(spark, sf):
     return M.oriented_match(*_tables(spark, sf), 6.0, 10.0, 0.5).withColumn("cost", F.round("cost", 6))
 
