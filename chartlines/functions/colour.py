@@ -69,6 +69,13 @@ def foreground(pixels: DataFrame, rule: str = "sum", limit: float | None = None)
     return pixels.where(rules[rule]())
 
 
+def coloured(pixels: DataFrame, s_min: float = 40, v_min: float = 40, drop_red: bool = True, red: tuple[float, float] = (8, 172), red_s: float = 80, red_v: float = 60) -> DataFrame:
+    """Pixels (h in 0-179, s and v in 0-255) above s_min and v_min; with drop_red none of strong red, as rules between crops have: hue outside of red, s over red_s and v over red_v."""
+    strong = ((F.col("h") < red[0]) | (F.col("h") > red[1])) & (F.col("s") > red_s) & (F.col("v") > red_v)
+    kept = (F.col("s") > s_min) & (F.col("v") > v_min)
+    return pixels.where(kept & ~strong if drop_red else kept)
+
+
 def default_palette(categories: DataFrame, *keys: str) -> DataFrame:
     """Hue i / n for category i of n, in order of name, within each group of keys."""
     w = Window.partitionBy(*keys)
@@ -83,6 +90,35 @@ def cycled_palette(categories: DataFrame, palette: DataFrame, *keys: str) -> Dat
     return numbered.join(palette, "place", "left").drop("i", "n", "place")
 
 
+def colours_of_files(categories: DataFrame, own: DataFrame, dominant: DataFrame) -> DataFrame:
+    """image_id, category, h, s, v, taken_from: colours of the categories (image_id, category) of each image.
+
+    An image takes those of its own (image_id, category, h, s, v) where it has one for
+    any of its categories, the others then stay out. Else it takes the dominant ones
+    (file, name, h, s, v) of <image_id>.png, else of r<image_id>.png, in order of the
+    numbers in names cat1, cat2, ... (other names last), in turn for its categories in
+    order of name. Images with neither have no rows. Hue is taken modulo 1, s and v are
+    held in 0-1; missing h counts as 0, s and v as 1. All windows are on one image or file.
+    """
+    level = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    tidy = lambda t: t.withColumns({"h": F.pmod(F.coalesce("h", F.lit(0.0)), F.lit(1.0)), "s": level("s"), "v": level("v")})
+    cats = categories.select("image_id", "category").distinct()
+    mine = cats.join(tidy(own).select("image_id", "category", "h", "s", "v"), ["image_id", "category"]).withColumn("taken_from", F.lit("own"))
+    rest = cats.join(mine.select("image_id").distinct(), "image_id", "left_anti")
+    names = F.posexplode(F.array(F.concat(F.col("image_id").cast("string"), F.lit(".png")), F.concat(F.lit("r"), F.col("image_id").cast("string"), F.lit(".png")))).alias("turn", "file")
+    files = rest.select("image_id").distinct().select("image_id", names).join(dominant.select("file").distinct(), "file")
+    chosen = files.groupBy("image_id").agg(F.min_by("file", "turn").alias("file"))
+    number = F.coalesce(F.regexp_extract("name", r"^cat(\d+)$", 1).try_cast("long"), F.lit(10**9))
+    listed = Window.partitionBy("file")
+    placed = tidy(dominant).withColumn("place", F.row_number().over(listed.orderBy(number, "name")) - 1).withColumn("n", F.count(F.lit(1)).over(listed))
+    sizes = placed.where(F.col("place") == 0).select("file", "n")
+    ranked = rest.withColumn("i", F.row_number().over(Window.partitionBy("image_id").orderBy("category")) - 1)
+    turns = ranked.join(chosen, "image_id").join(sizes, "file").withColumn("place", F.pmod("i", "n"))
+    theirs = turns.join(placed.select("file", "place", "h", "s", "v"), ["file", "place"]).withColumn("taken_from", F.col("file"))
+    cols = ["image_id", "category", "h", "s", "v", "taken_from"]
+    return mine.select(*cols).unionByName(theirs.select(*cols))
+
+
 #: Linear sRGB to XYZ of D65, the white point, and the constants of CIE Lab.
 _XYZ = {"x": (0.412453, 0.357580, 0.180423), "y": (0.212671, 0.715160, 0.072169), "z": (0.019334, 0.119193, 0.950227)}
 _WHITE = {"x": 0.950456, "y": 1.0, "z": 1.088754}

@@ -57,6 +57,23 @@ def nearest_colour(rows: DataFrame, colours: DataFrame, keys: list[str], row_id:
     return found.withColumn("within_tol", F.col("colour_distance") <= tolerance).drop("c_h", "c_s", "c_v")
 
 
+def nearest_colour_red_edge(rows: DataFrame, colours: DataFrame, keys: list[str], row_id: list[str], tolerance: float = 0.1, low: float = 0.07, high: float = 0.9) -> DataFrame:
+    """rows with category, colour_distance and within_tol of the nearest colour (category, h, s, v) with the same keys, red hues drawn to an edge.
+
+    Hue up to low becomes the smallest hue of the colours with those keys, hue above
+    high their largest; distances are plain, not round the circle. The nearest colour
+    is taken beyond the tolerance too, within_tol tells. Rows whose keys have no
+    colours stay out; ties by name.
+    """
+    c = colours.select(*keys, "category", *(F.col(x).alias(f"c_{x}") for x in "hsv"))
+    edges = colours.groupBy(*keys).agg(F.min("h").alias("_low"), F.max("h").alias("_high"))
+    hue = F.when(F.col("h") <= low, F.col("_low")).when(F.col("h") > high, F.col("_high")).otherwise(F.col("h"))
+    gap = F.sqrt((F.col("_h") - F.col("c_h")) ** 2 + (F.col("s") - F.col("c_s")) ** 2 + (F.col("v") - F.col("c_v")) ** 2)
+    met = rows.drop("category").join(edges, keys).withColumn("_h", hue).join(c, keys).withColumn("colour_distance", gap)
+    found = best_row(met, row_id, F.asc_nulls_last("colour_distance"), F.asc("category"))
+    return found.withColumn("within_tol", F.col("colour_distance") < tolerance).drop("c_h", "c_s", "c_v", "_h", "_low", "_high")
+
+
 def with_fallback(rows: DataFrame, exact: DataFrame, general: DataFrame, keys: list[str], fewer: list[str], value: str) -> DataFrame:
     """rows with value from exact by keys, else from general by fewer keys, and matched: exact, general or null."""
     out = rows.join(exact.select(*keys, F.col(value).alias("_e")), keys, "left").join(general.select(*fewer, F.col(value).alias("_g")), fewer, "left")

@@ -224,3 +224,25 @@ def p27_palettes(spark, sf):
     cats = derived(spark, sf, PIXELS).select("image_id", F.concat(F.lit("c"), F.floor(F.col("h") / 20)).alias("category")).distinct()
     palette = spark.createDataFrame([(0, "red"), (1, "green"), (2, "blue")], "place long, colour string")
     return C.cycled_palette(C.default_palette(cats, "image_id"), palette, "image_id").select("image_id", "category", F.round("hue", 8).alias("hue"), "colour")
+
+
+@query(ctes(px=PIXELS) + "SELECT image_id, crop_id, h, count(*) AS pixels FROM px WHERE s > 40 AND v > 40 AND NOT ((h < 8 OR h > 172) AND s > 80 AND v > 60) GROUP BY ALL")
+def f6_coloured_without_red(spark, sf):
+    return C.coloured(derived(spark, sf, PIXELS)).groupBy(*KEYS, "h").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+_CATS = "SELECT DISTINCT CAST(floor(l_orderkey / 4) AS BIGINT) AS image_id, concat('c', CAST(l_partkey % 7 AS VARCHAR(9))) AS category FROM {lineitem}"
+_OWN = "SELECT DISTINCT CAST(floor(l_orderkey / 4) AS BIGINT) AS image_id, concat('c', CAST(l_partkey % 7 AS VARCHAR(9))) AS category, CAST(l_partkey % 7 AS DOUBLE) / 4 AS h, CAST(l_partkey % 7 AS DOUBLE) / 5 AS s, CAST(NULL AS DOUBLE) AS v FROM {lineitem} WHERE floor(l_orderkey / 4) % 3 = 0 AND l_partkey % 7 < 5"
+_DOMINANT = """SELECT DISTINCT concat(CASE WHEN l_orderkey % 2 = 0 THEN 'r' ELSE '' END, CAST(CAST(floor(l_orderkey / 4) AS BIGINT) AS VARCHAR(20)), '.png') AS file, concat('cat', CAST(l_linenumber * 3 AS VARCHAR(9))) AS name,
+       CAST(l_linenumber AS DOUBLE) / 4 AS h, CAST(l_linenumber AS DOUBLE) / 5 AS s, CAST(l_linenumber AS DOUBLE) / 8 AS v FROM {lineitem} WHERE floor(l_orderkey / 4) % 5 <> 0"""
+
+
+@query(ctes(cats=_CATS, own=_OWN, dom=_DOMINANT) + """, mine AS (SELECT image_id, category, h, s, v, 'own' AS taken_from FROM cats JOIN own USING (image_id, category)),
+rest AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY category) - 1 AS i FROM cats WHERE image_id NOT IN (SELECT image_id FROM mine)),
+f AS (SELECT image_id, CASE WHEN image_id || '.png' IN (SELECT file FROM dom) THEN image_id || '.png' ELSE 'r' || image_id || '.png' END AS file FROM (SELECT DISTINCT image_id FROM rest)),
+p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY CAST(substr(name, 4) AS INT)) - 1 AS place, count(*) OVER (PARTITION BY file) AS n FROM dom),
+a AS (SELECT * FROM mine UNION ALL SELECT rest.image_id, category, h, s, v, p.file FROM rest JOIN f USING (image_id) JOIN p ON p.file = f.file AND p.place = rest.i % p.n)
+SELECT image_id, category, round(h - floor(h), 6) AS h, round(least(greatest(coalesce(s, 1), 0), 1), 6) AS s, round(least(greatest(coalesce(v, 1), 0), 1), 6) AS v, taken_from FROM a""")
+def j18_colours_of_files(spark, sf):
+    found = C.colours_of_files(*(derived(spark, sf, t) for t in (_CATS, _OWN, _DOMINANT)))
+    return found.select("image_id", "category", *(F.round(c, 6).alias(c) for c in "hsv"), "taken_from")

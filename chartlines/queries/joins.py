@@ -46,6 +46,15 @@ def j6_j8_nearest_colour(spark, sf):
     return found.select("unit", "line_id", "category", F.round("colour_distance", 6).alias("colour_distance"), "within_tol")
 
 
+@query(ctes(gt=GT, c=_COLOURS) + ", r AS (" + _HSV.format(gt="SELECT * FROM gt") + """), e AS (SELECT image_id, min(h) AS lo, max(h) AS hi FROM c GROUP BY image_id),
+m AS (SELECT r.*, CASE WHEN h <= 0.07 THEN lo WHEN h > 0.9 THEN hi ELSE h END AS mh FROM r JOIN e USING (image_id)),
+d AS (SELECT unit, line_id, c.category, sqrt((mh-c.h)*(mh-c.h)+(m.s-c.s)*(m.s-c.s)+(m.v-c.v)*(m.v-c.v)) AS d FROM m JOIN c USING (image_id))
+SELECT unit, line_id, category, round(d, 6) AS colour_distance, d < 0.3 AS within_tol FROM d QUALIFY row_number() OVER (PARTITION BY unit, line_id ORDER BY d, category) = 1""")
+def j6_red_edge(spark, sf):
+    found = J.nearest_colour_red_edge(derived(spark, sf, _HSV.format(gt=GT)), derived(spark, sf, _COLOURS), ["image_id"], ["unit", "line_id"], 0.3)
+    return found.select("unit", "line_id", "category", F.round("colour_distance", 6).alias("colour_distance"), "within_tol")
+
+
 _AX = "SELECT DISTINCT image_id, CAST(floor(x1 / 5) * 45 AS DOUBLE) AS x FROM ({gt})"
 _WIDE = "SELECT unit, line_id, image_id, x1 * 10 AS x1, y1, x1 * 10 + (pk % 30) AS x2, y2 FROM ({gt})"
 

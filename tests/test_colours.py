@@ -54,3 +54,23 @@ def test_hues_wrap_in_their_space(spark):
     frame = spark.createDataFrame([(255, 0, 8), (255, 8, 0), (0, 255, 0)], "r int, g int, b int").select(P.features("hue").alias("v"))
     a, b, c = (np.array(r["v"]) for r in frame.collect())
     assert np.linalg.norm(a - b) < 0.1 < 1 < np.linalg.norm(a - c)
+
+
+def test_red_edges_files_and_strong_red(spark):
+    from chartlines.functions import colour as C
+    from chartlines.operators import joins as J
+
+    colours = spark.createDataFrame([(1, "a", 0.1, 1.0, 1.0), (1, "b", 0.8, 1.0, 1.0)], "image_id long, category string, h double, s double, v double")
+    rows = spark.createDataFrame([(1, 0, 0.01, 1.0, 1.0), (1, 1, 0.95, 1.0, 1.0), (1, 2, 0.45, 1.0, 1.0), (1, 3, None, 1.0, 1.0), (2, 4, 0.5, 1.0, 1.0)], "image_id long, line_id long, h double, s double, v double")
+    got = {r["line_id"]: (r["category"], r["within_tol"]) for r in J.nearest_colour_red_edge(rows, colours, ["image_id"], ["line_id"]).collect()}
+    assert got == {0: ("a", True), 1: ("b", True), 2: ("a", False), 3: ("a", None)}  # 2 ties, 4 has no colours
+
+    cats = spark.createDataFrame([(i, c) for i in (1, 2, 3, 4) for c in ("x", "y", "z")], "image_id long, category string")
+    own = spark.createDataFrame([(1, "x", 1.25, 2.0, None), (1, "unused", 0.0, 0.0, 0.0)], "image_id long, category string, h double, s double, v double")
+    dominant = spark.createDataFrame([("2.png", "cat10", 0.9, 1.0, 1.0), ("2.png", "cat2", 0.2, -1.0, 1.0), ("r2.png", "cat1", 0.5, 1.0, 1.0), ("r3.png", "odd", None, 1.0, 1.0), ("r1.png", "cat1", 0.1, 1.0, 1.0)], "file string, name string, h double, s double, v double")
+    got = {(r["image_id"], r["category"]): (r["h"], r["s"], r["v"], r["taken_from"]) for r in C.colours_of_files(cats, own, dominant).collect()}
+    first, second = (0.2, 0.0, 1.0, "2.png"), (0.9, 1.0, 1.0, "2.png")
+    assert got == {(1, "x"): (0.25, 1.0, 1.0, "own"), (2, "x"): first, (2, "y"): second, (2, "z"): first, **{(3, c): (0.0, 1.0, 1.0, "r3.png") for c in "xyz"}}
+
+    pixels = spark.createDataFrame([(2, 200, 200), (175, 200, 200), (2, 70, 200), (90, 200, 200), (90, 40, 200)], "h int, s int, v int")
+    assert sorted(tuple(r) for r in C.coloured(pixels).collect()) == [(2, 70, 200), (90, 200, 200)] and C.coloured(pixels, drop_red=False).count() == 4
