@@ -136,10 +136,24 @@ def p21_colours(spark, sf):
     return rows.select("r", "g", "b", F.round(hsv["v"], 4).alias("v"), F.round(hsv["s"] + 0.0000001, 4).alias("s"), F.round(hsv["h"] + 0.0000001, 4).alias("h"), C.is_grey_or_white(r, g, b).alias("grey"))
 
 
-@query()
+@query(ctes(px=PIXELS).replace("WITH", "WITH RECURSIVE", 1) + """, hb AS (SELECT image_id, CAST(floor(h * 72 / 180) AS INT) AS bin, CAST(sum(s) AS DOUBLE) AS n FROM px GROUP BY ALL),
+dn AS (SELECT g.image_id, b.bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT image_id FROM hb) g CROSS JOIN (SELECT unnest(range(72)) AS bin) b LEFT JOIN hb ON hb.image_id = g.image_id AND hb.bin = b.bin),
+tp AS (SELECT a.image_id, (a.bin + 0.5::DOUBLE) / 72 AS hue, a.n, row_number() OVER (PARTITION BY a.image_id ORDER BY a.n DESC, a.bin) AS o
+       FROM dn a JOIN dn l ON l.image_id = a.image_id AND l.bin = (a.bin + 71) % 72 JOIN dn r ON r.image_id = a.image_id AND r.bin = (a.bin + 1) % 72 WHERE a.n > l.n AND a.n >= r.n AND a.n > 0),
+gr AS (SELECT image_id, o, n AS top, [hue] AS hs, [n] AS ws FROM tp WHERE o = 1
+  UNION ALL SELECT image_id, o, top,
+    CASE WHEN m = 0 THEN list_append(hs, hue) ELSE list_concat(hs[1 : m - 1], [(hs[m] * ws[m] + hue * n) / (ws[m] + n)], hs[m + 1 :]) END,
+    CASE WHEN m = 0 THEN list_append(ws, n) ELSE list_concat(ws[1 : m - 1], [ws[m] + n], ws[m + 1 :]) END
+  FROM (SELECT gr.image_id, tp.o, top, hs, ws, hue, n, coalesce(list_position(list_transform(hs, lambda x: least(abs(hue - x), 1 - abs(hue - x)) <= 0.05::DOUBLE), true), 0) AS m
+        FROM gr JOIN tp ON tp.image_id = gr.image_id AND tp.o = gr.o + 1)),
+un AS (SELECT image_id, top, unnest(hs) AS hue, unnest(ws) AS w, unnest(range(len(hs))) AS i FROM gr QUALIFY o = max(o) OVER (PARTITION BY image_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w DESC, i) AS place FROM un),
+so AS (SELECT image_id, list_sort(list(DISTINCT hue)) AS hs FROM rk WHERE place = 1 OR (place <= 8 AND w >= 0.18::DOUBLE * top) GROUP BY image_id),
+ch AS (SELECT image_id, hs, 2 AS i, [hs[1]] AS k FROM so UNION ALL SELECT image_id, hs, i + 1, CASE WHEN hs[i] - k[len(k)] > 0.03::DOUBLE THEN list_append(k, hs[i]) ELSE k END FROM ch WHERE i <= len(hs))
+SELECT image_id, 'cat' || unnest(range(1, len(k) + 1)) AS category, round(unnest(k), 9) AS hue FROM ch WHERE i > len(hs)""")
 def w7_w9_prominent_hues(spark, sf):
     hist = K.hue_histogram(derived(spark, sf, PIXELS), ["image_id"], 72, "s")
-    return P.distinct_hues(P.prominent_hues(hist, ["image_id"]), ["image_id"])
+    return P.distinct_hues(P.prominent_hues(hist, ["image_id"]), ["image_id"]).withColumn("hue", F.round("hue", 9))
 
 
 @query()
