@@ -153,7 +153,19 @@ def j16_spread_ties(spark, sf):
     return spread.select("unit", "line_id", F.round("y2", 6).alias("y2"))
 
 
-@query()
+@query("WITH RECURSIVE " + ctes(gt=GT)[5:] + """, sh AS (SELECT *, 224 * (dense_rank() OVER (PARTITION BY image_id ORDER BY crop_id) - 1) AS dx FROM gt),
+sg AS (SELECT image_id, category, crop_id, x1 + dx AS x1, y1, x2 + dx AS x2, y2,
+  row_number() OVER (PARTITION BY image_id, category ORDER BY crop_id, unit, line_id) AS i, dense_rank() OVER (PARTITION BY image_id, category ORDER BY crop_id) AS ci FROM sh),
+cr AS MATERIALIZED (SELECT image_id, category, ci, list({'i': i, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY i) AS sg FROM sg GROUP BY ALL),
+st AS (SELECT image_id, category, CAST(1 AS BIGINT) AS ci, CAST(1 AS BIGINT) AS p, CAST(0 AS BIGINT) AS np, []::STRUCT(x DOUBLE, y DOUBLE, n INT)[] AS ends, []::BIGINT[] AS taken, []::STRUCT(p BIGINT, s INT, i BIGINT)[] AS made FROM cr WHERE ci = 1
+  UNION ALL SELECT image_id, category, CASE WHEN p > np THEN ci + 1 ELSE ci END, CASE WHEN p > np THEN 1 ELSE p + 1 END, CASE WHEN p > np THEN np + len(free) ELSE np END,
+    CASE WHEN p > np THEN list_concat(ends, list_transform(free, lambda z: {'x': z.x2, 'y': z.y2, 'n': 0::INT})) WHEN best IS NULL THEN ends ELSE list_concat(ends[1 : p - 1], [{'x': best.x2, 'y': best.y2, 'n': (ends[p].n + 1)::INT}], ends[p + 1 :]) END,
+    CASE WHEN p > np THEN []::BIGINT[] WHEN best IS NULL THEN taken ELSE list_append(taken, best.i) END,
+    CASE WHEN p > np THEN list_concat(made, list_transform(free, lambda z, k: {'p': (np + k - 1)::BIGINT, 's': 0::INT, 'i': z.i::BIGINT})) WHEN best IS NULL THEN made ELSE list_append(made, {'p': (p - 1)::BIGINT, 's': (ends[p].n + 1)::INT, 'i': best.i::BIGINT}) END
+  FROM (SELECT *, CASE WHEN p <= np THEN list_sort(list_filter(list_transform(free, lambda z: {'d': (z.x1 - ends[p].x) * (z.x1 - ends[p].x) + (z.y1 - ends[p].y) * (z.y1 - ends[p].y), 'i': z.i, 'x2': z.x2, 'y2': z.y2}), lambda z: z.d <= 1600))[1] END AS best
+        FROM (SELECT st.*, list_filter(cr.sg, lambda z: NOT list_contains(taken, z.i)) AS free FROM st JOIN cr ON cr.image_id = st.image_id AND cr.category = st.category AND cr.ci = st.ci))),
+done AS (SELECT image_id, category, unnest(made) AS m FROM st WHERE p = 1 QUALIFY ci = max(ci) OVER (PARTITION BY image_id, category))
+SELECT sg.image_id, sg.category, m.p AS path_id, m.s AS step, x1, y1, x2, y2 FROM done JOIN sg ON sg.image_id = done.image_id AND sg.category = done.category AND sg.i = m.i""")
 def j17_stitch_global(spark, sf):
     from chartlines.functions.geometry import crop_offset
 
