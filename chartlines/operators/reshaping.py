@@ -66,14 +66,16 @@ def ticks(cells: DataFrame, n: int = 8) -> DataFrame:
     return at.select("dataset_id", "column_name", "tick", value.alias("value"), F.format_string("%.1f", value).alias("label"))
 
 
-def ground_truth(wide: DataFrame, columns: list[str], *keys: str, height: float = 300.0) -> DataFrame:
-    """One record for each data set: map crop -> category -> array of segments, computed from its table."""
-    cells = pixel_positions(normalise(fold(wide, columns, "dataset_id", "row_id", "category")), height)
-    back = cells.select("dataset_id", "row_id", "category", "column_name", F.col("position").alias("value"))
-    segments = row_segments(spread(back, columns, "dataset_id", "row_id", "category"), columns, 224.0, "dataset_id", "row_id", "category")
-    lines = segments.groupBy("dataset_id", "crop_id", "category").agg(F.sort_array(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("lines"))
-    by_crop = lines.groupBy("dataset_id", "crop_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "lines"))).alias("m"))
-    return by_crop.groupBy("dataset_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("crop_"), F.col("crop_id") + 1), "m"))).alias("lines"))
+def ground_truth(wide: DataFrame, columns: list[str], *keys: str, height: float = 300.0, most: int = 10_000) -> DataFrame:
+    """dataset_id, part, lines: map crop -> category -> array of segments, computed from its table; one record for each data set of up to `most` rows, larger ones in parts of about `most` rows each."""
+    ends = wide.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_rows"), *(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
+    up = lambda c: F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))
+    part = F.pmod(F.xxhash64("row_id"), F.ceil(F.col("_rows") / most)).alias("part")
+    placed = wide.join(ends, "dataset_id").select("dataset_id", part, "category", *((height - up(c) * height).alias(c) for c in columns))
+    segments = row_segments(placed, columns, 224.0, "dataset_id", "part", "category")
+    lines = segments.groupBy("dataset_id", "part", "crop_id", "category").agg(F.sort_array(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("lines"))
+    by_crop = lines.groupBy("dataset_id", "part", "crop_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "lines"))).alias("m"))
+    return by_crop.groupBy("dataset_id", "part").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("crop_"), F.col("crop_id") + 1), "m"))).alias("lines"))
 
 
 def value_shares(rows: DataFrame, column: str) -> DataFrame:

@@ -75,7 +75,8 @@ def w5_row_segments(spark, sf):
 def r7_ground_truth(spark, sf):
     found = R.ground_truth(derived(spark, sf, WIDE), COLUMNS)
     crops = found.select("dataset_id", F.explode("lines").alias("crop", "m"))
-    return crops.select("dataset_id", "crop", F.explode("m").alias("category", "ls")).select("dataset_id", "crop", "category", F.size("ls").alias("n"))
+    sizes = crops.select("dataset_id", "crop", F.explode("m").alias("category", "ls")).select("dataset_id", "crop", "category", F.size("ls").alias("n"))
+    return sizes.groupBy("dataset_id", "crop", "category").agg(F.sum("n").alias("n"))
 
 
 _AXES = "SELECT DISTINCT l_suppkey % 40 AS image_id, CAST(l_partkey % 600 AS DOUBLE) AS x FROM {lineitem} WHERE l_partkey % 11 = 0"

@@ -384,3 +384,15 @@ def test_predictors_are_tried_again(spark):
     rows = spark.createDataFrame([(1,), (2,), (3,)], "id long").coalesce(1)
     got = {r["id"]: (r["n"], r["error"]) for r in files.predict(rows, Flaky, "id long, n long, error string", attempts=3, wait=0.0, transient=lambda e: "503" in str(e)).collect()}
     assert got[1] == (1, None) and got[2] == (None, "503") and got[3] == (1, None)
+
+
+def test_ground_truth_of_large_sets_comes_in_parts(spark):
+    rows = [(d, i, "ab"[i % 2], float(i), float(-i), 3.0) for d, n in ((0, 5), (1, 400)) for i in range(n)]
+    wide = spark.createDataFrame(rows, "dataset_id long, row_id long, category string, p double, q double, r double")
+    found = reshaping.ground_truth(wide, ["p", "q", "r"], most=50).collect()
+    assert sum(r["dataset_id"] == 0 for r in found) == 1 and sum(r["dataset_id"] == 1 for r in found) > 4
+    largest = max(len(ls) for r in found for crop in r["lines"].values() for ls in crop.values())
+    assert largest < 60
+    lines = sorted((ls, c) for r in found if r["dataset_id"] == 1 for c, many in r["lines"]["crop_1"].items() for ls in many)
+    assert len(lines) == 400 and lines[0][0] == [0.0, 0.0, 224.0, 300.0] and lines[-1][0] == [0.0, 300.0, 224.0, 0.0]
+    assert all(ls[1] is not None and ls[3] is None for r in found if r["dataset_id"] == 0 for many in r["lines"]["crop_2"].values() for ls in many)
