@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 
 import numpy as np
 import pytest
@@ -396,3 +397,20 @@ def test_ground_truth_of_large_sets_comes_in_parts(spark):
     lines = sorted((ls, c) for r in found if r["dataset_id"] == 1 for c, many in r["lines"]["crop_1"].items() for ls in many)
     assert len(lines) == 400 and lines[0][0] == [0.0, 0.0, 224.0, 300.0] and lines[-1][0] == [0.0, 300.0, 224.0, 0.0]
     assert all(ls[1] is not None and ls[3] is None for r in found if r["dataset_id"] == 0 for many in r["lines"]["crop_2"].values() for ls in many)
+
+
+def test_shares_on_masks_are_looked_up_within_units(spark):
+    rng = np.random.default_rng(3)
+    cells = {(int(u), int(y), int(x)) for u, y, x in zip(rng.integers(0, 4, 900), rng.integers(-12, 20, 900), rng.integers(-12, 20, 900))}
+    mask = spark.createDataFrame(sorted(cells) + [(9, 1, 1)], "unit long, y long, x long")
+    ends = rng.uniform(-15, 22, (200, 4)).round(2)
+    rows = [(i % 5, i, *e, 1) for i, e in enumerate(ends.tolist())]  # unit 4 has no mask
+    lines = seg(spark, rows)
+    got = {r["line_id"]: r["share"] for r in filters.share_on_mask(lines, mask, 16, 1.0).collect()}
+    for u, i, x1, y1, x2, y2, _ in rows:
+        points = [(u, round(y1 + k / 15.0 * (y2 - y1)), round(x1 + k / 15.0 * (x2 - x1))) for k in range(16)]
+        assert got[i] == sum(p in cells for p in points) / 16
+    both = {r["line_id"] for r in filters.ends_on_mask(lines, mask, 1.0).collect()}
+    assert both == {i for u, i, x1, y1, x2, y2, _ in rows if (u, np.floor(y1), np.floor(x1)) in cells and (u, np.floor(y2), np.floor(x2)) in cells}
+    plan = filters.share_on_mask(lines, mask, 16, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(unit#\d+L?, y#", plan)
