@@ -171,18 +171,21 @@ def predict(images: DataFrame, factory, schema: str, attempts: int = 1, wait: fl
 
     A failure that transient(error) calls passing is tried again, attempts times in
     all, after wait, 2 * wait, 4 * wait ... seconds. Other failures, and the last one,
-    become a row with error.
+    become a row with error. A predictor returns a DataFrame, or a dict of lists, which
+    costs less for each row; a batch's rows become one DataFrame.
     """
 
     names = StructType.fromDDL(schema).names
 
-    def tried(predictor, row: dict) -> pd.DataFrame:
+    def tried(predictor, row: dict) -> dict[str, list]:
         for turn in range(attempts):
             try:
-                return predictor(row).assign(error=None)
+                out = predictor(row)
+                found = {n: list(out[n]) for n in names if n != "error"}
+                return found | {"error": [None] * max(map(len, found.values()), default=0)}
             except Exception as e:  # noqa: BLE001  the predictor is the user's
                 if turn + 1 == attempts or not transient(e):
-                    return pd.DataFrame([{n: str(e)[:500] if n == "error" else row.get(n) for n in names}])
+                    return {n: [str(e)[:500] if n == "error" else row.get(n)] for n in names}
                 time.sleep(wait * 2**turn)
         raise ValueError("attempts must be at least 1")
 
@@ -190,7 +193,7 @@ def predict(images: DataFrame, factory, schema: str, attempts: int = 1, wait: fl
         predictor = factory()
         for batch in batches:
             found = [tried(predictor, row) for row in batch.to_dict("records")]
-            if found:
-                yield pd.concat([f for f in found if len(f)] or found[:1], ignore_index=True)
+            # objects: whole numbers beside nulls stay whole
+            yield pd.DataFrame({n: pd.Series([v for f in found for v in f[n]], dtype=object) for n in names})
 
     return images.mapInPandas(run, schema)

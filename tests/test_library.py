@@ -414,3 +414,17 @@ def test_shares_on_masks_are_looked_up_within_units(spark):
     assert both == {i for u, i, x1, y1, x2, y2, _ in rows if (u, np.floor(y1), np.floor(x1)) in cells and (u, np.floor(y2), np.floor(x2)) in cells}
     plan = filters.share_on_mask(lines, mask, 16, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(unit#\d+L?, y#", plan)
+
+
+def test_predictors_may_return_lists(spark):
+    def factory():
+        def run(row):
+            if row["id"] == 2:
+                raise ValueError("none")
+            return {"id": [row["id"]] * row["n"], "big": [2**60 + 1] * row["n"]}
+
+        return run
+
+    rows = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "id long, n int").coalesce(1)
+    got = [tuple(r) for r in files.predict(rows, factory, "id long, big long, error string").collect()]
+    assert got == [(1, 2**60 + 1, None), (1, 2**60 + 1, None), (2, None, "none")]
