@@ -24,6 +24,8 @@ _LENGTH = re.compile(rf"\s*({_FLOAT})\s*([a-z%]*)")
 UNITS = {"": 1.0, "px": 1.0, "in": 96.0, "cm": 96 / 2.54, "mm": 96 / 25.4, "q": 96 / 101.6, "pt": 96 / 72, "pc": 16.0}
 #: How many numbers a path command takes for one step.
 _TAKES = {"M": 2, "L": 2, "T": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Q": 4, "A": 7}
+#: Pieces that a task hands on at once.
+PIECES = 10_000
 
 
 def _floats(text: str | None) -> list[float]:
@@ -126,35 +128,64 @@ def segments(text: str) -> tuple[list[tuple], float | None]:
         if top is None and node.tag.endswith("g") and ("group mark" in role or "layer mark" in role):
             top = float(above[1, 2])
         stroke = _stroke(node, stroke)
-        for x1, y1, x2, y2 in _pieces(node):
-            ends = px @ above @ np.array([[x1, x2], [y1, y2], [1.0, 1.0]])
-            out.append((role or None, stroke, *(float(v) for v in ends[:2].T.ravel())))
-        stack += [(child, above @ matrix(child.get("transform")), stroke) for child in reversed(node)]
+        found = _pieces(node)
+        if found:
+            # plain floats: arrays of two points cost more than the sums
+            (a, b, c), (d, e, f) = (px @ above)[:2].tolist()
+            for x1, y1, x2, y2 in found:
+                out.append((role or None, stroke, a * x1 + b * y1 + c, d * x1 + e * y1 + f, a * x2 + b * y2 + c, d * x2 + e * y2 + f))
+        stack += [(child, above @ matrix(child.get("transform")) if child.get("transform") else above, stroke) for child in reversed(node)]
     return out, top
 
 
-def read_svg_segments(spark: SparkSession, folder: str, glob: str = "*.svg") -> DataFrame:
-    """file, line_id, role, stroke, x1 .. y2, top, error of the straight pieces of paths, lines, polylines and polygons in SVG files.
+_COLUMNS = "file string, line_id long, role string, stroke string, x1 double, y1 double, x2 double, y2 double, top double, error string"
+
+
+def svg_segments(files: DataFrame) -> DataFrame:
+    """file, line_id, role, stroke, x1 .. y2, top, error of the straight pieces of paths, lines, polylines and polygons in SVG texts (file, text).
 
     Coordinates are pixels: transforms (translate, scale, rotate, skew, matrix) are put
     together down the tree, then the root's viewBox is laid on its width and height, in
     any absolute unit. role is what the element calls itself ("line mark", "rule mark"),
-    top the height of the first group of marks. A file that can't be read gives a row with error.
+    top the height of the first group of marks. A text that can't be read gives a row with error.
     """
-    names = ["file", "line_id", "role", "stroke", "x1", "y1", "x2", "y2", "top", "error"]
+    names = [c.split()[0] for c in _COLUMNS.split(", ")]
+
+    def rows_of(path: str, text: str) -> list[tuple]:
+        try:
+            rows, top = segments(text)
+        except (ElementTree.ParseError, ValueError) as e:
+            return [(path, *[None] * 8, str(e)[:200])]
+        return [(path, i, *row, top, None) for i, row in enumerate(rows)]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held: list[tuple] = []
             for path, text in batch.itertuples(index=False):
-                try:
-                    rows, top = segments(text)
-                except (ElementTree.ParseError, ValueError) as e:
-                    yield pd.DataFrame([[path, *[None] * 8, str(e)[:200]]], columns=names)
-                    continue
-                yield pd.DataFrame([(path, i, *row, top, None) for i, row in enumerate(rows)], columns=names)
-
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return files.mapInPandas(parse, "file string, line_id long, role string, stroke string, x1 double, y1 double, x2 double, y2 double, top double, error string")
+                held += rows_of(path, text)
+                if len(held) >= PIECES:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=names)
+
+    return files.select("file", "text").mapInPandas(parse, _COLUMNS)
+
+
+def read_svg_segments(spark: SparkSession, folder: str, glob: str = "*.svg") -> DataFrame:
+    """svg_segments of SVG files, one chart each; file is the path."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    return svg_segments(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+
+
+def write_svg_lines(charts: DataFrame, folder: str) -> None:
+    """Charts (file, text) as JSON lines, many in a file: a file for each of millions of charts takes longer to open than to read."""
+    charts.select("file", "text").write.json(folder)
+
+
+def read_svg_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """svg_segments of what write_svg_lines has written."""
+    return svg_segments(spark.read.schema("file string, text string").json(folder))
 
 
 def axes_of_rules(pieces: DataFrame, eps: float = 0.75) -> DataFrame:

@@ -85,3 +85,16 @@ def test_csv_sets_with_their_own_headers(spark, tmp_path):
     got = sorted((r["dataset_id"], r["column"], r["value"], r["number"], r["category"]) for r in files.read_csv_cells(spark, str(tmp_path)).collect())
     assert got == sorted([(1, "a", "1", 1.0, "x"), (1, "b, c", "2.5", 2.5, "x"), (1, "a", "n/a", None, "y"), (1, "b, c", "4", 4.0, "y"), (2, "d", "7", 7.0, "z")])
     assert files.csv_headers(spark, str(tmp_path)).count() == 3  # Spark lists no empty file
+
+
+def test_charts_written_many_in_a_file_read_as_single_files(spark, tmp_path):
+    text = '<svg viewBox="0 0 10 10" width="20" height="20"><g transform="translate({i},1) rotate(90)"><line x1="{i}" x2="3" y2="4"/>\n<path d="M0 0 1 2"/></g></svg>'
+    charts = {f"image_id={i}": text.replace("{i}", str(i)) if i % 7 else "no chart" for i in range(300)}
+    (tmp_path / "single").mkdir()
+    for name, chart in charts.items():
+        (tmp_path / "single" / f"{name}.svg").write_text(chart)
+    svg.write_svg_lines(spark.createDataFrame(list(charts.items()), "file string, text string").coalesce(3), str(tmp_path / "lines"))
+    assert len(list((tmp_path / "lines").glob("part-*"))) <= 3
+    rows = lambda pieces: sorted((r["file"].rsplit("/", 1)[-1].removesuffix(".svg"), *map(str, r[1:])) for r in pieces.collect())
+    found = rows(svg.read_svg_lines(spark, str(tmp_path / "lines")))
+    assert len(found) == 2 * 257 + 43 and found == rows(svg.read_svg_segments(spark, str(tmp_path / "single")))
