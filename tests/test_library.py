@@ -452,3 +452,18 @@ def test_oriented_costs_agree_to_the_last_bit(spark):
         assert r["cost"] == (off(*a[:2], b) + off(*a[2:], b) + off(*b[:2], a) + off(*b[2:], a)) / 4
         short, share = common(b, a)
         assert r["share"] == (share if short else common(a, b)[1])
+
+
+def test_units_may_return_columns(spark):
+    from chartlines.operators.units import each_unit
+
+    rows = spark.createDataFrame([(u, i, float(i)) for u in range(500) for i in range(u % 4 + 1)], "unit long, line_id long, y double")
+
+    def run(unit):
+        keep = unit["line_id"] % 2 == 1
+        return {"unit": unit["unit"][keep], "id": [int(i) if i > 1 else None for i in unit["line_id"][keep]], "y": np.where(unit["y"] > 1, np.nan, unit["y"])[keep]}
+
+    found = each_unit(rows.repartition(7), ["line_id"], run, "unit long, id long, y double").orderBy("unit", "id").collect()
+    assert [tuple(r) for r in found] == sorted(((u, i if i > 1 else None, None if i > 1 else float(i)) for u in range(500) for i in range(u % 4 + 1) if i % 2), key=lambda r: (r[0], r[1] or -1))
+    none = each_unit(rows.where("line_id = 0"), ["line_id"], run, "unit long, id long, y double")
+    assert none.collect() == []
