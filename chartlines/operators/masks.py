@@ -17,12 +17,21 @@ def _bit(y: Column, x: Column) -> Column:
     return (y.bitwiseAND(F.lit(7)) * 8 + x.bitwiseAND(F.lit(7))).cast("int")
 
 
-def packed(mask: DataFrame) -> DataFrame:
-    """unit, _tiles of a mask (unit, y, x): map from tile to its bits; y and x within 2^33 of 0. Both steps group by unit first, so cells dealt by unit are not shuffled again."""
+def tiles(cells: DataFrame) -> DataFrame:
+    """unit, tile, word: the bits of cells (unit, y, x) by tile; y and x within 2^33 of 0, nulls left out. Cells that repeat count once."""
     y, x = F.col("y").cast("long"), F.col("x").cast("long")
-    cells = mask.where(y.isNotNull() & x.isNotNull()).select("unit", _tile(y, x).alias("tile"), F.call_function("shiftleft", F.lit(1).cast("long"), _bit(y, x)).alias("word"))
-    words = cells.groupBy("unit", "tile").agg(F.bit_or("word").alias("word"))
-    return words.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("tile", "word"))).alias(TILES))
+    bits = cells.where(y.isNotNull() & x.isNotNull()).select("unit", _tile(y, x).alias("tile"), F.call_function("shiftleft", F.lit(1).cast("long"), _bit(y, x)).alias("word"))
+    return bits.groupBy("unit", "tile").agg(F.bit_or("word").alias("word"))
+
+
+def packed(mask: DataFrame) -> DataFrame:
+    """unit, _tiles of a mask (unit, y, x): map from tile to its bits (see tiles). Both steps group by unit first, so cells dealt by unit are not shuffled again."""
+    return tiles(mask).groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("tile", "word"))).alias(TILES))
+
+
+def bits_in_tiles(words: str, tiles: str) -> Column:
+    """How many bits of a unit's word (column words, of tile) are in its _tiles."""
+    return F.coalesce(F.bit_count(F.col(words).bitwiseAND(F.try_element_at(F.col(TILES), F.col(tiles)))), F.lit(0))
 
 
 def on_tiles(y: Column, x: Column) -> Column:

@@ -132,3 +132,23 @@ def test_units_in_pieces_over_batches_and_a_restart(spark, tmp_path):
         incremental.score_pieces(arriving, gt, 5.0, str(tmp_path), late="20 minutes", quiet="30 minutes")
     done = sorted((r["unit"], r["line_id"], r["tp"]) for r in spark.read.parquet(f"{tmp_path}/scored").collect())
     assert done == [(1, 0, 1), (1, 1, 0), (2, 0, 1), (3, 0, 1)]  # units 4 to 6 are still open
+
+
+def test_alignment_on_tiles_of_bits_equals_cells_drawn_one_by_one(spark):
+    from chartlines.operators import metrics
+
+    rng = np.random.default_rng(3)
+    lines = np.concatenate([np.round(rng.uniform(-60, 300, (80, 4)) * 2) / 2, [[0.5, 0.5, 0.5, 2.5], [7, 7, 7, 7]]])
+    units = np.arange(len(lines)) % 9
+    mask = {(int(u), int(y), int(x)) for u, y, x in zip(rng.integers(0, 8, 4000), rng.integers(-10, 50, 4000), rng.integers(-10, 50, 4000))}
+    cells = {}
+    for u, line in zip(units.tolist(), lines / 7.0):
+        n = int(max(abs(line[2] - line[0]), abs(line[3] - line[1]))) + 1
+        t = np.linspace(0, 1, n)
+        cells.setdefault(u, set()).update((int(np.rint(line[1] + s * (line[3] - line[1]))), int(np.rint(line[0] + s * (line[2] - line[0])))) for s in t)
+    frame = spark.createDataFrame([(u, i, *map(float, line)) for i, (u, line) in enumerate(zip(units.tolist(), lines))] + [(1, 999, None, 1.0, 2.0, 3.0)], "unit long, line_id long, x1 double, y1 double, x2 double, y2 double")
+    spots = spark.createDataFrame(sorted(mask) * 2, "unit long, y long, x long")
+    found = {r["unit"]: r["alignment"] for r in metrics.line_alignment(frame, spots, 7.0).collect()}
+    assert found == {u: sum((u, *c) in mask for c in own) / len(own) for u, own in cells.items()} and found[8] == 0
+    plan = metrics.line_alignment(frame, spots, 7.0)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan
