@@ -74,3 +74,37 @@ def test_red_edges_files_and_strong_red(spark):
 
     pixels = spark.createDataFrame([(2, 200, 200), (175, 200, 200), (2, 70, 200), (90, 200, 200), (90, 40, 200)], "h int, s int, v int")
     assert sorted(tuple(r) for r in C.coloured(pixels).collect()) == [(2, 70, 200), (90, 200, 200)] and C.coloured(pixels, drop_red=False).count() == 4
+
+
+def test_density_clusters_hold_no_list_of_neighbours():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.round(rng.uniform(0, 40, (9_000, 3))), [[200.0, 0, 0], [203, 0, 0]]])
+    n = np.ones(len(x))
+    tracemalloc.start()
+    of = N.density_clusters(x, n, 16.0, 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and of[:9_000].tolist() == [0] * 9_000 and of[9_000:].tolist() == [-1, -1]
+
+
+def test_density_clusters_against_loops_at_every_density():
+    rng = np.random.default_rng(6)
+    for t in range(12):
+        x = np.round(rng.uniform(0, (30, 80, 200)[t % 3], (150, 3)))
+        n, least = rng.integers(1, 6, 150).astype(float), (1, 12, 40, 90)[t % 4]
+        gap = ((x[:, None] - x[None]) ** 2).sum(2)
+        core = ((gap <= 64) * n).sum(1) >= least
+        want, number = np.full(150, -1), 0
+        for i in np.flatnonzero(core):
+            if want[i] < 0:
+                todo = [i]
+                while todo:
+                    want[todo] = number
+                    todo = np.flatnonzero(core & (want < 0) & (gap[todo] <= 64).any(0)).tolist()
+                number += 1
+        for i in np.flatnonzero(~core):
+            near = [(gap[i, j], j) for j in np.flatnonzero(core) if gap[i, j] <= 64]
+            want[i] = want[min(near)[1]] if near else -1
+        assert N.density_clusters(x, n, 8.0, least, block=(40, 1 << 20)[t % 2]).tolist() == want.tolist()
