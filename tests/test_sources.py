@@ -35,6 +35,25 @@ def test_npz_units_come_back_as_written(spark, tmp_path):
     assert {r["name"]: r["lines"] for r in spark.read.format("npz_units").load(folder).collect()}["d"] == [[2.0, 1.0, 4.0, 3.0]]
 
 
+def test_npz_units_in_archives_come_back_in_small_batches(spark, tmp_path, monkeypatch):
+    npz.register(spark)
+    folder = f"file://{tmp_path}/units"
+    rows = [(f"u{i}", [[1.0 * i, 2.0, 3.0, 4.0]] * (i % 3) if i % 5 else None, [0.5] * (i % 3) if i % 5 else None, 8, 8, [(i % 8, 3), (1, i % 7)] if i % 4 else None, [[1.0, 2.0]] if i % 2 else None, [(0, i)] if i % 2 else [], None) for i in range(60)]
+    units(spark, rows).repartition(2).write.format("npz_units").option("archive", "true").mode("append").save(folder)
+    assert len(list((tmp_path / "units").glob("*.npz.tar"))) == 2 and not list((tmp_path / "units").glob("*.npz"))
+    got = {r["name"]: r for r in spark.read.format("npz_units").load(folder).collect()}
+    assert len(got) == 60
+    for name, lines, score, h, w, mask, junctions, linked, unlinked in rows:
+        r = got[name]
+        assert (r["lines"], r["score"], r["h"], r["w"], r["junctions"]) == (lines, score, h, w, junctions)
+        assert sorted((s["y"], s["x"]) for s in r["mask"]) == sorted(set(mask or [])) and [(p["u"], p["v"]) for p in r["linked"]] == linked and r["unlinked"] is None
+    # what a task hands on is bounded by bytes, not by rows
+    monkeypatch.setattr(npz, "BATCH_BYTES", 64)
+    reader = npz.NpzReader(folder, 1 << 20)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert sum(b.num_rows for b in batches) == 60 and max(b.num_rows for b in batches) <= 4
+
+
 def test_npz_files_are_published_only_on_success(spark, tmp_path):
     npz.register(spark)
     folder = f"file://{tmp_path}/units"
