@@ -83,3 +83,19 @@ def test_a_unit_of_100_000_segments_meets_on_the_grid(spark):
     p, g = matching._sides(pred, gt, ("unit",))
     shared = grid.near_rows(p, g, grid.middle("p_"), grid.middle("g_"), grid.reach("mean_ends", 4.0), ["unit"]).count()
     assert shared <= 3 * met.count()
+
+
+@pytest.mark.parametrize("samples", [16, 40])
+def test_result_kinds_meet_the_mask_once(spark, samples):
+    pred, gt = some(spark, 5)
+    pred = pred.where("x1 is not null").dropDuplicates(["unit", "line_id"])
+    mask = gt.select("unit", F.floor(F.col("y1") / 7).alias("y"), F.floor(F.col("x1") / 7).alias("x")).union(gt.select("unit", F.floor(F.col("y2") / 7), F.floor(F.col("x2") / 7)))
+    got = filters.result_kinds(pred, mask, 0.3, 0.1, samples, 7.0)
+    pre = filters.by_score(pred, 0.3)
+    masked = filters.share_on_mask(pre, mask, samples, 7.0).where("share >= 0.1").select(pred.columns)
+    want = {"pre": pre, "mask": masked, "post": filters.clip_overlaps(pre), "mask_post": filters.clip_overlaps(masked)}
+    for kind, rows in want.items():
+        found = sorted(got.where(F.col("kind") == kind).select(pred.columns).collect())
+        assert found and found == sorted(rows.collect())
+    # the mask is joined before, to a table that is kept, not once for each kind
+    assert "Join" not in got._jdf.queryExecution().toString()
