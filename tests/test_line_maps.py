@@ -83,6 +83,29 @@ def test_hard_negatives_match_a_plain_loop(spark):
         assert sorted(best) == sorted(k for k in got if k[0] == u) and all(abs(got[k] - want[k]) < 1e-9 for k in best)
 
 
+def test_line_maps_are_drawn_without_shuffling_cells(spark):
+    rng = np.random.default_rng(5)
+    ends = rng.integers(0, 128, (40, 4))
+    of, y, x, value = N.smooth_lines(*ends.T)
+    for i, line in enumerate(ends.tolist()):
+        assert sorted(zip(y[of == i].tolist(), x[of == i].tolist(), value[of == i].tolist())) == sorted(zip(*(c.tolist() for c in N.smooth_cells(*line))))
+    rows = [(u, i, *map(float, rng.uniform(-5, 230, 4).round(1))) for u in range(5) for i in range(6)]
+    frame = spark.createDataFrame([*rows, (7, 0, 3.0, 3.0, 3.0, 3.0)], LINES)
+    want = {}
+    for u, _, x1, y1, x2, y2 in [*rows, (7, 0, 3.0, 3.0, 3.0, 3.0)]:
+        for (a, b), v in walked(*(int(min(max(c / 1.75, 0), 128 - 1e-4)) for c in (y1, x1, y2, x2))).items():
+            want[(u, a, b)] = max(want.get((u, a, b), 0), v)
+    cells = labels.line_cells(frame)
+    got = {(r["unit"], r["y"], r["x"]): r["value"] for r in cells.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    # what is shuffled are segments, as Spark deals them to the tasks that draw them
+    assert "Generate" not in cells._jdf.queryExecution().toString()
+    juncs = labels.junctions(frame)
+    linked = labels.edges(frame, juncs)
+    told = lambda lines: sorted((r["unit"], r["u"], r["v"], round(r["score"], 9)) for r in labels.hard_negatives(linked, juncs, lines, 10).collect())
+    assert told(frame) == told(cells)
+
+
 def test_potentials_prove_only_optimal_matchings(spark):
     rng = np.random.default_rng(4)
     schema = "unit long, line_id long, score double, x1 double, y1 double, x2 double, y2 double"
