@@ -467,3 +467,31 @@ def test_units_may_return_columns(spark):
     assert [tuple(r) for r in found] == sorted(((u, i if i > 1 else None, None if i > 1 else float(i)) for u in range(500) for i in range(u % 4 + 1) if i % 2), key=lambda r: (r[0], r[1] or -1))
     none = each_unit(rows.where("line_id = 0"), ["line_id"], run, "unit long, id long, y double")
     assert none.collect() == []
+
+
+def test_levels_share_one_ranking(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i % 3, i, round(float(rng.random()), 1), int(v)) for i, v in enumerate(rng.integers(0, 8, 200))]
+    marked = spark.createDataFrame(rows, "unit long, line_id long, score double, _levels long")
+    order, back = [F.desc("score"), F.asc("unit"), F.asc("line_id")], [F.asc("score"), F.desc("unit"), F.desc("line_id")]
+    totals = spark.createDataFrame([(150,)], "n_gt long")
+    for n in (1, 7):
+        got = {r["tau"]: r for r in precision.precision_of_levels(marked.repartition(n), totals, "tau", [1.0, 2.0, 3.0], order, back).collect()}
+        for i, tau in enumerate((1.0, 2.0, 3.0)):
+            one = marked.withColumn("tp", F.shiftright("_levels", i).bitwiseAND(F.lit(1).cast("long")).cast("int")).withColumn("tau", F.lit(tau))
+            want = precision.average_precision(one, totals.withColumn("tau", F.lit(tau)), ["tau"], order, back, empty=0.0).first()["ap"]
+            assert abs(got[tau]["ap"] - want) < 1e-12 and got[tau]["tp"] == sum(v >> i & 1 for *_, v in rows) and got[tau]["n"] == 200
+    none = precision.precision_of_levels(marked.limit(0), totals, "tau", [1.0], order, back, empty=0.0).collect()
+    assert [(r["ap"], r["tp"], r["n"]) for r in none] == [(0.0, 0, 0)]
+
+
+def test_masks_are_counted_by_unit_without_shuffling_cells(spark):
+    rng = np.random.default_rng(13)
+    cells = lambda: {(int(u), int(y), int(x)) for u, y, x in rng.integers(0, (6, 20, 20), (500, 3))}
+    p, g = cells(), {c for c in cells() if c[0] != 5}
+    frame = lambda c: spark.createDataFrame(sorted(c) * 2, "unit long, y long, x long")
+    dims = spark.createDataFrame([(u, 20, 20) for u in range(8)], "unit long, h int, w int")
+    counted = metrics.mask_counts(frame(p), frame(g), dims, ["unit"])
+    own = lambda c, u: sum(k[0] == u for k in c)
+    assert {r["unit"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in counted.collect()} == {u: (own(p & g, u), own(p - g, u), own(g - p, u), 400 - own(p | g, u)) for u in range(8)}
+    assert "FullOuter" not in counted._jdf.queryExecution().toString()
