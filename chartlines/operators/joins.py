@@ -13,7 +13,7 @@ from chartlines.functions.colour import circular_distance
 from chartlines.functions.geometry import distance
 from chartlines.functions.keys import base_key, image_id
 from chartlines.operators import _numpy as N
-from chartlines.operators.units import each_unit
+from chartlines.operators.units import spans, whole_units
 
 
 def presence(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -210,60 +210,57 @@ def stitch_with_limit(segments: DataFrame, threshold: float = 5.0, max_reuse: in
     """
     rows = segments.withColumn("unit_key", F.concat_ws("|", "image_id", "category")).select("unit_key", "image_id", "category", "crop_id", "line_id", "y1", "y2")
 
-    def run(c: dict[str, np.ndarray]) -> pd.DataFrame:
-        crops = np.unique(c["crop_id"])
-        at = np.flatnonzero(c["crop_id"] == crops[0])
-        at = at[np.lexsort((c["line_id"][at], c["y1"][at]))]
-        ends = c["y2"][at].astype(float)
-        out = [(p, int(crops[0]), c["y1"][i], c["y2"][i], True, 0.0) for p, i in enumerate(at)]
-        for crop in crops[1:]:
-            here = np.flatnonzero(c["crop_id"] == crop)
-            used, apart = np.zeros(len(here), int), N.spread_ties(ends, eps)
-            for p in range(len(ends)):
-                gap = np.abs(c["y1"][here] - apart[p])
-                free = np.where(used < max_reuse, gap, np.inf)
-                j = int(np.argmin(free)) if np.isfinite(free).any() else int(np.argmin(gap))
-                ok = bool(used[j] < max_reuse and gap[j] <= threshold)
-                used[j] += 1
-                ends[p] = c["y2"][here[j]]
-                out.append((p, int(crop), c["y1"][here[j]], ends[p], ok, float(gap[j])))
-        frame = pd.DataFrame(out, columns=["path_id", "crop_id", "y1", "y2", "match_ok", "match_dist"])
-        return frame.assign(image_id=c["image_id"][0], category=c["category"][0])[["image_id", "category", "path_id", "crop_id", "y1", "y2", "match_ok", "match_dist"]]
-
-    return each_unit(rows, ["crop_id", "line_id"], run, "image_id long, category string, path_id long, crop_id int, y1 double, y2 double, match_ok boolean, match_dist double", key="unit_key")
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        crop, line, y1, y2 = (rows[c].tolist() for c in ("crop_id", "line_id", "y1", "y2"))
+        starts, out = rows["y1"].to_numpy(float), []
+        for a, b in spans(rows["unit_key"].to_numpy()):
+            ends: list[float] | None = None
+            for s, e in N.runs(crop, a, b):
+                if ends is None:
+                    first = sorted(range(s, e), key=lambda i: (y1[i] != y1[i], y1[i] if y1[i] == y1[i] else 0.0, line[i]))
+                    ends = [y2[i] for i in first]
+                    out += [(i, p, True, 0.0) for p, i in enumerate(first)]
+                    continue
+                taken = N.take_nearest(y1[s:e] if e - s <= N.FEW else starts[s:e], N.spread_few_ties(ends, eps), max_reuse)
+                out += [(s + j, p, free and gap <= threshold, gap) for p, (j, free, gap) in enumerate(taken)]
+                ends = [y2[s + j] for j, _, _ in taken]
+        at, p, ok, dist = zip(*out)
+        return rows.iloc[np.array(at)][["image_id", "category", "crop_id", "y1", "y2"]].assign(path_id=np.array(p), match_ok=np.array(ok), match_dist=np.array(dist))
+
+    return whole_units(rows, ["crop_id", "line_id"], work, "image_id long, category string, crop_id int, y1 double, y2 double, path_id long, match_ok boolean, match_dist double", key="unit_key").select(
+        "image_id", "category", "path_id", "crop_id", "y1", "y2", "match_ok", "match_dist"
+    )
 
 
 def stitch_global(segments: DataFrame, threshold: float = 10.0) -> DataFrame:
     """Lines stitched end to start by distance in global coordinates, each segment used once; leftovers begin new lines: image_id, category, path_id, step, x1, y1, x2, y2."""
     rows = segments.withColumn("unit_key", F.concat_ws("|", "image_id", "category")).select("unit_key", "image_id", "category", "crop_id", "unit", "line_id", "x1", "y1", "x2", "y2")
 
-    def run(c: dict[str, np.ndarray]) -> pd.DataFrame:
-        ends: list[tuple[float, float]] = []
-        steps: list[int] = []
-        out = []
-        for crop in np.unique(c["crop_id"]):
-            here = np.flatnonzero(c["crop_id"] == crop)
-            taken: set[int] = set()
-            for p in range(len(ends)):
-                gap = np.hypot(c["x1"][here] - ends[p][0], c["y1"][here] - ends[p][1])
-                for j in np.lexsort((here, gap)):
-                    if gap[j] > threshold:
-                        break
-                    if int(here[j]) not in taken:
-                        taken.add(int(here[j]))
-                        steps[p] += 1
-                        out.append((p, steps[p], int(here[j])))
-                        ends[p] = (c["x2"][here[j]], c["y2"][here[j]])
-                        break
-            for i in here:
-                if int(i) not in taken:
-                    out.append((len(ends), 0, int(i)))
-                    ends.append((c["x2"][i], c["y2"][i]))
-                    steps.append(0)
-        p, s, i = (np.array(v) for v in zip(*out))
-        return pd.DataFrame({"image_id": c["image_id"][i], "category": c["category"][i], "path_id": p, "step": s, **{k: c[k][i] for k in ("x1", "y1", "x2", "y2")}})
-
-    return each_unit(rows, ["crop_id", "unit", "line_id"], run, "image_id long, category string, path_id long, step int, x1 double, y1 double, x2 double, y2 double", key="unit_key")
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        crop, x1, y1, x2, y2 = (rows[c].tolist() for c in ("crop_id", "x1", "y1", "x2", "y2"))
+        starts, out = rows[["x1", "y1"]].to_numpy(float), []
+        for a, b in spans(rows["unit_key"].to_numpy()):
+            ends: list[tuple[float, float]] = []
+            steps: list[int] = []
+            for s, e in N.runs(crop, a, b):
+                points = list(zip(x1[s:e], y1[s:e])) if e - s <= N.FEW else starts[s:e]
+                taken = N.take_free_points(points, ends, threshold)
+                for p, j in taken:
+                    steps[p] += 1
+                    ends[p] = (x2[s + j], y2[s + j])
+                    out.append((s + j, p, steps[p]))
+                used = {j for _, j in taken}
+                for i in range(s, e):
+                    if i - s not in used:
+                        out.append((i, len(ends), 0))
+                        ends.append((x2[i], y2[i]))
+                        steps.append(0)
+        at, p, n = (np.array(v) for v in zip(*out))
+        return rows.iloc[at][["image_id", "category", "x1", "y1", "x2", "y2"]].assign(path_id=p, step=n)
+
+    return whole_units(rows, ["crop_id", "unit", "line_id"], work, "image_id long, category string, x1 double, y1 double, x2 double, y2 double, path_id long, step int", key="unit_key").select(
+        "image_id", "category", "path_id", "step", "x1", "y1", "x2", "y2"
+    )
 
 
 def nearest_point(rows: DataFrame, points: DataFrame, key: str, row_id: list[str], cap: float | None = None) -> DataFrame:
