@@ -495,3 +495,32 @@ def test_masks_are_counted_by_unit_without_shuffling_cells(spark):
     own = lambda c, u: sum(k[0] == u for k in c)
     assert {r["unit"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in counted.collect()} == {u: (own(p & g, u), own(p - g, u), own(g - p, u), 400 - own(p | g, u)) for u in range(8)}
     assert "FullOuter" not in counted._jdf.queryExecution().toString()
+
+
+def test_damping_and_proposals_stay_with_their_unit(spark):
+    from chartlines.operators import labels
+
+    rng = np.random.default_rng(14)
+    spots = sorted({(int(u), int(y), int(x)) for u, y, x in rng.integers((0, -4, -4), (3, 5, 5), (120, 3))})
+    score = {s: float(v) for s, v in zip(spots, rng.integers(1, 9, len(spots)) / 8)}
+    cells = spark.createDataFrame([(*s, v) for s, v in score.items()] + [(0, None, 1, 0.1), (None, 0, 0, 0.1), (None, 0, 1, 0.1)], "unit long, y long, x long, score double")
+    around = lambda u, y, x: [score[(u, y + a, x + b)] for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (u, y + a, x + b) in score]
+    top = {s: all(score[s] >= v for v in around(*s)) for s in spots}
+    damped = labels.damp(cells, ties_stay=True)
+    assert "Generate" not in damped._jdf.queryExecution().toString()
+    found = {(r["unit"], r["y"], r["x"]): (r["top"], r["score"]) for r in damped.collect()}
+    assert len(found) == len(spots) + 3 and all(found[s] == (top[s], score[s] * (1 if top[s] else 0.6)) for s in spots)
+    assert all(t for (u, y, _), (t, _) in found.items() if u is None or y is None)
+
+    juncs = [(u, i, float(x), float(y)) for u in range(3) for i, (x, y) in enumerate(rng.integers(-4, 5, (9, 2)))]
+    linked = sorted({(u, *sorted(rng.choice(9, 2, replace=False).tolist())) for u in (0, 1) for _ in range(60)})
+    pairs = labels.proposals(cells.dropna(), spark.createDataFrame(juncs, "unit long, junc_id long, x double, y double"), spark.createDataFrame(linked * 2, "unit long, u long, v long"), 6, 0.2, 3.0, 1.0)
+    want = {}
+    for u in range(3):
+        best = sorted((s for s in spots if s[0] == u and top[s] and score[s] > 0.2), key=lambda s: (-score[s], s))[:6]
+        near = [min(((np.hypot(s[2] - (x - 0.5), s[1] - (y - 0.5)), i) for v, i, x, y in juncs if v == u and np.hypot(s[2] - (x - 0.5), s[1] - (y - 0.5)) <= 3.0), default=(0, None))[1] for s in best]
+        want |= {(u, a, b): int(None not in (near[a], near[b]) and (u, *sorted((near[a], near[b]))) in linked) for a in range(len(best)) for b in range(a + 1, len(best))}
+    rows = pairs.collect()
+    assert len(rows) == len(want) and {(r["unit"], r["u"], r["v"]): r["label"] for r in rows} == want and 0 < sum(want.values()) < len(want)
+    keys = re.findall(r"hashpartitioning\((.*?), \d+\)", pairs._jdf.queryExecution().executedPlan().toString())
+    assert keys and all("," not in k for k in keys)
