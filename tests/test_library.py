@@ -524,3 +524,26 @@ def test_damping_and_proposals_stay_with_their_unit(spark):
     assert len(rows) == len(want) and {(r["unit"], r["u"], r["v"]): r["label"] for r in rows} == want and 0 < sum(want.values()) < len(want)
     keys = re.findall(r"hashpartitioning\((.*?), \d+\)", pairs._jdf.queryExecution().executedPlan().toString())
     assert keys and all("," not in k for k in keys)
+
+
+def test_transport_of_many_units_side_by_side_is_that_of_each(spark):
+    rng = np.random.default_rng(16)
+    for n, m in ((1, 1), (1, 3), (4, 2), (5, 5), (6, 7), (14, 3)):
+        a, b = rng.integers(0, 9, (20, n, 2)).astype(float), rng.integers(0, 9, (20, m, 2)).astype(float)
+        assert np.allclose(N.earth_movers_of_many(a, b), [N.earth_movers(p, q) for p, q in zip(a, b)], rtol=0, atol=1e-9)
+        assert np.allclose(N.sliced_distances(a, b), [N.sliced_distance(p, q) for p, q in zip(a, b)], rtol=0, atol=1e-9)
+        a[3, 0, 1] = np.nan
+        assert np.flatnonzero(np.isnan(N.earth_movers_of_many(a, b))).tolist() == [3]
+    sets = {u: tuple(rng.uniform(0, 9, (int(k), 2)) for k in rng.integers(0, 5, 2)) for u in range(40)}
+    points = lambda side: spark.createDataFrame([(u, i, *map(float, p)) for u, s in sets.items() for i, p in enumerate(s[side])] + ([(99, 0, None, 1.0)] if side else [(99, 0, 2.0, 3.0)]), "unit long, id long, x double, y double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {r["unit"]: r for r in metrics.transport_distances(points(0), points(1)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(found) == {u for u, (a, b) in sets.items() if len(a) + len(b)} | {99}
+    assert (found[99]["w1_y"], found[99]["w1_x"], found[99]["sliced"], found[99]["emd"]) == (2.0, None, None, None)
+    for u, (a, b) in sets.items():
+        want = (N.quantile_distance(a[:, 0], b[:, 0]), N.quantile_distance(a[:, 1], b[:, 1]), N.sliced_distance(a, b), N.earth_movers(a, b)) if len(a) and len(b) else (None,) * 4
+        got = tuple(found[u][c] for c in ("w1_x", "w1_y", "sliced", "emd")) if u in found else (None,) * 4
+        assert all(g == w if w is None else abs(g - w) < 1e-9 for g, w in zip(got, want))
