@@ -107,6 +107,23 @@ def test_line_maps_are_drawn_without_shuffling_cells(spark):
     assert told(frame) == told(cells)
 
 
+def test_line_maps_are_summed_up_where_they_are_drawn(spark, monkeypatch):
+    monkeypatch.setattr(labels, "MAPS", 3)
+    rng = np.random.default_rng(17)
+    rows = [(u, i, *map(float, rng.uniform(-20, 240, 4))) for u in range(11) for i in range(1 + u % 4)] + [(20, 0, 5.0, 5.0, 5.0, 5.0)]
+    frame = spark.createDataFrame(rows, "unit long, line_id long, x1 double, y1 double, x2 double, y2 double")
+    cells = {}
+    for r in labels.line_cells(frame).collect():
+        cells.setdefault(r["unit"], []).append((r["y"], r["x"], r["value"]))
+    sums = labels.line_map_sums(frame)
+    assert "Aggregate" not in sums._jdf.queryExecution().toString()  # no cell leaves its task
+    found = {r["unit"]: r for r in sums.collect()}
+    assert found.keys() == cells.keys() and len(found) == 12
+    for u, own in cells.items():
+        assert (found[u]["n_cells"], found[u]["top"], found[u]["far"]) == (len(own), min(c[0] for c in own), max(c[1] for c in own))
+        assert abs(found[u]["total"] - sum(c[2] for c in own)) < 1e-9 and abs(found[u]["placed"] - sum(v * (y * 128 + x) for y, x, v in own)) < 1e-6
+
+
 def test_potentials_prove_only_optimal_matchings(spark):
     rng = np.random.default_rng(4)
     schema = "unit long, line_id long, score double, x1 double, y1 double, x2 double, y2 double"
