@@ -142,3 +142,43 @@ def test_silhouette_is_worked_out_by_parts_of_a_group(spark, monkeypatch):
             best = min(m for c, m in enumerate(mean) if c != of[i])
             total += n[i] * (best - mean[of[i]]) / max(best, mean[of[i]])
         assert abs(row["silhouette"] - total / n.sum()) < 1e-9
+
+
+def test_large_groups_come_whole_in_their_own_types(spark):
+    from chartlines.operators.units import each_large_group
+
+    rows = [(g, s, i, [float(i), 2.0]) for g, s, n in ((None, "a", 5), (1, "a", 23), (1, None, 3), (2, "b", 1)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "g long, s string, i int, v array<double>").repartition(3)
+
+    def run(group: dict) -> dict:
+        assert set(group) == {"i", "v"} and group["i"].dtype == np.int32 and group["v"].shape == (len(group["i"]), 2)
+        assert (np.diff(group["i"]) < 0).all() and (group["v"][:, 0] == group["i"]).all()
+        return {"n": [len(group.pop("i"))]}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = sorted(map(tuple, each_large_group(frame, ["g", "s"], [F.desc("i")], run, "n long").collect()), key=str)
+        assert each_large_group(frame.limit(0), ["g"], ["i"], run, "n long").collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == sorted([(None, "a", 5), (1, "a", 23), (1, None, 3), (2, "b", 1)], key=str)
+
+
+def test_means_and_clusters_hold_little_more_than_their_points():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x, n = rng.normal(size=(200_000, 2)), np.ones(200_000)
+    centres = N.spread_seeds(x, n, 6, 0)
+    tracemalloc.start()
+    try:
+        _, of, inertia = N.settle(x, n, centres, 2)
+        N.separation(x, n, centres, of)
+        assert tracemalloc.get_traced_memory()[1] < 14e6
+    finally:
+        tracemalloc.stop()
+    assert abs(inertia - sum(((x[of == c] - N.settle(x, n, centres, 2)[0][c]) ** 2).sum() for c in range(6))) < 1e-6 * inertia
+    # whole numbers are clustered as they are; cells far apart are not looked at one by one
+    grid = np.stack(np.meshgrid(*[np.arange(0, 60, 2)] * 3), -1).reshape(-1, 3).astype(np.int16)
+    of = N.density_clusters(np.concatenate([grid, grid + 200]), np.ones(2 * len(grid)), 24.0, 20)
+    assert (of[: len(grid)] == 0).all() and (of[len(grid) :] == 1).all()
